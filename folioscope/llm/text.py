@@ -133,6 +133,17 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
             a = b
 
 
+_MADE: dict = {}
+
+
+def once(key, make):
+    """What ``make`` returns, made once in a worker's life for a key; only the last key's is kept."""
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = make()
+    return _MADE[key]
+
+
 class Memo:
     """Values of words by their hash, kept by a worker from batch to batch; emptied when it holds ``limit`` words."""
 

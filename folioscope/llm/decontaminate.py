@@ -133,26 +133,39 @@ def _pass(docs: DataFrame, items: list, window: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """``doc_id, n_words, spans, items`` of every row: united spans of hit words, [start, end), and the ids of the items found."""
+def item_blocks(benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> list:
+    """Loaders of the items' (id, text), each of about ``item_bytes`` at most by a count of the text."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), "text").filter(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     blocks = math.ceil(total / item_bytes) or 1
-    if blocks == 1:
-        rows = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
-        return _pass(rows, [tuple(r) for r in items.collect()], window).drop("row")
-    rows = shared.table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontaminate-rows")
-    items = shared.table(items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), "decontaminate-items")
+    if blocks > 1:
+        items = shared.table(items, "decontaminate-items")
+    of = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
+    return [lambda k=k: [tuple(r) for r in (items if blocks == 1 else items.filter(of == k)).collect()] for k in range(blocks)]
+
+
+def _united(rows: DataFrame, blocks: list, window: int) -> DataFrame:
+    """A pass over the rows for each block of items; a row's spans and items of all passes are united."""
     out = None
-    for k in range(blocks):
-        own = shared.table(_pass(rows, [tuple(r) for r in items.filter(F.col("block") == k).select("id", "text").collect()], window), "decontaminate-pass")
+    for load in blocks:
+        own = shared.table(_pass(rows, load(), window), "decontaminate-pass")
         out = own if out is None else out.unionByName(own)
-    merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    spans, items = F.array_sort(F.flatten(F.collect_list("spans"))), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))
     unite = """aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (out, x) ->
         if(size(out) > 0 and x.start <= element_at(out, -1).end,
            concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(x.end, element_at(out, -1).end)))),
            concat(out, array(x))))"""
-    return merged.select("doc_id", "n_words", F.expr(unite).alias("spans"), "items")
+    return merged.withColumn("spans", F.expr(unite))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """``doc_id, n_words, spans, items`` of every row: united spans of hit words, [start, end), and the ids of the items found."""
+    blocks = item_blocks(benchmark, item_bytes)
+    if len(blocks) == 1:
+        return _pass(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), blocks[0](), window).drop("row")
+    rows = shared.table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "decontaminate-rows")
+    return _united(rows, blocks, window).drop("row")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -163,6 +176,24 @@ def judged(found: DataFrame) -> DataFrame:
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, that aren't contaminated."""
+    blocks = item_blocks(benchmark, item_bytes)
+    if len(blocks) > 1:
+        rows = shared.table(docs.withColumn("decontaminate_row", F.monotonically_increasing_id()), "decontaminate-docs")
+        bad = judged(_united(rows.select(F.col("decontaminate_row").alias("row"), "doc_id", "text"), blocks, window)).filter("contaminated")
+        return rows.join(bad.select(F.col("row").alias("decontaminate_row")), "decontaminate_row", "left_anti").select(*docs.columns)
+    held, key = docs.sparkSession.sparkContext.broadcast(blocks[0]()), uuid.uuid4().hex
+
+    def run(batches):
+        matcher = once(key, lambda: Matcher(held.value, window))
+        for part in slices(batches):
+            hit = ((n, sum(b - a for a, b in spans)) for n, spans, _ in matcher(part.column("text")))
+            yield part.filter(pa.array([not (h > 0 and 20 * h >= n) for n, h in hit], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return judged(hits(docs, benchmark)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -35,6 +35,8 @@ ROWS = 64
 ROW_CHARS = 2000
 TRAIN_BYTES = 20_000
 SEGMENT = 1024
+#: Bits a byte beyond which a text isn't of the language nearest to it: its phrases are hardly longer than two bytes.
+MOST_ENTROPY = 7.0
 SCHEMA = "doc_id long, lang_pred string, score double, entropy double"
 
 _LETTER = np.zeros(256, bool)
@@ -171,6 +173,19 @@ def predict(docs: DataFrame, trained: dict[str, bytes]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def accepted(docs: DataFrame, trained: dict[str, bytes], most: float = MOST_ENTROPY) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in a learned language: not ``und``, and at most ``most`` bits a byte."""
+    held, key = docs.sparkSession.sparkContext.broadcast(trained), uuid.uuid4().hex
+
+    def run(batches):
+        parser = once(key, lambda: CrossParser(held.value))
+        for part in slices(batches):
+            langs, _, entropy = parser(part.column("text"))
+            yield part.filter(pa.array([x != "und" and e <= most for x, e in zip(langs, entropy, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(folds: int):
     """Is the row in fold 0 by the crc32 of its id?"""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds)) == 0

@@ -30,7 +30,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -273,6 +273,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that name their component; of rows with equal id and text one."""
+    kept = near_duplicates(docs, words, percent).filter("kept").select(F.col("doc_id").alias("near_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("near_id"))).withColumn("near_text", F.xxhash64("text"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "near_text").orderBy("near_text"))
+    return rows.withColumn("near_nth", nth).filter("near_nth = 1").select(*docs.columns)
+
+
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=2)
 

@@ -1,6 +1,743 @@
-"""Names of all queries, what they run, and the SQL they are compared with."""
+"""Names of all queries, what they run, and the SQL they are compared with.
+
+Queries over patents read a corpus of Markdown documents that one SQL text derives from
+``part``, the same in both engines; their SQL is a chain of named steps, each of which
+restates an operator on the step before.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import iso_date, split_lines, strip, tokens, unescape
+from ..operators import bm25, chunking, context, entities, evaluate, fusion, graph, graph_search, lines, metadata, store, tables, traverse, vectors
+from ..operators.interfaces import overlap
+from ..sources import readers
+from ..sources.vocabulary import DEFAULT
+from . import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+STEPS: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def chain(select: str) -> str:
+    """The steps that a select needs, and those that they need, in order, before it."""
+    import re
+
+    needed, todo = set(), [select]
+    while todo:
+        text = todo.pop()
+        for name, body in STEPS.items():
+            if name not in needed and re.search(rf"\b{name}\b", text):
+                needed.add(name)
+                todo.append(body)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'' if re.search(rf'FROM {n} ', b) else 'MATERIALIZED '}({b})" for n, b in STEPS.items() if n in needed) + "\n" + select
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- the corpus of patents, in SQL that Spark and DuckDB both read --------------------
+_LINES = [
+    "concat('## (54) Sheet of ', p_name)",
+    "concat('(43) Date of publication: ', cast(1 + p_partkey % 28 as string), '.', cast(1 + p_partkey % 12 as string), '.2012 Bulletin')",
+    "concat('(21) Application number: ', cast(p_partkey * 37 as string))",
+    "'(22) Filed:'",
+    "concat('  ', cast(1 + p_partkey % 9 as string), '.11.2009')",
+    "'(71) Applicant:'",
+    "concat('- ', p_brand, ' &amp; Co')",
+    "'(72) Inventors: Rossi, Ada'",
+    "'- Tanaka, Jun, c/o Works'",
+    "'10115 Berlin (DE)'",
+    "concat('(51) H01F 1/', cast(p_size as string), '; C22C 38/02')",
+    "'## ABSTRACT'",
+    "concat('An electrical steel sheet for a transformer has Si: ', cast(p_size % 7 as string), '.5% and a yield stress: ', cast(300 + p_size as string), ' MPa. It follows ', p_type, '.')",
+    "''",
+    "'Inventor: Ada Rossi; Jun Tanaka'",
+    "'<!-- PB -->'",
+    "'12'",
+    "'EP 1 577 413 A1'",
+    "'## BACKGROUND'",
+    "concat('Known sheets have a high core loss. A problem is the price, see Table ', cast(1 + p_size % 4 as string), '. JP 2001-', cast(300000 + p_partkey as string), ' A1 describes it.')",
+    "'<!-- PB -->'",
+    "'Patent Document 2 and FIG. 3 show carbon steel for a battery.'",
+    "'## DETAILED DESCRIPTION'",
+    "concat('[0001] The slab is annealed at ', cast(700 + p_size * 5 as string), ' °C after hot rolling. See Figure 2 and Figure 2.')",
+    "''",
+    "concat('Formula (', cast(1 + p_size % 3 as string), ') gives the value of Sample A', cast(p_size as string), ', which is insufficient.')",
+    "'## CLAIMS'",
+    "'1. A sheet with 0.5% by mass or less of C.'",
+    "'made of stainless steel'",
+    "'2. The sheet of claim 1 with 2.5% to 10% by mass of Al, wherein a coating is applied.'",
+    "'<!-- PB -->'",
+    "concat('3. A motor core of the sheet of claim ', cast(1 + p_size % 2 as string), '.')",
+]
+PATENTS = f"SELECT concat('EP', cast(1000000 + p_partkey as string)) AS doc_id, p_partkey AS n, concat_ws(chr(10), {', '.join(_LINES)}) AS text FROM part"
+_TABLE = "concat('| a | b |', chr(10), '|---|---|', chr(10), '| Table {k} of ', cast({v} as string), ' | {k} |')"
+TABLES = " UNION ALL ".join(
+    f"SELECT concat('EP', cast(1000000 + p_partkey as string)) AS doc_id, {ord} AS ord, {page} AS page, {md} AS md FROM part"
+    for ord, page, md in (
+        (1, 4, _TABLE.format(k=1, v="p_size")),
+        (2, 5, _TABLE.format(k=2, v="p_partkey")),
+        (3, 6, "concat('| a | b | yield stress |', chr(10), '|---|---|---|', chr(10), '| Table 3 | ', cast(p_size as string), ' | x |')"),
+        (4, 7, "'no table'"),
+    )
+)
+QUESTIONS = "SELECT cast(r_regionkey as bigint) AS query_id, concat('What core loss has stainless steel annealed at ', cast(800 + r_regionkey as string), ' °C with Si: 2.5% in ', lower(r_name), '?') AS text FROM region"
+
+
+def patents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql(PATENTS)
+
+
+def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql(TABLES)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "region").createOrReplaceTempView("region")
+    return spark.sql(QUESTIONS)
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> ingest.Corpus:
+    return ingest.ingested(patents(spark, sf_dir), raw_tables(spark, sf_dir))
+
+
+_trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+STEPS["patents"] = PATENTS
+STEPS["raw_tables"] = TABLES
+STEPS["questions"] = QUESTIONS
+STEPS["rows_"] = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM patents"
+STEPS["paged_"] = f"SELECT *, trim(line) = '<!-- PB -->' AS broken, 1 + sum((trim(line) = '<!-- PB -->')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS page FROM rows_"
+STEPS["kept_"] = "SELECT doc_id, pos, line, page::INT AS page FROM paged_ WHERE NOT broken AND NOT (trim(line) <> '' AND (" + " OR ".join(f"regexp_matches(trim(line), '{p}')" for p in lines.NOISE) + "))"
+STEPS["opened_"] = "SELECT *, CASE " + " ".join(f"WHEN regexp_matches(trim(line), '{p}') THEN '{s}'" for p, s in lines.HEADINGS) + " END AS opens FROM kept_"
+STEPS["located"] = "SELECT *, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'preamble') AS section FROM opened_"
+STEPS["marked_"] = "SELECT *, lag(page) OVER (PARTITION BY doc_id, section ORDER BY pos) AS was FROM (SELECT *, min(pos) OVER (PARTITION BY doc_id, section) AS first FROM located) WHERE opens IS NULL"
+STEPS["sections"] = f"SELECT doc_id, section, min(first) AS first, {_trim('string_agg(CASE WHEN was IS NULL OR was <> page THEN concat(chr(60), ' + chr(39) + '!-- PB:' + chr(39) + ', page::VARCHAR, ' + chr(39) + ' -->' + chr(39) + ', chr(10), line) ELSE line END, chr(10) ORDER BY pos)')} AS text FROM marked_ GROUP BY doc_id, section"
+STEPS["numbered"] = "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS ord FROM sections WHERE text <> ''"
+STEPS["claim_lines_"] = "SELECT doc_id, ord, section, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM numbered WHERE section = 'claims'"
+STEPS["claim_blocks_"] = f"SELECT doc_id, ord, section, blk, {_trim('string_agg(line, chr(10) ORDER BY pos)')} AS block FROM (SELECT *, sum(regexp_matches(trim(line), '^[0-9]+\\.\\s')::INT) OVER (PARTITION BY doc_id, ord ORDER BY pos) AS blk FROM claim_lines_) GROUP BY doc_id, ord, section, blk"
+STEPS["text_blocks_"] = f"SELECT doc_id, ord, section, unnest(range(len(b))) AS blk, unnest(b) AS block FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {_trim('x')}), lambda x: x <> '') AS b FROM numbered WHERE section <> 'claims')"
+STEPS["blocks_"] = "SELECT *, try_cast(nullif(regexp_extract(block, '<!--\\s*PB:(\\d+)\\s*-->', 1), '') AS INT) AS own FROM (SELECT * FROM claim_blocks_ UNION ALL BY NAME SELECT * FROM text_blocks_) WHERE block <> ''"
+STEPS["pages_"] = f"SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id, ord ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1) AS page, regexp_replace({_trim('regexp_replace(block, ' + chr(39) + '<!--\\s*PB:(\\d+)\\s*-->' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, '\\n{{3,}}', chr(10) || chr(10), 'g') AS content FROM blocks_"
+STEPS["islands_"] = "SELECT *, sum((was IS NULL OR was <> w OR w = 0)::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY ord) AS was FROM (SELECT *, CASE WHEN md LIKE '|%' THEN len(regexp_extract_all(split_part(md, chr(10), 1), '\\|')) - 1 ELSE 0 END AS w FROM raw_tables))"
+STEPS["stitched"] = "SELECT doc_id, island::INT AS nth, arg_min(page, ord)::INT AS page, CASE WHEN count(*) = 1 THEN arg_min(md, ord) ELSE concat(arg_min(split_part(md, chr(10), 1), ord), chr(10), arg_min(split_part(md, chr(10), 2), ord), chr(10), string_agg(split_part(md, chr(10), 3), chr(10) ORDER BY ord)) END AS md FROM islands_ GROUP BY doc_id, island"
+STEPS["pieces_"] = "SELECT doc_id, 0 AS part, ord, blk, section, page, content, CASE WHEN section = 'claims' THEN 'claim' WHEN regexp_matches(content, '(?i)Formula\\s*\\(\\d+\\)|Equation\\s*\\(\\d+\\)|\\[\\w+\\]/\\d+') THEN 'formula' ELSE 'paragraph' END AS chunk_type FROM pages_ WHERE content <> '' UNION ALL SELECT doc_id, 1, nth, 0, 'unknown', page, md, 'table' FROM stitched"
+STEPS["chunks"] = "SELECT printf('%s_%04d', doc_id, seq) AS chunk_id, * FROM (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, ord, blk) - 1)::INT AS seq, content, section, page::INT AS page, chunk_type FROM pieces_)"
+
+
+# --- C: documents ---------------------------------------------------------------------
+@query("SELECT doc_id, count(*) AS n_lines, count(*) FILTER (trim(line, chr(32) || chr(9)) = '') AS n_blank FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
+def document_lines(spark, sf_dir):
+    """C: lines of every document."""
+    rows = lines.lines(table(spark, sf_dir, "documents"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(F.trim(F.col("line"), F.lit(" \t")) == "").alias("n_blank"))
+
+
+@query(chain("SELECT doc_id, pos::INT AS pos, line, page FROM kept_"))
+def noise_filtered_lines(spark, sf_dir):
+    """C1, C3"""
+    return lines.located(patents(spark, sf_dir)).select("doc_id", "pos", "line", "page")
+
+
+@query(chain("SELECT doc_id, section, count(*) AS n_lines, count(opens) AS n_headings, max(page) AS last_page FROM located GROUP BY doc_id, section"))
+def line_sections(spark, sf_dir):
+    """C2, C3"""
+    return lines.located(patents(spark, sf_dir)).groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.count("opens").alias("n_headings"), F.max("page").alias("last_page"))
+
+
+@query(chain("SELECT doc_id, ord::INT AS ord, section, text FROM numbered"))
+def section_texts(spark, sf_dir):
+    """C4, C5"""
+    return lines.sections(patents(spark, sf_dir))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)(EP|US|WO|CN)\\d+') THEN upper(regexp_extract(url, '(?i)(EP|US|WO|CN)\\d+')) WHEN regexp_matches(left(html, 2000), '(?i)(EP|US|WO|CN)\\s*\\d+') THEN upper(regexp_replace(regexp_extract(left(html, 2000), '(?i)(EP|US|WO|CN)\\s*\\d+'), '\\s+', '', 'g')) ELSE page_id::VARCHAR END AS doc_id FROM pages")
+def document_ids(spark, sf_dir):
+    """C6 over pages, with the page id as the file's name."""
+    named = F.concat(F.coalesce(F.nullif(F.regexp_extract("url", r"(?i)(EP|US|WO|CN)\d+", 0), F.lit("")), F.col("page_id").cast("string")), F.lit(".pdf"))
+    return table(spark, sf_dir, "pages").select("page_id", metadata.document_id(named, F.col("html")).alias("doc_id"))
+
+
+@query(chain("SELECT doc_id, concat('Sheet of ', p_name) AS title FROM patents JOIN part ON p_partkey = n"))
+def titles(spark, sf_dir):
+    """C7"""
+    return metadata.titles(patents(spark, sf_dir))
+
+
+@query(
+    chain("""SELECT doc_id, concat('2012-', lpad((1 + n % 12)::VARCHAR, 2, '0'), '-', lpad((1 + n % 28)::VARCHAR, 2, '0')) AS publication_date, (n * 37)::VARCHAR AS application_number,
+  concat('2009-11-', lpad((1 + n % 9)::VARCHAR, 2, '0')) AS filing_date, array_to_string(regexp_extract_all(text, '[A-H]\\d{2}[A-Z]\\s*\\d+/\\d+'), ';') AS ipc_classes,
+  NULL::VARCHAR AS priority_date, concat(p_brand, ' & Co') AS applicant, 'Rossi, Ada;Tanaka, Jun' AS inventors FROM patents JOIN part ON p_partkey = n""")
+)
+def bibliographic_fields(spark, sf_dir):
+    """C8, C10"""
+    out = metadata.fields(patents(spark, sf_dir))
+    return out.withColumns({c: F.array_join(c, ";") for c in ("ipc_classes", "inventors")})
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS title FROM pages")
+def page_titles_unescaped(spark, sf_dir):
+    """C10"""
+    return table(spark, sf_dir, "pages").select("page_id", unescape(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
+
+
+@query("SELECT p_partkey, nullif(upper(regexp_extract(concat(p_brand, '_B', (p_size % 9)::VARCHAR, '.pdf'), '(?i)_([A-Z]\\d)\\.pdf$', 1)), '') AS kind_code FROM part")
+def kind_codes(spark, sf_dir):
+    """C9"""
+    return table(spark, sf_dir, "part").select("p_partkey", metadata.kind_code(F.concat("p_brand", F.lit("_B"), (F.col("p_size") % 9).cast("string"), F.lit(".pdf"))).alias("kind_code"))
+
+
+@query(chain("SELECT doc_id, nth, page, md FROM stitched"))
+def stitched_tables(spark, sf_dir):
+    """C11-C13"""
+    return tables.stitched(raw_tables(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT user_id, event_type, ts, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events),
+i AS (SELECT *, sum((was IS NULL OR was <> event_type)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM e)
+SELECT user_id, island::BIGINT AS island, min(event_type) AS event_type, count(*) AS n FROM i GROUP BY user_id, island""")
+def event_islands(spark, sf_dir):
+    """C13's gaps and islands on runs of equal events."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    was = F.lag("event_type").over(w)
+    rows = table(spark, sf_dir, "events").withColumn("opens", (was.isNull() | (was != F.col("event_type"))).cast("long")).withColumn("island", F.sum("opens").over(w))
+    return rows.groupBy("user_id", "island").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
+
+
+# --- D: chunks ------------------------------------------------------------------------
+@query(chain("SELECT chunk_id, doc_id, seq, content, section, page, chunk_type FROM chunks"))
+def patent_chunks(spark, sf_dir):
+    """D1-D9"""
+    return corpus(spark, sf_dir).chunks
+
+
+@query("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1)::INT AS seq, b AS content FROM (SELECT doc_id, unnest(range(len(x))) AS p, regexp_replace(unnest(x), '^\\s+|\\s+$', '', 'g') AS b FROM (SELECT doc_id, regexp_split_to_array(text, '\\n\\s*\\n') AS x FROM documents)) WHERE b <> ''")
+def document_paragraphs(spark, sf_dir):
+    """D4 over every document."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("ord"), F.lit("text").alias("section"), "text")
+    return chunking.paragraphs(rows).select("doc_id", F.col("blk").alias("seq"), F.col("block").alias("content"))
+
+
+_REFS = " UNION ALL ".join(f"SELECT chunk_id, doc_id, {i} AS p, unnest(regexp_extract_all(content, '{pat}')) AS raw_text, unnest(range(len(regexp_extract_all(content, '{pat}')))) AS k, unnest(regexp_extract_all(content, '{pat}', 1))::INT AS num, '{kind}' AS ref_type FROM chunks" for i, (pat, kind) in enumerate(chunking.REFERENCES))
+STEPS["refs_"] = _REFS
+STEPS["ref_ids_"] = "SELECT *, concat(doc_id, '_', upper(ref_type), '_', printf('%02d', num)) AS ref_id FROM refs_"
+
+
+@query(chain("SELECT chunk_id, ref_type, ref_id, arg_min(raw_text, p * 1000 + k) AS raw_text FROM ref_ids_ GROUP BY chunk_id, ref_type, ref_id"))
+def chunk_references(spark, sf_dir):
+    """D7"""
+    rows = corpus(spark, sf_dir).chunks
+    return rows.select("chunk_id", F.inline(chunking.references(F.col("content"), F.col("doc_id")))).select("chunk_id", "ref_type", "ref_id", "raw_text")
+
+
+# --- E: mentions ----------------------------------------------------------------------
+_q = lambda s: "'" + s.replace("'", "''") + "'"
+_alias_rows = [(kind, i, canon, j, alias) for kind in ("properties", "processes", "applications", "materials") for i, (canon, aliases) in enumerate(DEFAULT[kind].items()) for j, alias in enumerate(aliases)]
+STEPS["vocab_"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(k)}, {i}, {_q(c)}, {j}, {_q(a)})" for k, i, c, j, a in _alias_rows) + ") AS v(kind, canon_ord, canon, alias_ord, alias)"
+STEPS["symbols_"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(s)})" for i, s in enumerate(DEFAULT["elements"])) + ") AS v(ord, symbol)"
+STEPS["phrases_"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(s)})" for i, s in enumerate(DEFAULT["problems"])) + ") AS v(ord, phrase)"
+STEPS["texts_"] = "SELECT chunk_id, doc_id, seq, content FROM chunks UNION ALL SELECT query_id::VARCHAR, 'query', 0, text FROM questions"
+
+
+def _elements_sql(form: int, pattern: str, low: int, high: int | None) -> str:
+    every = lambda g: f"unnest(regexp_extract_all(content, {pattern}, {g}))"
+    return f"SELECT chunk_id, doc_id, seq, ord, {form} AS form, symbol, unnest(range(len(regexp_extract_all(content, {pattern})))) AS nth, {every(low)}::DOUBLE AS low, {every(high) + '::DOUBLE' if high else 'NULL::DOUBLE'} AS high FROM texts_, symbols_ WHERE contains(content, chr(37)) AND list_contains(regexp_extract_all(lower(content), '[a-z]+'), lower(symbol))"
+
+
+_N, _U = r"(\d+\.?\d*)", r"(%|mass\s*%|wt\s*%)"
+STEPS["elements_"] = " UNION ALL ".join([
+    _elements_sql(0, rf"'(?i)\b' || symbol || '\s*[:=]?\s*{_N}\s*{_U}'", 1, None),
+    _elements_sql(1, rf"'(?i)\b' || symbol || '\s*[:=]?\s*{_N}\s*(?:to|-)\s*{_N}\s*{_U}'", 1, 2),
+    _elements_sql(2, rf"'(?i){_N}\s*{_U}\s*(?:to|-)\s*{_N}\s*{_U}(?:\s+by\s+mass)?\s+(?:of\s+)?\b' || symbol || '\b'", 1, 3),
+    _elements_sql(3, rf"'(?i){_N}\s*{_U}(?:\s+by\s+mass)?\s+(?:or\s+less\s+)?(?:of\s+)?\b' || symbol || '\b'", 1, None),
+])
+STEPS["composition_"] = "SELECT *, (row_number() OVER (PARTITION BY chunk_id ORDER BY ord, form, nth) - 1)::INT AS k FROM elements_"
+STEPS["worded_"] = "SELECT chunk_id, doc_id, seq, kind, canon_ord, canon, arg_min(alias, alias_ord) AS alias FROM texts_ JOIN vocab_ ON CASE WHEN kind IN ('properties', 'processes') THEN contains(lower(content), lower(alias)) ELSE regexp_matches(lower(content), '\\b' || lower(alias) || '\\b') END GROUP BY chunk_id, doc_id, seq, kind, canon_ord, canon"
+STEPS["hits_"] = "SELECT w.*, c.content, (row_number() OVER (PARTITION BY w.chunk_id, kind ORDER BY canon_ord) - 1)::INT AS k FROM worded_ w JOIN texts_ c USING (chunk_id)"
+STEPS["degrees_"] = "SELECT *, try_cast(nullif(regexp_extract(content, '(?i)' || alias || '.*?(\\d+)\\s*°?C', 1), '') AS INT) AS temperature FROM hits_ WHERE kind = 'processes'"
+STEPS["problem_"] = "SELECT chunk_id, doc_id, seq, phrase, content, strpos(lower(content), phrase) AS loc FROM (SELECT t.chunk_id, t.doc_id, t.seq, t.content, arg_min(phrase, ord) AS phrase FROM texts_ t JOIN phrases_ ON contains(lower(content), phrase) GROUP BY t.chunk_id, t.doc_id, t.seq, t.content)"
+STEPS["sentence_"] = "SELECT *, left(regexp_replace(concat(string_split(left(content, loc - 1), '.')[-1], CASE WHEN strpos(substr(content, loc), '.') > 0 THEN left(substr(content, loc), strpos(substr(content, loc), '.')) ELSE substr(content, loc) END), '^\\s+|\\s+$', '', 'g'), 300) AS sentence FROM problem_"
+
+
+def _found(extractor: str, pattern: str, group: int) -> str:
+    every = f"regexp_extract_all(content, '{pattern}', {group})"
+    return f"SELECT chunk_id, doc_id, seq, '{extractor}' AS what, unnest({every}) AS x, unnest(range(len({every})))::INT AS k FROM texts_"
+
+
+STEPS["scanned_"] = " UNION ALL ".join([
+    _found("table", r"(?i)Table\s*(\d+)", 1), _found("formula", r"(?i)Formula\s*\((\d+)\)", 1), _found("figure", r"(?i)(?:FIG\.?|Figure)\s*(\d+)", 1), _found("sample", r"(?:Sample|Symbol|Material)\s+([a-zA-Z]\d+)", 1),
+    _found("cited", r"(?i)(?:US|EP|WO|JP|CN|KR|DE|GB|FR)\s*[\d,./\-]{4,}(?:\s*[AB]\d)?\b", 0), _found("patdoc", r"(?i)Patent\s+(?:Document|Literature|Lit\.?)\s+(\d+)", 1), _found("inventor", r"[Ii]nventor(?:s)?\s*[:;]\s*(.+?)(?:\n|$)", 1), _found("assignee", r"(?:[Aa]ssignee|[Aa]pplicant)(?:s)?\s*[:;]\s*(.+?)(?:\n|$)", 1),
+])
+STEPS["people_"] = "SELECT chunk_id, doc_id, seq, what, trim(n) AS name FROM (SELECT *, unnest(regexp_split_to_array(x, '[;,]')) AS n FROM scanned_ WHERE what IN ('inventor', 'assignee')) WHERE length(trim(n)) >= 3"
+STEPS["mentions"] = """SELECT chunk_id, doc_id, seq, 0 AS e, k, concat(doc_id, '_', symbol, CASE WHEN high IS NULL THEN '_' ELSE '_range_' END, k::VARCHAR) AS entity_id, CASE WHEN high IS NULL THEN 'chemical_element' ELSE 'composition_range' END AS type, symbol AS name, NULL::INT AS temperature FROM composition_
+UNION ALL SELECT chunk_id, doc_id, seq, 1, k, concat(doc_id, '_', canon, '_', k::VARCHAR), 'property', canon, NULL FROM hits_ WHERE kind = 'properties'
+UNION ALL SELECT chunk_id, doc_id, seq, 2, k, concat(doc_id, '_', canon, '_', k::VARCHAR), 'process', canon, temperature FROM degrees_
+UNION ALL SELECT chunk_id, doc_id, seq, 3, k, concat(doc_id, '_', what, '_', x), what, concat(upper(left(what, 1)), substr(what, 2), ' ', x), NULL FROM scanned_ WHERE what IN ('table', 'formula', 'figure')
+UNION ALL SELECT chunk_id, doc_id, seq, 4, k, concat(doc_id, '_sample_', x), 'sample', concat('Sample ', x), NULL FROM scanned_ WHERE what = 'sample'
+UNION ALL SELECT chunk_id, doc_id, seq, 5, k, concat(doc_id, '_cited_', regexp_replace(trim(x), '[ ,]', '', 'g')), 'patent_reference', trim(x), NULL FROM scanned_ WHERE what = 'cited'
+UNION ALL SELECT chunk_id, doc_id, seq, 6, k, concat(doc_id, '_patdoc_', x), 'patent_doc_reference', concat('Patent Document ', x), NULL FROM scanned_ WHERE what = 'patdoc'
+UNION ALL SELECT chunk_id, doc_id, seq, CASE WHEN what = 'inventor' THEN 7 ELSE 8 END, 0, concat(doc_id, '_', what, '_', replace(lower(name), ' ', '_')), what, name, NULL FROM people_
+UNION ALL SELECT chunk_id, doc_id, seq, 9, k, concat(doc_id, '_app_', canon), 'application', canon, NULL FROM hits_ WHERE kind = 'applications'
+UNION ALL SELECT chunk_id, doc_id, seq, 10, k, concat(doc_id, '_material_', canon), 'material', canon, NULL FROM hits_ WHERE kind = 'materials'
+UNION ALL SELECT chunk_id, doc_id, seq, 11, 0, concat(doc_id, '_problem_0_', phrase), 'problem', sentence, NULL FROM sentence_"""
+
+
+def mentions(spark, sf_dir) -> DataFrame:
+    return corpus(spark, sf_dir).mentions
+
+
+@query(chain("SELECT chunk_id, entity_id, type, name, low, high FROM (SELECT chunk_id, doc_id, k, symbol AS name, low, high, concat(doc_id, '_', symbol, CASE WHEN high IS NULL THEN '_' ELSE '_range_' END, k::VARCHAR) AS entity_id, CASE WHEN high IS NULL THEN 'chemical_element' ELSE 'composition_range' END AS type FROM composition_ WHERE doc_id <> 'query')"))
+def composition_mentions(spark, sf_dir):
+    """E3-E5"""
+    rows = mentions(spark, sf_dir).filter("extractor = 0")
+    number = lambda *keys: F.coalesce(*[F.get_json_object("properties", f"$.{k}") for k in keys]).cast("double")
+    return rows.select("chunk_id", "entity_id", "type", "name", number("value", "min").alias("low"), number("max").alias("high"))
+
+
+@query(chain("SELECT chunk_id, concat(doc_id, '_', canon, '_', k::VARCHAR) AS entity_id, alias, try_cast(nullif(regexp_extract(content, '(?i)' || alias || '\\s*(?:of|:)?\\s*(\\d+)\\s*(MPa|%|T|W/kg)', 1), '') AS DOUBLE) AS value, nullif(regexp_extract(content, '(?i)' || alias || '\\s*(?:of|:)?\\s*(\\d+)\\s*(MPa|%|T|W/kg)', 2), '') AS unit FROM hits_ WHERE kind = 'properties' AND doc_id <> 'query'"))
+def property_mentions(spark, sf_dir):
+    """E6"""
+    of = lambda k: F.get_json_object("properties", f"$.{k}")
+    return mentions(spark, sf_dir).filter("type = 'property'").select("chunk_id", "entity_id", of("alias").alias("alias"), of("value").cast("double").alias("value"), of("unit").alias("unit"))
+
+
+@query(chain("SELECT chunk_id, concat(doc_id, '_', canon, '_', k::VARCHAR) AS entity_id, temperature FROM degrees_ WHERE doc_id <> 'query'"))
+def process_mentions(spark, sf_dir):
+    """E7"""
+    return mentions(spark, sf_dir).filter("type = 'process'").select("chunk_id", "entity_id", F.get_json_object("properties", "$.temperature").cast("int").alias("temperature"))
+
+
+@query(chain("SELECT chunk_id, entity_id, type, name FROM mentions WHERE doc_id <> 'query' AND e BETWEEN 3 AND 8"))
+def reference_mentions(spark, sf_dir):
+    """E8-E12"""
+    return mentions(spark, sf_dir).filter("extractor between 3 and 8").select("chunk_id", "entity_id", "type", "name")
+
+
+@query(chain("SELECT chunk_id, entity_id, type, name FROM mentions WHERE doc_id <> 'query' AND e >= 9"))
+def vocabulary_mentions(spark, sf_dir):
+    """E13-E15"""
+    return mentions(spark, sf_dir).filter("extractor >= 9").select("chunk_id", "entity_id", "type", "name")
+
+
+# --- F: the graph ---------------------------------------------------------------------
+STEPS["entities"] = "SELECT entity_id, arg_min(type, o) AS type, arg_min(name, o) AS name, arg_min(temperature, o) AS temperature, arg_min(doc_id, o) AS doc_id, list_sort(list_distinct(list(chunk_id))) AS chunk_ids FROM (SELECT *, (doc_id, seq, e, k) AS o FROM mentions WHERE doc_id <> 'query') GROUP BY entity_id"
+STEPS["ce"] = "SELECT unnest(chunk_ids) AS chunk_id, entity_id, type, name, doc_id AS own_doc, temperature FROM entities"
+STEPS["of_"] = "SELECT ce.*, c.doc_id, c.seq, c.chunk_type FROM ce JOIN chunks c USING (chunk_id)"
+STEPS["labels_"] = "SELECT label, arg_min(chunk_id, (doc_id, seq)) AS table_chunk FROM (SELECT *, unnest(regexp_extract_all(content, '(?i)Table\\s*(\\d+)', 1)) AS label FROM chunks WHERE chunk_type = 'table') GROUP BY label"
+STEPS["mentioned_"] = "SELECT c.chunk_id, c.doc_id, c.seq, table_chunk FROM (SELECT *, unnest(regexp_extract_all(content, '(?i)Table\\s*(\\d+)', 1)) AS label FROM chunks WHERE chunk_type <> 'table') c JOIN labels_ USING (label)"
+STEPS["pairs_"] = "SELECT a.chunk_id, a.doc_id, a.seq, a.entity_id AS a, b.entity_id AS b, a.type AS ta, b.type AS tb FROM of_ a JOIN of_ b USING (chunk_id)"
+STEPS["rels"] = """SELECT concat('described_', entity_id, '_', chunk_id) AS rel_id, 'described_in' AS type, entity_id AS source_id, chunk_id AS target_id, chunk_id, doc_id, seq FROM of_
+UNION ALL SELECT concat('affects_', a, '_', b), 'affects', a, b, chunk_id, doc_id, seq FROM pairs_ WHERE ta = 'chemical_element' AND tb = 'property'
+UNION ALL SELECT concat('requires_', entity_id, '_temp'), 'requires', entity_id, concat(entity_id, '_temp_param'), chunk_id, doc_id, seq FROM of_ WHERE type = 'process' AND temperature <> 0
+UNION ALL SELECT concat('ref_', chunk_id, '_', entity_id), 'references', chunk_id, entity_id, chunk_id, doc_id, seq FROM of_ WHERE type IN ('table', 'formula')
+UNION ALL SELECT concat('mentions_', chunk_id, '_', table_chunk), 'mentions', chunk_id, table_chunk, chunk_id, doc_id, seq FROM mentioned_
+UNION ALL SELECT concat('measured_', entity_id, '_', chunk_id), 'measured_in', entity_id, chunk_id, chunk_id, doc_id, seq FROM of_ WHERE type = 'property' AND chunk_type = 'table'
+UNION ALL SELECT concat('used_for_', a, '_', b), 'used_for', a, b, chunk_id, doc_id, seq FROM pairs_ WHERE ta = 'material' AND tb = 'application'
+UNION ALL SELECT concat('cites_', doc_id, '_', entity_id), 'cites', doc_id, entity_id, chunk_id, doc_id, seq FROM of_ WHERE type = 'patent_reference'
+UNION ALL SELECT concat('addresses_', a, '_', b), 'addresses_problem', a, b, chunk_id, doc_id, seq FROM pairs_ WHERE ta = 'material' AND tb = 'problem'
+UNION ALL SELECT concat('addresses_', doc_id, '_', entity_id), 'addresses_problem', doc_id, entity_id, chunk_id, doc_id, seq FROM of_ p WHERE type = 'problem' AND NOT EXISTS (SELECT 1 FROM of_ m WHERE m.chunk_id = p.chunk_id AND m.type = 'material')
+UNION ALL SELECT concat('invented_by_', doc_id, '_', entity_id), 'invented_by', doc_id, entity_id, chunk_id, doc_id, seq FROM of_ WHERE type = 'inventor'
+UNION ALL SELECT concat('assignee_of_', entity_id, '_', doc_id), 'assignee_of', entity_id, doc_id, chunk_id, doc_id, seq FROM of_ WHERE type = 'assignee'"""
+_first = "(" + ", ".join(_q(k) for k in graph.FIRST_WINS) + ")"
+STEPS["stored"] = f"SELECT rel_id, min(type) AS type, CASE WHEN min(type) IN {_first} THEN arg_min(source_id, (doc_id, seq)) ELSE arg_max(source_id, (doc_id, seq)) END AS source_id, CASE WHEN min(type) IN {_first} THEN arg_min(target_id, (doc_id, seq)) ELSE arg_max(target_id, (doc_id, seq)) END AS target_id, CASE WHEN min(type) IN {_first} THEN arg_min(chunk_id, (doc_id, seq)) ELSE arg_max(chunk_id, (doc_id, seq)) END AS chunk_id FROM rels GROUP BY rel_id"
+STEPS["edges"] = "SELECT DISTINCT source_id AS src, target_id AS dst FROM stored"
+
+
+@query(chain("SELECT entity_id, type, name, doc_id, array_to_string(chunk_ids, ',') AS chunk_ids FROM entities"))
+def merged_entities(spark, sf_dir):
+    """F1"""
+    return corpus(spark, sf_dir).entities.select("entity_id", "type", "name", "doc_id", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+@query(chain("SELECT rel_id, type, source_id, target_id, chunk_id FROM stored"))
+def stored_relations(spark, sf_dir):
+    """F3-F13, B3"""
+    return corpus(spark, sf_dir).relations.select("rel_id", "type", "source_id", "target_id", "chunk_id")
+
+
+@query(chain("SELECT type, count(*) AS n_rows, count(DISTINCT rel_id) AS n_ids FROM rels GROUP BY type"))
+def relation_counts(spark, sf_dir):
+    """F3-F12 before and after ids are made unique."""
+    c = corpus(spark, sf_dir)
+    return graph.relations(c.chunks, c.entities).groupBy("type").agg(F.count("*").alias("n_rows"), F.countDistinct("rel_id").alias("n_ids"))
+
+
+@query(chain("SELECT chunk_id, table_chunk FROM (SELECT DISTINCT c.chunk_id, l.chunk_id AS table_chunk FROM (SELECT *, unnest(regexp_extract_all(content, '(?i)Table\\s*(\\d+)', 1)) AS label FROM chunks WHERE chunk_type <> 'table') c JOIN (SELECT doc_id, label, arg_min(chunk_id, seq) AS chunk_id FROM (SELECT *, unnest(regexp_extract_all(content, '(?i)Table\\s*(\\d+)', 1)) AS label FROM chunks WHERE chunk_type = 'table') GROUP BY doc_id, label) l ON c.doc_id = l.doc_id AND c.label = l.label)"))
+def mentions_within_documents(spark, sf_dir):
+    """F7, F8 with labels per document."""
+    c = corpus(spark, sf_dir)
+    return graph.relations(c.chunks, c.entities, "document").filter("type = 'mentions'").select(F.col("source_id").alias("chunk_id"), F.col("target_id").alias("table_chunk")).distinct()
+
+
+# --- G, H: store and traversal --------------------------------------------------------
+@query(chain("SELECT c.chunk_id, e.entity_id, e.type, e.name FROM chunks c JOIN ce USING (chunk_id) JOIN entities e USING (entity_id) WHERE c.chunk_type = 'claim'"))
+def entities_by_chunk(spark, sf_dir):
+    """G1"""
+    c = corpus(spark, sf_dir)
+    return store.by_chunk(c.entities, c.chunk_entities, c.chunks.filter("chunk_type = 'claim'")).select("chunk_id", "entity_id", "type", "name")
+
+
+@query(chain("SELECT entity_id, name FROM entities WHERE type = 'material'"))
+def entities_by_type(spark, sf_dir):
+    """G2"""
+    return store.by_type(corpus(spark, sf_dir).entities, "material").select("entity_id", "name")
+
+
+@query(chain("SELECT s.source_id AS start_id, s.type AS rel_type, e.entity_id, e.name FROM stored s JOIN entities e ON s.target_id = e.entity_id JOIN entities m ON s.source_id = m.entity_id WHERE m.type = 'material'"))
+def related_entities(spark, sf_dir):
+    """G3"""
+    c = corpus(spark, sf_dir)
+    return store.related(c.entities, c.relations, store.by_type(c.entities, "material")).select("start_id", "rel_type", "entity_id", "name")
+
+
+@query(chain("SELECT entity_id, name FROM entities WHERE name ILIKE '%core_loss%'"))
+def entities_like(spark, sf_dir):
+    """G4"""
+    return store.find(corpus(spark, sf_dir).entities, "core_loss").select("entity_id", "name")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a_e%'")
+def parts_like(spark, sf_dir):
+    """G4 on part names, with a wildcard."""
+    rows = table(spark, sf_dir, "part").withColumn("name", F.col("p_name"))
+    return store.find(rows, "a_e").select("p_partkey", "p_name")
+
+
+@query(chain("SELECT entity_id, unnest(chunk_ids) AS chunk_id FROM entities WHERE type = 'inventor'"))
+def chunks_for_entities(spark, sf_dir):
+    """G5"""
+    c = corpus(spark, sf_dir)
+    return store.chunks_for(c.entities, store.by_type(c.entities, "inventor"))
+
+
+_COS = "round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ((sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) {e}) * (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) {e})), {r})"
+
+
+@query(f"SELECT query_id, entity_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS entity_id, {_COS.format(e='+ 1e-10', r=9)} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE score >= 0.3) WHERE rank <= 5")
+def entities_semantic(spark, sf_dir):
+    """G6; the queries are the rows whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return store.find_semantic(rows.select(F.col("vec_id").alias("entity_id"), "embedding"), asked).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END) IS NULL THEN c_name ELSE concat('order ', max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END)::VARCHAR) END AS name
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""")
+def upserted(spark, sf_dir):
+    """The last change of a key replaces its row."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    changes = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), "o_orderkey")
+    changes = changes.join(rows.select("id"), "id", "left_semi")
+    return store.upsert(rows, changes, "id", "o_orderkey")
+
+
+STEPS["bfs_"] = "SELECT entity_id AS seed, entity_id AS node, 0 AS dist FROM entities WHERE type IN ('material', 'inventor') UNION SELECT b.seed, e.dst, b.dist + 1 FROM bfs_ b JOIN edges e ON b.node = e.src WHERE b.dist < 2"
+
+
+@query(chain("SELECT seed, node, min(dist)::INT AS dist FROM bfs_ GROUP BY seed, node HAVING min(dist) > 0"))
+def graph_bfs(spark, sf_dir):
+    """H1 on the graph of patents."""
+    c = corpus(spark, sf_dir)
+    return traverse.bfs(c.edges, c.entities.filter("type in ('material', 'inventor')").select(F.col("entity_id").alias("seed")))
+
+
+@query("""WITH RECURSIVE edges AS (SELECT DISTINCT concat('c', o_custkey) AS src, concat('o', o_orderkey) AS dst FROM orders UNION SELECT DISTINCT concat('o', l_orderkey), concat('p', l_partkey) FROM lineitem UNION SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer UNION SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation),
+b AS (SELECT concat('c', c_custkey) AS seed, concat('c', c_custkey) AS node, 0 AS dist FROM customer WHERE c_custkey % 10 = 0 UNION SELECT b.seed, e.dst, b.dist + 1 FROM b JOIN edges e ON b.node = e.src WHERE b.dist < 3)
+SELECT seed, node, min(dist)::INT AS dist FROM b GROUP BY seed, node HAVING min(dist) > 0""")
+def bfs_orders(spark, sf_dir):
+    """H1, three hops from every tenth customer through orders, parts, nations and regions."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    pair = lambda t, a, b: table(spark, sf_dir, t).select(name(a[0], a[1]).alias("src"), name(b[0], b[1]).alias("dst")).distinct()
+    edges = pair("orders", ("c", "o_custkey"), ("o", "o_orderkey")).unionByName(pair("lineitem", ("o", "l_orderkey"), ("p", "l_partkey"))).unionByName(pair("customer", ("c", "c_custkey"), ("n", "c_nationkey"))).unionByName(pair("nation", ("n", "n_nationkey"), ("r", "n_regionkey")))
+    return traverse.bfs(edges, table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(name("c", "c_custkey").alias("seed")), 3)
+
+
+@query(f"SELECT query_id, entity_id, max(score) AS score FROM (SELECT q.vec_id % 200 AS query_id, v.vec_id AS entity_id, {_COS.format(e='+ 1e-10', r=6)} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS.format(e='+ 1e-10', r=9)} DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 3 AND score >= 0.3 GROUP BY query_id, entity_id")
+def semantic_starts(spark, sf_dir):
+    """H2: the vectors of one parity of hundreds are the names of a query."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = store.find_semantic(rows.select(F.col("vec_id").alias("entity_id"), "embedding"), asked, 3).withColumn("query_id", F.col("query_id") % 200)
+    return traverse.semantic_starts(found.withColumn("score", F.round("score", 6)))
+
+
+STEPS["names"] = "SELECT q.query_id, name FROM mentions m JOIN questions q ON m.doc_id = 'query' AND m.chunk_id = q.query_id::VARCHAR"
+STEPS["seeds_"] = "SELECT query_id, entity_id, count(*) AS times FROM (SELECT n.query_id, e.entity_id FROM names n JOIN entities e ON e.name ILIKE concat('%', n.name, '%')) GROUP BY query_id, entity_id"
+STEPS["far_"] = "SELECT DISTINCT entity_id AS seed, entity_id AS node, 0 AS dist FROM seeds_ UNION SELECT b.seed, e.dst, b.dist + 1 FROM far_ b JOIN edges e ON b.node = e.src WHERE b.dist < 2"
+STEPS["reached_"] = "SELECT seed, node, min(dist) AS dist FROM far_ GROUP BY seed, node HAVING min(dist) > 0"
+STEPS["worth_"] = "SELECT seed, chunk_id, sum(pow(0.5, dist)) AS w, sum(1.0 / (dist + 1)) AS v FROM reached_ JOIN ce ON node = ce.entity_id GROUP BY seed, chunk_id"
+STEPS["graph_hits"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT query_id, chunk_id, round(sum(s), 6) AS score FROM (SELECT query_id, chunk_id, times::DOUBLE AS s FROM seeds_ JOIN ce USING (entity_id) UNION ALL SELECT query_id, chunk_id, times * w FROM seeds_ JOIN worth_ ON entity_id = seed) GROUP BY query_id, chunk_id)) WHERE rank <= 50 AND chunk_id IN (SELECT chunk_id FROM chunks)"
+STEPS["related_"] = "SELECT query_id, chunk_id, round(sum(s), 6) AS score FROM (SELECT query_id, chunk_id, 2.0 * times AS s FROM seeds_ JOIN ce USING (entity_id) UNION ALL SELECT query_id, chunk_id, times * v FROM seeds_ JOIN worth_ ON entity_id = seed) GROUP BY query_id, chunk_id"
+
+
+@query(chain("SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM related_) WHERE rank <= 10"))
+def related_chunks(spark, sf_dir):
+    """H3"""
+    c = corpus(spark, sf_dir)
+    out = traverse.related_chunks(graph_search.question_names(questions(spark, sf_dir)), c.entities, c.edges, c.chunk_entities)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query(chain("SELECT w.entity_id, d.direction, d.rel_type, d.other_id, o.name AS other_name, o.type AS other_type FROM entities w JOIN (SELECT source_id AS entity_id, 'outgoing' AS direction, type AS rel_type, target_id AS other_id FROM stored UNION ALL SELECT target_id, 'incoming', type, source_id FROM stored) d USING (entity_id) JOIN entities o ON d.other_id = o.entity_id WHERE w.type = 'application'"))
+def entity_contexts(spark, sf_dir):
+    """H4"""
+    c = corpus(spark, sf_dir)
+    return traverse.entity_context(c.entities, c.relations, store.by_type(c.entities, "application"))
+
+
+# --- I: retrieval ---------------------------------------------------------------------
+def _bm25_steps(p: str, docs: str, asked: str) -> None:
+    STEPS[f"{p}_w"] = f"SELECT chunk_id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM ({docs})"
+    STEPS[f"{p}_len"] = f"SELECT chunk_id, len(w)::BIGINT AS dl FROM {p}_w"
+    STEPS[f"{p}_corpus"] = f"SELECT count(*) AS n, avg(dl) AS avgdl FROM {p}_len"
+    STEPS[f"{p}_post"] = f"SELECT term, chunk_id, count(*) AS tf FROM (SELECT chunk_id, unnest(w) AS term FROM {p}_w) GROUP BY term, chunk_id"
+    STEPS[f"{p}_raw"] = f"SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM {p}_post GROUP BY term), {p}_corpus"
+    STEPS[f"{p}_terms"] = f"SELECT term, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM {p}_raw) ELSE raw END AS idf FROM {p}_raw"
+    STEPS[f"{p}_q"] = f"SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM ({asked})) GROUP BY query_id, term"
+    STEPS[f"{p}_scores"] = f"SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM {p}_q JOIN {p}_terms USING (term) JOIN {p}_post USING (term) JOIN {p}_len USING (chunk_id), {p}_corpus GROUP BY query_id, chunk_id"
+    STEPS[f"{p}_ranked"] = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {p}_scores"
+
+
+_bm25_steps("bd", "SELECT doc_id AS chunk_id, text AS content FROM documents", "SELECT item_id AS query_id, text FROM benchmark")
+_bm25_steps("bp", "SELECT chunk_id, content FROM chunks", "SELECT * FROM questions")
+
+
+def _documents_index(spark, sf_dir) -> bm25.Index:
+    return bm25.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+
+
+@query(chain("SELECT term, df, round(idf, 6) AS idf FROM bd_terms"))
+def term_idf(spark, sf_dir):
+    """I2"""
+    return _documents_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(chain("SELECT query_id, chunk_id, score, rank FROM bd_ranked WHERE rank <= 10"))
+def bm25_topk_batch(spark, sf_dir):
+    """The benchmark's passages over all documents."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return bm25.search(_documents_index(spark, sf_dir), asked)
+
+
+_bm25_steps("bz", "SELECT doc_id AS chunk_id, text AS content FROM documents", "SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0")
+STEPS["zeros_"] = "SELECT query_id, chunk_id, 0.0::DOUBLE AS score FROM (SELECT DISTINCT conv_id AS query_id FROM conversations WHERE turn = 0), (SELECT doc_id AS chunk_id FROM documents ORDER BY doc_id LIMIT 10) ANTI JOIN bz_scores USING (query_id, chunk_id)"
+
+
+@query(chain("SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT * FROM bz_scores UNION ALL SELECT * FROM zeros_)) WHERE rank <= 10"))
+def bm25_with_zero_scores(spark, sf_dir):
+    """Every question gets its ten chunks, if need be with score 0."""
+    asked = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    return bm25.search(_documents_index(spark, sf_dir), asked, include_zero=True)
+
+
+@query(f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {_COS.format(e='', r=9)} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10")
+def cosine_topk_batch(spark, sf_dir):
+    """I4, I5; the queries are the rows whose id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = vectors.search(rows.select(F.col("vec_id").alias("chunk_id"), "embedding"), rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(chain("SELECT query_id, name, count(*) AS times FROM names GROUP BY query_id, name"))
+def question_names(spark, sf_dir):
+    """The entities that a question names."""
+    return graph_search.question_names(questions(spark, sf_dir)).groupBy("query_id", "name").agg(F.count("*").alias("times"))
+
+
+@query(chain("SELECT query_id, chunk_id, score, rank FROM graph_hits"))
+def graph_search_topk(spark, sf_dir):
+    """I6, I7"""
+    c = corpus(spark, sf_dir)
+    return graph_search.search(graph_search.question_names(questions(spark, sf_dir)), c.entities, c.edges, c.chunk_entities, c.chunks, fusion.POOL)
+
+
+STEPS["semantic_hits"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, concat('EP', (1000001 + v.vec_id)::VARCHAR, '_0001') AS chunk_id, {_COS.format(e='', r=9)} AS score FROM embeddings v, embeddings q WHERE q.vec_id < (SELECT count(*) FROM region))) WHERE rank <= 50"
+STEPS["all_hits_"] = "SELECT query_id, chunk_id, 'bm25' AS r, rank FROM bp_ranked WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, 'semantic', rank FROM semantic_hits UNION ALL SELECT query_id, chunk_id, 'graph', rank FROM graph_hits"
+STEPS["merged_"] = "SELECT query_id, chunk_id, max(CASE WHEN r = 'bm25' THEN rank END) AS bm25_rank, max(CASE WHEN r = 'semantic' THEN rank END) AS semantic_rank, max(CASE WHEN r = 'graph' THEN rank END) AS graph_rank FROM all_hits_ GROUP BY query_id, chunk_id"
+STEPS["scored_"] = "SELECT *, round(coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + coalesce(1.2::DOUBLE / (60 + graph_rank), 0), 9) AS rrf_score, concat_ws(' + ', CASE WHEN bm25_rank IS NOT NULL THEN printf('BM25: %.4f', 1.0::DOUBLE / (60 + bm25_rank)) END, CASE WHEN semantic_rank IS NOT NULL THEN printf('Sem: %.4f', 1.0::DOUBLE / (60 + semantic_rank)) END, CASE WHEN graph_rank IS NOT NULL THEN printf('Graph: %.4f', 1.0::DOUBLE / (60 + graph_rank)) END) AS score_breakdown FROM merged_"
+STEPS["fused"] = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, bm25_rank ASC NULLS LAST, semantic_rank ASC NULLS LAST, graph_rank ASC NULLS LAST, chunk_id)::INT AS rrf_rank FROM scored_"
+STEPS["retrieved"] = "SELECT f.*, c.doc_id, c.seq, c.content, c.section, c.page, q.text FROM fused f JOIN chunks c USING (chunk_id) JOIN questions q USING (query_id)"
+STEPS["ranked_"] = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, rrf_rank)::INT AS final_rank FROM retrieved"
+STEPS["top_"] = "SELECT * FROM ranked_ WHERE final_rank <= 10"
+
+
+def retrieved(spark, sf_dir) -> DataFrame:
+    """The fused rankings of the questions; vector i stands for chunk 1 of the patent of part i + 1."""
+    rows = table(spark, sf_dir, "embeddings")
+    named = F.concat(F.lit("EP"), (F.col("vec_id") + 1000001).cast("string"), F.lit("_0001"))
+    asked = questions(spark, sf_dir)
+    vecs = rows.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ingest.retrieved(corpus(spark, sf_dir), asked, rows.select(named.alias("chunk_id"), "embedding"), vecs)
+
+
+@query(chain("SELECT query_id, chunk_id, bm25_rank, semantic_rank, graph_rank, round(rrf_score, 6) AS rrf_score, score_breakdown, rrf_rank FROM retrieved"))
+def rrf_fusion(spark, sf_dir):
+    """I8-I11"""
+    return retrieved(spark, sf_dir).select("query_id", "chunk_id", "bm25_rank", "semantic_rank", "graph_rank", F.round("rrf_score", 6).alias("rrf_score"), "score_breakdown", "rrf_rank")
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+
+
+@query(chain(f"SELECT query_id, chunk_id, round(s, 6) AS rerank_score, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rrf_rank)::INT AS final_rank FROM (SELECT *, round(len(list_intersect({_WORDS.format('text')}, {_WORDS.format('content')}))::DOUBLE / len({_WORDS.format('text')}), 9) AS s FROM retrieved WHERE rrf_rank <= 20)) WHERE final_rank <= 10"))
+def reranked(spark, sf_dir):
+    """I12, I13 with the word-overlap stand-in."""
+    out = fusion.final(fusion.reranked(retrieved(spark, sf_dir), overlap()), by="rerank_score")
+    return out.select("query_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "final_rank")
+
+
+@query(chain("SELECT query_id, count(*) AS total_results, count(bm25_rank) AS bm25_hits, count(semantic_rank) AS semantic_hits, count(graph_rank) AS graph_hits, count(*) FILTER ((bm25_rank IS NOT NULL)::INT + (semantic_rank IS NOT NULL)::INT + (graph_rank IS NOT NULL)::INT > 1) AS multi_retriever_hits FROM top_ GROUP BY query_id"))
+def retriever_stats(spark, sf_dir):
+    """I13, I15"""
+    return fusion.stats(fusion.final(retrieved(spark, sf_dir)))
+
+
+@query(chain("SELECT query_id, chunk_id, doc_id, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS n FROM ranked_ JOIN patents p USING (doc_id) WHERE final_rank <= 30 AND p.n % 2 = 0) WHERE n_1 <= 10").replace("AS n FROM ranked_", "AS n_1 FROM ranked_"))
+def filtered_hybrid(spark, sf_dir):
+    """K1: documents of even parts only, chosen after ranking."""
+    chosen = patents(spark, sf_dir).filter("n % 2 = 0").select("doc_id")
+    return fusion.filtered(retrieved(spark, sf_dir), chosen).select("query_id", "chunk_id", "doc_id", "final_rank")
+
+
+# --- J, K: context and citations ------------------------------------------------------
+_BLOCK = "concat('[Source ', final_rank::VARCHAR, ']', CASE WHEN coalesce(graph_rank BETWEEN 1 AND 5, false) OR rrf_score >= 0.03 THEN ' [HIGH-SIGNAL GRAPH CONNECTION]' ELSE '' END, ' (Patent: ', doc_id, ', Section: ', section, ', Page: ', page::VARCHAR, ')', chr(10), content, chr(10))"
+
+
+@query(chain(f"SELECT query_id, string_agg({_BLOCK}, chr(10) ORDER BY final_rank) AS context, count(*) AS chunk_count FROM top_ WHERE final_rank <= 5 GROUP BY query_id"))
+def context_blocks(spark, sf_dir):
+    """J2, J3"""
+    return context.contexts(fusion.final(retrieved(spark, sf_dir)))
+
+
+@query(chain("SELECT query_id, final_rank, chunk_id, doc_id, section, page::VARCHAR AS page, round(rrf_score, 6) AS rrf_score, CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS preview FROM top_"))
+def source_previews(spark, sf_dir):
+    """J1"""
+    return context.sources(fusion.final(retrieved(spark, sf_dir))).withColumn("rrf_score", F.round("rrf_score", 6))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM documents")
+def document_previews(spark, sf_dir):
+    """J1 over every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", context.preview(F.col("text")).alias("preview"))
+
+
+@query(chain("SELECT query_id, final_rank, concat_ws(' | ', doc_id, section, concat('Page ', page::VARCHAR)) AS label FROM top_"))
+def source_labels(spark, sf_dir):
+    """K3"""
+    return fusion.final(retrieved(spark, sf_dir)).select("query_id", "final_rank", context.source_label(F.col("doc_id"), F.col("section"), F.col("page")).alias("label"))
+
+
+_ANSWER = "concat('See [Source ', cast(1 + p_size % 5 as string), ', Source 2] and Source ', cast(1 + p_partkey % 3 as string), ' (Page: 7).')"
+
+
+@query(f"SELECT p_partkey, array_to_string(regexp_extract_all({_ANSWER}, 'Source\\s*(\\d+)', 1), ',') AS numbers, concat('See ', concat('[', (1 + p_size % 5)::VARCHAR, '][', CASE 1 + p_size % 5 WHEN 1 THEN p_brand WHEN 2 THEN p_type WHEN 3 THEN 'z' END, ']'), ' [2][', p_type, '] and [', (1 + p_partkey % 3)::VARCHAR, '][', CASE 1 + p_partkey % 3 WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE 'z' END, '].') AS badges FROM part WHERE p_size % 5 < 3")
+def citations(spark, sf_dir):
+    """K4: numbers and badges of answers that cite three sources."""
+    rows = table(spark, sf_dir, "part").filter("p_size % 5 < 3").withColumn("answer", F.expr(_ANSWER))
+    labels = F.array("p_brand", "p_type", F.lit("z"))
+    return rows.select("p_partkey", F.array_join(context.cited_numbers(F.col("answer")).cast("array<string>"), ",").alias("numbers"), context.with_badges(F.col("answer"), labels).alias("badges"))
+
+
+@query(chain("SELECT doc_id, CASE WHEN n % 2 = 0 THEN concat('Title ', n::VARCHAR) ELSE concat('Sheet of ', p_name) END AS title FROM patents JOIN part ON p_partkey = n"))
+def title_fallback(spark, sf_dir):
+    """K2: patents of odd parts have no title of their own but a chunk with one."""
+    p = patents(spark, sf_dir)
+    docs = p.select("doc_id", F.when(F.col("n") % 2 == 0, F.concat(F.lit("Title "), F.col("n").cast("string"))).otherwise(metadata.UNKNOWN).alias("title"))
+    heads = F.regexp_replace(F.element_at(F.split("text", "\n"), 1), "^## ", "")
+    return metadata.title_fallback(docs, p.select("doc_id", F.lit(0).alias("seq"), F.concat(F.lit(" "), heads, F.lit("\nmore")).alias("content")))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 10), lambda x: left(x, 80)), '|') AS snippets FROM documents")
+def snippets(spark, sf_dir):
+    """K5 over every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(context.snippets(F.col("text")), "|").alias("snippets"))
+
+
+# --- L: evaluation --------------------------------------------------------------------
+STEPS["stats_"] = "SELECT query_id, count(*) AS total, count(bm25_rank) AS b, count(semantic_rank) AS s, count(graph_rank) AS g FROM top_ GROUP BY query_id"
+
+
+@query(chain("SELECT r_name AS category, 1::BIGINT AS count, coalesce(total, 0)::DOUBLE AS avg_contexts, coalesce(b, 0)::DOUBLE AS avg_bm25_hits, coalesce(s, 0)::DOUBLE AS avg_semantic_hits, coalesce(g, 0)::DOUBLE AS avg_graph_hits FROM region LEFT JOIN stats_ ON query_id = r_regionkey"))
+def category_stats(spark, sf_dir):
+    """L1, L2"""
+    top = fusion.final(retrieved(spark, sf_dir))
+    cases = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.col("r_name").alias("category"))
+    return evaluate.by_category(evaluate.details(cases, top, fusion.stats(top)))
+
+
+@query(chain("SELECT r AS retriever, h::BIGINT AS hits, round(100.0 * h / sum(h) OVER (), 6) AS percent FROM (SELECT unnest(['bm25', 'semantic', 'graph']) AS r, unnest([sum(b), sum(s), sum(g)]) AS h FROM stats_)"))
+def retriever_contribution(spark, sf_dir):
+    """L3"""
+    return evaluate.contribution(fusion.stats(fusion.final(retrieved(spark, sf_dir))))
+
+
+@query("SELECT event_type AS metric, round(avg(try_cast(CASE WHEN event_id % 7 = 0 THEN 'n/a' ELSE value::VARCHAR END AS DOUBLE)), 6) AS mean FROM events GROUP BY event_type")
+def metric_means(spark, sf_dir):
+    """L4: means of values of which some are no numbers."""
+    rows = table(spark, sf_dir, "events")
+    return evaluate.metric_means(rows.select(F.col("event_type").alias("metric"), F.when(F.col("event_id") % 7 == 0, "n/a").otherwise(F.col("value").cast("string")).alias("value")))
+
+
+@query(chain("SELECT query_id, round(count(*) FILTER (good) / count(*)::DOUBLE, 6) AS precision, round(count(*) FILTER (good) / (SELECT count(*) FROM labels WHERE quality = 1)::DOUBLE, 6) AS recall FROM (SELECT query_id, chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM bd_ranked WHERE rank <= 5) GROUP BY query_id"))
+def retrieval_metrics(spark, sf_dir):
+    """Precision and recall of the benchmark's passages, good documents being the relevant ones."""
+    found = bm25_topk_batch(spark, sf_dir).withColumnRenamed("rank", "final_rank")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    return evaluate.retrieval_metrics(found, found.select("query_id").distinct().join(F.broadcast(good)))
+
+
+@query(chain("SELECT doc_id, section, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS content, count(*) AS chunk_count FROM chunks GROUP BY doc_id, section"))
+def merged_sections(spark, sf_dir):
+    """L6"""
+    return evaluate.merged_sections(corpus(spark, sf_dir).chunks)
+
+
+@query("SELECT source, count(*) AS n_docs, greatest(1, 2500 // count(*))::BIGINT AS quota FROM documents GROUP BY source")
+def question_quota(spark, sf_dir):
+    """L7"""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs")).withColumn("quota", evaluate.quota(2500, F.col("n_docs")))
+
+
+@query("SELECT concat('G', row_number() OVER (ORDER BY conv_id)::VARCHAR) AS id, text AS question, NULL::VARCHAR AS ground_truth, 'generated' AS category, 'hybrid' AS retrieval_type FROM conversations WHERE turn = (SELECT min(turn) FROM conversations)")
+def dataset_cases(spark, sf_dir):
+    """A10: the first turns of conversations as generated cases."""
+    rows = table(spark, sf_dir, "conversations")
+    first = rows.join(F.broadcast(rows.agg(F.min("turn").alias("first")))).filter("turn = first")  # one row
+    return readers.cases(first.select(F.col("conv_id").alias("nth"), F.col("text").alias("user_input"), F.lit(None).cast("string").alias("reference")))
+
+
+_ASKED = "SELECT concat('PAGE', cast(s_suppkey * 3 as string), '.PDF') AS name FROM supplier"
+
+
+@query(f"WITH a AS ({_ASKED}) SELECT name FROM a WHERE lower(name) NOT IN (SELECT concat('page', page_id::VARCHAR, '.pdf') FROM pages)")
+def requested_missing(spark, sf_dir):
+    """A1: names that no file has."""
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    return readers.missing(spark.sql(_ASKED), table(spark, sf_dir, "pages").select(F.concat(F.lit("Page"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("name")))
+
+
+@query(f"WITH a AS ({_ASKED}) SELECT name FROM (SELECT concat('Page', page_id::VARCHAR, '.pdf') AS name FROM pages) WHERE lower(name) IN (SELECT lower(name) FROM a)")
+def requested_present(spark, sf_dir):
+    """A1: files that were asked for."""
+    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
+    return readers.requested(spark.sql(_ASKED), table(spark, sf_dir, "pages").select(F.concat(F.lit("Page"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("name")))

@@ -2,8 +2,9 @@
 
 Documents in ascending id order are encoded, each closed with an end id, and packed into
 sequences of equal length. A file holds record batches with two columns, ``ids``
-(fixed_size_list of uint32) and ``mask`` (fixed_size_list of uint8, 0 where the last
-sequence of the file is filled up). As every batch but the last has the same number of
+(fixed_size_list of uint16, or of uint32 for vocabularies of more than 65,536) and
+``mask`` (fixed_size_list of bool, false where the last sequence of the file is filled
+up). As every batch but the last has the same number of
 sequences, sequence i of a memory-mapped file is a view found by division. Beside it,
 ``*.docs.arrow`` has each document's id, start and length within the file.
 
@@ -50,6 +51,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), END + 1)
+        self.kind = np.uint16 if size <= 1 << 16 else np.uint32
         self.lexer, self.memo = Lexer(lower=False), Memo(MEMO)
         self.ids, self.places = np.empty(0, np.uint32), np.zeros(1, np.int64)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -104,9 +107,9 @@ def fixed(values: np.ndarray, length: int) -> pa.FixedSizeListArray:
 class SequenceWriter:
     """Packs ids into sequences and writes them in batches of ``batch`` sequences."""
 
-    def __init__(self, sink, length: int, batch: int):
-        self.length, self.room = length, length * batch
-        schema = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    def __init__(self, sink, length: int, batch: int, kind=np.uint32):
+        self.length, self.room, self.kind = length, length * batch, kind
+        schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.file, self.schema, self.held, self.n, self.tokens, self.sequences = pa.ipc.new_file(sink, schema), schema, [], 0, 0, 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -121,8 +124,9 @@ class SequenceWriter:
             self.held, self.n = [ids[whole:]], len(ids) - whole
 
     def _write(self, ids: np.ndarray, room: int) -> None:
-        mask = np.zeros(room, np.uint8)
-        mask[: len(ids)] = 1
+        mask = np.zeros(room, bool)
+        mask[: len(ids)] = True
+        ids = ids.astype(self.kind)
         self.file.write_batch(pa.record_batch([fixed(np.pad(ids, (0, room - len(ids))), self.length), fixed(mask, self.length)], schema=self.schema))
         self.sequences += room // self.length
 
@@ -144,11 +148,11 @@ class Sequences:
         n = self.file.num_record_batches
         return (n - 1) * self.per + self.file.get_batch(n - 1).num_rows if n else 0
 
-    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if not 0 <= i < len(self):
             raise IndexError(i)
         batch = self.file.get_batch(i // self.per)
-        return tuple(batch.column(c)[i % self.per].values.to_numpy() for c in (0, 1))
+        return batch.column(0)[i % self.per].values.to_numpy(), batch.column(1)[i % self.per].values
 
     def flat(self, k: int) -> np.ndarray:
         """The ids of batch k in a row, without a copy."""
@@ -182,7 +186,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, length: int = LENGTH,
         told = {}
 
         def body(sink):
-            writer, schema = SequenceWriter(sink, length, batch), pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+            writer, schema = SequenceWriter(sink, length, batch, encoder.kind), pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
             def index(out):
                 docs = 0
@@ -234,7 +238,7 @@ def read(files: DataFrame) -> DataFrame:
         for k, pieces in enumerate(sequences.runs(starts.tolist(), sizes.tolist())):
             crc = 0
             for piece in pieces:
-                crc = zlib.crc32(piece.astype("<u4", copy=False), crc)
+                crc = zlib.crc32(np.ascontiguousarray(piece, "<u4"), crc)
             sums[k] = crc
         a = 0
         for b in held:

@@ -15,9 +15,9 @@ hash whose sums are ordered, and only the range with the edge is ordered by rows
 joined to the documents is a row per source.
 
 Edge cases: null and empty texts have size 0 and are taken 0 words; an empty table gives
-an empty result; equal rows are documents of their own (equal in the seeded order, they
-are taken by row count); a null source is a source; columns of the input that clash with
-the working columns are untouched, as those are computed in a frame of their own.
+an empty result; equal rows (id and size) are equal in the seeded order and
+taken alike; a null source is a source; working columns are named ``mix...``, which the
+input must not use, and columns of other names pass through.
 """
 
 from __future__ import annotations
@@ -55,46 +55,62 @@ def levels(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
     return levelled.select("source", "source_size", F.least(cap, F.coalesce(F.col("level") * F.col("weight"), cap)).alias("target"))
 
 
-def plan(docs: DataFrame, *, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
-    """A row per document: ``doc_id, source, key, size, source_size, target, times`` (how often the mix takes it)."""
-    sized = shared.table(
-        docs.select("doc_id", "source", order_key(F.col("doc_id"), seed).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes"
-    )
-    goal = levels(sized, weights, share, most).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+def keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with ``mix_key, mix_size`` added."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.withColumns({"mix_key": order_key(F.col("doc_id"), seed), "mix_size": size})
+
+
+def goals(sized: DataFrame, weights, share: float, most: float) -> DataFrame:
+    """A row per source: its size and target, how often all of it is taken, and up to which row of the seeded order once more."""
+    goal = levels(sized, weights, share, most)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goal = shared.small(goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-goals")
+    rest = goal.select(F.col("source").alias("of"), "rest")
     part = F.shiftright("key", 60 - BITS)
     sums = sized.groupBy("source", part.alias("part")).agg(F.sum("size").alias("part_size"))
     upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    parts = sums.withColumn("before", F.coalesce(F.sum("part_size").over(upto), F.lit(0)))
-    parts = parts.join(g := goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(g["s"])).drop("s")
+    sums = sums.withColumn("before", F.coalesce(F.sum("part_size").over(upto), F.lit(0))).join(rest, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # the range of the hash with the edge, and in it the rows by hash and id
-    edge = parts.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("part_size") >= F.col("rest"))).select("source", "part", "before", "rest")
-    rows = sized.withColumn("part", part)
-    inner = rows.join(edge, same(rows, edge) & (rows["part"] == edge["part"])).select(rows["source"], "key", "doc_id", "size", "before", "rest")
+    edge = sums.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("part_size") >= F.col("rest")))
+    edge = shared.small(edge.select(F.col("source").alias("edge_source"), F.col("part").alias("edge_part"), "before", "rest"), "mix-edges")
+    inner = sized.join(edge, F.col("source").eqNullSafe(F.col("edge_source")) & (part == F.col("edge_part")))
     run = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    cut = inner.withColumn("done", F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0))).filter(2 * (F.col("rest") - F.col("done")) > F.col("size"))
+    done = F.col("before") + F.coalesce(F.sum("size").over(run), F.lit(0))
+    cut = inner.withColumn("done", done).filter(2 * (F.col("rest") - F.col("done")) > F.col("size"))
     last = cut.groupBy(F.col("source").alias("cut_source")).agg(F.max(F.struct("key", "doc_id", "size")).alias("last"))
     # without such a row the ranges before the edge are all that is taken
-    start = edge.select(F.col("source").alias("edge_source"), F.col("part").alias("edge_part"))
-    goal = goal.join(start, F.col("source").eqNullSafe(F.col("edge_source")), "left").join(last, F.col("source").eqNullSafe(F.col("cut_source")), "left")
-    goal = goal.select(F.col("source").alias("of"), "source_size", "target", "whole", "rest", "edge_part", "last")
-    more = F.when(F.col("rest") <= 0, False).when(F.col("edge_part").isNull(), True).when(part < F.col("edge_part"), True).otherwise(F.coalesce((part == F.col("edge_part")) & (F.struct("key", "doc_id", "size") <= F.col("last")), F.lit(False)))
-    return sized.join(goal, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "key", "size", "source_size", "target", (F.col("whole") + more.cast("int")).cast("int").alias("times"))
+    out = goal.join(edge.drop("before", "rest"), F.col("source").eqNullSafe(F.col("edge_source")), "left").join(last, F.col("source").eqNullSafe(F.col("cut_source")), "left")
+    return out.select(F.col("source").alias("mix_of"), "source_size", "target", "whole", "rest", "edge_part", "last")
+
+
+def planned(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` with ``mix_key, mix_size`` and a struct ``mix`` of ``source_size, target, times`` added.
+
+    Only rows per source are joined to the documents, so these are not shuffled.
+    """
+    docs = keyed(docs, seed)
+    sized = shared.table(docs.select("doc_id", "source", F.col("mix_key").alias("key"), F.col("mix_size").alias("size")), "mix-sizes")
+    goal = shared.small(goals(sized, weights, share, most), "mix-cuts")
+    goal = goal.select("mix_of", F.struct("source_size", "target", "whole", "rest", "edge_part", "last").alias("mix_goal"))
+    part, edge = F.shiftright("mix_key", 60 - BITS), F.col("mix_goal.edge_part")
+    upto = F.struct(F.col("mix_key").alias("key"), "doc_id", F.col("mix_size").alias("size")) <= F.col("mix_goal.last")
+    more = F.when(F.col("mix_goal.rest") <= 0, False).when(edge.isNull() | (part < edge), True).otherwise(F.coalesce((part == edge) & upto, F.lit(False)))
+    times = (F.col("mix_goal.whole") + more.cast("int")).cast("int").alias("times")
+    joined = docs.join(goal, F.col("source").eqNullSafe(F.col("mix_of")))
+    return joined.withColumn("mix", F.struct("mix_goal.source_size", "mix_goal.target", times)).drop("mix_of", "mix_goal")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as ``plan`` takes it, with all columns."""
-    per = plan(docs, **options)
-    # rows that agree in id, source and size are taken alike, so one row of the plan stands for all of them
-    per = per.groupBy("doc_id", "source", "size").agg(F.max("times").alias("times")).select(F.struct("doc_id", "source", "size").alias("mix_at"), F.col("times").alias("mix_times"))
-    here = F.struct("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    joined = docs.withColumn("mix_here", here).join(per, F.col("mix_here").eqNullSafe(F.col("mix_at")))
-    return joined.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), "mix_times"))).filter(F.col("mix_times") > 0).select(*[docs[c] for c in docs.columns])
+    """The mix itself: the rows of ``docs``, each as often as the plan takes it, with all columns."""
+    rows = planned(docs, **options).filter(F.col("mix.times") > 0)
+    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix.times")))).select(*docs.columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    per = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return per.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("times") * F.col("size")).cast("long").alias("taken"))
+    per = planned(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    taken = (F.col("mix.times") * F.col("mix_size")).cast("long")
+    return per.select("doc_id", F.col("mix_size").alias("size"), "mix.source_size", F.col("mix.target").cast("double").alias("target"), taken.alias("taken"))
 
 
 OP4_SQL = f"""

@@ -16,6 +16,7 @@ from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: str | None = None
 _MADE: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
@@ -47,6 +48,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
+    """``df`` as a table, marked for broadcast only if it turns out to have few rows; joins work either way."""
+    out = table(df, name)
+    return F.broadcast(out) if out.limit(rows + 1).count() <= rows else out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a shared folder through Spark's own file systems."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

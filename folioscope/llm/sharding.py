@@ -43,7 +43,7 @@ def assign(docs: DataFrame, shards: int = 24, seed: str = SEED) -> DataFrame:
     rows = shared.table(docs.select("doc_id", "source", order_key(F.col("doc_id"), seed).alias("key"), size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")), "shard-keys")
     by_row = ["key", "doc_id", "text_crc32", "size"]
     ranked = _ranked(rows, ["source"], F.shiftright("key", 60 - BITS), by_row, "rank")
-    counts = rows.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n"))
+    counts = shared.small(rows.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n")), "shard-counts")
     total = rows.agg(F.count("*").alias("total"))
     # (2 rank + 1) / 2n in units of 2**-40, as an exact integer; ties by source
     spread = shared.table(ranked.join(counts, F.col("source").eqNullSafe(F.col("of"))).withColumn("at", F.expr("cast(((2 * rank + 1) * cast(1099511627776 as decimal(20,0))) div (2 * n) as long)")), "shard-spread")

@@ -7,18 +7,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int = 2) -> DataFrame:
+
+def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, keep=scratch.table) -> DataFrame:
     """H1: ``seed, node, dist``: the nodes that outgoing edges reach, by their least distance, without the seed.
 
     A round joins the frontier with the edges and drops what was met before; seeds that no
-    edge touches reach nothing.
+    edge touches reach nothing. ``keep`` holds each frontier, which later rounds read again.
     """
-    frontier = seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct()
+    frontier = keep(seeds.select(F.col("seed"), F.col("seed").alias("node")).distinct())
     met = frontier.withColumn("dist", F.lit(0))
     for hop in range(1, max_hops + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = step.join(met.select("seed", "node"), ["seed", "node"], "left_anti")
+        frontier = keep(step.join(met.select("seed", "node"), ["seed", "node"], "left_anti"))
         met = met.unionByName(frontier.withColumn("dist", F.lit(hop)))
     return met.filter("dist > 0")
 

@@ -116,8 +116,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(QUESTIONS)
 
 
+_CORPORA: dict[tuple, ingest.Corpus] = {}
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> ingest.Corpus:
-    return ingest.ingested(patents(spark, sf_dir), raw_tables(spark, sf_dir))
+    """The ingested patents: built once in a session, as an index is, and read by every query on them."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _CORPORA:
+        _CORPORA[key] = ingest.ingested(patents(spark, sf_dir), raw_tables(spark, sf_dir))
+    return _CORPORA[key]
 
 
 _trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
@@ -540,7 +547,7 @@ def bm25_topk_batch(spark, sf_dir):
 
 
 _bm25_steps("bz", "SELECT doc_id AS chunk_id, text AS content FROM documents", "SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0")
-STEPS["zeros_"] = "SELECT query_id, chunk_id, 0.0::DOUBLE AS score FROM (SELECT DISTINCT conv_id AS query_id FROM conversations WHERE turn = 0), (SELECT doc_id AS chunk_id FROM documents ORDER BY doc_id LIMIT 10) ANTI JOIN bz_scores USING (query_id, chunk_id)"
+STEPS["zeros_"] = "SELECT q.query_id, d.chunk_id, 0.0::DOUBLE AS score FROM (SELECT DISTINCT conv_id AS query_id FROM conversations WHERE turn = 0) q, (SELECT doc_id AS chunk_id FROM documents ORDER BY doc_id LIMIT 10) d WHERE NOT EXISTS (SELECT 1 FROM bz_scores z WHERE z.query_id = q.query_id AND z.chunk_id = d.chunk_id)"
 
 
 @query(chain("SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT * FROM bz_scores UNION ALL SELECT * FROM zeros_)) WHERE rank <= 10"))

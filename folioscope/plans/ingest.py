@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bm25, chunking, entities, fusion, graph, graph_search, lines, tables, vectors
+from ..sources import scratch
 from ..sources.vocabulary import DEFAULT
 
 
@@ -27,11 +28,10 @@ class Corpus:
         return graph.edges(self.relations)
 
 
-def ingested(documents: DataFrame, raw_tables: DataFrame | None = None, vocabulary: dict = DEFAULT, scope: str = "global", keep=DataFrame.persist) -> Corpus:
+def ingested(documents: DataFrame, raw_tables: DataFrame | None = None, vocabulary: dict = DEFAULT, scope: str = "global", keep=scratch.table) -> Corpus:
     """Stages 4-8: narrow per document up to the mentions; merging and relations shuffle by id and chunk.
 
-    ``keep(df)`` holds what later stages read several times: cached by default, or written
-    to a table and read back, which also survives lost executors.
+    ``keep(df)`` holds what later stages read several times: a table by default.
     """
     chunks = keep(chunking.chunks(lines.sections(documents), None if raw_tables is None else tables.stitched(raw_tables)))
     mentions = keep(entities.extracted(chunks, vocabulary))

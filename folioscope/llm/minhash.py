@@ -14,8 +14,8 @@ No bucket is ever expanded into all its pairs. In the first rounds its least nod
 compared with the others, after which it has met everyone and leaves; buckets whose nodes
 are of one component by then are done. The rest are compared inside the tasks that read
 them, in blocks of ``BLOCK`` nodes of a bucket by blocks, so that a large bucket is
-spread over tasks; only pairs of different components that survive the pruning leave a
-task, to be verified.
+spread over tasks: pruned and verified there, and of the links found only those leave a
+task that join two of its components.
 
 Edge cases: null, blank and empty texts have an empty set, link with nothing and are
 their own component; a text of fewer than ``words`` words has its whole sequence as the
@@ -40,7 +40,8 @@ from .text import Lexer, Words, joined, mix, slices
 BANDS, ROWS = 40, 6
 MISS = 1e-7
 STEP = 40
-BLOCK = 256
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 STAR_ROUNDS = 2
 HOT = 1000
 
@@ -202,39 +203,92 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def linked(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (left[i], right[j]) of full sets reach the threshold, by products of incidence matrices."""
+    rows, a = np.unique(i, return_inverse=True)
+    cols, b = np.unique(j, return_inverse=True)
+    known = np.unique(np.concatenate([left[k] for k in rows]))
+    own = np.zeros((len(rows), len(known)), np.float32)
+    for r, k in enumerate(rows):
+        own[r, np.searchsorted(known, left[k])] = 1
+    both, step = np.zeros((len(rows), len(cols)), np.int64), max(1, (4 << 20) // len(known))
+    for at in range(0, len(cols), step):
+        some = cols[at : at + step]
+        flat, row = np.concatenate([right[k] for k in some]), np.repeat(np.arange(len(some)), [len(right[k]) for k in some])
+        place = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        hit = known[place] == flat
+        other = np.zeros((len(some), len(known)), np.float32)
+        other[row[hit], place[hit]] = 1
+        both[:, at : at + step] = np.rint(own @ other.T)
+    both = both[a, b]
+    sizes = np.array([len(left[k]) for k in rows])[a] + np.array([len(right[k]) for k in cols])[b]
+    return 100 * both >= percent * (sizes - both)
+
+
+class Forest:
+    """Union-find over the places of a block: only links that join two trees are sent on."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, back = np.unique(labels, return_index=True, return_inverse=True)
+        self.up = first[back].tolist()  # places of one component start in one tree
+
+    def top(self, k: int) -> int:
+        while self.up[k] != k:
+            self.up[k] = self.up[self.up[k]]
+            k = self.up[k]
+        return k
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.top(a), self.top(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
 def blockwise(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components inside buckets (``key, node, component, sig``) that survive the pruning."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Links between different components inside buckets (``key, node, component, sig, own``): pruned, and verified on full sets.
+
+    Blocks of a bucket meet two by two, each pair in a group of its own of bounded bytes.
+    A group sends on at most one link less than it has nodes: those that join its trees.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("own")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "sig")
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "sig", "own")
 
     def run(batches):
         prune, held, now = Pruning(percent), [], None
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in range(7)]
-            for key, own in groupby(zip(*columns, strict=True), lambda r: r[:3]):
+            columns = [b.column(c).to_pylist() for c in range(8)]
+            for key, some in groupby(zip(*columns, strict=True), lambda r: r[:3]):
                 if key != now:
                     yield from compared(held, now, prune)
                     held, now = [], key
-                held.extend(own)
+                held.extend(some)
         yield from compared(held, now, prune)
 
     def compared(rows, key, prune):
         if len(rows) < 2:
             return
         sig = np.array([np.frombuffer(r[6], np.uint16) for r in rows])
-        own, node, component = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        sets = [np.frombuffer(r[7], np.uint64) for r in rows]
+        part, node, component = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        trees, out = Forest(component), []
         for a in range(0, len(rows), 64):
+            tops = np.array([trees.top(k) for k in range(len(rows))])
             left, right = np.meshgrid(np.arange(a, min(a + 64, len(rows))), np.arange(len(rows)), indexing="ij")
             left, right = left.ravel(), right.ravel()
-            new = (node[left] < node[right]) & (component[left] != component[right])
+            new = (left < right) & (tops[left] != tops[right])
             if key[1] != key[2]:
-                new &= own[left] != own[right]
+                new &= part[left] != part[right]
             left, right = left[new], right[new]
             alive = prune(sig, sig, left, right)
             if len(alive):
-                yield pa.RecordBatch.from_pydict({"u": pa.array(node[left[alive]]), "v": pa.array(node[right[alive]])})
+                left, right = left[alive], right[alive]
+                good = linked(sets, sets, left, right, percent)
+                out += [(node[x], node[y]) for x, y in zip(left[good].tolist(), right[good].tolist(), strict=True) if trees.join(x, y)]
+        if out:
+            yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
 
@@ -245,7 +299,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     nodes = shared.table(nodes, "near-nodes")
     buckets = nodes.select("node", F.explode("keys").alias("key"))
-    shares = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    # buckets of the same nodes are one: a pair in ten bands is met once
+    code = F.xxhash64("node")
+    shares = buckets.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 20)).alias("s")).filter("n > 1")
+    shares = shares.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
     buckets = shared.table(buckets.join(shares, "key"), "near-buckets")
     wanted = buckets.select("node").distinct().join(nodes.select("node", "id"), "node")
     sets = shared.table(full_sets(docs, wanted, words), "near-sets")
@@ -258,11 +315,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         members = shared.table(members.join(spread.filter("low <> high").drop("low", "high"), "key"), "near-members")
         if turn < STAR_ROUNDS:
             pairs = members.filter("node <> head and component <> of").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-            pairs = pruned(pairs, sigs, percent)
+            found = verified(shared.table(pruned(pairs, sigs, percent), "near-candidates"), sets, percent)
             buckets = members.filter("node <> head").select("key", "node")
         else:
-            pairs = blockwise(members.select("key", "node", "component").join(sigs, "node"), percent).distinct()
-        found = shared.table(verified(shared.table(pairs, "near-candidates"), sets, percent), "near-links")
+            found = blockwise(members.select("key", "node", "component").join(sigs, "node").join(sets, "node"), percent).distinct()
+        found = shared.table(found, "near-links")
         links = found if links is None else links.unionByName(found)
         parts = shared.table(components(links), "near-components")
     labels = nodes.select("node", "id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))

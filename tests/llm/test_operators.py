@@ -1,0 +1,382 @@
+"""The corpus operators against plain Python, and their defined results on odd rows."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from folioscope.llm import components, decontaminate, kneser_ney, langid, minhash, mixing, quality, sharding, shared, text, token_count, token_output, warc
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, size string, key string, node int, row int"
+
+
+def lower(x):
+    return re.sub("[A-Z]+", lambda m: m[0].lower(), x or "")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return {r.doc_id: r for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty, blank and long texts, repeated rows, clashing columns."""
+    long = "the cat sat on the mat " * 4000
+    texts = [(1, "A b a b", "en", "s"), (2, None, None, None), (3, "", "en", "s"), (4, " \n\t", "fr", "s"), (5, long, "en", None), (5, long, "en", None), (6, long, None, "z"), (None, "Über été 12", "fr", "z"), (7, "12 34", "fr", "s")]
+    return spark.createDataFrame([(*t, "x", "y", 1, 2) for t in texts], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.mark.parametrize("separators, pattern", [(text.SPACE, r"[^\x20\x09-\x0D]+"), (text.NOT_ALNUM, r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")])
+def test_lexer_finds_the_words_of_the_pattern(rows, separators, pattern):
+    texts = [r.text for r in rows.values()] + ["", None, "É\x00x Y", "a" * (text.BLOCK + 5) + " b"]
+    words = text.Lexer(separators)(pa.array(texts).slice(1))
+    expected = [re.findall(pattern, lower(x)) for x in texts[1:]]
+    assert words.counts.tolist() == [len(x) for x in expected]
+    to, back = {}, {}
+    for k, (word, h) in enumerate(zip((w for x in expected for w in x), words.hashes.tolist())):
+        assert to.setdefault(word, h) == h and back.setdefault(h, word) == word
+        if k % 50 == 0:
+            assert words.bytes_of(k).decode() == word
+
+
+def shingle_sets(texts, k):
+    out = {}
+    for i, x in texts.items():
+        w = WORD.findall(lower(x))
+        out[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+    return out
+
+
+def brute_components(sets):
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(i for i in sets if sets[i])
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {i: top(i) for i in sets}
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_duplicates_are_the_components_of_exact_links(docs, rows, words):
+    sets = shingle_sets({i: r.text for i, r in rows.items()}, words)
+    expected = brute_components(sets)
+    found = minhash.near_duplicates(docs, words).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == {i: (len(sets[i]), c, c == i) for i, c in expected.items()}
+
+
+def test_near_duplicates_of_variants_that_link_only_in_chains(spark):
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(80):
+        own = list(base)
+        for at in rng.choice(60, rng.integers(0, 6), replace=False):
+            own[at] = f"x{rng.integers(1 << 30)}"
+        texts[i] = " ".join(own)
+    expected = brute_components(shingle_sets(texts, 2))
+    found = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in found} == expected
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(odd, 2).collect()), key=str)
+    assert found == sorted([(1, 2, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (5, 6, 5, True), (5, 6, 5, True), (6, 6, 5, False), (None, 2, None, True), (7, 1, 7, True)], key=str)
+    assert minhash.near_duplicates(empty, 2).count() == 0
+    kept = minhash.one_of_each(odd, 2)
+    assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
+
+
+def test_pruning_bounds():
+    for n in (40, 240):
+        m = minhash.least_equal(0.8, n, 1e-7)
+        tail = lambda k: sum(math.comb(n + 1, i) * 0.8**i * 0.2 ** (n + 1 - i) for i in range(k + 1))
+        assert tail(m) >= 1e-7 > tail(m - 1)
+
+
+def test_components_of_chains_and_stars(spark):
+    pairs = [(i, i + 1) for i in range(50, 90)] + [(0, i) for i in range(1, 40)] + [(200, 100)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert found == {i: 50 for i in range(51, 91)} | {i: 0 for i in range(1, 40)} | {200: 100}
+
+
+def test_languages_of_held_out_rows(spark, docs, rows):
+    trained = langid.samples(docs.filter(~langid.held_out(5)))
+    assert all(len(x) <= langid.TRAIN_BYTES for x in trained.values())
+    out = [r for r in langid.predict(docs, trained).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert np.mean([r.lang_pred == rows[r.doc_id].lang for r in out]) > 0.97
+
+
+def test_cross_parsing_is_greedy_longest_match():
+    samples = {"a": b"abracadabra ", "b": b"banana bandana "}
+    parser = langid.CrossParser(samples, segment=7)
+    data = np.frombuffer(b"abraban bandana zzab", np.uint8)
+
+    def count(sample, x):
+        n = 0
+        while x:
+            k = max([k for k in range(1, len(x) + 1) if x[:k] in sample], default=1)
+            x, n = x[k:], n + 1
+        return n
+
+    cuts = [data.tobytes()[a : a + 7] for a in range(0, len(data), 7)]
+    assert parser.phrases(data, np.array([0, len(data)]))[0].tolist() == [sum(count(samples[s], c) for c in cuts) for s in "ab"]
+
+
+def test_languages_of_odd_rows(odd, empty):
+    found = langid.predict(odd, langid.samples(odd)).collect()
+    assert Counter(r.lang_pred for r in found if r.doc_id in (2, 3, 4, 7)) == {"und": 4}
+    assert all(0 <= r.score <= 1 for r in found) and {r.lang_pred for r in langid.predict(odd, {}).collect()} == {"und"}
+    assert langid.predict(empty, {"en": b"a"}).count() == 0
+    assert langid.accepted(odd, langid.samples(odd)).columns == odd.columns
+
+
+def brute_scores(texts, train):
+    own = [WORD.findall(lower(x)) + ["</s>"] for x in texts]
+    uni, bi = Counter(), Counter()
+    for t, k in zip(own, train):
+        if k:
+            uni.update(t)
+            bi.update(zip(["<s>"] + t[:-1], t))
+    n, v = sum(uni.values()), len(uni)
+    left, total, kinds = Counter(b for _, b in bi), Counter(), defaultdict(Counter)
+    for (a, _), c in bi.items():
+        total[a] += c
+        kinds[a][min(c, 3)] += 1
+    d1, d2 = (kneser_ney.discounts([sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]) for x in (left, bi))
+    types, of_left = sum(left.values()), Counter(min(c, 3) for c in left.values())
+    off = lambda d, c: d[min(c, 3) - 1] if c else 0.0
+    p1 = lambda w: (left[w] - off(d1, left[w]) + sum(d1[k - 1] * of_left[k] for k in (1, 2, 3)) / (v + 1)) / types
+    p2 = lambda a, w: (bi[a, w] - off(d2, bi[a, w]) + sum(d2[k - 1] * kinds[a][k] for k in (1, 2, 3)) * p1(w)) / total[a] if total[a] else p1(w)
+    return [(len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10((uni[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), sum(math.log10(p2(a, w)) for a, w in zip(["<s>"] + t[:-1], t))) for t in own], p2, uni
+
+
+def test_language_model_scores(docs, rows):
+    ids = sorted(rows)
+    expected, p2, uni = brute_scores([rows[i].text for i in ids], [zlib.crc32(str(i).encode()) % 10 != 0 for i in ids])
+    assert sum(p2("the", w) for w in uni) + p2("the", "\0") == pytest.approx(1)
+    for options in ({}, {"gather": 5000, "part_tokens": 20000}):
+        model = kneser_ney.train(docs.filter(~langid.held_out(10)), **options)
+        found = {r.doc_id: r for r in kneser_ney.scored(docs, model).collect()}
+        for i, (n, known, total, base, score) in zip(ids, expected):
+            r = found[i]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+            assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+
+
+def test_language_model_of_odd_rows(odd, empty):
+    assert kneser_ney.scored(odd, kneser_ney.train(odd)).count() == 9
+    none = kneser_ney.scored(odd, kneser_ney.train(empty)).collect()
+    assert {(r.n_known, r.train_tokens, r.score, r.base_score) for r in none} == {(0, 0, 0.0, 0.0)}
+
+
+def test_mix_meets_its_targets(docs, odd, empty):
+    per = mixing.planned(docs).select("source", "mix_size", "mix.*").collect()
+    sums, goal, largest = Counter(), {}, Counter()
+    for r in per:
+        sums[r.source] += r.times * r.mix_size
+        goal[r.source] = r.target, r.source_size
+        largest[r.source] = max(largest[r.source], r.mix_size)
+        assert 0 <= r.times <= 2
+    total = sum(n for _, n in goal.values())
+    assert sum(t for t, _ in goal.values()) == pytest.approx(1.5 * total)
+    assert all(t <= 2 * n + 1e-6 and abs(sums[s] - t) <= largest[s] for s, (t, n) in goal.items())
+    free = {s: t / (3, 1, 2)[k % 3] for k, (s, (t, n)) in enumerate(sorted(goal.items())) if t < 2 * n - 1e-6}
+    assert max(free.values()) == pytest.approx(min(free.values()))
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.count() == sum(r.times for r in mixing.planned(odd).select("mix.times").collect())
+    assert mixing.mix(empty).count() == 0
+
+
+def test_tokens_come_back_from_the_files(spark, docs, rows, odd, empty):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode = Tokenizer.from_file(path).encode
+    folder, start, ids = shared.folder(spark, "test"), 0, []
+    files = token_output.write(docs, folder, path, length=64, batch=4)
+    for r in token_output.read(files).orderBy("doc_id").collect():
+        own = encode(rows[r.doc_id].text, add_special_tokens=False).ids + [1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+        start, ids = start + len(own), ids + own
+    for f in files.orderBy("part").collect():
+        sequences = token_output.Sequences(f.path)
+        assert len(sequences) == f.sequences == -(-f.tokens // 64)
+        flat, mask = (np.concatenate([np.asarray(sequences[i][c]) for i in range(len(sequences))]) for c in (0, 1))
+        assert flat[mask.astype(bool)].tolist() == ids[f.offset : f.offset + f.tokens] and mask[: f.tokens].all()
+    found = {r.doc_id: r.n_tokens for r in token_output.encoded(odd).collect()}
+    assert (found[2], found[3], found[4]) == (1, 1, 1) and token_output.encoded(empty).count() == 0
+
+
+def test_words_apart_encode_like_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Don't <|endoftext|>x \x01 a\x01b", "é́ é x İI ß y", "<|STARTOFTEXT|> 12ab...", "", None]
+    ids, sizes = token_output.WordEncoder(path)(pa.array(texts))
+    whole = [Tokenizer.from_file(path).encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+    assert ids.tolist() == sum(whole, []) and sizes.tolist() == [len(x) for x in whole]
+
+
+def test_wu_manber_finds_every_window():
+    rng = np.random.default_rng(3)
+    words = lambda n: [f"v{x}" for x in rng.integers(0, 6, n)]
+    items = [(str(i), " ".join(words(n))) for i, n in enumerate([1, 2, 3, 5, 5, 6, 8, 0])]
+    matcher = decontaminate.Matcher(items, window=5)
+    texts = [" ".join(words(n)) for n in (0, 1, 4, 30, 200)]
+    for x, (n, spans, found) in zip(texts, matcher(pa.array(texts))):
+        w, hit, names = x.split(), set(), set()
+        for name, item in items:
+            own = item.split()
+            m = min(5, len(own))
+            for a in range(len(own) - m + 1 if m else 0):
+                for b in range(len(w) - m + 1):
+                    if w[b : b + m] == own[a : a + m]:
+                        hit |= set(range(b, b + m))
+                        names.add(name)
+        assert n == len(w) and found == sorted(names) and {p for a, b in spans for p in range(a, b)} == hit
+
+
+def test_decontamination_in_blocks_and_of_odd_rows(spark, docs, odd, empty):
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
+    one, many = ([r.asDict(True) for r in decontaminate.hits(docs, benchmark, item_bytes=n).orderBy("doc_id").collect()] for n in (1 << 20, 3000))
+    assert one == many and any(r["items"] for r in one)
+    bad = {r.doc_id for r in decontaminate.judged(decontaminate.hits(docs, benchmark)).filter("contaminated").collect()}
+    for n in (1 << 20, 3000):
+        assert {r.doc_id for r in decontaminate.clean(docs, benchmark, item_bytes=n).collect()} == {r.doc_id for r in docs.collect()} - bad
+    none = decontaminate.judged(decontaminate.hits(odd, benchmark.limit(0))).collect()
+    assert {(r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in none} == {(0, 0, hashlib.sha256(b"").hexdigest(), False)}
+    assert decontaminate.clean(odd, benchmark).columns == odd.columns and decontaminate.hits(empty, benchmark).count() == 0
+
+
+def test_archives_round_trip(spark):
+    big = "é" * 100_000
+    pages = [(1, None, "a"), (1, "u v", "a"), (2, "x\r\ny", "a"), (3, "y", big), (4, "z", big), (5, "e", None), (6, "e", "")]
+    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int")
+    table = warc.chunks(warc.write(df, shared.folder(spark, "warc"), limit=500), chunk=1000).collect()
+    last = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in table if r.last)
+    assert last == [(1, 1, "response", None), (1, 1, "revisit", 1), (2, 1, "revisit", 1), (3, 200_000, "response", None), (4, 200_000, "revisit", 3), (5, 0, "response", None), (6, 0, "revisit", 5)]
+    own = sorted((r for r in table if r.page_id == 3), key=lambda r: r.chunk_no)
+    whole, sha1 = b"", hashlib.sha1()
+    for k, r in enumerate(own):
+        whole += r.data
+        sha1.update(r.data)
+        assert r.chunk_no == k and len(r.data) <= 1000 and r.payload_bytes == len(whole) and r.payload_digest == warc.base32(sha1.digest())
+    assert whole == big.encode()
+    assert warc.chunks(warc.write(df.limit(0), shared.folder(spark, "warc"))).count() == 0
+
+
+def test_shards_hold_the_mixture(spark, docs, odd, empty):
+    found = sharding.assign(docs, 24).collect()
+    by = defaultdict(list)
+    for r in found:
+        by[r.shard].append(r)
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    assert all(sorted(r.slot for r in own) == list(range(len(own))) for own in by.values())
+    n, total = Counter(r.source for r in found), len(found)
+    for source, of in n.items():
+        for shards in range(1, 24):
+            have = sum(r.source == source for s in range(shards) for r in by[s])
+            assert abs(have - of * sum(len(by[s]) for s in range(shards)) / total) <= 2.5
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 8 for r in found)
+    out = sharding.assign(odd, 4).collect()
+    assert sorted((r.shard, r.slot) for r in out) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1)]
+    assert sharding.assign(empty, 4).count() == 0
+    path = shared.folder(spark, "shards")
+    sharding.write(odd, path, 4)
+    assert spark.read.parquet(path).count() == 9
+
+
+def test_quality_statistics(docs, rows, odd, empty):
+    import zstandard
+
+    for r in quality.rules(docs).collect():
+        x = rows[r.doc_id].text
+        w = WORD.findall(x)
+        c, hit = Counter(zip(w, w[1:], w[2:])), set()
+        for i in range(len(w) - 2):
+            if c[tuple(w[i : i + 3])] > 1:
+                hit |= {i, i + 1, i + 2}
+        ls = [line for line in x.split("\n") if WORD.search(line)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", x)), len(ls) - len(set(ls)), len(hit))
+        assert r.base_failed == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+        assert r.ratio == pytest.approx(len(zstandard.ZstdCompressor(level=3).compress(x.encode())) / len(x.encode()))
+    found = {r.doc_id: r for r in quality.rules(odd).collect()}
+    assert not found[2].kept and found[2].ratio is None and not found[5].kept and found[5].ratio < 0.01
+    assert quality.rules(empty).count() == 0
+
+
+def test_bands_reject_repetition_and_noise():
+    rng = np.random.default_rng(5)
+    rules = quality.Rules()
+    noise = "".join(chr(x) for x in rng.integers(33, 127, 6000))
+    ratio, bad = rules.compression(np.frombuffer(noise.encode(), np.uint8))
+    assert ratio > 0.72 and bad == 1.0
+    ratio, bad = rules.compression(np.frombuffer(b"same again " * 600, np.uint8))
+    assert ratio < 0.15 and bad == 1.0
+
+
+def test_token_counts_are_greedy_longest_match(docs, rows, odd, empty):
+    import public_tokenizers
+
+    known = set(token_count.vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+
+    def greedy(word):
+        s, n = b" " + word.encode(), 0
+        while s:
+            k = next(k for k in range(min(len(s), 130), 0, -1) if s[:k] in known)
+            s, n = s[k:], n + 1
+        return n
+
+    for r in token_count.counts(docs).collect():
+        w = WORD.findall(rows[r.doc_id].text)
+        assert (r.n_words, r.n_tokens) == (len(w), sum(map(greedy, w)))
+    found = {r.doc_id: (r.n_words, r.n_tokens) for r in token_count.counts(odd).collect()}
+    assert found[2] == found[3] == found[4] == (0, 0) and token_count.counts(empty).count() == 0
+
+
+def test_automaton_on_a_small_vocabulary():
+    pieces = [b" ab", b" a", b" ", b"a", b"b", b"c", b"bc", b"abcd", b"bca"]
+    automaton, rng = token_count.Automaton(pieces), np.random.default_rng(2)
+
+    def greedy(word):
+        s, n = b" " + word, 0
+        while s:
+            k = max((k for k in range(1, len(s) + 1) if s[:k] in pieces), default=0)
+            if not k:
+                return -1
+            s, n = s[k:], n + 1
+        return n
+
+    for _ in range(500):
+        word = bytes(rng.choice(list(b"abcd"), rng.integers(1, 12)).tolist())
+        assert automaton.count(word) == greedy(word), word

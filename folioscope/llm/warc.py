@@ -196,10 +196,11 @@ def write(pages: DataFrame, folder: str, limit: int = ARCHIVE) -> DataFrame:
     pages = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload).alias("digest"))
     ids = pages.groupBy("digest", "page_id").agg(F.count("*").alias("copies"))
     first = ids.groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first_id"))
-    ids = ids.join(first, F.col("digest") == F.col("of")).select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "first_id")
-    typed = pages.join(ids, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")))
-    heads = F.col("page_id").eqNullSafe(F.col("first_id"))
-    rows = typed.select("page_id", "url", "digest", "first_id", F.octet_length("html").cast("long").alias("size"), F.when(heads, F.col("html")).alias("html"))
+    ids = ids.join(first, F.col("digest") == F.col("of"))
+    # what a page revisits travels as a row ahead of it, so that payloads are shuffled once and never joined
+    told = ids.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "first_id", F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("html"))
+    own = pages.select("page_id", "digest", F.lit(1).alias("kind"), "url", F.lit(None).cast("long").alias("first_id"), F.octet_length("html").cast("long").alias("size"), "html")
+    rows = told.unionByName(own)
 
     def run(batches):
         part, no, rows = TaskContext.get().partitionId(), 0, _rows(batches)
@@ -212,7 +213,7 @@ def write(pages: DataFrame, folder: str, limit: int = ARCHIVE) -> DataFrame:
                 nonlocal row, before, copy, n
                 archive = Archive(sink)
                 while row is not None and archive.size < limit:
-                    page, url, digest, first, size, html = row
+                    page, digest, url, first, size, html = row
                     copy = copy + 1 if before == (page, digest) else 0
                     before = page, digest
                     _record(archive, page, url, digest, first, size, html, copy)
@@ -223,14 +224,20 @@ def write(pages: DataFrame, folder: str, limit: int = ARCHIVE) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
             no += 1
 
-    ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "digest", "url")
+    ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "digest", "kind", "url")
     return shared.table(ordered.mapInArrow(run, "path string, records long"), "archives")
 
 
 def _rows(batches):
+    """(page_id, digest, url, first_id, size, html) of every page, from rows that tell a page's first_id before it."""
+    first = None
     for b in batches:
         for k in range(b.num_rows):
-            yield tuple(b.column(c)[k].as_py() for c in range(b.num_columns))
+            page, digest, kind, url, told, size, html = (b.column(c)[k].as_py() for c in range(7))
+            if kind == 0:
+                first = told
+            else:
+                yield page, digest, url, first, size, html
 
 
 def _record(archive: Archive, page, url, digest: str, first, size: int, html, copy: int) -> None:

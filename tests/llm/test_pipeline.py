@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_stages_take_effect_in_order(spark):
-    from test_operators import brute_components, shingle_sets
+    from test_llm_operators import brute_components, shingle_sets
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     letterless = spark.createDataFrame([(10_001, "12 34 --", "en", "src1", 8), (10_002, None, "en", "src1", 0)], docs.schema)

@@ -34,11 +34,19 @@ def metric_means(scores: DataFrame) -> DataFrame:
 
 
 def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
-    """Precision and recall at k from labelled chunks (``query_id, chunk_id``); answer metrics need an outside judge."""
-    top = hits.filter(F.col("final_rank") <= k).join(relevant.withColumn("good", F.lit(1)), ["query_id", "chunk_id"], "left")
+    """Precision and recall at k from labelled chunks; answer metrics need an outside judge.
+
+    ``relevant`` is by ``query_id, chunk_id``, or by ``chunk_id`` alone for all queries.
+    """
+    on = [c for c in ("query_id", "chunk_id") if c in relevant.columns]
+    top = hits.filter(F.col("final_rank") <= k).join(relevant.select(*on, F.lit(1).alias("good")), on, "left")
     found = top.groupBy("query_id").agg(F.sum(F.coalesce("good", F.lit(0))).alias("found"), F.count("*").alias("shown"))
-    wanted = relevant.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    return wanted.join(found, "query_id", "left").select("query_id", F.round(F.coalesce(F.col("found") / F.col("shown"), F.lit(0.0)), 6).alias("precision"), F.round(F.coalesce(F.col("found") / F.col("wanted"), F.lit(0.0)), 6).alias("recall"))
+    if "query_id" in on:
+        rows = relevant.groupBy("query_id").agg(F.count("*").alias("wanted")).join(found, "query_id", "left")
+    else:
+        rows = found.join(F.broadcast(relevant.agg(F.count("*").alias("wanted"))))  # one row
+    share = lambda of: F.round(F.coalesce(F.col("found") / F.col(of), F.lit(0.0)), 6)
+    return rows.select("query_id", share("shown").alias("precision"), share("wanted").alias("recall"))
 
 
 def merged_sections(chunks: DataFrame) -> DataFrame:

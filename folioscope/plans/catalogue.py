@@ -710,7 +710,7 @@ def retrieval_metrics(spark, sf_dir):
     """Precision and recall of the benchmark's passages, good documents being the relevant ones."""
     found = bm25_topk_batch(spark, sf_dir).withColumnRenamed("rank", "final_rank")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk_id"))
-    return evaluate.retrieval_metrics(found, found.select("query_id").distinct().join(F.broadcast(good)))
+    return evaluate.retrieval_metrics(found, good)
 
 
 @query(chain("SELECT doc_id, section, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS content, count(*) AS chunk_count FROM chunks GROUP BY doc_id, section"))

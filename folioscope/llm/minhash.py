@@ -295,9 +295,11 @@ def blockwise(members: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row."""
-    rows = shared.table(sketches(docs, words), "near-sketches")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    sketched = shared.table(sketches(docs, words), "near-sketches")
+    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     nodes = shared.table(nodes, "near-nodes")
+    rows = shared.table(sketched.select("doc_id", "n_shingles", "node"), "near-rows")
+    shared.drop(sketched)
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     # buckets of the same nodes are one: a pair in ten bands is met once
     code = F.xxhash64("node")
@@ -325,7 +327,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = nodes.select("node", "id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = labels.groupBy("component").agg(F.min("id").alias("component_id"))
     labels = shared.table(labels.join(names, "component").select("node", "component_id"), "near-labels")
-    out = rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
+    shared.drop(nodes, sets)
+    out = rows.join(labels, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 _OWN: str | None = None
 _MADE: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
+_AT: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
 
 
 def root(spark: SparkSession) -> str:
@@ -45,7 +46,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _AT[out] = path
+    return out
 
 
 def small(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
@@ -60,6 +63,12 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``table`` returned, once all that was made of them is itself written."""
+    for df in tables:
+        remove(df.sparkSession, _AT.pop(df))
+
+
 def release(spark: SparkSession) -> None:
     """Deletes all that this session's operators wrote; call it when their results are no longer read."""
     for path in _MADE.pop(spark, []):

@@ -345,6 +345,19 @@ def test_bands_reject_repetition_and_noise():
     assert ratio < 0.15 and bad == 1.0
 
 
+def test_fitted_bands_reject_what_the_base_rules_pass(spark):
+    sf = "/root/testdata/sf0.01"
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    passed = [r for r in quality.op9_quality(spark, sf).collect() if not r.base_failed]
+    poor, fair = ([r.kept for r in passed if marks.get(r.doc_id) == q] for q in (0, 1))
+    assert poor.count(False) > len(poor) / 2 and fair.count(False) <= 0.02 * len(fair)
+    frames = [spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels")]
+    own, rng = quality.Rules(bands=quality.fitted(*frames)), np.random.default_rng(3)
+    noise = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 3000)).encode()
+    assert own.compression(np.frombuffer(noise, np.uint8))[1] == 1.0 and quality.Rules().compression(np.frombuffer(noise, np.uint8))[1] == 0.0
+    assert quality.fitted(frames[0], frames[1].limit(0)) == quality.BANDS
+
+
 def test_token_counts_are_greedy_longest_match(docs, rows, odd, empty):
     import public_tokenizers
 

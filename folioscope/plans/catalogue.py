@@ -665,6 +665,14 @@ def citations(spark, sf_dir):
     return rows.select("p_partkey", F.array_join(context.cited_numbers(F.col("answer")).cast("array<string>"), ",").alias("numbers"), context.with_badges(F.col("answer"), labels).alias("badges"))
 
 
+@query(f"SELECT p_partkey, array_to_string(regexp_extract_all({_ANSWER}, 'Source\\s*(\\d+)', 1), ',') AS numbers, concat('See ', CASE 1 + p_size % 5 WHEN 1 THEN concat('[1][', p_brand, ']') WHEN 2 THEN concat('[2][', p_type, ']') WHEN 3 THEN '[3][z]' ELSE concat('[Source ', (1 + p_size % 5)::VARCHAR, ']') END, ' [2][', p_type, '] and [', (1 + p_partkey % 3)::VARCHAR, '][', CASE 1 + p_partkey % 3 WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE 'z' END, '].') AS badges FROM part")
+def citations_all(spark, sf_dir):
+    """K4 over every part: citations of sources beyond the labels stay."""
+    rows = table(spark, sf_dir, "part").withColumn("answer", F.expr(_ANSWER))
+    labels = F.array("p_brand", "p_type", F.lit("z"))
+    return rows.select("p_partkey", F.array_join(context.cited_numbers(F.col("answer")).cast("array<string>"), ",").alias("numbers"), context.with_badges(F.col("answer"), labels).alias("badges"))
+
+
 @query(chain("SELECT doc_id, CASE WHEN n % 2 = 0 THEN concat('Title ', n::VARCHAR) ELSE concat('Sheet of ', p_name) END AS title FROM patents JOIN part ON p_partkey = n"))
 def title_fallback(spark, sf_dir):
     """K2: patents of odd parts have no title of their own but a chunk with one."""

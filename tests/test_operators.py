@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import bm25, chunking, context, entities, evaluate, fusion, graph, lines, metadata, store, tables, traverse, vectors
 from folioscope.operators.interfaces import Echo, HashedWords, encoded
+from folioscope.plans import catalogue
 from folioscope.sources import config, readers, vocabulary, writers
 
 
@@ -120,6 +121,17 @@ def test_signals_and_citations(spark):
     assert row.n == [1, 2, 3] and row.b == "a [1][x] [2][y] b Source 3 (Page: 7)"
 
 
+def test_citations_of_every_part(spark):
+    sf = "/root/testdata/sf0.001"
+    parts = {r.p_partkey: r for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    found = catalogue.QUERIES["citations_all"](spark, sf).collect()
+    assert sorted(r.p_partkey for r in found) == sorted(parts)
+    for r in found:
+        p = parts[r.p_partkey]
+        n, known = 1 + p.p_size % 5, [p.p_brand, p.p_type, "z"]
+        assert r.badges.startswith(f"See [{n}][{known[n - 1]}] [2]" if n <= 3 else f"See [Source {n}] [2]") and r.numbers.startswith(f"{n},2,")
+
+
 def test_failed_cases_count_as_zero(spark):
     cases = spark.createDataFrame([(1, "c"), (2, "c")], "query_id long, category string")
     hits = spark.createDataFrame([(1, 1, "t", 1, None, 1)], "query_id long, final_rank int, content string, bm25_rank int, semantic_rank int, graph_rank int")

@@ -121,7 +121,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, node, n_shingles, sig, keys`` of every row; node, sig and keys are null for empty sets."""
+    """``doc_id, at, node, n_shingles, sig, keys`` of every row; at is a hash of the text, and node, sig and keys are null for empty sets."""
 
     def run(batches):
         lexer = Lexer()
@@ -133,9 +133,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 signed = np.array([signature(sets[k]) for k in full])
                 for k, sig, key in zip(full, signed.astype(np.uint16), band_keys(signed).view(np.int64), strict=True):
                     nodes[k], sigs[k], keys[k] = node_of(sets[k]), sig.tobytes(), key
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "n_shingles", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("at"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "at", "node", "n_shingles", "sig", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n_shingles long, sig binary, keys array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(run, "doc_id long, at long, node long, n_shingles long, sig binary, keys array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -293,12 +293,12 @@ def blockwise(members: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row."""
+def labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, at, n_shingles, node, first`` of every row: first is the least ``doc_id, at`` of its component, ids that are null last; null for empty sets."""
     sketched = shared.table(sketches(docs, words), "near-sketches")
-    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("first"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     nodes = shared.table(nodes, "near-nodes")
-    rows = shared.table(sketched.select("doc_id", "n_shingles", "node"), "near-rows")
+    rows = shared.table(sketched.select("doc_id", "at", "n_shingles", "node"), "near-rows")
     shared.drop(sketched)
     buckets = nodes.select("node", F.explode("keys").alias("key"))
     # buckets of the same nodes are one: a pair in ten bands is met once
@@ -324,19 +324,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         found = shared.table(found, "near-links")
         links = found if links is None else links.unionByName(found)
         parts = shared.table(components(links), "near-components")
-    labels = nodes.select("node", "id").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = labels.groupBy("component").agg(F.min("id").alias("component_id"))
-    labels = shared.table(labels.join(names, "component").select("node", "component_id"), "near-labels")
+    labels = nodes.select("node", "first").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = labels.groupBy("component").agg(F.min("first").alias("first"))
+    labels = shared.table(labels.drop("first").join(names, "component").select("node", "first"), "near-labels")
     shared.drop(nodes, sets)
-    out = rows.join(labels, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.join(labels, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row."""
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return labelled(docs, words, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs``, all columns, that name their component; of rows with equal id and text one."""
-    kept = near_duplicates(docs, words, percent).filter("kept").select(F.col("doc_id").alias("near_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("near_id"))).withColumn("near_text", F.xxhash64("text"))
+    """One row of ``docs``, all columns, of each component: of the least id, or none if all are null, and then of the least hash of the text.
+
+    Of rows of an empty set, each a component, those with equal id and text are one.
+    """
+    first = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
+    kept = labelled(docs, words, percent).filter(first).select(F.col("doc_id").alias("near_id"), F.col("at").alias("near_at")).distinct()
+    rows = docs.withColumn("near_text", F.xxhash64("text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("near_text") == F.col("near_at")))
     nth = F.row_number().over(Window.partitionBy("doc_id", "near_text").orderBy("near_text"))
     return rows.withColumn("near_nth", nth).filter("near_nth = 1").select(*docs.columns)
 

@@ -113,6 +113,13 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
 
 
+def test_one_row_stays_of_each_component_whatever_its_ids(spark):
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    texts = [(1, word(0, 60)), (2, word(100, 160)), (2, word(0, 61)), (None, word(200, 260)), (None, word(200, 261)), (None, word(100, 161)), (None, ""), (3, word(300, 360)), (3, word(300, 361))]
+    kept = minhash.one_of_each(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()
+    assert sorted((str(r.doc_id), r.text[:4]) for r in kept) == [("1", "w0 w"), ("2", "w100"), ("3", "w300"), ("None", ""), ("None", "w200")]
+
+
 def test_pruning_bounds():
     for n in (40, 240):
         m = minhash.least_equal(0.8, n, 1e-7)

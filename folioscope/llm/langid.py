@@ -35,7 +35,7 @@ ROWS = 64
 ROW_CHARS = 2000
 TRAIN_BYTES = 20_000
 SEGMENT = 1024
-#: Bits a byte beyond which a text isn't of the language nearest to it: its phrases are hardly longer than two bytes.
+#: Bits a byte beyond which a text isn't of the language nearest to it: its phrases are hardly longer than two bytes. Doesn't hold for texts that are one phrase of it.
 MOST_ENTROPY = 7.0
 SCHEMA = "doc_id long, lang_pred string, score double, entropy double"
 
@@ -93,6 +93,7 @@ class CrossParser:
         self.symbol = np.zeros(256, np.int32)  # 0: a byte in no sample
         self.symbol[seen] = np.arange(1, len(seen) + 1)
         self.tables = [self.table(samples[x]) for x in self.langs]
+        self.samples = samples
         self.cost = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
 
     def table(self, text: bytes) -> np.ndarray:
@@ -149,6 +150,16 @@ class CrossParser:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, has_letter, strict=True)], np.where(has_letter, score, 0.0), np.where(has_letter, least, np.nan)
 
 
+    def single(self, texts: pa.Array, langs: list) -> np.ndarray:
+        """Which texts, normalised, are one phrase of their language?"""
+        data, offsets = normalised(texts)
+        out = np.zeros(len(texts), bool)
+        for k, lang in enumerate(langs):
+            own = data[offsets[k] : offsets[k + 1]].tobytes()
+            out[k] = lang in self.samples and own in self.samples[lang]
+        return out
+
+
 def samples(labelled: DataFrame, rows: int = ROWS, row_chars: int = ROW_CHARS, size: int = TRAIN_BYTES) -> dict[str, bytes]:
     """The training text of each language, from a frame with ``doc_id, text, lang``."""
     narrow = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("at"), F.substring("text", 1, row_chars).alias("text"))
@@ -174,14 +185,17 @@ def predict(docs: DataFrame, trained: dict[str, bytes]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, trained: dict[str, bytes], most: float = MOST_ENTROPY) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is in a learned language: not ``und``, and at most ``most`` bits a byte."""
+    """The rows of ``docs``, all columns, whose text is in a learned language: not ``und``, and at most ``most`` bits a byte or one phrase."""
     held, key = docs.sparkSession.sparkContext.broadcast(trained), uuid.uuid4().hex
 
     def run(batches):
         parser = once(key, lambda: CrossParser(held.value))
         for part in slices(batches):
             langs, _, entropy = parser(part.column("text"))
-            yield part.filter(pa.array([x != "und" and e <= most for x, e in zip(langs, entropy, strict=True)], pa.bool_()))
+            keep = np.array([x != "und" for x in langs], bool)
+            costly = np.flatnonzero(keep & ~(entropy <= most))
+            keep[costly] = parser.single(part.column("text").take(pa.array(costly)), [langs[k] for k in costly])
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -164,6 +164,13 @@ def test_languages_of_odd_rows(odd, empty):
     assert langid.accepted(odd, langid.samples(odd)).columns == odd.columns
 
 
+def test_short_texts_that_are_one_phrase_are_accepted(spark, docs):
+    trained = langid.samples(docs)
+    short = [(1, "On"), (2, "a"), (3, "The."), (4, "xqzjvkwqxzjkqvwx" * 20), (5, "12"), (6, "Ж"), (7, None)]
+    kept = langid.accepted(spark.createDataFrame(short, "doc_id long, text string"), trained)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+
+
 def brute_scores(texts, train):
     own = [WORD.findall(lower(x)) + ["</s>"] for x in texts]
     uni, bi = Counter(), Counter()

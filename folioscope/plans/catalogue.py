@@ -458,6 +458,15 @@ def upserted(spark, sf_dir):
     return store.upsert(rows, changes, "id", "o_orderkey")
 
 
+@query("""SELECT c_custkey AS id, CASE WHEN max(o_orderkey) IS NULL THEN c_name ELSE concat('order ', max(o_orderkey)::VARCHAR) END AS name
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""")
+def upserted_all(spark, sf_dir):
+    """B2-B4 with all orders as changes."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    changes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), "o_orderkey")
+    return store.upsert(rows, changes.join(rows.select("id"), "id", "left_semi"), "id", "o_orderkey")
+
+
 STEPS["bfs_"] = "SELECT entity_id AS seed, entity_id AS node, 0 AS dist FROM entities WHERE type IN ('material', 'inventor') UNION SELECT b.seed, e.dst, b.dist + 1 FROM bfs_ b JOIN edges e ON b.node = e.src WHERE b.dist < 2"
 
 

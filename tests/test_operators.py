@@ -183,6 +183,14 @@ def test_upsert_and_lookups(spark):
     assert sorted(map(tuple, store.upsert(old, new, "id", "n").collect())) == [(1, "a"), (2, "d"), (3, "e")]
 
 
+def test_every_order_is_a_change(spark):
+    sf, last = "/root/testdata/sf0.001", {}
+    for r in spark.read.parquet(f"{sf}/orders.parquet").collect():
+        last[r.o_custkey] = max(r.o_orderkey, last.get(r.o_custkey, 0))
+    names = {r.c_custkey: f"order {last[r.c_custkey]}" if r.c_custkey in last else r.c_name for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+    assert {r.id: r.name for r in catalogue.QUERIES["upserted_all"](spark, sf).collect()} == names
+
+
 def test_document_ids(spark):
     rows = spark.createDataFrame([("x/ep12_A1.pdf", ""), ("x/n.pdf", "see US 99"), ("x/n.v2.pdf", "")], "f string, t string")
     found = rows.select(metadata.document_id(F.col("f"), F.col("t")).alias("i"), metadata.kind_code(F.col("f")).alias("k")).collect()

@@ -488,6 +488,17 @@ def bfs_orders(spark, sf_dir):
     return traverse.bfs(edges, table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(name("c", "c_custkey").alias("seed")), 3)
 
 
+@query("""WITH RECURSIVE edges AS (SELECT DISTINCT concat('c', o_custkey) AS src, concat('o', o_orderkey) AS dst FROM orders UNION SELECT DISTINCT concat('o', l_orderkey), concat('p', l_partkey) FROM lineitem UNION SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer UNION SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation),
+b AS (SELECT concat('c', c_custkey) AS seed, concat('c', c_custkey) AS node, 0 AS dist FROM customer UNION SELECT b.seed, e.dst, b.dist + 1 FROM b JOIN edges e ON b.node = e.src WHERE b.dist < 3)
+SELECT seed, node, min(dist)::INT AS dist FROM b GROUP BY seed, node HAVING min(dist) > 0""")
+def bfs_orders_all(spark, sf_dir):
+    """H1, three hops from every customer through orders, parts, nations and regions."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    pair = lambda t, a, b: table(spark, sf_dir, t).select(name(a[0], a[1]).alias("src"), name(b[0], b[1]).alias("dst")).distinct()
+    edges = pair("orders", ("c", "o_custkey"), ("o", "o_orderkey")).unionByName(pair("lineitem", ("o", "l_orderkey"), ("p", "l_partkey"))).unionByName(pair("customer", ("c", "c_custkey"), ("n", "c_nationkey"))).unionByName(pair("nation", ("n", "n_nationkey"), ("r", "n_regionkey")))
+    return traverse.bfs(edges, table(spark, sf_dir, "customer").select(name("c", "c_custkey").alias("seed")), 3)
+
+
 @query(f"SELECT query_id, entity_id, max(score) AS score FROM (SELECT q.vec_id % 200 AS query_id, v.vec_id AS entity_id, {_COS.format(e='+ 1e-10', r=6)} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS.format(e='+ 1e-10', r=9)} DESC, v.vec_id) AS rank FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 3 AND score >= 0.3 GROUP BY query_id, entity_id")
 def semantic_starts(spark, sf_dir):
     """H2: the vectors of one parity of hundreds are the names of a query."""

@@ -90,6 +90,12 @@ def test_bfs(spark):
     assert {(r.seed, r.node): r.dist for r in found} == {("a", "b"): 1, ("a", "c"): 1, ("a", "d"): 2}
 
 
+def test_every_customer_is_a_seed(spark):
+    sf = "/root/testdata/sf0.001"
+    seeds = {r.seed for r in catalogue.QUERIES["bfs_orders_all"](spark, sf).select("seed").distinct().collect()}
+    assert seeds == {f"c{r.c_custkey}" for r in spark.read.parquet(f"{sf}/customer.parquet").collect()}
+
+
 def test_fusion(spark):
     hit = lambda rank: spark.createDataFrame([(1, "x", rank, 0.5)], "query_id long, chunk_id string, rank int, score double")
     row = fusion.fused(fusion.merged({"bm25": hit(1), "semantic": hit(3), "graph": hit(5)})).first()

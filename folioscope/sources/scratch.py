@@ -1,28 +1,84 @@
-"""Tables between stages, in the folder that driver and executors share."""
+"""Tables and files between stages, in the folder that the driver and all executors share.
+
+Everything lives under ``spark.checkpoint.dir``. Only in local mode, where driver and
+executors are one process, is a folder of our own made if a session names none; on a
+cluster that is an error, as each executor would write to its own disk.
+"""
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_OWN: list[str] = []
+_MADE: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
+_AT: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
-from pyspark.sql import DataFrame
+def root(spark: SparkSession) -> str:
+    """The shared folder of this session, as a URI."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir names no shared folder, and {master} has executors that share no local one")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="folioscope-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return f"file://{_OWN[0]}"
 
-_own: list[str] = []
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder URI under the shared root; made by whoever writes to it first."""
+    path = f"{root(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark, []).append(path)
+    return path
 
 
 def table(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` and reads it back: later plans start at a scan, and lost executors cost no stage.
-
-    Only where a session names no such folder is one of our own made, and removed at exit.
-    """
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="folioscope-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        root = f"file://{_own[0]}"
-    path = f"{root.rstrip('/')}/folioscope-stages/{name}-{uuid.uuid4().hex}"
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _AT[out] = path
+    return out
+
+
+def small(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
+    """``df`` as a table, marked for broadcast only if it turns out to have few rows; joins work either way."""
+    out = table(df, name)
+    return F.broadcast(out) if out.limit(rows + 1).count() <= rows else out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a shared folder through Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``table`` returned, once all that was made of them is itself written."""
+    for df in tables:
+        remove(df.sparkSession, _AT.pop(df))
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this session wrote; call it when results made of it are no longer read."""
+    for path in _MADE.pop(spark, []):
+        remove(spark, path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` is called so, whatever its letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,78 +1,20 @@
-"""Folders that the driver and all executors share: scratch tables and files.
-
-Everything lives under ``spark.checkpoint.dir``. Only where a session does not name
-one (as in tests) is a folder of our own made and set on the session.
-"""
+"""What the corpus operators share: files for driver and executors, beside the stage tables of ``sources.scratch``, and numbering."""
 
 from __future__ import annotations
 
-import atexit
 import os
 import shutil
 import tempfile
 import uuid
-import weakref
 from urllib.parse import urlparse
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_OWN: str | None = None
-_MADE: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
-_AT: "weakref.WeakKeyDictionary[DataFrame, str]" = weakref.WeakKeyDictionary()
-
-
-def root(spark: SparkSession) -> str:
-    """The shared folder of this session, as a URI."""
-    global _OWN
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _OWN is None:
-        _OWN = tempfile.mkdtemp(prefix="folioscope-")
-        atexit.register(shutil.rmtree, _OWN, ignore_errors=True)
-    return f"file://{_OWN}"
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder URI under the shared root; made by whoever writes to it first."""
-    path = f"{root(spark)}/folioscope/{name}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark, []).append(path)
-    return path
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    _AT[out] = path
-    return out
-
-
-def small(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
-    """``df`` as a table, marked for broadcast only if it turns out to have few rows; joins work either way."""
-    out = table(df, name)
-    return F.broadcast(out) if out.limit(rows + 1).count() <= rows else out
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a shared folder through Spark's own file systems."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+from ..sources.scratch import drop, folder, fresh, release, remove, root, small, table
 
-
-def drop(*tables: DataFrame) -> None:
-    """Deletes tables that ``table`` returned, once all that was made of them is itself written."""
-    for df in tables:
-        remove(df.sparkSession, _AT.pop(df))
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all that this session's operators wrote; call it when their results are no longer read."""
-    for path in _MADE.pop(spark, []):
-        remove(spark, path)
+__all__ = ["Files", "drop", "filesystem", "folder", "fresh", "mapped", "numbered", "put", "release", "remove", "root", "small", "table"]
 
 
 def filesystem(uri: str):
@@ -98,7 +40,7 @@ def put(uri: str, write) -> None:
 
 
 def mapped(uri: str, dtype) -> np.ndarray:
-    """A file as a memory-mapped array. Stores that cannot be mapped are copied to an unlinked local file first."""
+    """A file as a memory-mapped array. Stores that cannot be mapped are read to a file that only this process has, unlinked at once."""
     store, path = filesystem(uri)
     if store.type_name == "local":
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
@@ -107,3 +49,36 @@ def mapped(uri: str, dtype) -> np.ndarray:
         local.flush()
         size = local.tell()
         return np.memmap(local, dtype=dtype, mode="r") if size else np.empty(0, dtype)
+
+
+class Files:
+    """Arrays by name, mapped when first asked for; of the ones in use the ``most`` latest stay open."""
+
+    def __init__(self, folder: str, most: int = 256):
+        self.folder, self.most, self.held = folder, most, {}
+
+    def __call__(self, name: str, dtype) -> np.ndarray:
+        out = self.held.pop(name, None)
+        if out is None:
+            out = mapped(f"{self.folder}/{name}", dtype)
+        self.held[name] = out
+        if len(self.held) > self.most:
+            del self.held[next(iter(self.held))]
+        return out
+
+
+def numbered(rows: DataFrame, group: Column, work: str) -> DataFrame:
+    """Adds ``work``, the number from 0 of each row of a group, without dealing a group to one task.
+
+    The rows are written once, so that each has a place for good: its task and its place in that.
+    """
+    place = fresh(rows, f"{work}_place")
+    rows = table(rows.withColumn(place, F.struct(group.alias("of"), F.monotonically_increasing_id().alias("row"))), "numbered-rows")
+    task = F.shiftright(F.col(f"{place}.row"), 33)
+    counts = rows.groupBy(F.col(f"{place}.of").alias("of"), task.alias("task")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy("of").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    before = fresh(rows, f"{work}_before")
+    own = F.row_number().over(Window.partitionBy(F.col(f"{place}.of"), task).orderBy(F.col(f"{place}.row"))) - 1
+    out = rows.withColumn(work, own).join(counts.select(F.struct("of", "task", "before").alias(before)), F.col(f"{place}.of").eqNullSafe(F.col(f"{before}.of")) & (task == F.col(f"{before}.task")))
+    return out.withColumn(work, F.col(work) + F.col(f"{before}.before")).drop(place, before)

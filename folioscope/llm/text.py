@@ -3,8 +3,10 @@
 A lexer is given the bytes that separate words; all other bytes (so all of UTF-8 beyond
 ASCII) belong to words. The hash of a word is a polynomial in random 64-bit values of its
 bytes, taken as a difference of prefix sums and then mixed, so that one vectorised pass
-over a batch hashes every word in it. With 64 bits two of n distinct words share a hash
-with a probability of about n*n / 2**65.
+over a batch hashes every word in it. Bytes are read in blocks of ``BLOCK``, across which
+words go on, so that beyond the words found only a block's temporaries are held, however
+long a text or a word is. With 64 bits two of n distinct words share a hash with a
+probability of about n*n / 2**65.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ import pyarrow.compute as pc
 #: The white space of the contracts, and what is neither an ASCII letter or digit nor beyond ASCII.
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
-BLOCK = 1 << 20
-SLICE_BYTES = 8 << 20
+BLOCK = 1 << 18
+SLICE_BYTES = 1 << 20
 
 _BASE = 0xA24BAED4963EE407 | 1
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -41,9 +43,9 @@ def joined(*hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(4)
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
+@lru_cache(2)
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + 1, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
@@ -100,29 +102,49 @@ class Lexer:
 
     def __call__(self, texts: pa.Array) -> Words:
         data, offsets = buffers(texts)
-        word = self.inside[data]
-        first, last = word.copy(), word.copy()
-        first[1:] &= ~word[:-1]
-        last[:-1] &= ~word[1:]
         cut = offsets[(offsets > 0) & (offsets < len(data))]
-        first[cut] = word[cut]
-        last[cut - 1] = word[cut - 1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes = np.empty(len(starts), np.uint64)
-        k = 0
-        while k < len(starts):  # a block ends with a word, however long that is
-            to = max(k + 1, int(np.searchsorted(ends, starts[k] + BLOCK, "right")))
-            a, b = starts[k], ends[to - 1]
-            n = max(BLOCK, int(b - a)) + 1
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(self.value[data[a:b]] * _powers(_BASE, n)[: b - a], out=sums[1:])
-            hashes[k:to] = mix((sums[ends[k:to] - a] - sums[starts[k:to] - a]) * _powers(_BACK, n)[starts[k:to] - a])
-            k = to
-        return Words(hashes, starts, ends, np.searchsorted(starts, offsets), data, offsets, self.lower)
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        starts, ends, hashes, opened, part = [], [], [], -1, 0
+        forward, back = _powers(_BASE), _powers(_BACK)
+        for a in range(0, len(data), BLOCK):
+            piece = data[a : a + BLOCK]
+            n = len(piece)
+            word = self.inside[piece]
+            # a word ends where the next byte is none, or another text's
+            first, last = word.copy(), word.copy()
+            first[1:] &= ~word[:-1]
+            last[:-1] &= ~word[1:]
+            here = cut[np.searchsorted(cut, a) : np.searchsorted(cut, a + n, "right")] - a
+            first[here[here < n]] = word[here[here < n]]
+            last[here[here > 0] - 1] = word[here[here > 0] - 1]
+            goes_on = a + n < len(data) and not (len(here) and here[-1] == n) and bool(word[-1]) and bool(self.inside[data[a + n]])
+            if goes_on:
+                last[-1] = False
+            if opened >= 0:
+                first[0] = False
+            begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(self.value[piece] * forward[:n], out=sums[1:])
+            stop = end
+            if opened >= 0:  # the word from before ends here or goes on
+                to = end[0] if len(end) else n
+                part += int(sums[to]) * pow(_BASE, a - opened, 1 << 64)
+                if len(end):
+                    hashes.append(np.array([part % (1 << 64)], np.uint64))
+                    opened, stop = -1, end[1:]
+            whole = begin[: len(stop)]
+            hashes.append((sums[stop] - sums[whole]) * back[whole])
+            if goes_on and opened < 0:
+                opened = a + int(begin[-1])
+                part = int(((sums[n:] - sums[begin[-1:]]) * back[begin[-1:]])[0])
+            starts.append((begin + a).astype(kind))
+            ends.append((end + a).astype(kind))
+        starts, ends, hashes = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((starts, kind), (ends, kind), (hashes, np.uint64)))
+        return Words(mix(hashes), starts, ends, np.searchsorted(starts, offsets), data, offsets, self.lower)
 
 
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
-    """Cuts record batches at rows so that each piece holds about ``limit`` bytes of ``column``, one row at least."""
+    """Cuts record batches at rows so that each piece holds about ``limit`` bytes of ``column``, one row at least; trims memory at the end."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, a = np.cumsum(sizes, dtype=np.int64), 0
@@ -131,6 +153,8 @@ def slices(batches, column: str = "text", limit: int = SLICE_BYTES):
             b = max(a + 1, int(np.searchsorted(total, before + limit, "right")))
             yield batch.slice(a, b - a)
             a = b
+        del batch, sizes, total
+    trim()
 
 
 _MADE: dict = {}
@@ -144,6 +168,25 @@ def once(key, make):
     return _MADE[key]
 
 
+def pieces(batches, column: str = "text", limit: int = SLICE_BYTES):
+    """``slices`` for a task that keeps nothing between tasks: what an earlier stage kept in this worker goes first.
+
+    """
+    _MADE.clear()
+    yield from slices(batches, column, limit)
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, as workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        import ctypes
+
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 class Memo:
     """Values of words by their hash, kept by a worker from batch to batch; emptied when it holds ``limit`` words."""
 

@@ -11,20 +11,20 @@ Words are the runs of ``[^\\x20\\x09-\\x0D]``, case kept. Every byte is a piece,
 word lacks a match. A worker counts each distinct word of a batch once and keeps counts
 from batch to batch (at most ``Memo.limit`` words).
 
-Edge cases: null, empty and blank texts have 0 words and tokens; a very long word is one
-pass over its bytes; equal rows and other columns don't matter.
+Edge cases: null, empty and blank texts have 0 words and tokens; an empty table gives no
+rows; a very long text is lexed in blocks and a very long word is one pass over its bytes;
+equal rows are counted alike; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import Lexer, Memo, slices
+from .text import Lexer, Memo, once, slices
 
 SCHEMA = "doc_id long, n_words long, n_tokens long"
 
@@ -104,11 +104,6 @@ class Automaton:
         return n
 
 
-@lru_cache(1)
-def _worker(path: str) -> tuple[Automaton, Lexer, Memo, list]:
-    return Automaton(vocabulary(path)), Lexer(lower=False), Memo(), [np.empty(0, np.int64)]
-
-
 def counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every row; ``path``: a byte-level tokenizer file that every machine has."""
     if path is None:
@@ -117,7 +112,7 @@ def counts(docs: DataFrame, path: str | None = None) -> DataFrame:
         path = public_tokenizers.path("byte_bpe_50k.json")
 
     def run(batches):
-        automaton, lexer, memo, held = _worker(path)
+        automaton, lexer, memo, held = once(("pieces", path), lambda: (Automaton(vocabulary(path)), Lexer(lower=False), Memo(), [np.empty(0, np.int64)]))
         for part in slices(batches):
             words = lexer(part.column("text"))
             distinct, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)

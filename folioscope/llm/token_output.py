@@ -14,16 +14,20 @@ list of files is written once as a table; what a lost task left is replaced by i
 
 Words between white space are encoded apart, which the tokenizer's own splitting allows
 (white space ends every piece and is dropped), so a worker encodes each distinct word
-once and keeps its ids from batch to batch, up to ``MEMO`` words.
+once and keeps its ids from batch to batch, up to ``MEMO`` words. Words go through in
+spans of ``SPAN``, so a very long text costs its ids and no more than a span's work.
 
 Edge cases: null and empty texts are the end id alone; an empty table writes no file and
-gives no rows; rows with equal ids follow each other by text; ids may be null (first).
+gives no rows; rows with equal ids follow each other by a hash of the text and then the
+text, and may lie in several files; ids may be null (first); a very long text runs on
+over batches; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +41,11 @@ from .text import Lexer, Memo, once, slices
 LENGTH = 2048
 BATCH = 256
 END = 1
-MEMO = 1 << 20
+MEMO = 1 << 19
+SPAN = 1 << 16
 MARK = "\x01"
-GROUP = 256
+GROUP = 64
+CALL = 16
 FILES = "part int, path string, docs long, tokens long, sequences long"
 
 
@@ -63,41 +69,55 @@ class WordEncoder:
         out: list = [None] * len(words)
         plain = [k for k, w in enumerate(words) if self.mark is not None and MARK not in w]
         groups = [plain[a : a + GROUP] for a in range(0, len(plain), GROUP)]
-        for group, coded in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join(words[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(coded.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) != len(group) - 1:
-                continue
-            for k, a, b in zip(group, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
-                out[k] = ids[a:b]
+        for at in range(0, len(groups), CALL):  # a call's results hold far more than ids
+            some = groups[at : at + CALL]
+            for group, coded in zip(some, self.tokenizer.encode_batch_fast([f" {MARK} ".join(words[k] for k in g) for g in some], add_special_tokens=False), strict=True):
+                ids = np.array(coded.ids, np.uint32)
+                cuts = np.flatnonzero(ids == self.mark)
+                if len(cuts) != len(group) - 1:
+                    continue
+                for k, a, b in zip(group, [0, *(cuts + 1)], [*cuts, len(ids)], strict=True):
+                    out[k] = ids[a:b].copy()
         for k, own in enumerate(out):
             if own is None:
                 out[k] = np.array(self.tokenizer.encode(words[k], add_special_tokens=False).ids, np.uint32)
         return out
 
-    def __call__(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, how many each has), each closed with ``end``."""
-        words = self.lexer(texts)
-        distinct, first, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+    def of_words(self, words, some: slice) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of some words in a row, how many each has)"""
+        distinct, first, back = np.unique(words.hashes[some], return_index=True, return_inverse=True)
         if self.memo.full(len(distinct)):
             self.memo.clear()
             self.ids, self.places = np.empty(0, np.uint32), np.zeros(1, np.int64)
         new = np.flatnonzero(self.memo.find(distinct) < 0)
-        coded = self.encode_words([words.bytes_of(k).decode() for k in first[new]])
-        self.memo.add(distinct[new])
-        self.ids = np.concatenate([self.ids, *coded])
-        self.places = np.concatenate([self.places, self.places[-1] + np.cumsum([len(x) for x in coded], dtype=np.int64)])
+        if len(new):
+            coded = self.encode_words([words.bytes_of(some.start + k).decode() for k in first[new]])
+            self.memo.add(distinct[new])
+            self.ids = np.concatenate([self.ids, *coded])
+            self.places = np.concatenate([self.places, self.places[-1] + np.cumsum([len(x) for x in coded], dtype=np.int64)])
         place = self.memo.find(distinct)
-        # an end is a word more after each text
-        start = np.insert(self.places[place][back], words.docs[1:], -1)
-        size = np.insert((self.places[place + 1] - self.places[place])[back], words.docs[1:], 1)
+        start, size = self.places[place][back], (self.places[place + 1] - self.places[place])[back]
         stop = np.cumsum(size)
-        source = np.repeat(start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
-        ends = stop[words.docs[1:] + np.arange(len(texts))]
-        source[ends - 1] = 0
-        ids = (self.ids if len(self.ids) else np.zeros(1, np.uint32))[source]
-        ids[ends - 1] = end
-        return ids, np.diff(np.concatenate([[0], ends]))
+        return self.ids[np.repeat(start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)], size
+
+    def __call__(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, how many each has), each closed with ``end``."""
+        words = self.lexer(texts)
+        stops, out, sizes = words.docs[1:], [], np.ones(len(texts), np.int64)
+        row = at = 0
+        while at < len(words.hashes) or row < len(stops):
+            to = min(at + SPAN, len(words.hashes))
+            ids, size = self.of_words(words, slice(at, to))
+            done = int(np.searchsorted(stops, to, "right"))  # texts that stop in this span
+            done = len(stops) if to == len(words.hashes) else done
+            cuts = np.concatenate([[0], np.cumsum(size)])[stops[row:done] - at]
+            sums = np.diff(np.concatenate([[0], cuts, [len(ids)]]))
+            sizes[row:done] += sums[:-1]
+            if done < len(sizes):
+                sizes[done] += sums[-1]
+            out.append(np.insert(ids, cuts, end))
+            row, at = done, to
+        return np.concatenate(out) if out else np.empty(0, np.uint32), sizes
 
 
 def fixed(values: np.ndarray, length: int) -> pa.FixedSizeListArray:
@@ -158,19 +178,22 @@ class Sequences:
         """The ids of batch k in a row, without a copy."""
         return self.file.get_batch(k).column(0).flatten().to_numpy()
 
-    def runs(self, starts, sizes):
-        """For each span of the file's ids in ascending order, its pieces within batches."""
+    def reader(self):
+        """A function that gives the pieces within batches of a span of the file's ids; spans are asked for in ascending order."""
         k, base, flat = -1, 0, np.empty(0, np.uint32)
-        for start, size in zip(starts, sizes, strict=True):
-            pieces, end = [], start + size
+
+        def pieces(start: int, size: int):
+            nonlocal k, base, flat
+            end = start + size
             while start < end:
                 while start >= base + len(flat):
                     base, k = base + len(flat), k + 1
                     flat = self.flat(k)
                 piece = flat[start - base : end - base]
-                pieces.append(piece)
                 start += len(piece)
-            yield pieces
+                yield piece
+
+        return pieces
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, *, length: int = LENGTH, batch: int = BATCH, end: int = END) -> DataFrame:
@@ -180,10 +203,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, length: int = LENGTH,
         part = TaskContext.get().partitionId()
         path = f"{folder}/sequences-{part:06d}.arrow"
         encoder = once(("encoder", tokenizer), lambda: WordEncoder(tokenizer))
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
+        head = next((b for b in batches if b.num_rows), None)
+        if head is None:
             return
-        told = {}
+        feed, told = chain([head], batches), {}
+        del head  # else it would be held to the end
 
         def body(sink):
             writer, schema = SequenceWriter(sink, length, batch, encoder.kind), pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -191,13 +215,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, length: int = LENGTH,
             def index(out):
                 docs = 0
                 with pa.ipc.new_file(out, schema) as rows:
-                    for some in chain(first, batches):
-                        for piece in slices([some]):
-                            ids, sizes = encoder(piece.column("text"), end)
-                            starts = writer.tokens + np.cumsum(sizes) - sizes
-                            writer.add(ids)
-                            docs += len(sizes)
-                            rows.write_batch(pa.record_batch([piece.column("doc_id"), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=schema))
+                    for piece in slices(feed):
+                        ids, sizes = encoder(piece.column("text"), end)
+                        starts = writer.tokens + np.cumsum(sizes) - sizes
+                        writer.add(ids)
+                        docs += len(sizes)
+                        rows.write_batch(pa.record_batch([piece.column("doc_id").cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=schema))
                 told["docs"] = docs
 
             shared.put(path.removesuffix(".arrow") + ".docs.arrow", index)
@@ -207,47 +230,38 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, length: int = LENGTH,
         shared.put(path, body)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "path": [path], "docs": [told["docs"]], "tokens": [told["tokens"]], "sequences": [told["sequences"]]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # an id that many rows share is cut by their texts, and rows that are equal by where they come from
+    work = docs.select("doc_id", "text", F.xxhash64("text").alias("at"), F.monotonically_increasing_id().alias("row"))
+    ordered = work.repartitionByRange("doc_id", "at", "row").select("doc_id", "text", "at").sortWithinPartitions("doc_id", "at", "text").select("doc_id", "text")
     files = shared.table(ordered.mapInArrow(run, FILES), "sequence-files")
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     return files.withColumn("offset", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
 
 
-def chain(first, rest):
-    yield first
-    yield from rest
-
-
 def read(files: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files; ``start`` counts all ids before it."""
+    """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files; ``start`` counts all ids before it. A task a file."""
 
     def run(batches):
         for rows in batches:
             for path, offset in zip(rows.column("path").to_pylist(), rows.column("offset").to_pylist(), strict=True):
                 store, at = shared.filesystem(path.removesuffix(".arrow") + ".docs.arrow")
-                sequences = Sequences(path)
+                pieces = Sequences(path).reader()
                 with store.open_input_file(at) as source:
                     index = pa.ipc.open_file(source)
-                    spans = (index.get_batch(k) for k in range(index.num_record_batches))
-                    yield from _digests(sequences, spans, offset)
+                    for k in range(index.num_record_batches):
+                        yield _digests(pieces, index.get_batch(k), offset)
 
-    def _digests(sequences, spans, offset):
-        held = [b for b in spans]
-        starts, sizes = (np.concatenate([b.column(c).to_numpy() for b in held]) if held else np.empty(0, np.int64) for c in ("start", "n_tokens"))
+    def _digests(pieces, spans, offset):
+        starts, sizes = (spans.column(c).to_numpy() for c in ("start", "n_tokens"))
         sums = np.empty(len(starts), np.int64)
-        for k, pieces in enumerate(sequences.runs(starts.tolist(), sizes.tolist())):
+        for k, (start, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
             crc = 0
-            for piece in pieces:
+            for piece in pieces(start, size):
                 crc = zlib.crc32(np.ascontiguousarray(piece, "<u4"), crc)
             sums[k] = crc
-        a = 0
-        for b in held:
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(starts[a : a + n] + offset), b.column("n_tokens"), pa.array(sums[a : a + n])], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-            a += n
-
-    spread = files.select("path", "offset").repartition("path")
-    return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return pa.RecordBatch.from_arrays([spans.column("doc_id"), pa.array(starts + offset), spans.column("n_tokens"), pa.array(sums)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return files.select("path", "offset").repartition(max(1, files.count())).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None, **options) -> DataFrame:

@@ -1,18 +1,24 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over words.
 
 A test item gives its windows of 13 consecutive words (an item of fewer words is one
-window). Windows of one length m are searched together: the block of two words at the
-end of the text window looks up how far no test window can end (unknown words skip the
-most); at shift 0 the block's bucket is narrowed by the window's first words and each
-test window left is compared word by word. An occurrence marks its words.
-
-The items go to every worker only after their size is checked: up to ``ITEM_BYTES`` of
-text at once. Beyond it they are searched in blocks of that size, one pass over the
-documents each, and the spans of the passes are united, with the same result.
+window). Windows of one length m are searched together: the block of two words that ends
+at a position of the text looks up how far from it a test window can end at the nearest,
+and positions with a shift are skipped (unknown words skip the most); where the shift is
+0, the hash of that block, narrowed by the window's first words, selects a bucket of test
+windows, and each is compared with the text word by word. An occurrence marks its words.
+Tables are read for all positions of a span of ``SPAN`` words at once.
+
+What a worker holds of the items are sorted arrays: the words' numbers, and for a window
+its place among them, its bucket and its item, about ``HELD`` bytes a byte of text. The
+items go to every worker only after their size is checked: up to ``ITEM_BYTES`` of text
+at once. Beyond it they are searched in blocks of that size, one pass over the documents
+each, and the spans of the passes are united, with the same result.
 
 Edge cases: null or empty texts have no words, no hits and the sha256 of the empty list;
 items without words are never found; equal items with different ids are all reported;
-equal rows are judged alike; columns of the input beyond id and text don't matter.
+equal rows are judged alike; an empty table of documents gives no rows, an empty table of
+items no hits; a very long text is searched span by span; columns of the input beyond id
+and text, whatever their names, don't matter, and ``clean`` passes them through.
 """
 
 from __future__ import annotations
@@ -26,87 +32,114 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .text import NOT_ALNUM, Lexer, once, slices
+from .text import NOT_ALNUM, Lexer, joined, once, slices
 
 WINDOW = 13
-ITEM_BYTES = 32 << 20
+ITEM_BYTES = 8 << 20
+HELD = 20
+SPAN = 1 << 16
 SCHEMA = "row long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
+def blocks_of(words: np.ndarray, size: int, m: int) -> np.ndarray:
+    """The number of the block of words that ends at each place but the first: of two words, or for windows of one word of that alone."""
+    return words[1:].astype(np.int64) if m == 1 else words[:-1].astype(np.int64) * size + words[1:]
+
+
 class WuManber:
-    """Windows of ``length`` word numbers; ``owners``: what each window belongs to."""
-
-    def __init__(self, length: int, windows: dict[tuple, set], size: int):
-        self.m, self.size, self.block = length, size, min(2, length)
-        self.shift: dict[int, int] = {}
-        self.buckets: dict[int, dict[int, list]] = {}
-        for window, owners in windows.items():
-            for end in range(self.block, length + 1):
-                code = self.code(window, end - 1)
-                self.shift[code] = min(self.shift.get(code, length), length - end)
-            at = self.buckets.setdefault(self.code(window, length - 1), {})
-            at.setdefault(self.code(window, self.block - 1), []).append((window, owners))
-
-    def code(self, words, end: int) -> int:
-        """The number of the block of words that ends there."""
-        return words[end] if self.block == 1 else words[end - 1] * self.size + words[end]
-
-    def search(self, words: list[int]):
-        """(end, owners) of every occurrence; words that no item has are -1."""
-        m, size, two, shift, far = self.m, self.size, self.block == 2, self.shift, self.m - self.block + 1
-        i, n = m - 1, len(words)
-        while i < n:
-            last = words[i]
-            if last < 0:
-                i += m
-                continue
-            if two:
-                before = words[i - 1]
-                if before < 0:
-                    i += m - 1
-                    continue
-                last += before * size
-            step = shift.get(last, far)
-            if step:
-                i += step
-                continue
-            begin = i - m + 1
-            for window, owners in self.buckets[last].get(self.code(words, begin + self.block - 1), ()):
-                if all(words[begin + k] == w for k, w in enumerate(window)):
-                    yield i, owners
-            i += 1
+    """Windows of ``m`` words: places in ``words``, the numbers of all items' words, each item's after a -1."""
+
+    def __init__(self, m: int, words: np.ndarray, places: np.ndarray, items: np.ndarray, size: int):
+        self.m, self.words, self.size, self.block = m, words, size, min(2, m)
+        blocks = blocks_of(words, size, m)
+        # the shift of a block: how far before the end of some window it stands, at the least
+        codes = [blocks[places + end - 2] for end in range(self.block, m + 1)]
+        self.blocks = np.unique(np.concatenate(codes))
+        self.shift = np.full(len(self.blocks), m, np.int32)
+        for end, own in zip(range(self.block, m + 1), codes, strict=True):
+            at = np.searchsorted(self.blocks, own)
+            self.shift[at] = np.minimum(self.shift[at], m - end)  # the same end for all of own
+        bucket = self.bucket(codes[-1], codes[0])
+        order = np.argsort(bucket, kind="stable")
+        self.buckets, self.places, self.items = bucket[order], places[order].astype(np.int32), items[order].astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.blocks, self.shift, self.buckets, self.places, self.items))
+
+    @staticmethod
+    def bucket(last: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The hash of a window's last and first block."""
+        return joined(last.astype(np.uint64), first.astype(np.uint64))
+
+    def search(self, text: np.ndarray):
+        """(begins, items) of the occurrences in a text that starts with a -1; words that no item has are -1."""
+        m = self.m
+        if len(text) <= m or not len(self.blocks):
+            return np.empty(0, np.int64), np.empty(0, np.int32)
+        blocks = blocks_of(text, self.size, m)
+        known = (text[1:] >= 0) if m == 1 else (text[1:] >= 0) & (text[:-1] >= 0)
+        # places that are m words from the start and whose block is the last of a window
+        last = np.flatnonzero(known[m - 1 :]) + m - 1
+        at = np.minimum(np.searchsorted(self.blocks, blocks[last]), len(self.blocks) - 1)
+        last = last[(self.blocks[at] == blocks[last]) & (self.shift[at] == 0)]
+        first = last - (m - self.block)
+        last = last[known[first]]
+        bucket = self.bucket(blocks[last], blocks[last - (m - self.block)])
+        low = np.searchsorted(self.buckets, bucket)
+        n = np.searchsorted(self.buckets, bucket, "right") - low
+        # each candidate with each window of its bucket, compared word by word
+        which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        begin = np.repeat(last, n) + 2 - m
+        same = np.ones(len(which), bool)
+        for k in range(m):
+            same &= text[begin + k] == self.words[self.places[which] + k]
+        return begin[same], self.items[which[same]]
 
 
 class Matcher:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.lexer = Lexer(NOT_ALNUM)
+        self.lexer, self.ids = Lexer(NOT_ALNUM), [i for i, _ in items]
         words = self.lexer(pa.array([t for _, t in items], pa.string()))
         self.known, numbers = np.unique(words.hashes, return_inverse=True)
-        classes: dict[int, dict[tuple, set]] = {}
-        for k, (item, _) in enumerate(items):
-            own = numbers[words.docs[k] : words.docs[k + 1]].tolist()
-            m = min(window, len(own))
-            for a in range(len(own) - m + 1 if m else 0):
-                classes.setdefault(m, {}).setdefault(tuple(own[a : a + m]), set()).add(item)
-        self.engines = [WuManber(m, windows, len(self.known) + 1) for m, windows in sorted(classes.items())]
+        counts = words.counts
+        every = np.insert(numbers.astype(np.int32), words.docs[:-1], -1)
+        begins = words.docs[:-1] + np.arange(1, len(items) + 1)
+        length = np.minimum(window, counts)
+        self.engines = []
+        for m in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == m)
+            n = counts[own] - m + 1
+            item = np.repeat(own, n)
+            places = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            self.engines.append(WuManber(m, every, places, item, len(self.known) + 1))
+
+    @property
+    def nbytes(self) -> int:
+        return self.known.nbytes + sum(e.nbytes for e in self.engines) + max((e.words.nbytes for e in self.engines), default=0)
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.known):
-            return np.full(len(hashes), -1)
+            return np.full(len(hashes), -1, np.int32)
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[at] == hashes, at, -1)
+        return np.where(self.known[at] == hashes, at, -1).astype(np.int32)
 
     def __call__(self, texts: pa.Array):
         """(words, spans, items) of each text; spans are united and in order."""
         words = self.lexer(texts)
-        numbers = self.numbers(words.hashes).tolist()
-        for a, b in zip(words.docs[:-1].tolist(), words.docs[1:].tolist(), strict=True):
-            own, found, items = numbers[a:b], [], set()
-            for engine in self.engines:
-                for end, owners in engine.search(own):
-                    found.append((end + 1 - engine.m, end + 1))
-                    items |= owners
-            yield b - a, united(found), sorted(items)
+        # all texts in a row, each after a -1, so that no window goes from one to the next
+        every = np.insert(self.numbers(words.hashes), words.docs[:-1], -1)
+        starts = words.docs[:-1] + np.arange(len(texts))
+        found = [[[], set()] for _ in range(len(texts))]
+        for engine in self.engines:
+            for a in range(0, len(every), SPAN):
+                begin, item = engine.search(every[a : a + SPAN + engine.m])
+                row = np.searchsorted(starts, begin + a, "right") - 1
+                for r, x, i in zip(row.tolist(), (begin + a - starts[row] - 1).tolist(), item.tolist(), strict=True):
+                    found[r][0].append((x, x + engine.m))
+                    found[r][1].add(self.ids[i])
+        for n, (spans, items) in zip(words.counts.tolist(), found, strict=True):
+            yield n, united(spans), sorted(items)
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -180,9 +213,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_byte
     """The rows of ``docs``, all columns, that aren't contaminated."""
     blocks = item_blocks(benchmark, item_bytes)
     if len(blocks) > 1:
-        rows = shared.table(docs.withColumn("decontaminate_row", F.monotonically_increasing_id()), "decontaminate-docs")
-        bad = judged(_united(rows.select(F.col("decontaminate_row").alias("row"), "doc_id", "text"), blocks, window)).filter("contaminated")
-        return rows.join(bad.select(F.col("row").alias("decontaminate_row")), "decontaminate_row", "left_anti").select(*docs.columns)
+        work = shared.fresh(docs, "row")
+        rows = shared.table(docs.withColumn(work, F.monotonically_increasing_id()), "decontaminate-docs")
+        bad = judged(_united(rows.select(F.col(work).alias("row"), "doc_id", "text"), blocks, window)).filter("contaminated")
+        return rows.join(bad.select(F.col("row").alias(work)), work, "left_anti").select(*docs.columns)
     held, key = docs.sparkSession.sparkContext.broadcast(blocks[0]()), uuid.uuid4().hex
 
     def run(batches):

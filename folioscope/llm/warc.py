@@ -1,11 +1,12 @@
 """WARC archives through a chunked record table.
 
-Reading never holds a record: an archive is streamed, and each record becomes rows of
-(record, chunk number, some bytes of payload) with the digest and the length of the
-payload so far, so that the row marked last carries those of the whole payload. Writing
-streams a payload into the archive in the same pieces. A record is a gzip member of its
-own; an archive appears under its name when it is whole, and is ended at ``ARCHIVE``
-bytes.
+Neither writing nor reading holds a record. To be written, a payload is cut into rows of
+at most ``PIECE`` bytes, numbered, before the shuffle, and its pieces are streamed into
+the archive as they come. To be read, an archive is streamed, and each record becomes rows
+of (record, chunk number, some bytes of payload) with the digest and the length of the
+payload so far, so that the row marked last carries those of the whole payload. A record
+is a gzip member of its own; an archive appears under its name when it is whole, and is
+ended at ``ARCHIVE`` bytes. A task reads an archive.
 
 Of pages with equal payloads the one with the smallest id is written as a response, the
 others as revisits that name it, with digest and length of the payload they stand for.
@@ -14,8 +15,9 @@ shuffle, by page id, so a payload that a third of all pages share meets nowhere.
 
 Edge cases: a null html is an empty payload; equal rows (id and payload) are one response
 and revisits of it; a null id comes after all others and is the response only among
-nulls; control characters and spaces in a URL are percent-encoded, a null URL is left
-out; other columns don't matter.
+nulls; an empty table writes no archive and gives no rows; a very long payload is rows of
+bounded size on both ways; control characters and spaces in a URL are percent-encoded, a
+null URL is left out; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 CHUNK = 64 << 10
+PIECE = 1 << 20
 ARCHIVE = 128 << 20
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -57,12 +60,18 @@ class Archive:
     def __init__(self, sink, level: int = 6):
         self.sink, self.level, self.size = sink, level, 0
 
-    def record(self, headers: list[tuple[str, object]], prefix: bytes = b"", payload: bytes = b"") -> None:
-        head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", len(prefix) + len(payload))] if v is not None)
+    def record(self, headers: list[tuple[str, object]], prefix: bytes = b"", size: int = 0, pieces=()) -> None:
+        """A record whose payload of ``size`` bytes comes in pieces, all of which are taken."""
+        head = "".join(f"{k}: {v}\r\n" for k, v in [*headers, ("Content-Length", len(prefix) + size)] if v is not None)
         packer = zlib.compressobj(self.level, wbits=31)
-        view = memoryview(payload)
-        for piece in (b"WARC/1.1\r\n", head.encode(), b"\r\n", prefix, *(view[a : a + CHUNK] for a in range(0, len(view), CHUNK)), b"\r\n\r\n"):
+        for piece in (b"WARC/1.1\r\n", head.encode(), b"\r\n", prefix):
             self._put(packer.compress(piece))
+        for piece in pieces:
+            self._put(packer.compress(piece))
+            size -= len(piece)
+        if size:
+            raise ValueError(f"a payload has {size} bytes less than was told")
+        self._put(packer.compress(b"\r\n\r\n"))
         self._put(packer.flush())
 
     def _put(self, some: bytes) -> None:
@@ -187,10 +196,10 @@ def chunks(archives: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 with store.open_input_stream(at) as source:
                     yield from _batches(records(source, chunk))
 
-    return archives.select("path").repartition("path").mapInArrow(run, ROWS)
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(run, ROWS)
 
 
-def write(pages: DataFrame, folder: str, limit: int = ARCHIVE) -> DataFrame:
+def write(pages: DataFrame, folder: str, limit: int = ARCHIVE, piece: int = PIECE) -> DataFrame:
     """Writes ``page_id, url, html`` to archives in ``folder`` and returns their table (``path, records``)."""
     payload = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload).alias("digest"))
@@ -198,8 +207,13 @@ def write(pages: DataFrame, folder: str, limit: int = ARCHIVE) -> DataFrame:
     first = ids.groupBy(F.col("digest").alias("of")).agg(F.min("page_id").alias("first_id"))
     ids = ids.join(first, F.col("digest") == F.col("of"))
     # what a page revisits travels as a row ahead of it, so that payloads are shuffled once and never joined
-    told = ids.select("page_id", "digest", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "first_id", F.lit(None).cast("long").alias("size"), F.lit(None).cast("string").alias("html"))
-    own = pages.select("page_id", "digest", F.lit(1).alias("kind"), "url", F.lit(None).cast("long").alias("first_id"), F.octet_length("html").cast("long").alias("size"), "html")
+    none = lambda kind: F.lit(None).cast(kind)
+    told = ids.select("page_id", "digest", F.lit(0).alias("kind"), none("long").alias("copy"), none("string").alias("url"), "first_id", none("long").alias("size"), none("int").alias("no"), none("binary").alias("data"))
+    size = F.octet_length("html").cast("long")
+    whole = F.array(F.col("html").cast("binary"))
+    cut = F.transform(F.sequence(F.lit(0), F.ceil(size / piece).cast("int") - 1), lambda k: F.substring(F.col("html").cast("binary"), k * piece + 1, F.lit(piece)))
+    # equal rows need telling apart only where a payload is in pieces
+    own = pages.select("page_id", "digest", F.lit(1).alias("kind"), F.monotonically_increasing_id().alias("copy"), "url", none("long").alias("first_id"), size.alias("size"), F.posexplode(F.when(size > piece, cut).otherwise(whole)).alias("no", "data"))
     rows = told.unionByName(own)
 
     def run(batches):
@@ -213,34 +227,46 @@ def write(pages: DataFrame, folder: str, limit: int = ARCHIVE) -> DataFrame:
                 nonlocal row, before, copy, n
                 archive = Archive(sink)
                 while row is not None and archive.size < limit:
-                    page, digest, url, first, size, html = row
-                    copy = copy + 1 if before == (page, digest) else 0
-                    before = page, digest
-                    _record(archive, page, url, digest, first, size, html, copy)
+                    head, page = row, row[:2]
+                    copy = copy + 1 if before == page else 0
+                    before = page
+
+                    def pieces():
+                        """The data of this row and of those that go on with the same payload; the row after them is next."""
+                        nonlocal row
+                        left = row[4]
+                        while True:
+                            data = row[5]
+                            left -= len(data)
+                            row = next(rows, None)
+                            yield data
+                            if left <= 0:
+                                return
+
+                    _record(archive, *head[:5], copy, pieces())
                     n += 1
-                    row = next(rows, None)
 
             shared.put(path, body)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
             no += 1
 
-    ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "digest", "kind", "url")
+    ordered = rows.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url", "copy", "no").drop("copy")
     return shared.table(ordered.mapInArrow(run, "path string, records long"), "archives")
 
 
 def _rows(batches):
-    """(page_id, digest, url, first_id, size, html) of every page, from rows that tell a page's first_id before it."""
+    """(page_id, digest, url, first_id, size, data) of every piece, from rows that tell a page's first_id before it; data is a view of the batch."""
     first = None
     for b in batches:
         for k in range(b.num_rows):
-            page, digest, kind, url, told, size, html = (b.column(c)[k].as_py() for c in range(7))
+            page, digest, kind, url, told, size, no = (b.column(c)[k].as_py() for c in range(7))
             if kind == 0:
                 first = told
             else:
-                yield page, digest, url, first, size, html
+                yield page, digest, url, first, size, b.column(7)[k].as_buffer()
 
 
-def _record(archive: Archive, page, url, digest: str, first, size: int, html, copy: int) -> None:
+def _record(archive: Archive, page, digest: str, url, first, size: int, copy: int, pieces) -> None:
     sha1 = base32(bytes.fromhex(digest))
     response = page == first and copy == 0
     head = [
@@ -249,10 +275,12 @@ def _record(archive: Archive, page, url, digest: str, first, size: int, html, co
     ]
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if response:
-        archive.record(head, f"{http}Content-Length: {size}\r\n\r\n".encode(), html.encode())
+        archive.record(head, f"{http}Content-Length: {size}\r\n\r\n".encode(), size, pieces)
     else:
         more = [("WARC-Refers-To", record_urn(first, digest, 0)), ("WARC-Refers-To-Page", first), ("WARC-Profile", PROFILE)]
         archive.record([*head, *more], f"{http}\r\n".encode())
+        for _ in pieces:
+            pass
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:

@@ -14,13 +14,19 @@ No bucket is ever expanded into all its pairs. In the first rounds its least nod
 compared with the others, after which it has met everyone and leaves; buckets whose nodes
 are of one component by then are done. The rest are compared inside the tasks that read
 them, in blocks of ``BLOCK`` nodes of a bucket by blocks, so that a large bucket is
-spread over tasks: pruned and verified there, and of the links found only those leave a
-task that join two of its components.
+spread over tasks: first by signatures alone, after which only nodes that survived with
+some partner are sent on with their full sets, to be verified in the same groups; of the
+links found only those leave a task that join two of its components. Buckets of over
+``HOT`` nodes meet what is known of them by a broadcast of these few keys (their number
+is counted first), never in one task.
 
 Edge cases: null, blank and empty texts have an empty set, link with nothing and are
 their own component; a text of fewer than ``words`` words has its whole sequence as the
 one shingle; a null id joins its component but never names it while another id can; rows
-with equal ids are each a row of the result; other columns don't matter.
+with equal ids are each a row of the result, and may be in different components where
+their texts differ; an empty table gives no rows; a very long text is lexed in blocks and
+costs eight bytes a shingle beside its own; other columns, whatever their names, aren't
+read, and ``one_of_each`` passes them through.
 """
 
 from __future__ import annotations
@@ -35,13 +41,14 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
-from .text import Lexer, Words, joined, mix, slices
+from .text import Lexer, Words, joined, mix, pieces
 
 BANDS, ROWS = 40, 6
 MISS = 1e-7
 STEP = 40
 BLOCK = 1024
 BLOCK_BYTES = 8 << 20
+CELLS = 4 << 20
 STAR_ROUNDS = 2
 HOT = 1000
 
@@ -125,7 +132,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         lexer = Lexer()
-        for part in slices(batches):
+        for part in pieces(batches):
             sets = shingles(lexer(part.column("text")), words)
             full = [k for k, s in enumerate(sets) if len(s)]
             nodes, sigs, keys = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -138,12 +145,12 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(run, "doc_id long, at long, node long, n_shingles long, sig binary, keys array<long>")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``node, own``: the sorted shingle hashes of the wanted nodes (``node, id``), from the texts of those documents."""
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """``node, own``: the sorted shingle hashes of the wanted nodes (``node, id, id_at``), from the text of one such row each."""
 
     def run(batches):
         lexer = Lexer()
-        for part in slices(batches):
+        for part in pieces(batches):
             for node, own in zip(part.column("node").to_pylist(), shingles(lexer(part.column("text")), words), strict=True):
                 if node_of(own) == node:  # an id can name several texts
                     yield pa.RecordBatch.from_pydict({"node": [node], "own": pa.array([own.tobytes()], pa.binary())})
@@ -159,10 +166,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("at"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("at") == F.col("id_at"))).select("node", "text")
+    if repeated:  # of rows with equal id and text one is enough
+        texts = texts.dropDuplicates(["node"])
     return texts.mapInArrow(packed, "node long, own binary")
 
 
+def keyed(members: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+    """``members`` with the ``facts (key, n, ...)`` of their bucket; buckets without facts go.
+
+    Buckets of over ``HOT`` members are few; they are joined without dealing members by key.
+    """
+    hot = shared.small(facts.filter(F.col("n") > HOT), name)
+    cold = members.join(hot.select("key"), "key", "left_anti").join(facts.filter(F.col("n") <= HOT), "key")
+    return members.join(hot, "key").unionByName(cold)
+
+
 def pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """The pairs (``u, v``) that Bayesian pruning leaves."""
 
@@ -208,10 +228,15 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], i: np.ndarray, j: np
     rows, a = np.unique(i, return_inverse=True)
     cols, b = np.unique(j, return_inverse=True)
     known = np.unique(np.concatenate([left[k] for k in rows]))
+    if len(rows) > 1 and len(rows) * len(known) > CELLS:  # few long sets at a time
+        low = a < len(rows) // 2
+        out = np.empty(len(i), bool)
+        out[low], out[~low] = linked(left, right, i[low], j[low], percent), linked(left, right, i[~low], j[~low], percent)
+        return out
     own = np.zeros((len(rows), len(known)), np.float32)
     for r, k in enumerate(rows):
         own[r, np.searchsorted(known, left[k])] = 1
-    both, step = np.zeros((len(rows), len(cols)), np.int64), max(1, (4 << 20) // len(known))
+    both, step = np.zeros((len(rows), len(cols)), np.int64), max(1, CELLS // len(known))
     for at in range(0, len(cols), step):
         some = cols[at : at + step]
         flat, row = np.concatenate([right[k] for k in some]), np.repeat(np.arange(len(some)), [len(right[k]) for k in some])
@@ -245,82 +270,113 @@ class Forest:
         return a != b
 
 
-def blockwise(members: DataFrame, percent: int) -> DataFrame:
-    """Links between different components inside buckets (``key, node, component, sig, own``): pruned, and verified on full sets.
+GROUPED = "key long, i int, j int, part int, node long, component long, sig binary"
+
+
+def _groups(batches, columns: int):
+    """(key, i, j) and the rows of each group of a partition that is sorted by it."""
+    held, now = [], None
+    for b in batches:
+        for key, some in groupby(zip(*(b.column(c).to_pylist() for c in range(columns)), strict=True), lambda r: r[:3]):
+            if key != now:
+                if len(held) > 1:
+                    yield now, held
+                held, now = [], key
+            held.extend(some)
+    if len(held) > 1:
+        yield now, held
+
+
+def _candidates(rows, key, prune: Pruning, tops):
+    """Pairs of places in a group that survive pruning, some rows at a time; ``tops()``: the component of each place by now."""
+    sig = np.array([np.frombuffer(r[6], np.uint16) for r in rows])
+    part = np.array([r[3] for r in rows])
+    for a in range(0, len(rows), 64):
+        top = tops()
+        left, right = np.meshgrid(np.arange(a, min(a + 64, len(rows))), np.arange(len(rows)), indexing="ij")
+        left, right = left.ravel(), right.ravel()
+        new = (left < right) & (top[left] != top[right])
+        if key[1] != key[2]:
+            new &= part[left] != part[right]
+        left, right = left[new], right[new]
+        alive = prune(sig, sig, left, right)
+        if len(alive):
+            yield left[alive], right[alive]
+
+
+def blockwise(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside buckets (``key, n, bytes, node, component``): pruned, and verified on full sets.
 
     Blocks of a bucket meet two by two, each pair in a group of its own of bounded bytes.
     A group sends on at most one link less than it has nodes: those that join its trees.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.length("own")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    rows = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = members.withColumn("blocks", F.greatest(blocks, F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sigs, "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "sig", "own")
+    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "sig")
 
-    def run(batches):
-        prune, held, now = Pruning(percent), [], None
-        for b in batches:
-            columns = [b.column(c).to_pylist() for c in range(8)]
-            for key, some in groupby(zip(*columns, strict=True), lambda r: r[:3]):
-                if key != now:
-                    yield from compared(held, now, prune)
-                    held, now = [], key
-                held.extend(some)
-        yield from compared(held, now, prune)
-
-    def compared(rows, key, prune):
-        if len(rows) < 2:
-            return
-        sig = np.array([np.frombuffer(r[6], np.uint16) for r in rows])
-        sets = [np.frombuffer(r[7], np.uint64) for r in rows]
-        part, node, component = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
-        trees, out = Forest(component), []
-        for a in range(0, len(rows), 64):
-            tops = np.array([trees.top(k) for k in range(len(rows))])
-            left, right = np.meshgrid(np.arange(a, min(a + 64, len(rows))), np.arange(len(rows)), indexing="ij")
-            left, right = left.ravel(), right.ravel()
-            new = (left < right) & (tops[left] != tops[right])
-            if key[1] != key[2]:
-                new &= part[left] != part[right]
-            left, right = left[new], right[new]
-            alive = prune(sig, sig, left, right)
-            if len(alive):
-                left, right = left[alive], right[alive]
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def survivors(batches):
+        prune = Pruning(percent)
+        for key, rows in _groups(batches, 7):
+            component, hit = np.array([r[5] for r in rows], np.int64), np.zeros(len(rows), bool)
+            for left, right in _candidates(rows, key, prune, lambda component=component: component):
+                hit[left] = hit[right] = True
+            if hit.any():
+                kept = [r for r, ok in zip(rows, hit, strict=True) if ok]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=[x.split()[0] for x in GROUPED.split(", ")])
+
+    def links(batches):
+        prune = Pruning(percent)
+        for key, rows in _groups(batches, 8):
+            sets, node = [np.frombuffer(r[7], np.uint64) for r in rows], [r[4] for r in rows]
+            trees, out = Forest(np.array([r[5] for r in rows], np.int64)), []
+            for left, right in _candidates(rows, key, prune, lambda trees=trees, n=len(rows): np.array([trees.top(k) for k in range(n)])):
                 good = linked(sets, sets, left, right, percent)
                 out += [(node[x], node[y]) for x, y in zip(left[good].tolist(), right[good].tolist(), strict=True) if trees.join(x, y)]
-        if out:
-            yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+            if out:
+                yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "u long, v long")
+    alive = shared.table(dealt(rows).mapInArrow(survivors, GROUPED), "near-survivors")
+    return dealt(alive.join(sets, "node").select(*alive.columns, "own")).mapInArrow(links, "u long, v long")
 
 
 def labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """``doc_id, at, n_shingles, node, first`` of every row: first is the least ``doc_id, at`` of its component, ids that are null last; null for empty sets."""
     sketched = shared.table(sketches(docs, words), "near-sketches")
-    nodes = sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("first"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    nodes = sketched.filter("node is not null").groupBy("node").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("first"), F.first("n_shingles").alias("size"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
+    )
     nodes = shared.table(nodes, "near-nodes")
     rows = shared.table(sketched.select("doc_id", "at", "n_shingles", "node"), "near-rows")
     shared.drop(sketched)
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
+    repeated = not rows.groupBy("doc_id", "at").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    buckets = nodes.select("node", "size", F.explode("keys").alias("key"))
     # buckets of the same nodes are one: a pair in ten bands is met once
     code = F.xxhash64("node")
     shares = buckets.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(code, 20)).alias("s")).filter("n > 1")
-    shares = shares.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
-    buckets = shared.table(buckets.join(shares, "key"), "near-buckets")
-    wanted = buckets.select("node").distinct().join(nodes.select("node", "id"), "node")
-    sets = shared.table(full_sets(docs, wanted, words), "near-sets")
+    shares = shared.table(shares.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n"), "near-shares")
+    buckets = shared.table(keyed(buckets, shares, "near-hot").select("key", "node", "size"), "near-buckets")
+    wanted = buckets.select("node").distinct().join(nodes.select("node", F.col("first.doc_id").alias("id"), F.col("first.at").alias("id_at")), "node")
+    sets = shared.table(full_sets(docs, wanted, words, repeated), "near-sets")
     sigs = nodes.select("node", "sig")
     links, parts = None, None
     for turn in range(STAR_ROUNDS + 1):
         members = buckets if parts is None else buckets.join(parts, "node", "left")
         members = members.withColumn("component", F.coalesce("component", "node") if parts is not None else F.col("node"))
-        spread = members.groupBy("key").agg(F.min("node").alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("of"))
-        members = shared.table(members.join(spread.filter("low <> high").drop("low", "high"), "key"), "near-members")
+        members = shared.table(members, "near-members")
+        spread = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes"), F.min("node").alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("of"))
+        spread = shared.table(spread.filter("low <> high").drop("low", "high"), "near-spread")
+        members = keyed(members, spread, "near-hot")
         if turn < STAR_ROUNDS:
+            members = shared.table(members, "near-open")
             pairs = members.filter("node <> head and component <> of").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
             found = verified(shared.table(pruned(pairs, sigs, percent), "near-candidates"), sets, percent)
-            buckets = members.filter("node <> head").select("key", "node")
+            buckets = members.filter("node <> head").select("key", "node", "size")
         else:
-            found = blockwise(members.select("key", "node", "component").join(sigs, "node").join(sets, "node"), percent).distinct()
+            found = blockwise(members, sigs, sets, percent).distinct()
         found = shared.table(found, "near-links")
         links = found if links is None else links.unionByName(found)
         parts = shared.table(components(links), "near-components")
@@ -343,11 +399,17 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     Of rows of an empty set, each a component, those with equal id and text are one.
     """
     first = F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
-    kept = labelled(docs, words, percent).filter(first).select(F.col("doc_id").alias("near_id"), F.col("at").alias("near_at")).distinct()
-    rows = docs.withColumn("near_text", F.xxhash64("text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("near_text") == F.col("near_at")))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "near_text").orderBy("near_text"))
-    return rows.withColumn("near_nth", nth).filter("near_nth = 1").select(*docs.columns)
+    kept = shared.table(labelled(docs, words, percent).filter(first).select(F.struct("doc_id", "at").alias("kept")), "near-kept")
+    once = kept.groupBy("kept").agg(F.count("*").alias("n"))
+    repeated = not once.filter("n > 1").isEmpty()
+    work = shared.fresh(docs, "near")
+    rows = docs.withColumn(work, F.struct("doc_id", F.xxhash64("text").alias("at")))
+    theirs = shared.fresh(rows, "near")
+    mine = (once if repeated else kept).select(F.col("kept").alias(theirs))
+    rows = rows.join(mine, F.col(work).eqNullSafe(F.col(theirs)), "left_semi")
+    if repeated:  # of rows with equal id and text any one
+        rows = rows.withColumn(work, F.to_json(work, {"ignoreNullFields": "false"})).dropDuplicates([work])
+    return rows.select(*docs.columns)
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:

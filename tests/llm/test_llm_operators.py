@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import components, decontaminate, kneser_ney, langid, minhash, mixing, quality, sharding, shared, text, token_count, token_output, warc
 
@@ -135,7 +136,11 @@ def test_components_of_chains_and_stars(spark):
 
 def test_languages_of_held_out_rows(spark, docs, rows):
     trained = langid.samples(docs.filter(~langid.held_out(5)))
-    assert all(len(x) <= langid.TRAIN_BYTES for x in trained.values())
+    whole = {langid.normalised(pa.array([r.text + " "]))[0].tobytes() for r in rows.values()}
+    for sample in trained.values():  # whole texts, one after another
+        while sample:
+            size = next(k for k in range(1, len(sample) + 1) if sample[:k] in whole)
+            sample = sample[size:]
     out = [r for r in langid.predict(docs, trained).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert np.mean([r.lang_pred == rows[r.doc_id].lang for r in out]) > 0.97
 
@@ -156,6 +161,39 @@ def test_cross_parsing_is_greedy_longest_match():
     assert parser.phrases(data, np.array([0, len(data)]))[0].tolist() == [sum(count(samples[s], c) for c in cuts) for s in "ab"]
 
 
+def test_predictions_are_those_of_plain_cross_parsing(docs, rows):
+    trained = langid.samples(docs.filter(~langid.held_out(5)), size=3000)
+    found = {r.doc_id: r for r in langid.predict(docs, trained).collect()}
+
+    def phrases(sample, x):
+        n = 0
+        for a in range(0, len(x), langid.SEGMENT):
+            s = x[a : a + langid.SEGMENT]
+            while s:
+                k = 1
+                while k < len(s) and s[: k + 1] in sample:
+                    k += 1
+                s, n = s[k:], n + 1
+        return n
+
+    for i in sorted(rows)[::4]:  # plain parsing is slow
+        x = re.sub(rb"[^a-z\x80-\xff]+", b" ", rows[i].text.lower().encode()).lstrip(b" ")
+        cost = sorted((phrases(s, x) * math.log2(len(s)) / max(1, len(x)), lang) for lang, s in trained.items())
+        assert found[i].lang_pred == cost[0][1] and found[i].entropy == pytest.approx(cost[0][0]) and found[i].score == pytest.approx(1 - cost[0][0] / cost[1][0])
+
+
+def test_long_texts_are_normalised_as_in_one_piece(monkeypatch):
+    texts = pa.array(["Ab  É9 c" * 50, None, "", "--", " x", "1a", "Straße " * 30])
+    whole = langid.normalised(texts)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    small = langid.normalised(texts)
+    assert small[0].tobytes() == whole[0].tobytes() and small[1].tolist() == whole[1].tolist()
+    data, offsets = whole
+    for k, x in enumerate(texts.to_pylist()):
+        own = re.sub(rb"[^a-z\x80-\xff]+", b" ", (x or "").lower().encode())
+        assert data[offsets[k] : offsets[k + 1]].tobytes().strip() == own.strip()
+
+
 def test_languages_of_odd_rows(odd, empty):
     found = langid.predict(odd, langid.samples(odd)).collect()
     assert Counter(r.lang_pred for r in found if r.doc_id in (2, 3, 4, 7)) == {"und": 4}
@@ -195,15 +233,21 @@ def test_language_model_scores(docs, rows):
     ids = sorted(rows)
     expected, p2, uni = brute_scores([rows[i].text for i in ids], [zlib.crc32(str(i).encode()) % 10 != 0 for i in ids])
     assert sum(p2("the", w) for w in uni) + p2("the", "\0") == pytest.approx(1)
-    for options in ({}, {"gather": 5000, "part_tokens": 20000}):
+    for options, span in (({}, kneser_ney.SPAN), ({"gather": 5000, "part_tokens": 5000, "fan": 3, "least": 200}, 100)):
         model = kneser_ney.train(docs.filter(~langid.held_out(10)), **options)
-        found = {r.doc_id: r for r in kneser_ney.scored(docs, model).collect()}
+        found = {r.doc_id: r for r in kneser_ney.scored(docs, model, span).collect()}
         for i, (n, known, total, base, score) in zip(ids, expected):
             r = found[i]
             assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
             assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_counts_of_any_size_come_back(spark, tmp_path):
+    counts = np.array([1, 254, 255, 256, 1 << 32, 7, (1 << 40) + 5], np.int64)
+    kneser_ney.write_counts(str(tmp_path), 3, counts)
+    assert kneser_ney.counts_at(shared.Files(str(tmp_path)), 3, np.array([6, 0, 2, 4, 1, 3, 5, 4])).tolist() == counts[[6, 0, 2, 4, 1, 3, 5, 4]].tolist()
+
+
 def test_language_model_of_odd_rows(odd, empty):
     assert kneser_ney.scored(odd, kneser_ney.train(odd)).count() == 9
     none = kneser_ney.scored(odd, kneser_ney.train(empty)).collect()
@@ -211,12 +255,12 @@ def test_language_model_of_odd_rows(odd, empty):
 
 
 def test_mix_meets_its_targets(docs, odd, empty):
-    per = mixing.planned(docs).select("source", "mix_size", "mix.*").collect()
+    per = mixing.planned(docs).select("source", "mix.*").collect()
     sums, goal, largest = Counter(), {}, Counter()
     for r in per:
-        sums[r.source] += r.times * r.mix_size
+        sums[r.source] += r.times * r.size
         goal[r.source] = r.target, r.source_size
-        largest[r.source] = max(largest[r.source], r.mix_size)
+        largest[r.source] = max(largest[r.source], r.size)
         assert 0 <= r.times <= 2
     total = sum(n for _, n in goal.values())
     assert sum(t for t, _ in goal.values()) == pytest.approx(1.5 * total)
@@ -228,6 +272,60 @@ def test_mix_meets_its_targets(docs, odd, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def taken_by_sql(rows, tmp_path):
+    """The SQL's rows for some (doc_id, source, text)."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    return sorted(con.sql(mixing.OP4_SQL).fetchall(), key=str)
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, "s", "a b c d e f g h i j") for i in range(10)],
+    [(1, "s", "a b c d e f g h i j")] * 10,
+    [(None, "s", "a b c d e f g h i j")] * 10 + [(None, None, "a b")] * 7 + [(2, "t", None)] * 3,
+    [(None, "s", f"a b c {i}") for i in range(10)] + [(3, "t", "x y")] * 5 + [(i, "u", "w " * i) for i in range(9)],
+])
+def test_mix_of_ties_and_repeated_rows_is_that_of_the_sql(spark, tmp_path, rows):
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    found = mixing.planned(df).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.times") * F.col("mix.size")).alias("taken")).collect()
+    expected = taken_by_sql(rows, tmp_path)
+    assert sorted((tuple(r)[:3] + tuple(r)[4:] for r in found), key=str) == sorted((r[:3] + r[4:] for r in expected), key=str)
+    sums, goal = Counter(), {}
+    for r in found:
+        sums[r.source_size, r.target] += r.taken
+        goal[r.source_size, r.target] = max(goal.get((r.source_size, r.target), 0), r.size)
+    assert all(abs(sums[k] - k[1]) <= size for k, size in goal.items())
+    assert mixing.mix(df).count() == sum(r.times for r in mixing.planned(df).select("mix.times").collect())
+
+
+def test_shards_of_repeated_rows_are_those_of_the_sql(spark):
+    import duckdb
+
+    rows = [(1, "s", "a b")] * 40 + [(None, "s", "a b")] * 30 + [(None, None, None)] * 20 + [(i, "t", f"é {i % 4}") for i in range(30)] + [(7, "u", "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, source VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    found = sharding.assign(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)).select("doc_id", "size", "text_crc32", F.lit("rows"), "shard", "slot", F.lit(None)).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(con.sql(sharding.OP8_SQL).fetchall(), key=str)
+
+
+def test_working_names_of_every_operator_pass_through(spark):
+    names = ["mix", "mix_", "goal", "number", "copy", "near", "near_", "row", "key", "size", "shard", "slot", "place", "at", "node", "id", "work", "shard_work", "Mix_Place", "number_before"]
+    rows = [(i, f"alpha beta gamma delta {i} " * 4, "en", "s", *[f"{n}{i}" for n in names]) for i in (1, 2, 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    benchmark = spark.createDataFrame([(1, "one two three"), (2, "four five six")], "item_id long, text string")
+    whole = set(map(tuple, df.collect()))
+    for out in (mixing.mix(df), minhash.one_of_each(df), decontaminate.clean(df, benchmark), decontaminate.clean(df, benchmark, item_bytes=40), langid.accepted(df, langid.samples(df))):
+        assert out.columns == df.columns and set(map(tuple, out.collect())) <= whole
+    path = shared.folder(spark, "shards")
+    added = sharding.write(df, path, 3)
+    back = spark.read.parquet(path)
+    assert back.count() == 4 and sorted(back.columns) == sorted([*df.columns, *added]) and {tuple(r)[: len(df.columns)] for r in back.select(*df.columns).collect()} == whole
+
+
 def test_tokens_come_back_from_the_files(spark, docs, rows, odd, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -249,7 +347,25 @@ def test_tokens_come_back_from_the_files(spark, docs, rows, odd, empty):
     assert (found[2], found[3], found[4]) == (1, 1, 1) and token_output.encoded(empty).count() == 0
 
 
-def test_words_apart_encode_like_whole_texts():
+def test_ids_of_equal_and_null_ids_follow_each_other(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode
+    rows = [(None, "b c"), (None, "a"), (3, "x " * 700), (3, "x " * 700), (3, "y"), (1, None), (2, "z")] * 3
+    found = token_output.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=32, batch=2).collect()
+    crc = lambda x: zlib.crc32(np.array(encode(x or "", add_special_tokens=False).ids + [1], "<u4").tobytes())
+    assert sorted((str(r.doc_id), r.ids_crc32) for r in found) == sorted((str(i), crc(x)) for i, x in rows)
+    order, start = sorted(found, key=lambda r: r.start), 0
+    for r in order:
+        assert r.start == start
+        start += r.n_tokens
+    assert [r.doc_id or 0 for r in order] == sorted(i or 0 for i, _ in rows)
+
+
+@pytest.mark.parametrize("span", [1, 3, 1 << 16])
+def test_words_apart_encode_like_whole_texts(monkeypatch, span):
+    monkeypatch.setattr(token_output, "SPAN", span)
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -260,7 +376,9 @@ def test_words_apart_encode_like_whole_texts():
     assert ids.tolist() == sum(whole, []) and sizes.tolist() == [len(x) for x in whole]
 
 
-def test_wu_manber_finds_every_window():
+@pytest.mark.parametrize("span", [7, 1 << 16])
+def test_wu_manber_finds_every_window(monkeypatch, span):
+    monkeypatch.setattr(decontaminate, "SPAN", span)
     rng = np.random.default_rng(3)
     words = lambda n: [f"v{x}" for x in rng.integers(0, 6, n)]
     items = [(str(i), " ".join(words(n))) for i, n in enumerate([1, 2, 3, 5, 5, 6, 8, 0])]
@@ -279,6 +397,14 @@ def test_wu_manber_finds_every_window():
         assert n == len(w) and found == sorted(names) and {p for a, b in spans for p in range(a, b)} == hit
 
 
+def test_items_are_held_in_the_bytes_that_are_promised():
+    rng = np.random.default_rng(4)
+    items = [(str(i), " ".join(f"w{x}" for x in rng.integers(0, 5000, 400))) for i in range(500)]
+    matcher = decontaminate.Matcher(items)
+    assert matcher.nbytes <= decontaminate.HELD * sum(len(t) for _, t in items)
+    assert next(matcher(pa.array(["x " + items[7][1] + " y"])))[1:] == ([(1, 401)], ["7"])
+
+
 def test_decontamination_in_blocks_and_of_odd_rows(spark, docs, odd, empty):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     one, many = ([r.asDict(True) for r in decontaminate.hits(docs, benchmark, item_bytes=n).orderBy("doc_id").collect()] for n in (1 << 20, 3000))
@@ -295,7 +421,7 @@ def test_archives_round_trip(spark):
     big = "é" * 100_000
     pages = [(1, None, "a"), (1, "u v", "a"), (2, "x\r\ny", "a"), (3, "y", big), (4, "z", big), (5, "e", None), (6, "e", "")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, digest int")
-    table = warc.chunks(warc.write(df, shared.folder(spark, "warc"), limit=500), chunk=1000).collect()
+    table = warc.chunks(warc.write(df, shared.folder(spark, "warc"), limit=500, piece=30_000), chunk=1000).collect()
     last = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in table if r.last)
     assert last == [(1, 1, "response", None), (1, 1, "revisit", 1), (2, 1, "revisit", 1), (3, 200_000, "response", None), (4, 200_000, "revisit", 3), (5, 0, "response", None), (6, 0, "revisit", 5)]
     own = sorted((r for r in table if r.page_id == 3), key=lambda r: r.chunk_no)
@@ -324,6 +450,8 @@ def test_shards_hold_the_mixture(spark, docs, odd, empty):
     assert all(r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.size == len(texts[r.doc_id].encode()) + 8 for r in found)
     out = sharding.assign(odd, 4).collect()
     assert sorted((r.shard, r.slot) for r in out) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1)]
+    again = sharding.assign(odd.repartition(5), 4).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, out), key=str)
     assert sharding.assign(empty, 4).count() == 0
     path = shared.folder(spark, "shards")
     sharding.write(odd, path, 4)
@@ -349,6 +477,23 @@ def test_quality_statistics(docs, rows, odd, empty):
     assert quality.rules(empty).count() == 0
 
 
+def test_verdicts_are_those_of_plain_compression(spark, docs, rows):
+    import zstandard
+
+    bands = quality.fitted(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    size = lambda b: len(zstandard.ZstdCompressor(level=3).compress(b))
+
+    def out(b):
+        of = [x for x in bands if x[0] <= len(b)]
+        return bool(of) and not of[-1][1] <= size(b) / len(b) <= of[-1][2]
+
+    for r in quality.rules(docs, bands=bands, chunk=512).collect():
+        b = rows[r.doc_id].text.encode()
+        chunks = [b[a : a + 512] for a in range(0, len(b), 512)]
+        bad = sum(map(out, chunks)) / len(chunks)
+        assert r.bad_chunks == pytest.approx(bad) and r.kept == (not r.base_failed and not out(b) and bad <= quality.CHUNK_SHARE)
+
+
 def test_bands_reject_repetition_and_noise():
     rng = np.random.default_rng(5)
     rules = quality.Rules()

@@ -60,6 +60,22 @@ def test_stages_take_effect_in_order(spark):
         start += r.n_tokens
 
 
+def test_stages_on_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mix string, shard int, row int, near string"
+    sea, hill = "the sea was calm and the boats came home before night fell " * 3, "la montagne est haute et la neige tombe sur les sapins verts " * 3
+    rows = [(1, sea, "en", "a"), (1, sea, "en", "a"), (2, sea, "en", None), (None, hill, "fr", "b"), (None, hill, "fr", "b"), (3, hill + "encore", "fr", "b"), (4, None, "en", "a"), (5, "", None, None), (6, " \n", "fr", "a"), (7, "12 --", None, "a"), (8, sea * 2000, "en", "c")]
+    docs = spark.createDataFrame([(*r, None, "m", 1, 2, "n") for r in rows], schema)
+    for frame in (docs, docs.limit(0)):
+        now = frame
+        for name, stage in corpus_pipeline.STAGES:
+            now = shared.table(stage(spark, now, SF), "test")
+            if name != "token-output":
+                assert now.columns == frame.columns
+            if name == "near-duplicates" and frame is docs:
+                assert sorted(str((r.doc_id, r.text[:3])) for r in now.collect()) in (["(1, 'the')", "(3, 'la ')"], ["(1, 'the')", "(3, 'la ')", "(8, 'the')"])
+    assert now.count() == 0
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names} and "pipeline" in names

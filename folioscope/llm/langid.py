@@ -7,16 +7,22 @@ the training text, the closer the language; the least such entropy wins, ties go
 the smaller name. The score is the winner's margin, 1 - least / second least entropy.
 
 Texts are lower-cased and runs of ASCII characters that aren't letters become one space.
-They are parsed whole, in segments of ``SEGMENT`` bytes that advance in lockstep through
-a dense table of states by bytes, so a step costs one lookup per segment.
+They are parsed whole, in segments of ``SEGMENT`` bytes, ``LOCKSTEP`` of which advance
+together. A state holds a bit for each symbol it has an edge for and the place of its
+first edge, so an edge is found by counting bits, and the tables are as large as the
+automaton is: a few times the training text.
 
-Training: for each language the ``ROWS`` labelled rows of least hash of their id, the
-first ``ROW_CHARS`` characters of each, ``TRAIN_BYTES`` of normalised text in all. These
-bounds are the sample that the classifier is fitted on; prediction reads whole texts.
+Training: the bounded sample that the classifier is fitted on is, for each language, of
+at most ``ROWS`` labelled rows, whole texts, taken in order until they have
+``TRAIN_BYTES``: rows of at most ``ROW_BYTES`` by the hash of their id, and only where
+these are too few the next longer ones. Prediction reads every whole text.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0, as is everything
-if no row is labelled; with one language the score is 1; null ids count as held out or
-not by the hash of the empty text; equal rows get equal answers.
+if no row is labelled; an empty table gives no rows; with one language the score is 1;
+null ids count as held out or not by the hash of the empty text; equal rows get equal
+answers, ties of languages go to the smaller name; a very long text is normalised and
+parsed in pieces; other columns, whatever their names, pass through ``accepted`` and
+aren't read.
 """
 
 from __future__ import annotations
@@ -31,10 +37,13 @@ from pyspark.sql import functions as F
 
 from .text import buffers, once, slices
 
-ROWS = 64
-ROW_CHARS = 2000
-TRAIN_BYTES = 20_000
+ROWS = 128
+ROW_BYTES = 4096
+TRAIN_BYTES = 40_000
 SEGMENT = 1024
+LOCKSTEP = 4096
+SLICE = 4 << 20
+PIECE = 1 << 20
 #: Bits a byte beyond which a text isn't of the language nearest to it: its phrases are hardly longer than two bytes. Doesn't hold for texts that are one phrase of it.
 MOST_ENTROPY = 7.0
 SCHEMA = "doc_id long, lang_pred string, score double, entropy double"
@@ -45,14 +54,23 @@ _LETTER[128:] = True
 
 
 def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets): lower case, each run of other ASCII characters one space."""
+    """(bytes, offsets): lower case, each run of other ASCII characters one space; made piece by piece."""
     data, offsets = buffers(pc.utf8_lower(texts))
-    letter = _LETTER[data]
-    keep = letter.copy()
-    keep[1:] |= letter[:-1]  # of a run of others the first, if a letter stands before it
-    data = np.where(letter, data, np.uint8(32))
-    sums = np.concatenate([[0], np.cumsum(keep)])
-    return data[keep], sums[offsets]
+    out, sizes, before = [], np.zeros(len(offsets) - 1, np.int64), False
+    for a in range(0, len(data), PIECE):
+        piece = data[a : a + PIECE]
+        letter = _LETTER[piece]
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]  # of a run of others the first, if a letter stands before it
+        keep[0] |= before
+        before = bool(letter[-1])
+        out.append(np.where(letter, piece, np.uint8(32))[keep])
+        # what is kept in each row that has a part here
+        rows = slice(int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, a + len(piece), "left")))
+        cuts = np.clip(offsets[rows.start : rows.stop + 1] - a, 0, len(piece))
+        sums = np.concatenate([[0], np.cumsum(keep)])
+        sizes[rows] += np.diff(sums[cuts])
+    return np.concatenate(out) if out else np.empty(0, np.uint8), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def suffix_automaton(text: bytes) -> list[dict[int, int]]:
@@ -85,29 +103,47 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return edges
 
 
+class Automaton:
+    """A suffix automaton packed for lookups by many states at once; ``symbol`` numbers bytes, 0 for those in no sample."""
+
+    def __init__(self, text: bytes, symbol: np.ndarray, symbols: int):
+        edges = suffix_automaton(text)
+        self.wide = -(-symbols // 64)
+        self.bits = np.zeros(len(edges) * self.wide, np.uint64)
+        self.first = np.zeros(len(edges) * self.wide, np.int32)
+        to: list[int] = []
+        for state, out in enumerate(edges):
+            own = sorted((int(symbol[byte]), nxt) for byte, nxt in out.items())
+            for w in range(self.wide):
+                at = state * self.wide + w
+                self.first[at] = len(to)
+                mine = [(s & 63, nxt) for s, nxt in own if s >> 6 == w]
+                self.bits[at] = sum(1 << s for s, _ in mine)
+                to += [nxt for _, nxt in mine]
+        self.to = np.array([*to, 0], np.int32)
+        # from the start: the state of each symbol, 0 if the text hasn't it
+        start, every = np.zeros(symbols, np.int32), np.arange(symbols, dtype=np.uint16)
+        to, none = self.step(start, every, np.uint64(1) << (every & 63).astype(np.uint64))
+        self.begin = np.where(none, 0, to)
+
+    def step(self, states: np.ndarray, symbols: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the next state of each, which have no edge and so none); ``bit``: that of the symbol."""
+        at = states * self.wide + (symbols >> 6) if self.wide > 1 else states
+        bits = self.bits[at]
+        return self.to[self.first[at] + np.bitwise_count(bits & (bit - np.uint64(1)))], (bits & bit) == 0
+
+
 class CrossParser:
     def __init__(self, samples: dict[str, bytes], segment: int = SEGMENT):
         self.langs, self.segment = sorted(samples), segment
         seen = sorted(set().union(*map(set, samples.values()))) if samples else []
-        self.bits = max(1, (len(seen) + 1).bit_length())
-        self.symbol = np.zeros(256, np.int32)  # 0: a byte in no sample
+        self.symbol = np.zeros(256, np.uint16)  # 0: a byte in no sample
         self.symbol[seen] = np.arange(1, len(seen) + 1)
-        self.tables = [self.table(samples[x]) for x in self.langs]
+        self.bit = np.uint64(1) << (np.arange(len(seen) + 1, dtype=np.uint64) & np.uint64(63))
+        self.automata = [Automaton(samples[x], self.symbol, len(seen) + 1) for x in self.langs]
         self.samples = samples
         self.cost = np.array([np.log2(max(2, len(samples[x]))) for x in self.langs])
 
-    def table(self, text: bytes) -> np.ndarray:
-        """By state and symbol: the next state's row, and in the two low bits how many phrases end or stand alone there."""
-        edges = suffix_automaton(text)
-        to = np.zeros((len(edges), 1 << self.bits), np.int64)
-        for state, out in enumerate(edges):
-            if out:
-                to[state, self.symbol[list(out)]] = list(out.values())
-        fresh = np.where(to == 0, to[0][None, :], to)
-        ends = (to == 0) & (np.arange(len(edges)) > 0)[:, None]
-        phrases = ends.astype(np.int64) + (fresh == 0)
-        return ((fresh << (self.bits + 2)) | phrases).astype(np.int32 if len(edges) << (self.bits + 2) < 1 << 31 else np.int64).ravel()
-
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each row (first axis) in each language."""
         sizes = np.diff(offsets)
@@ -117,20 +153,31 @@ class CrossParser:
         start = offsets[:-1][row] + nth * self.segment
         length = np.minimum(self.segment, offsets[1:][row] - start)
         order = np.argsort(-length, kind="stable")
-        row, start, length = row[order], start[order], length[order]
+        out = np.zeros((len(sizes), len(self.langs)))
+        for a in range(0, len(order), LOCKSTEP):
+            some = order[a : a + LOCKSTEP]
+            counts = self.lockstep(data, start[some], length[some])
+            for k in range(len(self.langs)):
+                out[:, k] += np.bincount(row[some], counts[k], minlength=len(sizes))
+        return out
+
+    def lockstep(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Phrases of segments, the longest first, by language."""
         width = int(length[0]) if len(length) else 0
-        codes = self.symbol[data]
-        grid = codes[np.minimum(start[None, :] + np.arange(width)[:, None], max(0, len(codes) - 1))] if width else np.zeros((0, 0), np.int32)
+        places = np.minimum(start[None, :] + np.arange(width, dtype=np.int32)[:, None], max(0, len(data) - 1))
+        grid = self.symbol[data[places]] if width else np.zeros((0, 0), np.uint16)
         live = np.searchsorted(-length, -np.arange(width), "left")  # segments longer than each step
-        out = np.zeros((len(sizes), len(self.langs)))
-        for k, table in enumerate(self.tables):
-            at, total = np.zeros(len(row), table.dtype), np.zeros(len(row), np.int32)
-            for step in range(width):
-                n = live[step]
-                at[:n] = table[(at[:n] >> 2) + grid[step, :n]]
-                total[:n] += at[:n] & 3
-            total += (at >> 2) > 0  # the last phrase
-            out[:, k] = np.bincount(row, total, minlength=len(sizes))
+        out, at = np.zeros((len(self.langs), len(start)), np.int32), np.zeros((len(self.langs), len(start)), np.int32)
+        for step in range(width):
+            n = live[step]
+            symbols = grid[step, :n]
+            bit = self.bit[symbols]
+            for total, states, own in zip(out, at, self.automata, strict=True):
+                now = states[:n]
+                to, ends = own.step(now, symbols, bit)
+                # a phrase begins at the start, and where the one before has no edge; a byte that the text hasn't is one alone
+                total[:n] += ends | (now == 0)
+                states[:n] = np.where(ends, own.begin[symbols], to)
         return out
 
     def __call__(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
@@ -149,7 +196,6 @@ class CrossParser:
             score = np.where(second > 0, np.clip(1 - least / second, 0, 1), 0.0)
         return [self.langs[b] if ok else "und" for b, ok in zip(best, has_letter, strict=True)], np.where(has_letter, score, 0.0), np.where(has_letter, least, np.nan)
 
-
     def single(self, texts: pa.Array, langs: list) -> np.ndarray:
         """Which texts, normalised, are one phrase of their language?"""
         data, offsets = normalised(texts)
@@ -160,14 +206,17 @@ class CrossParser:
         return out
 
 
-def samples(labelled: DataFrame, rows: int = ROWS, row_chars: int = ROW_CHARS, size: int = TRAIN_BYTES) -> dict[str, bytes]:
-    """The training text of each language, from a frame with ``doc_id, text, lang``."""
-    narrow = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("at"), F.substring("text", 1, row_chars).alias("text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+def samples(labelled: DataFrame, rows: int = ROWS, row_bytes: int = ROW_BYTES, size: int = TRAIN_BYTES) -> dict[str, bytes]:
+    """The training text of each language, whole texts, from a frame with ``doc_id, text, lang``."""
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    work = known.select("lang", F.greatest(F.octet_length("text"), F.lit(row_bytes)).alias("long"), F.xxhash64(F.col("doc_id").cast("string")).alias("at"), "text")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("long", "at", "text"))
     out: dict[str, bytes] = {}
-    for r in narrow.withColumn("nth", nth).filter(F.col("nth") <= rows).orderBy("lang", "nth").collect():
-        data, _ = normalised(pa.array([r["text"] + " "]))
-        out[r["lang"]] = (out.get(r["lang"], b"") + data.tobytes())[:size]
+    for r in work.withColumn("nth", nth).filter(F.col("nth") <= rows).orderBy("lang", "nth").toLocalIterator():
+        own = out.get(r["lang"], b"")
+        if len(own) < size:
+            data, _ = normalised(pa.array([r["text"] + " "]))
+            out[r["lang"]] = own + data.tobytes()
     return {k: v for k, v in out.items() if v}
 
 
@@ -177,7 +226,7 @@ def predict(docs: DataFrame, trained: dict[str, bytes]) -> DataFrame:
 
     def run(batches):
         parser = once(key, lambda: CrossParser(held.value))
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             langs, score, entropy = parser(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64(), from_pandas=True)], names=["doc_id", "lang_pred", "score", "entropy"])
 
@@ -190,7 +239,7 @@ def accepted(docs: DataFrame, trained: dict[str, bytes], most: float = MOST_ENTR
 
     def run(batches):
         parser = once(key, lambda: CrossParser(held.value))
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE):
             langs, _, entropy = parser(part.column("text"))
             keep = np.array([x != "und" for x in langs], bool)
             costly = np.flatnonzero(keep & ~(entropy <= most))

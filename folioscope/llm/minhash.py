@@ -12,13 +12,14 @@ is verified on the full sets.
 
 No bucket is ever expanded into all its pairs. In the first rounds its least node is
 compared with the others, after which it has met everyone and leaves; buckets whose nodes
-are of one component by then are done. The rest are compared inside the tasks that read
-them, in blocks of ``BLOCK`` nodes of a bucket by blocks, so that a large bucket is
-spread over tasks: first by signatures alone, after which only nodes that survived with
-some partner are sent on with their full sets, to be verified in the same groups; of the
-links found only those leave a task that join two of its components. Buckets of over
-``HOT`` nodes meet what is known of them by a broadcast of these few keys (their number
-is counted first), never in one task.
+are of one component by then are done. Of the rest the nodes outside a bucket's largest
+component are compared with all, inside the tasks that read them, ``BLOCK`` of them with
+``BLOCK`` of all at a time, so that a large bucket is spread over tasks and one that is
+nearly whole costs little: first by signatures alone, after which only nodes that survived
+with some partner are sent on with their full sets, to be verified in the same groups; of
+the links found only those leave a task that join two of its components. Buckets and
+components of over ``HOT`` nodes meet what is known of them by a broadcast of these few
+keys (their number is counted first), never in one task.
 
 Edge cases: null, blank and empty texts have an empty set, link with nothing and are
 their own component; a text of fewer than ``words`` words has its whole sequence as the
@@ -46,7 +47,7 @@ from .text import Lexer, Words, joined, mix, pieces
 BANDS, ROWS = 40, 6
 MISS = 1e-7
 STEP = 40
-BLOCK = 1024
+BLOCK = 512
 BLOCK_BYTES = 8 << 20
 CELLS = 4 << 20
 STAR_ROUNDS = 2
@@ -270,7 +271,9 @@ class Forest:
         return a != b
 
 
-GROUPED = "key long, i int, j int, part int, node long, component long, sig binary"
+GROUPED = "key long, i int, j int, role int, node long, component long, sig binary"
+#: Roles in a group: to be compared with all others; one of these, of the bucket's largest component or not.
+LEFT, LARGEST, OTHER = 0, 1, 2
 
 
 def _groups(batches, columns: int):
@@ -280,24 +283,23 @@ def _groups(batches, columns: int):
         for key, some in groupby(zip(*(b.column(c).to_pylist() for c in range(columns)), strict=True), lambda r: r[:3]):
             if key != now:
                 if len(held) > 1:
-                    yield now, held
+                    yield held
                 held, now = [], key
             held.extend(some)
     if len(held) > 1:
-        yield now, held
+        yield held
 
 
-def _candidates(rows, key, prune: Pruning, tops):
+def _candidates(rows, prune: Pruning, tops):
     """Pairs of places in a group that survive pruning, some rows at a time; ``tops()``: the component of each place by now."""
     sig = np.array([np.frombuffer(r[6], np.uint16) for r in rows])
-    part = np.array([r[3] for r in rows])
-    for a in range(0, len(rows), 64):
+    role, node = (np.array([r[k] for r in rows]) for k in (3, 4))
+    lefts, rights = np.flatnonzero(role == LEFT), np.flatnonzero(role != LEFT)
+    for a in range(0, len(lefts), 64):
         top = tops()
-        left, right = np.meshgrid(np.arange(a, min(a + 64, len(rows))), np.arange(len(rows)), indexing="ij")
-        left, right = left.ravel(), right.ravel()
-        new = (left < right) & (top[left] != top[right])
-        if key[1] != key[2]:
-            new &= part[left] != part[right]
+        left, right = (x.ravel() for x in np.meshgrid(lefts[a : a + 64], rights, indexing="ij"))
+        # two nodes that are both compared with all meet in two groups
+        new = (top[left] != top[right]) & ((role[right] == LARGEST) | (node[left] < node[right]))
         left, right = left[new], right[new]
         alive = prune(sig, sig, left, right)
         if len(alive):
@@ -305,24 +307,33 @@ def _candidates(rows, key, prune: Pruning, tops):
 
 
 def blockwise(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components inside buckets (``key, n, bytes, node, component``): pruned, and verified on full sets.
+    """Links between different components inside buckets (``key, node, component, size``): pruned, and verified on full sets.
 
-    Blocks of a bucket meet two by two, each pair in a group of its own of bounded bytes.
-    A group sends on at most one link less than it has nodes: those that join its trees.
+    The nodes outside the largest component, in blocks, meet all nodes, in blocks, each
+    pair of blocks in a group of its own of bounded bytes. A group sends on at most one
+    link less than it has nodes: those that join its trees.
     """
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
-    rows = members.withColumn("blocks", F.greatest(blocks, F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sigs, "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component", "sig")
+    shares = members.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes"))
+    facts = shares.groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "component", "bytes")).alias("most"))
+    blocks = lambda n, b: F.greatest(F.ceil(F.greatest(n / BLOCK, b / BLOCK_BYTES)), F.lit(1)).cast("int")
+    facts = facts.select("key", "n", F.col("most.component").alias("largest"), blocks(F.col("n"), F.col("bytes")).alias("rights"), blocks(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("lefts"))
+    rows = keyed(members, shared.table(facts, "near-facts"), "near-hot").join(sigs, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    other, upto = F.col("component") != F.col("largest"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    slot = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.cast("int").alias("role"))
+    all_ = F.transform(upto("lefts"), lambda i: slot(i, own("rights"), F.when(other, OTHER).otherwise(LARGEST)))
+    lefts = F.transform(upto("rights"), lambda j: slot(own("lefts"), j, F.lit(LEFT)))
+    rows = rows.select("key", F.explode(F.when(other, F.concat(all_, lefts)).otherwise(all_)).alias("slot"), "node", "component", "sig")
+    rows = rows.select("key", "slot.i", "slot.j", "slot.role", "node", "component", "sig")
 
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def survivors(batches):
         prune = Pruning(percent)
-        for key, rows in _groups(batches, 7):
+        for rows in _groups(batches, 7):
             component, hit = np.array([r[5] for r in rows], np.int64), np.zeros(len(rows), bool)
-            for left, right in _candidates(rows, key, prune, lambda component=component: component):
+            for left, right in _candidates(rows, prune, lambda component=component: component):
                 hit[left] = hit[right] = True
             if hit.any():
                 kept = [r for r, ok in zip(rows, hit, strict=True) if ok]
@@ -330,10 +341,10 @@ def blockwise(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int
 
     def links(batches):
         prune = Pruning(percent)
-        for key, rows in _groups(batches, 8):
+        for rows in _groups(batches, 8):
             sets, node = [np.frombuffer(r[7], np.uint64) for r in rows], [r[4] for r in rows]
             trees, out = Forest(np.array([r[5] for r in rows], np.int64)), []
-            for left, right in _candidates(rows, key, prune, lambda trees=trees, n=len(rows): np.array([trees.top(k) for k in range(n)])):
+            for left, right in _candidates(rows, prune, lambda trees=trees, n=len(rows): np.array([trees.top(k) for k in range(n)])):
                 good = linked(sets, sets, left, right, percent)
                 out += [(node[x], node[y]) for x, y in zip(left[good].tolist(), right[good].tolist(), strict=True) if trees.join(x, y)]
             if out:
@@ -367,22 +378,22 @@ def labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
         members = buckets if parts is None else buckets.join(parts, "node", "left")
         members = members.withColumn("component", F.coalesce("component", "node") if parts is not None else F.col("node"))
         members = shared.table(members, "near-members")
-        spread = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(8 * F.col("size")).alias("bytes"), F.min("node").alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("of"))
+        spread = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "node").alias("of"))
         spread = shared.table(spread.filter("low <> high").drop("low", "high"), "near-spread")
-        members = keyed(members, spread, "near-hot")
+        members = shared.table(keyed(members, spread, "near-hot"), "near-open")
         if turn < STAR_ROUNDS:
-            members = shared.table(members, "near-open")
             pairs = members.filter("node <> head and component <> of").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
             found = verified(shared.table(pruned(pairs, sigs, percent), "near-candidates"), sets, percent)
             buckets = members.filter("node <> head").select("key", "node", "size")
         else:
-            found = blockwise(members, sigs, sets, percent).distinct()
+            found = blockwise(members.select("key", "node", "component", "size"), sigs, sets, percent).distinct()
         found = shared.table(found, "near-links")
         links = found if links is None else links.unionByName(found)
         parts = shared.table(components(links), "near-components")
     labels = nodes.select("node", "first").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = labels.groupBy("component").agg(F.min("first").alias("first"))
-    labels = shared.table(labels.drop("first").join(names, "component").select("node", "first"), "near-labels")
+    labels = shared.table(labels.withColumnRenamed("component", "key"), "near-parts")
+    names = shared.table(labels.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("first")), "near-names")
+    labels = shared.table(keyed(labels.drop("first"), names, "near-hot").select("node", "first"), "near-labels")
     shared.drop(nodes, sets)
     return rows.join(labels, "node", "left")
 

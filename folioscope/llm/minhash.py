@@ -215,8 +215,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((u, v))
             yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
 
-    many = pairs.groupBy("u").agg(F.ceil(F.count("*") / HOT).alias("parts"))
-    pairs = pairs.join(many, "u").select("u", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("salt"), "v")
+    many = shared.small(pairs.groupBy("u").agg(F.ceil(F.count("*") / HOT).alias("parts")).filter("parts > 1"), "near-heads")
+    salt = F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int")
+    pairs = pairs.join(many, "u", "left").select("u", salt.alias("salt"), "v")
     pairs = shared.table(pairs, "near-pairs")
     heads = pairs.select("u", "salt").distinct().join(sets, F.col("u") == F.col("node")).select("u", "salt", F.lit(None).cast("long").alias("v"), "own")
     rest = pairs.join(sets, F.col("v") == F.col("node")).select("u", "salt", "v", "own")

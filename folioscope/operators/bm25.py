@@ -8,34 +8,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources import scratch
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 @dataclass
 class Index:
-    """``postings (term, chunk_id, tf)``, ``lengths (chunk_id, dl)``, ``terms (term, df, idf)``, ``corpus (n, avgdl)`` of one row."""
+    """``postings (term, chunk_id, tf, dl)``, ``lengths (chunk_id, dl)``, ``terms (term, df, idf)``, ``corpus (n, avgdl)`` of one row."""
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
-    def cached(self) -> Index:
-        for df in (self.postings, self.lengths, self.terms, self.corpus):
-            df.persist()
-        return self
+    def kept(self, keep=scratch.table) -> Index:
+        """The index as tables: postings sorted by term, so that a search reads the files of its terms."""
+        postings = self.postings.repartitionByRange("term").sortWithinPartitions("term")
+        return Index(keep(postings), keep(self.lengths), keep(self.terms), keep(self.corpus))
 
 
-def build(chunks: DataFrame) -> Index:
-    """I2 from ``chunks (chunk_id, content)``.
+def build(chunks: DataFrame, keep=None) -> Index:
+    """I2 from ``chunks (chunk_id, content)``; with ``keep`` what is counted once is held by it and read again.
 
     idf = ln(N - df + 0.5) - ln(df + 0.5); where negative, a quarter of the mean over all terms.
     """
-    words = chunks.select("chunk_id", tokens(F.col("content")).alias("words"))
-    lengths = words.select("chunk_id", F.size("words").cast("long").alias("dl"))
+    words = chunks.select("chunk_id", tokens(F.col("content")).alias("words")).withColumn("dl", F.size("words").cast("long"))
+    lengths = words.select("chunk_id", "dl")
+    lengths = lengths if keep is None else keep(lengths)
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = words.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    postings = words.select("chunk_id", "dl", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    if keep is not None:
+        postings = keep(postings.repartitionByRange("term").sortWithinPartitions("term"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -50,13 +54,15 @@ def search(index: Index, queries: DataFrame, top_k: int = 10, include_zero: bool
     ``include_zero``. Ties go by chunk id.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hit = asked.join(index.terms, "term").join(index.postings, "term").join(index.lengths, "chunk_id").join(F.broadcast(index.corpus.select("avgdl")))  # one row
+    # the terms of the questions are counted; where they are few, postings of frequent words aren't dealt by term
+    asked = scratch.small(asked.join(index.terms.select("term", "idf"), "term"), "asked-terms")
+    hit = index.postings.join(asked, "term").join(F.broadcast(index.corpus.select("avgdl")))  # one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hit.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
     if include_zero:
         # enough chunks by id stand for those without a word: at most top_k of them can be returned
         spare = index.lengths.select("chunk_id").orderBy("chunk_id").limit(top_k)
-        zero = queries.select("query_id").join(F.broadcast(spare)).withColumn("score", F.lit(0.0))  # top_k rows
+        zero = queries.select("query_id").distinct().join(F.broadcast(spare)).withColumn("score", F.lit(0.0))  # top_k rows
         scores = scores.unionByName(zero.join(scores.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= top_k)

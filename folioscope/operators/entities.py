@@ -17,8 +17,19 @@ from ..functions.text import matches, strip
 from ..sources.vocabulary import DEFAULT
 
 MENTION = "array<struct<extractor:int,k:int,entity_id:string,type:string,name:string,properties:string>>"
-EXTRACTORS = ("elements", "properties", "processes", "references", "samples", "cited", "patdocs", "inventors", "assignees", "applications", "materials", "problems", "solutions")
+EXTRACTORS = ("elements", "properties", "processes", "references", "samples", "cited", "inventors", "assignees", "applications", "materials", "patdocs", "problems", "solutions")
+#: What a composition may look like, and which groups hold its values; {symbol} is an element's.
+COMPOSITION = (
+    (r"\b{symbol}\s*[:=]?\s*(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)", 1, None, 2),
+    (r"\b{symbol}\s*[:=]?\s*(\d+\.?\d*)\s*(?:to|-)\s*(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)", 1, 2, 3),
+    (r"(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)\s*(?:to|-)\s*(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)(?:\s+by\s+mass)?\s+(?:of\s+)?\b{symbol}\b", 1, 3, 4),
+    (r"(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)(?:\s+by\s+mass)?\s+(?:or\s+less\s+)?(?:of\s+)?\b{symbol}\b", 1, None, 2),
+)
+#: The measure after a property's alias, and the temperature after a process's.
+MEASURE = r"\s*(?:of|:)?\s*(\d+)\s*(MPa|%|T|W/kg)"
+DEGREES = r".*?(\d+)\s*°?C"
 #: The patterns of references, samples, citations and people.
+REFERENCES = (("table", r"(?i)Table\s*(\d+)", "Table "), ("formula", r"(?i)Formula\s*\((\d+)\)", "Formula "), ("figure", r"(?i)(?:FIG\.?|Figure)\s*(\d+)", "Figure "))
 CITED = r"(?iU)(?:US|EP|WO|JP|CN|KR|DE|GB|FR)\s*[\d,./\-]{4,}(?:\s*[AB]\d)?\b"
 PATDOC = r"(?i)Patent\s+(?:Document|Literature|Lit\.?)\s+(\d+)"
 PEOPLE = {"inventors": r"[Ii]nventor(?:s)?\s*[:;]\s*(.+?)(?:\n|$)", "assignees": r"(?:[Aa]ssignee|[Aa]pplicant)(?:s)?\s*[:;]\s*(.+?)(?:\n|$)"}
@@ -45,28 +56,22 @@ def _id(*parts) -> Column:
 
 def composition(text: Column, elements: dict) -> Column:
     """Structs (symbol, full, low, high, unit) in order of element, form and place; high is set for ranges."""
-    number, unit = r"(\d+\.?\d*)", r"(%|mass\s*%|wt\s*%)"
-    forms = []
-    for symbol, full in elements.items():
-        head, tail = rf"\b{symbol}\s*[:=]?\s*", rf"(?:\s+by\s+mass)?{{less}}\s+(?:of\s+)?\b{symbol}\b"
-        single, ranged = ("low", "unit"), ("low", "high", "unit")
-        for groups, pattern in (
-            (single, head + rf"{number}\s*{unit}"),
-            (ranged, head + rf"{number}\s*(?:to|-)\s*{number}\s*{unit}"),
-            (("low", None, "high", "unit"), rf"{number}\s*{unit}\s*(?:to|-)\s*{number}\s*{unit}" + tail.format(less="")),
-            (single, rf"{number}\s*{unit}" + tail.format(less=r"(?:\s+or\s+less)?")),
-        ):
-            forms.append((symbol, full, groups, re.compile(pattern, re.IGNORECASE)))
+    forms = [(symbol, symbol.casefold(), full, [(re.compile(p.format(symbol=symbol), re.IGNORECASE), *groups) for p, *groups in COMPOSITION]) for symbol, full in elements.items()]
+    longest = {len(low) for _, low, _, _ in forms}
 
     def found(x: str | None) -> list[dict]:
         out, spans = [], set()
         if x and "%" in x:
-            for symbol, full, groups, pattern in forms:
-                for m in pattern.finditer(x):
-                    if m.span() not in spans:
-                        spans.add(m.span())
-                        got = {g: v for g, v in zip(groups, m.groups(), strict=True) if g}
-                        out.append({"symbol": symbol, "full": full, "low": float(got["low"]), "high": float(got["high"]) if "high" in got else None, "unit": got["unit"] if "high" not in got else "%"})
+            words = re.findall(r"\w+", x.casefold())  # a symbol is never matched but at the start of a word
+            starts = {w[:n] for w in words for n in longest}
+            for symbol, low, full, patterns in forms:
+                if low not in starts:
+                    continue
+                for pattern, low_at, high_at, unit_at in patterns:
+                    for m in pattern.finditer(x):
+                        if m.span() not in spans:
+                            spans.add(m.span())
+                            out.append({"symbol": symbol, "full": full, "low": float(m[low_at]), "high": float(m[high_at]) if high_at else None, "unit": m[unit_at]})
         return out
 
     @F.pandas_udf("array<struct<symbol:string,full:string,low:double,high:double,unit:string>>")
@@ -82,8 +87,8 @@ def elements(items: Column) -> Column:
     one = lambda x, k: F.struct(
         F.lit(number).alias("extractor"), k.cast("int").alias("k"),
         F.concat(F.col("doc_id"), F.lit("_"), x["symbol"], F.when(ranged(x), "_range_").otherwise("_"), k.cast("string")).alias("entity_id"),
-        F.when(ranged(x), "composition_range").otherwise("chemical_element").alias("type"), x["symbol"].alias("name"),
-        F.when(ranged(x), F.to_json(F.struct(x["full"].alias("full_name"), x["low"].alias("min"), x["high"].alias("max"), x["unit"].alias("unit")))).otherwise(F.to_json(F.struct(x["full"].alias("full_name"), x["low"].alias("value"), x["unit"].alias("unit")))).alias("properties"),
+        F.when(ranged(x), "composition_range").otherwise("chemical_element").alias("type"), F.when(ranged(x), F.concat(x["symbol"], F.lit("_range"))).otherwise(x["symbol"]).alias("name"),
+        F.when(ranged(x), F.to_json(F.struct(x["symbol"].alias("element"), x["low"].alias("min_val"), x["high"].alias("max_val"), F.lit("%").alias("unit")))).otherwise(F.to_json(F.struct(x["full"].alias("full_name"), x["low"].alias("value"), x["unit"].alias("unit")))).alias("properties"),
     )
     return F.transform(items, one).cast(MENTION)
 
@@ -98,7 +103,7 @@ def _vocabulary(extractor: str, words: dict, kind: str, make) -> Column:
 
 def properties(words: dict) -> Column:
     def make(canon, alias):
-        pattern = rf"(?iu){_quoted(alias)}\s*(?:of|:)?\s*(\d+)\s*(MPa|%|T|W/kg)"
+        pattern = rf"(?iu){_quoted(alias)}{MEASURE}"
         value = F.nullif(F.regexp_extract("content", pattern, 1), F.lit(""))
         unit = F.nullif(F.regexp_extract("content", pattern, 2), F.lit(""))
         return F.struct(F.lit(canon).alias("canon"), F.to_json(F.struct(F.lit(alias).alias("alias"), value.cast("double").alias("value"), unit.alias("unit"))).alias("properties"))
@@ -108,8 +113,8 @@ def properties(words: dict) -> Column:
 
 def processes(words: dict) -> Column:
     def make(canon, alias):
-        degrees = F.nullif(F.regexp_extract("content", rf"(?iu){_quoted(alias)}.*?(\d+)\s*°?C", 1), F.lit(""))
-        return F.struct(F.lit(canon).alias("canon"), F.to_json(F.struct(F.lit(alias).alias("alias"), degrees.cast("int").alias("temperature"))).alias("properties"))
+        degrees = F.nullif(F.regexp_extract("content", rf"(?iu){_quoted(alias)}{DEGREES}", 1), F.lit(""))
+        return F.struct(F.lit(canon).alias("canon"), F.to_json(F.struct(F.lit(alias).alias("alias"), degrees.cast("int").alias("temperature"), F.when(degrees.isNotNull(), "°C").alias("temperature_unit"))).alias("properties"))
 
     return _vocabulary("processes", words, "process", make)
 
@@ -117,7 +122,7 @@ def processes(words: dict) -> Column:
 def references() -> Column:
     """E8"""
     out = []
-    for kind, pattern, label in (("table", r"(?i)Table\s*(\d+)", "Table "), ("formula", r"(?i)Formula\s*\((\d+)\)", "Formula "), ("figure", r"(?i)(?:FIG\.?|Figure)\s*(\d+)", "Figure ")):
+    for kind, pattern, label in REFERENCES:
         numbers = matches(F.col("content"), pattern, 1)
         out.append(_mentions("references", numbers, lambda x, k, t=kind: _id(f"_{t}_", x), kind, lambda x, k, t=label: F.concat(F.lit(t), x), lambda x, k, t=kind: F.to_json(F.struct(x.cast("long").alias(f"{t}_number")))))
     return F.concat(*out)
@@ -125,7 +130,7 @@ def references() -> Column:
 
 def samples() -> Column:
     """E9"""
-    return _mentions("samples", matches(F.col("content"), SAMPLE, 1), lambda x, k: _id("_sample_", x), "sample", lambda x, k: F.concat(F.lit("Sample "), x), lambda x, k: F.lit("{}"))
+    return _mentions("samples", matches(F.col("content"), SAMPLE, 1), lambda x, k: _id("_sample_", x), "sample", lambda x, k: F.concat(F.lit("Sample "), x), lambda x, k: F.to_json(F.struct(x.alias("sample_id"))))
 
 
 def cited() -> Column:
@@ -137,7 +142,7 @@ def cited() -> Column:
 
 def patdocs() -> Column:
     """E11"""
-    return _mentions("patdocs", F.array_distinct(matches(F.col("content"), PATDOC, 1)), lambda x, k: _id("_patdoc_", x), "patent_doc_reference", lambda x, k: F.concat(F.lit("Patent Document "), x), lambda x, k: F.to_json(F.struct(x.cast("long").alias("number"))))
+    return _mentions("patdocs", F.array_distinct(matches(F.col("content"), PATDOC, 1)), lambda x, k: _id("_patdoc_", x), "patent_doc_reference", lambda x, k: F.concat(F.lit("Patent Document "), x), lambda x, k: F.to_json(F.struct(x.cast("long").alias("doc_number"))))
 
 
 def _firsts(items: Column, key: str, fields: str) -> Column:
@@ -158,7 +163,7 @@ def worded(which: str, words: dict) -> Column:
     kind, label = {"applications": ("application", "_app_"), "materials": ("material", "_material_")}[which]
     low = F.lower("content")
     hits = [F.coalesce(*[F.when(low.rlike(rf"(?U)\b{_quoted(a.lower())}\b"), F.struct(F.lit(canon).alias("canon"), F.lit(a).alias("alias"))) for a in aliases]) for canon, aliases in words.items()]
-    return _mentions(which, F.filter(F.array(*hits), lambda x: x.isNotNull()), lambda x, k: _id(label, x["canon"]), kind, lambda x, k: x["canon"], lambda x, k: F.to_json(F.struct(x["alias"].alias("alias"))))
+    return _mentions(which, F.filter(F.array(*hits), lambda x: x.isNotNull()), lambda x, k: _id(label, x["canon"]), kind, lambda x, k: x["canon"], lambda x, k: F.to_json(F.struct(x["alias"].alias("matched_alias"))))
 
 
 def sentence(text: Column, phrase: str) -> Column:
@@ -185,23 +190,57 @@ def extracted(chunks: DataFrame, vocabulary: dict = DEFAULT, external: DataFrame
     v = vocabulary
     rows = chunks.withColumn("composition", composition(F.col("content"), v["elements"]))
     every = F.concat(
-        elements(F.col("composition")), properties(v["properties"]), processes(v["processes"]), references(), samples(), cited(), patdocs(), people("inventors"), people("assignees"),
-        worded("applications", v["applications"]), worded("materials", v["materials"]), triggered("problems", v["problems"]), triggered("solutions", v["solutions"]),
+        elements(F.col("composition")), properties(v["properties"]), processes(v["processes"]), references(), samples(), cited(), people("inventors"), people("assignees"),
+        worded("applications", v["applications"]), worded("materials", v["materials"]), patdocs(), triggered("problems", v["problems"]), triggered("solutions", v["solutions"]),
     )
     out = rows.select("chunk_id", "doc_id", "seq", F.inline(every))
     return out if external is None else external.select(*out.columns).unionByName(out)
 
 
-LLM_SCHEMA = "elements array<struct<symbol:string,value:double,unit:string>>, properties array<struct<name:string,value:double,unit:string>>, steps array<struct<name:string,temperature:int>>"
+#: The lists in a model's answer, those of measurements and those of names.
+MODEL_LISTS = "compositions array<struct<element:string,min_val:double,max_val:double,unit:string>>, properties array<struct<name:string,value:double,unit:string,condition:string>>, processes array<struct<name:string,temperature:double,duration:string,parameters:map<string,string>>>"
+MODEL_NAMES = ("inventors", "assignees", "cited_patents", "applications", "materials", "problems", "solutions")
+MODEL_SCHEMA = f"{MODEL_LISTS}, patent_meta struct<{','.join(f'{x}:array<string>' for x in MODEL_NAMES)}>"
 
 
 def from_model(answers: DataFrame) -> DataFrame:
-    """Mentions from a model's JSON answers (``chunk_id, doc_id, seq, answer``); what doesn't parse gives none."""
-    parsed = answers.withColumn("a", F.from_json("answer", LLM_SCHEMA))
+    """Mentions from a model's JSON answers (``chunk_id, doc_id, seq, answer``): three lists of measurements and seven of names; what doesn't parse gives none.
 
-    def listed(field, kind, name, label):
-        one = lambda x, k: F.struct(F.lit(-1).alias("extractor"), k.cast("int").alias("k"), F.concat(F.col("doc_id"), F.lit(f"_llm_{label}_"), x[name]).alias("entity_id"), F.lit(kind).alias("type"), x[name].alias("name"), F.to_json(x).alias("properties"))
-        return F.coalesce(F.transform(F.col("a")[field], one).cast(MENTION), F.array().cast(MENTION))
-
-    every = F.concat(listed("elements", "chemical_element", "symbol", "element"), listed("properties", "property", "name", "property"), listed("steps", "process", "name", "process"))
-    return parsed.select("chunk_id", "doc_id", "seq", F.inline(every))
+    An id holds the place among all mentions of the answer, or the name where that tells
+    them apart, so that names met again are one entity.
+    """
+    parsed = answers.withColumn("a", F.from_json("answer", MODEL_SCHEMA))
+    listed = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    spaced = lambda x: F.replace(x, F.lit(" "), F.lit("_"))
+    source = F.lit("llm").alias("source")
+
+    def mention(items: Column, kind: str, name, entity_id, properties) -> Column:
+        one = lambda x: F.struct(entity_id(x).alias("entity_id"), F.lit(kind).alias("type"), name(x).alias("name"), properties(x).alias("properties"))
+        return F.transform(items, one)
+
+    def measured(field: str, kind: str, key: str, told) -> Column:
+        return mention(listed(F.col("a")[field], dict(parsed.select(f"a.{field}").dtypes)[field]), kind, lambda x: x[key], lambda x: x[key], told)
+
+    def named(field: str, kind: str, label: str | None, norm=strip, in_id=spaced) -> Column:
+        items = F.transform(listed(F.col("a.patent_meta")[field], "array<string>"), norm)
+        entity_id = (lambda x: _id(f"_{label}_", in_id(x))) if label else (lambda x: F.lit(None).cast("string"))
+        return mention(items, kind, lambda x: x, entity_id, lambda x: F.to_json(F.struct(source)))
+
+    low = lambda x: F.lower(strip(x))
+    more = lambda x: F.to_json(F.map_concat(
+        F.map_filter(F.create_map(F.lit("temperature"), x["temperature"].cast("string"), F.lit("duration"), x["duration"]), lambda k, v: v.isNotNull()),
+        F.map_filter(F.coalesce(x["parameters"], F.create_map().cast("map<string,string>")), lambda k, v: ~k.isin("temperature", "duration", "source")),
+        F.create_map(F.lit("source"), F.lit("llm")),
+    ))
+    every = F.concat(
+        measured("compositions", "chemical_element", "element", lambda x: F.to_json(F.struct(x["min_val"].alias("min_val"), x["max_val"].alias("max_val"), x["unit"].alias("unit"), source))),
+        measured("properties", "property", "name", lambda x: F.to_json(F.struct(x["value"].alias("value"), x["unit"].alias("unit"), x["condition"].alias("condition"), source))),
+        measured("processes", "process", "name", more),
+        named("inventors", "inventor", "inventor", in_id=lambda x: spaced(F.lower(x))), named("assignees", "assignee", "assignee", in_id=lambda x: spaced(F.lower(x))),
+        named("cited_patents", "patent_reference", "cited", in_id=lambda x: F.replace(x, F.lit(" "), F.lit(""))),
+        named("applications", "application", "app", low), named("materials", "material", "material", low), named("problems", "problem", None), named("solutions", "solution", None),
+    )
+    place = lambda k: k.cast("string")
+    entity_id = lambda x, k: F.when(x["type"].isin("chemical_element", "property", "process"), F.concat(F.col("doc_id"), F.lit("_"), x["name"], F.lit("_llm_"), place(k))).when(x["type"].isin("problem", "solution"), F.concat(F.col("doc_id"), F.lit("_"), x["type"], F.lit("_"), place(k))).otherwise(x["entity_id"])
+    numbered = F.transform(every, lambda x, k: F.struct(F.lit(-1).alias("extractor"), k.cast("int").alias("k"), entity_id(x, k).alias("entity_id"), x["type"].alias("type"), x["name"].alias("name"), x["properties"].alias("properties"))).cast(MENTION)
+    return parsed.select("chunk_id", "doc_id", "seq", F.inline(F.coalesce(numbered, F.array().cast(MENTION))))

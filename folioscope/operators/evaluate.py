@@ -60,6 +60,23 @@ def quota(size: int, documents: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.lit(size) / documents)).cast("long")
 
 
+def summary(details: DataFrame, categories: DataFrame, contributions: DataFrame, metrics: DataFrame) -> str:
+    """The summary for a console."""
+    out = [f"Questions: {details.count()}", *(f"{r['metric']}: {r['mean']:.4f}" for r in metrics.filter("mean is not null").orderBy("metric").toLocalIterator())]
+    out += [f"{r['category']}: {r['count']} questions, contexts {r['avg_contexts']:.1f}, BM25 {r['avg_bm25_hits']:.1f}, semantic {r['avg_semantic_hits']:.1f}, graph {r['avg_graph_hits']:.1f}" for r in categories.orderBy("category").toLocalIterator()]
+    return "\n".join(out + [f"{r['retriever']}: {r['hits']} hits ({r['percent']:.1f} %)" for r in contributions.orderBy("retriever").toLocalIterator()]) + "\n"
+
+
+def detailed(details: DataFrame, most: int | None = None, cut: int = 300) -> str:
+    """The report by question, of the first ``most`` by id."""
+    rows, out = details.orderBy("id") if most is None else details.orderBy("id").limit(most), []
+    for k, r in enumerate(rows.toLocalIterator(), 1):
+        r = r.asDict()
+        out += [f"[{k}] {r['id']} - {r['category']}", f"Question: {r['question']}", f"Answer: {(r.get('answer') or '')[:cut]}", "Hits: " + ", ".join(f"{n} {r.get(f'{n}_hits') or 0}" for n in ("bm25", "semantic", "graph"))]
+        out += [f"Error: {r['error']}"] if r.get("error") else [f"  [{n}] {c[:cut]}" for n, c in enumerate(r["contexts"], 1)]
+    return "\n".join(out) + "\n"
+
+
 def report(categories: DataFrame, contributions: DataFrame, title: str = "Evaluation report") -> str:
     """The report as Markdown; the aggregates are a row per category and per retriever."""
     out = [f"# {title}", "", "| category | cases | contexts | BM25 | semantic | graph |", "|---|---|---|---|---|---|"]

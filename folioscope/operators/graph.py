@@ -66,7 +66,7 @@ def relations(chunks: DataFrame, entities: DataFrame, scope: str = "global") ->
         return F.when(condition, items).otherwise(F.array().cast(items_type))
 
     items_type = "array<struct<entity_id:string,type:string,own:string,degrees:int>>"
-    value = lambda x: F.to_json(F.struct(F.lit("temperature").alias("parameter"), x["degrees"].alias("value"), F.lit("°C").alias("unit")))
+    value = lambda x: F.to_json(F.struct(F.lit("temperature").alias("parameter_type"), x["degrees"].alias("value"), F.lit("°C").alias("unit")))
     named, alone = doc != "", F.size(typed("material")) == 0
     parts = [
         each(F.col("all"), lambda x: rel("described_in", join("described_", x["entity_id"], chunk), x["entity_id"], chunk, none, x["own"])),

@@ -40,13 +40,22 @@ class HashedWords:
 
 
 class Echo:
-    """Stand-in language model: answers with the first source."""
+    """Stand-in language model: answers with the first source; J7's three ways of asking."""
 
     name = "echo"
 
     def __call__(self, prompts: list[str]) -> list[str]:
         return [f"See [Source 1]. ({len(p or '')} characters)" for p in prompts]
 
+    def stream(self, prompt: str):
+        """The answer in pieces, as they come."""
+        for word in self([prompt])[0].split(" "):
+            yield word + " "
+
+    def chat(self, messages: list[dict]) -> str:
+        """The answer to the last message of a user, after those before it."""
+        return self([m["content"] for m in messages if m["role"] == "user"][-1:])[0]
+
 
 def encoded(text: Column, encoder: Encoder) -> Column:
     @F.pandas_udf("array<double>")
@@ -56,6 +65,13 @@ def encoded(text: Column, encoder: Encoder) -> Column:
     return run(text)
 
 
+def reranker(settings, made=None):
+    """I16: the scorer that the settings ask for, None if they don't; ``made(model name)`` builds an outside one, else the stand-in scores."""
+    if not settings.reranker:
+        return None
+    return overlap() if made is None else made(settings.reranker_model)
+
+
 def overlap(question: str = "text", content: str = "content"):
     """Stand-in reranker: the share of the question's distinct words that a chunk has."""
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, norm
+from .vectors import search
 
 
 def by_chunk(entities: DataFrame, chunk_entities: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -43,11 +43,8 @@ def chunks_for(entities: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def find_semantic(vectors: DataFrame, queries: DataFrame, top_k: int = 5, threshold: float = 0.3) -> DataFrame:
     """``query_id, entity_id, score, rank``: cosine with 1e-10 in the denominators, the best ``top_k`` at or above ``threshold``."""
-    q = queries.select("query_id", F.col("embedding").alias("q"), (norm(F.col("embedding")) + 1e-10).alias("qn"))
-    v = vectors.select("entity_id", F.col("embedding").alias("v"), (norm(F.col("embedding")) + 1e-10).alias("vn"))
-    both = v.join(q).withColumn("score", F.round(dot(F.col("v"), F.col("q")) / (F.col("vn") * F.col("qn")), 9))  # a stated query set against all rows
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id"))
-    return both.filter(F.col("score") >= threshold).withColumn("rank", rank).filter(F.col("rank") <= top_k).select("query_id", "entity_id", "score", "rank")
+    found = search(vectors.withColumnRenamed("entity_id", "chunk_id"), queries, top_k, threshold, 1e-10)
+    return found.withColumnRenamed("chunk_id", "entity_id")
 
 
 def decoded(entities: DataFrame, schema: str) -> DataFrame:

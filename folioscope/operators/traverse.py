@@ -38,7 +38,9 @@ def related_chunks(names: DataFrame, entities: DataFrame, edges: DataFrame, chun
     """
     from pyspark.sql import Window
 
-    lexical = names.join(entities.select("entity_id", F.col("name").alias("entity_name")), F.expr("entity_name ilike concat('%', name, '%')")).select("query_id", "entity_id")
+    from .graph_search import lexical as matched
+
+    lexical = names.join(matched(names, entities), "name").select("query_id", "entity_id")
     if semantic is not None:
         lexical = lexical.join(semantic.select("query_id").distinct(), "query_id", "left_anti").unionByName(semantic.select("query_id", "entity_id"))
     at = chunk_entities.select(F.col("entity_id").alias("at"), "chunk_id")

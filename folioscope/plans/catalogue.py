@@ -8,14 +8,15 @@ restates an operator on the step before.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_date, split_lines, strip, tokens, unescape
 from ..operators import bm25, chunking, context, entities, evaluate, fusion, graph, graph_search, lines, metadata, store, tables, traverse, vectors
-from ..operators.interfaces import overlap
-from ..sources import readers
+from ..operators.interfaces import Echo, overlap
+from ..sources import readers, scratch, writers
 from ..sources.vocabulary import DEFAULT
 from . import ingest
 
@@ -53,67 +54,100 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # --- the corpus of patents, in SQL that Spark and DuckDB both read --------------------
+# Patents differ by their number: in how the title is given, in which fields there are and
+# how they are written, in page breaks, in solutions and in overlapping compositions.
 _LINES = [
-    "concat('## (54) Sheet of ', p_name)",
-    "concat('(43) Date of publication: ', cast(1 + p_partkey % 28 as string), '.', cast(1 + p_partkey % 12 as string), '.2012 Bulletin')",
-    "concat('(21) Application number: ', cast(p_partkey * 37 as string))",
-    "'(22) Filed:'",
-    "concat('  ', cast(1 + p_partkey % 9 as string), '.11.2009')",
-    "'(71) Applicant:'",
+    "CASE WHEN p_partkey % 10 = 5 THEN concat('# Catalogue of ', p_name) WHEN p_partkey % 10 <> 0 THEN concat('## (54) Sheet of ', p_name) END",
+    "CASE WHEN p_partkey % 13 <> 0 THEN concat('(43) Date of publication: ', cast(1 + p_partkey % 28 as string), '.', cast(1 + p_partkey % 12 as string), '.2012 Bulletin') END",
+    "concat(CASE WHEN p_partkey % 7 = 0 THEN '(21) ' ELSE '(21) Application number: ' END, cast(p_partkey * 37 as string))",
+    "CASE WHEN p_partkey % 4 = 0 THEN concat('- (22) Date of filing: ', cast(1 + p_partkey % 9 as string), '.03.2011') ELSE '(22) Filed:' END",
+    "CASE WHEN p_partkey % 4 <> 0 THEN concat('  ', cast(1 + p_partkey % 9 as string), '.11.2009') END",
+    "CASE WHEN p_partkey % 3 = 0 THEN concat('(30) Priority: ', cast(1 + p_partkey % 28 as string), '.5.2008 JP 2008', cast(100000 + p_partkey as string)) END",
+    "CASE WHEN p_partkey % 6 = 0 THEN '(71)' WHEN p_partkey % 6 = 1 THEN concat('(71) Applicant: ', p_brand, ' AG') ELSE '(71) Applicant:' END",
+    "CASE WHEN p_partkey % 6 = 0 THEN '' END",
     "concat('- ', p_brand, ' &amp; Co')",
-    "'(72) Inventors: Rossi, Ada'",
+    "CASE WHEN p_partkey % 5 = 2 THEN '(72) Inventors:' ELSE '(72) Inventors: Rossi, Ada' END",
     "'- Tanaka, Jun, c/o Works'",
+    "CASE WHEN p_partkey % 5 = 3 THEN 'Weber, Max, DE' END",
+    "CASE WHEN p_partkey % 5 = 4 THEN 'Berlin (DE)' END",
     "'10115 Berlin (DE)'",
-    "concat('(51) H01F 1/', cast(p_size as string), '; C22C 38/02')",
+    "CASE WHEN p_partkey % 8 <> 0 THEN concat('(51) H01F 1/', cast(p_size as string), '; C22C 38/02') END",
+    "CASE WHEN p_partkey % 11 = 0 THEN concat('(21) Second number: ', cast(p_partkey as string)) END",
+    "CASE WHEN p_partkey % 10 = 0 THEN concat(chr(10), '(54) Sheet of ', p_name) END",
     "'## ABSTRACT'",
     "concat('An electrical steel sheet for a transformer has Si: ', cast(p_size % 7 as string), '.5% and a yield stress: ', cast(300 + p_size as string), ' MPa. It follows ', p_type, '.')",
+    "CASE WHEN p_partkey % 8 = 1 THEN 'It holds Mn: 2-3 mass% and Si: 2.5% to 10% by mass of Si, tin with 5% n.' END",
     "''",
     "'Inventor: Ada Rossi; Jun Tanaka'",
-    "'<!-- PB -->'",
+    "CASE WHEN p_partkey % 4 = 2 THEN concat('Applicant: ', p_brand, ' Works, X') END",
+    "CASE WHEN p_partkey % 9 <> 0 THEN '<!-- PB -->' END",
     "'12'",
     "'EP 1 577 413 A1'",
+    "CASE WHEN p_partkey % 5 = 1 THEN 'US 7,234,567 B2' END",
     "'## BACKGROUND'",
     "concat('Known sheets have a high core loss. A problem is the price, see Table ', cast(1 + p_size % 4 as string), '. JP 2001-', cast(300000 + p_partkey as string), ' A1 describes it.')",
-    "'<!-- PB -->'",
+    "CASE WHEN p_partkey % 9 <> 0 THEN '<!-- PB -->' END",
     "'Patent Document 2 and FIG. 3 show carbon steel for a battery.'",
-    "'## DETAILED DESCRIPTION'",
+    "CASE WHEN p_partkey % 10 = 0 THEN '## EXAMPLES' ELSE '## DETAILED DESCRIPTION' END",
     "concat('[0001] The slab is annealed at ', cast(700 + p_size * 5 as string), ' °C after hot rolling. See Figure 2 and Figure 2.')",
     "''",
+    "CASE WHEN p_partkey % 3 = 1 THEN concat('[0002] So the present invention provides ', p_type, '. It is an object of the invention.', chr(10), chr(10)) END",
     "concat('Formula (', cast(1 + p_size % 3 as string), ') gives the value of Sample A', cast(p_size as string), ', which is insufficient.')",
     "'## CLAIMS'",
     "'1. A sheet with 0.5% by mass or less of C.'",
     "'made of stainless steel'",
     "'2. The sheet of claim 1 with 2.5% to 10% by mass of Al, wherein a coating is applied.'",
-    "'<!-- PB -->'",
+    "CASE WHEN p_partkey % 9 <> 0 THEN '<!-- PB -->' END",
     "concat('3. A motor core of the sheet of claim ', cast(1 + p_size % 2 as string), '.')",
 ]
-PATENTS = f"SELECT concat('EP', cast(1000000 + p_partkey as string)) AS doc_id, p_partkey AS n, concat_ws(chr(10), {', '.join(_LINES)}) AS text FROM part"
+_DOC_ID = "concat('EP', cast(1000000 + p_partkey as string))"
+PATENTS = {"doc_id": _DOC_ID, "n": "p_partkey", "filename": f"concat({_DOC_ID}, CASE WHEN p_partkey % 2 = 0 THEN '_B1' ELSE '' END, '.pdf')", "text": f"concat_ws(chr(10), {', '.join(_LINES)})"}
 _TABLE = "concat('| a | b |', chr(10), '|---|---|', chr(10), '| Table {k} of ', cast({v} as string), ' | {k} |')"
-TABLES = " UNION ALL ".join(
-    f"SELECT concat('EP', cast(1000000 + p_partkey as string)) AS doc_id, {ord} AS ord, {page} AS page, {md} AS md FROM part"
+TABLES = [
+    {"doc_id": _DOC_ID, "ord": ord, "page": page, "md": md}
     for ord, page, md in (
-        (1, 4, _TABLE.format(k=1, v="p_size")),
-        (2, 5, _TABLE.format(k=2, v="p_partkey")),
-        (3, 6, "concat('| a | b | yield stress |', chr(10), '|---|---|---|', chr(10), '| Table 3 | ', cast(p_size as string), ' | x |')"),
-        (4, 7, "'no table'"),
+        ("1", "4", _TABLE.format(k=1, v="p_size")),
+        ("2", "5", _TABLE.format(k=2, v="p_partkey")),
+        ("3", "6", "concat('| a | b | yield stress |', chr(10), '|---|---|---|', chr(10), '| Table 3 | ', cast(p_size as string), ' | x |')"),
+        ("4", "7", "'no table'"),
     )
-)
-QUESTIONS = "SELECT cast(r_regionkey as bigint) AS query_id, concat('What core loss has stainless steel annealed at ', cast(800 + r_regionkey as string), ' °C with Si: 2.5% in ', lower(r_name), '?') AS text FROM region"
+]
+# A question that names one material and element, one that names an element twice and a
+# property that holds its symbol, and one that names nothing.
+QUESTIONS = [
+    {"query_id": f"cast(r_regionkey + {5 * k} as bigint)", "text": text, "category": "r_name"}
+    for k, text in enumerate((
+        "concat('What core loss has stainless steel annealed at ', cast(800 + r_regionkey as string), ' °C with Si: 2.5% in ', lower(r_name), '?')",
+        "concat('Which sheet with Si: 2.5% and Si: 3% has the tensile strength that ', lower(r_name), ' asks for?')",
+        "concat('Where is ', lower(r_name), '?')",
+    ))
+]
+
+
+def expressions(columns: dict[str, str]) -> list[str]:
+    return [f"{x} AS {c}" for c, x in columns.items()]
+
+
+def derived(spark: SparkSession, sf_dir: str, name: str, frames: list[dict[str, str]]) -> DataFrame:
+    """The union of some selections from a table."""
+    return reduce(DataFrame.unionByName, [table(spark, sf_dir, name).selectExpr(*expressions(x)) for x in frames])
+
+
+def selected(name: str, frames: list[dict[str, str]]) -> str:
+    """The same union in SQL."""
+    return " UNION ALL ".join(f"SELECT {', '.join(expressions(x))} FROM {name}" for x in frames)
 
 
 def patents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(PATENTS)
+    return derived(spark, sf_dir, "part", [PATENTS])
 
 
 def raw_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "part").createOrReplaceTempView("part")
-    return spark.sql(TABLES)
+    return derived(spark, sf_dir, "part", TABLES)
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "region").createOrReplaceTempView("region")
-    return spark.sql(QUESTIONS)
+    return derived(spark, sf_dir, "region", QUESTIONS)
 
 
 _CORPORA: dict[tuple, ingest.Corpus] = {}
@@ -128,9 +162,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> ingest.Corpus:
 
 
 _trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
-STEPS["patents"] = PATENTS
-STEPS["raw_tables"] = TABLES
-STEPS["questions"] = QUESTIONS
+STEPS["patents"] = selected("part", [PATENTS])
+STEPS["raw_tables"] = selected("part", TABLES)
+STEPS["questions"] = selected("region", QUESTIONS)
 STEPS["rows_"] = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM patents"
 STEPS["paged_"] = f"SELECT *, trim(line) = '<!-- PB -->' AS broken, 1 + sum((trim(line) = '<!-- PB -->')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS page FROM rows_"
 STEPS["kept_"] = "SELECT doc_id, pos, line, page::INT AS page FROM paged_ WHERE NOT broken AND NOT (trim(line) <> '' AND (" + " OR ".join(f"regexp_matches(trim(line), '{p}')" for p in lines.NOISE) + "))"
@@ -183,19 +217,36 @@ def document_ids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", metadata.document_id(named, F.col("html")).alias("doc_id"))
 
 
-@query(chain("SELECT doc_id, concat('Sheet of ', p_name) AS title FROM patents JOIN part ON p_partkey = n"))
+STEPS["titles_"] = r"SELECT doc_id, coalesce(arg_min(named, pos) FILTER (named <> ''), arg_min(other, pos) FILTER (length(other) > 10), 'Unknown Title') AS title FROM (SELECT doc_id, pos, CASE WHEN regexp_matches(trim(line), '^#{1,3}\s+\(54\)') THEN regexp_replace(trim(line), '^#{1,3}\s+\(54\)\s*', '') END AS named, CASE WHEN starts_with(trim(line), '#') THEN regexp_replace(trim(line), '^#+\s*', '') END AS other FROM rows_) GROUP BY doc_id"
+
+
+@query(chain("SELECT doc_id, title FROM titles_"))
 def titles(spark, sf_dir):
-    """C7"""
+    """C7, by the numbered heading, by any long one, or not at all."""
     return metadata.titles(patents(spark, sf_dir))
 
 
-@query(
-    chain("""SELECT doc_id, concat('2012-', lpad((1 + n % 12)::VARCHAR, 2, '0'), '-', lpad((1 + n % 28)::VARCHAR, 2, '0')) AS publication_date, (n * 37)::VARCHAR AS application_number,
-  concat('2009-11-', lpad((1 + n % 9)::VARCHAR, 2, '0')) AS filing_date, array_to_string(regexp_extract_all(text, '[A-H]\\d{2}[A-Z]\\s*\\d+/\\d+'), ';') AS ipc_classes,
-  NULL::VARCHAR AS priority_date, concat(p_brand, ' & Co') AS applicant, 'Rossi, Ada;Tanaka, Jun' AS inventors FROM patents JOIN part ON p_partkey = n""")
-)
+STEPS["pre_"] = "SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM numbered WHERE section = 'preamble'"
+STEPS["coded_"] = r"SELECT *, nullif(regexp_extract(line, '^[-\s]*\((\d+)\)\s*(.*)', 1), '') AS code, regexp_extract(line, '^[-\s]*\((\d+)\)\s*(.*)', 2) AS rest FROM pre_"
+STEPS["blocked_"] = "SELECT *, sum((code IS NOT NULL)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS nth, first_value(CASE WHEN code IS NULL THEN nullif(regexp_replace(line, '^[- ]+', ''), '') END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS following FROM coded_"
+STEPS["fields_"] = """SELECT doc_id, nth, max(code) AS code, max(CASE WHEN code IS NOT NULL THEN coalesce(nullif(trim(regexp_replace(rest, '^[^:]*:', '')), ''), following) END) AS value,
+  max(CASE WHEN code IS NOT NULL AND contains(rest, ':') THEN trim(regexp_replace(rest, '^[^:]*:', '')) END) AS inline,
+  concat(max(rest) FILTER (code IS NOT NULL), ' ', coalesce(string_agg(regexp_replace(line, '^[- ]+', ''), ' ' ORDER BY pos) FILTER (code IS NULL AND line <> ''), '')) AS whole,
+  coalesce(list(line ORDER BY pos) FILTER (code IS NULL AND line <> ''), []) AS more FROM blocked_ WHERE nth > 0 GROUP BY doc_id, nth"""
+_date = r"regexp_extract(whole, '(\d{1,2})\.(\d{1,2})\.(\d{4})', %d)"
+STEPS["told_"] = rf"""SELECT doc_id, nth, code, value, CASE WHEN regexp_matches(whole, '(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})') THEN concat({_date % 3}, '-', lpad({_date % 2}, 2, '0'), '-', lpad({_date % 1}, 2, '0')) END AS day,
+  regexp_extract_all(whole, '[A-H]\d{{2}}[A-Z]\s*\d+/\d+') AS classes,
+  list_filter(list_transform(list_filter(list_transform(list_prepend(coalesce(inline, ''), more), lambda x: regexp_replace(x, '^[- ]+', '')), lambda x: NOT regexp_matches(x, '^[\d(]')),
+    lambda x: regexp_replace(trim(regexp_split_to_array(regexp_split_to_array(x, '(?i),\s*c/o\b')[1], ',\s*(\d|[A-Z]{{2}}\b)')[1]), ',+$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '\([A-Z]{{2}}\)\s*$')) AS people FROM fields_"""
+_decoded = lambda c: "replace(" * 7 + c + "".join(f", '{e}', {v})" for e, v in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&apos;", "chr(39)"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")))
+STEPS["bibliography"] = f"""SELECT doc_id, arg_max(day, nth) FILTER (code = '43' AND day IS NOT NULL) AS publication_date, {_decoded("arg_max(value, nth) FILTER (code = '21' AND value IS NOT NULL)")} AS application_number,
+  arg_max(day, nth) FILTER (code = '22' AND day IS NOT NULL) AS filing_date, array_to_string(arg_max(classes, nth) FILTER (code = '51' AND len(classes) > 0), ';') AS ipc_classes, arg_max(day, nth) FILTER (code = '30' AND day IS NOT NULL) AS priority_date,
+  {_decoded("arg_max(value, nth) FILTER (code = '71' AND value IS NOT NULL)")} AS applicant, array_to_string(arg_max(people, nth) FILTER (code = '72' AND len(people) > 0), ';') AS inventors FROM told_ GROUP BY doc_id"""
+
+
+@query(chain("SELECT * FROM bibliography"))
 def bibliographic_fields(spark, sf_dir):
-    """C8, C10"""
+    """Every code, on its line or the next ones, once or again."""
     out = metadata.fields(patents(spark, sf_dir))
     return out.withColumns({c: F.array_join(c, ";") for c in ("ipc_classes", "inventors")})
 
@@ -261,28 +312,22 @@ def chunk_references(spark, sf_dir):
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 _alias_rows = [(kind, i, canon, j, alias) for kind in ("properties", "processes", "applications", "materials") for i, (canon, aliases) in enumerate(DEFAULT[kind].items()) for j, alias in enumerate(aliases)]
 STEPS["vocab_"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(k)}, {i}, {_q(c)}, {j}, {_q(a)})" for k, i, c, j, a in _alias_rows) + ") AS v(kind, canon_ord, canon, alias_ord, alias)"
-STEPS["symbols_"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(s)})" for i, s in enumerate(DEFAULT["elements"])) + ") AS v(ord, symbol)"
-STEPS["phrases_"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(s)})" for i, s in enumerate(DEFAULT["problems"])) + ") AS v(ord, phrase)"
+STEPS["symbols_"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(s)}, {_q(x)})" for i, (s, x) in enumerate(DEFAULT["elements"].items())) + ") AS v(ord, symbol, full_name)"
+STEPS["phrases_"] = "SELECT * FROM (VALUES " + ", ".join(f"('{kind[:-1]}', {i}, {_q(s)})" for kind in ("problems", "solutions") for i, s in enumerate(DEFAULT[kind])) + ") AS v(kind, ord, phrase)"
 STEPS["texts_"] = "SELECT chunk_id, doc_id, seq, content FROM chunks UNION ALL SELECT query_id::VARCHAR, 'query', 0, text FROM questions"
 
 
-def _elements_sql(form: int, pattern: str, low: int, high: int | None) -> str:
+def _elements_sql(form: int, pattern: str, low: int, high: int | None, unit: int) -> str:
     every = lambda g: f"unnest(regexp_extract_all(content, {pattern}, {g}))"
-    return f"SELECT chunk_id, doc_id, seq, ord, {form} AS form, symbol, unnest(range(len(regexp_extract_all(content, {pattern})))) AS nth, {every(low)}::DOUBLE AS low, {every(high) + '::DOUBLE' if high else 'NULL::DOUBLE'} AS high FROM texts_, symbols_ WHERE contains(content, chr(37)) AND list_contains(regexp_extract_all(lower(content), '[a-z]+'), lower(symbol))"
+    return f"SELECT chunk_id, doc_id, seq, ord, {form} AS form, symbol, full_name, {every(unit)} AS unit, unnest(range(len(regexp_extract_all(content, {pattern})))) AS nth, {every(low)}::DOUBLE AS low, {every(high) + '::DOUBLE' if high else 'NULL::DOUBLE'} AS high FROM texts_, symbols_ WHERE contains(content, chr(37)) AND list_contains(regexp_extract_all(lower(content), '[a-z]+'), lower(symbol))"
 
 
-_N, _U = r"(\d+\.?\d*)", r"(%|mass\s*%|wt\s*%)"
-STEPS["elements_"] = " UNION ALL ".join([
-    _elements_sql(0, rf"'(?i)\b' || symbol || '\s*[:=]?\s*{_N}\s*{_U}'", 1, None),
-    _elements_sql(1, rf"'(?i)\b' || symbol || '\s*[:=]?\s*{_N}\s*(?:to|-)\s*{_N}\s*{_U}'", 1, 2),
-    _elements_sql(2, rf"'(?i){_N}\s*{_U}\s*(?:to|-)\s*{_N}\s*{_U}(?:\s+by\s+mass)?\s+(?:of\s+)?\b' || symbol || '\b'", 1, 3),
-    _elements_sql(3, rf"'(?i){_N}\s*{_U}(?:\s+by\s+mass)?\s+(?:or\s+less\s+)?(?:of\s+)?\b' || symbol || '\b'", 1, None),
-])
+STEPS["elements_"] = " UNION ALL ".join(_elements_sql(k, "'(?i)" + p.replace("{symbol}", "' || symbol || '") + "'", *groups) for k, (p, *groups) in enumerate(entities.COMPOSITION))
 STEPS["composition_"] = "SELECT *, (row_number() OVER (PARTITION BY chunk_id ORDER BY ord, form, nth) - 1)::INT AS k FROM elements_"
 STEPS["worded_"] = "SELECT chunk_id, doc_id, seq, kind, canon_ord, canon, arg_min(alias, alias_ord) AS alias FROM texts_ JOIN vocab_ ON CASE WHEN kind IN ('properties', 'processes') THEN contains(lower(content), lower(alias)) ELSE regexp_matches(lower(content), '\\b' || lower(alias) || '\\b') END GROUP BY chunk_id, doc_id, seq, kind, canon_ord, canon"
 STEPS["hits_"] = "SELECT w.*, c.content, (row_number() OVER (PARTITION BY w.chunk_id, kind ORDER BY canon_ord) - 1)::INT AS k FROM worded_ w JOIN texts_ c USING (chunk_id)"
-STEPS["degrees_"] = "SELECT *, try_cast(nullif(regexp_extract(content, '(?i)' || alias || '.*?(\\d+)\\s*°?C', 1), '') AS INT) AS temperature FROM hits_ WHERE kind = 'processes'"
-STEPS["problem_"] = "SELECT chunk_id, doc_id, seq, phrase, content, strpos(lower(content), phrase) AS loc FROM (SELECT t.chunk_id, t.doc_id, t.seq, t.content, arg_min(phrase, ord) AS phrase FROM texts_ t JOIN phrases_ ON contains(lower(content), phrase) GROUP BY t.chunk_id, t.doc_id, t.seq, t.content)"
+STEPS["degrees_"] = f"SELECT *, try_cast(nullif(regexp_extract(content, '(?i)' || alias || '{entities.DEGREES}', 1), '') AS INT) AS temperature FROM hits_ WHERE kind = 'processes'"
+STEPS["problem_"] = "SELECT *, strpos(lower(content), phrase) AS loc FROM (SELECT t.chunk_id, t.doc_id, t.seq, t.content, kind, arg_min(phrase, ord) AS phrase FROM texts_ t JOIN phrases_ ON contains(lower(content), phrase) GROUP BY t.chunk_id, t.doc_id, t.seq, t.content, kind)"
 STEPS["sentence_"] = "SELECT *, left(regexp_replace(concat(string_split(left(content, loc - 1), '.')[-1], CASE WHEN strpos(substr(content, loc), '.') > 0 THEN left(substr(content, loc), strpos(substr(content, loc), '.')) ELSE substr(content, loc) END), '^\\s+|\\s+$', '', 'g'), 300) AS sentence FROM problem_"
 
 
@@ -291,59 +336,86 @@ def _found(extractor: str, pattern: str, group: int) -> str:
     return f"SELECT chunk_id, doc_id, seq, '{extractor}' AS what, unnest({every}) AS x, unnest(range(len({every})))::INT AS k FROM texts_"
 
 
-STEPS["scanned_"] = " UNION ALL ".join([
-    _found("table", r"(?i)Table\s*(\d+)", 1), _found("formula", r"(?i)Formula\s*\((\d+)\)", 1), _found("figure", r"(?i)(?:FIG\.?|Figure)\s*(\d+)", 1), _found("sample", r"(?:Sample|Symbol|Material)\s+([a-zA-Z]\d+)", 1),
-    _found("cited", r"(?i)(?:US|EP|WO|JP|CN|KR|DE|GB|FR)\s*[\d,./\-]{4,}(?:\s*[AB]\d)?\b", 0), _found("patdoc", r"(?i)Patent\s+(?:Document|Literature|Lit\.?)\s+(\d+)", 1), _found("inventor", r"[Ii]nventor(?:s)?\s*[:;]\s*(.+?)(?:\n|$)", 1), _found("assignee", r"(?:[Aa]ssignee|[Aa]pplicant)(?:s)?\s*[:;]\s*(.+?)(?:\n|$)", 1),
-])
+_plain = lambda p: p.replace("(?iU)", "(?i)")
+STEPS["scanned_"] = " UNION ALL ".join([*(_found(kind, p, 1) for kind, p, _ in entities.REFERENCES), _found("sample", entities.SAMPLE, 1), _found("cited", _plain(entities.CITED), 0), _found("patdoc", entities.PATDOC, 1), *(_found(which[:-1], p, 1) for which, p in entities.PEOPLE.items())])
 STEPS["people_"] = "SELECT chunk_id, doc_id, seq, what, trim(n) AS name FROM (SELECT *, unnest(regexp_split_to_array(x, '[;,]')) AS n FROM scanned_ WHERE what IN ('inventor', 'assignee')) WHERE length(trim(n)) >= 3"
-STEPS["mentions"] = """SELECT chunk_id, doc_id, seq, 0 AS e, k, concat(doc_id, '_', symbol, CASE WHEN high IS NULL THEN '_' ELSE '_range_' END, k::VARCHAR) AS entity_id, CASE WHEN high IS NULL THEN 'chemical_element' ELSE 'composition_range' END AS type, symbol AS name, NULL::INT AS temperature FROM composition_
-UNION ALL SELECT chunk_id, doc_id, seq, 1, k, concat(doc_id, '_', canon, '_', k::VARCHAR), 'property', canon, NULL FROM hits_ WHERE kind = 'properties'
-UNION ALL SELECT chunk_id, doc_id, seq, 2, k, concat(doc_id, '_', canon, '_', k::VARCHAR), 'process', canon, temperature FROM degrees_
-UNION ALL SELECT chunk_id, doc_id, seq, 3, k, concat(doc_id, '_', what, '_', x), what, concat(upper(left(what, 1)), substr(what, 2), ' ', x), NULL FROM scanned_ WHERE what IN ('table', 'formula', 'figure')
-UNION ALL SELECT chunk_id, doc_id, seq, 4, k, concat(doc_id, '_sample_', x), 'sample', concat('Sample ', x), NULL FROM scanned_ WHERE what = 'sample'
-UNION ALL SELECT chunk_id, doc_id, seq, 5, k, concat(doc_id, '_cited_', regexp_replace(trim(x), '[ ,]', '', 'g')), 'patent_reference', trim(x), NULL FROM scanned_ WHERE what = 'cited'
-UNION ALL SELECT chunk_id, doc_id, seq, 6, k, concat(doc_id, '_patdoc_', x), 'patent_doc_reference', concat('Patent Document ', x), NULL FROM scanned_ WHERE what = 'patdoc'
-UNION ALL SELECT chunk_id, doc_id, seq, CASE WHEN what = 'inventor' THEN 7 ELSE 8 END, 0, concat(doc_id, '_', what, '_', replace(lower(name), ' ', '_')), what, name, NULL FROM people_
-UNION ALL SELECT chunk_id, doc_id, seq, 9, k, concat(doc_id, '_app_', canon), 'application', canon, NULL FROM hits_ WHERE kind = 'applications'
-UNION ALL SELECT chunk_id, doc_id, seq, 10, k, concat(doc_id, '_material_', canon), 'material', canon, NULL FROM hits_ WHERE kind = 'materials'
-UNION ALL SELECT chunk_id, doc_id, seq, 11, 0, concat(doc_id, '_problem_0_', phrase), 'problem', sentence, NULL FROM sentence_"""
+STEPS["mentions"] = """SELECT chunk_id, doc_id, seq, 0 AS e, k, concat(doc_id, '_', symbol, CASE WHEN high IS NULL THEN '_' ELSE '_range_' END, k::VARCHAR) AS entity_id, CASE WHEN high IS NULL THEN 'chemical_element' ELSE 'composition_range' END AS type, concat(symbol, CASE WHEN high IS NULL THEN '' ELSE '_range' END) AS name, NULL::INT AS temperature, NULL::VARCHAR AS told FROM composition_
+UNION ALL SELECT chunk_id, doc_id, seq, 1, k, concat(doc_id, '_', canon, '_', k::VARCHAR), 'property', canon, NULL, alias FROM hits_ WHERE kind = 'properties'
+UNION ALL SELECT chunk_id, doc_id, seq, 2, k, concat(doc_id, '_', canon, '_', k::VARCHAR), 'process', canon, temperature, alias FROM degrees_
+UNION ALL SELECT chunk_id, doc_id, seq, 3, k, concat(doc_id, '_', what, '_', x), what, concat(upper(left(what, 1)), substr(what, 2), ' ', x), NULL, x::INT::VARCHAR FROM scanned_ WHERE what IN ('table', 'formula', 'figure')
+UNION ALL SELECT chunk_id, doc_id, seq, 4, k, concat(doc_id, '_sample_', x), 'sample', concat('Sample ', x), NULL, x FROM scanned_ WHERE what = 'sample'
+UNION ALL SELECT chunk_id, doc_id, seq, 5, k, concat(doc_id, '_cited_', regexp_replace(trim(x), '[ ,]', '', 'g')), 'patent_reference', trim(x), NULL, regexp_replace(trim(x), '[ ,]', '', 'g') FROM scanned_ WHERE what = 'cited'
+UNION ALL SELECT chunk_id, doc_id, seq, CASE WHEN what = 'inventor' THEN 6 ELSE 7 END, 0, concat(doc_id, '_', what, '_', replace(lower(name), ' ', '_')), what, name, NULL, NULL FROM people_
+UNION ALL SELECT chunk_id, doc_id, seq, 8, k, concat(doc_id, '_app_', canon), 'application', canon, NULL, alias FROM hits_ WHERE kind = 'applications'
+UNION ALL SELECT chunk_id, doc_id, seq, 9, k, concat(doc_id, '_material_', canon), 'material', canon, NULL, alias FROM hits_ WHERE kind = 'materials'
+UNION ALL SELECT chunk_id, doc_id, seq, 10, k, concat(doc_id, '_patdoc_', x), 'patent_doc_reference', concat('Patent Document ', x), NULL, x::INT::VARCHAR FROM scanned_ WHERE what = 'patdoc'
+UNION ALL SELECT chunk_id, doc_id, seq, CASE WHEN kind = 'problem' THEN 11 ELSE 12 END, 0, concat(doc_id, '_', kind, '_0_', CASE WHEN kind = 'problem' THEN phrase ELSE left(replace(phrase, ' ', '_'), 20) END), kind, sentence, NULL, phrase FROM sentence_ WHERE sentence <> ''"""
 
 
 def mentions(spark, sf_dir) -> DataFrame:
     return corpus(spark, sf_dir).mentions
 
 
-@query(chain("SELECT chunk_id, entity_id, type, name, low, high FROM (SELECT chunk_id, doc_id, k, symbol AS name, low, high, concat(doc_id, '_', symbol, CASE WHEN high IS NULL THEN '_' ELSE '_range_' END, k::VARCHAR) AS entity_id, CASE WHEN high IS NULL THEN 'chemical_element' ELSE 'composition_range' END AS type FROM composition_ WHERE doc_id <> 'query')"))
+@query(chain("SELECT chunk_id, concat(doc_id, '_', symbol, CASE WHEN high IS NULL THEN '_' ELSE '_range_' END, k::VARCHAR) AS entity_id, CASE WHEN high IS NULL THEN 'chemical_element' ELSE 'composition_range' END AS type, concat(symbol, CASE WHEN high IS NULL THEN '' ELSE '_range' END) AS name, CASE WHEN high IS NULL THEN full_name ELSE symbol END AS told, low, high, CASE WHEN high IS NULL THEN unit ELSE '%' END AS unit FROM composition_ WHERE doc_id <> 'query'"))
 def composition_mentions(spark, sf_dir):
-    """E3-E5"""
-    rows = mentions(spark, sf_dir).filter("extractor = 0")
-    number = lambda *keys: F.coalesce(*[F.get_json_object("properties", f"$.{k}") for k in keys]).cast("double")
-    return rows.select("chunk_id", "entity_id", "type", "name", number("value", "min").alias("low"), number("max").alias("high"))
+    """E3-E5 with their properties: full name, value and unit of an element; element, least and most of a range."""
+    rows, of = mentions(spark, sf_dir).filter("extractor = 0"), lambda k: F.get_json_object("properties", f"$.{k}")
+    one = F.col("type") == "chemical_element"
+    pick = lambda a, b: F.when(one, of(a)).otherwise(of(b))
+    return rows.select("chunk_id", "entity_id", "type", "name", pick("full_name", "element").alias("told"), pick("value", "min_val").cast("double").alias("low"), F.when(~one, of("max_val")).cast("double").alias("high"), of("unit").alias("unit"))
 
 
-@query(chain("SELECT chunk_id, concat(doc_id, '_', canon, '_', k::VARCHAR) AS entity_id, alias, try_cast(nullif(regexp_extract(content, '(?i)' || alias || '\\s*(?:of|:)?\\s*(\\d+)\\s*(MPa|%|T|W/kg)', 1), '') AS DOUBLE) AS value, nullif(regexp_extract(content, '(?i)' || alias || '\\s*(?:of|:)?\\s*(\\d+)\\s*(MPa|%|T|W/kg)', 2), '') AS unit FROM hits_ WHERE kind = 'properties' AND doc_id <> 'query'"))
+_MEASURED = f"regexp_extract(content, '(?i)' || alias || '{entities.MEASURE}', {{}})"
+
+
+@query(chain(f"SELECT chunk_id, concat(doc_id, '_', canon, '_', k::VARCHAR) AS entity_id, alias, try_cast(nullif({_MEASURED.format(1)}, '') AS DOUBLE) AS value, nullif({_MEASURED.format(2)}, '') AS unit FROM hits_ WHERE kind = 'properties' AND doc_id <> 'query'"))
 def property_mentions(spark, sf_dir):
     """E6"""
     of = lambda k: F.get_json_object("properties", f"$.{k}")
     return mentions(spark, sf_dir).filter("type = 'property'").select("chunk_id", "entity_id", of("alias").alias("alias"), of("value").cast("double").alias("value"), of("unit").alias("unit"))
 
 
-@query(chain("SELECT chunk_id, concat(doc_id, '_', canon, '_', k::VARCHAR) AS entity_id, temperature FROM degrees_ WHERE doc_id <> 'query'"))
+@query(chain("SELECT chunk_id, concat(doc_id, '_', canon, '_', k::VARCHAR) AS entity_id, alias, temperature, CASE WHEN temperature IS NOT NULL THEN '°C' END AS temperature_unit FROM degrees_ WHERE doc_id <> 'query'"))
 def process_mentions(spark, sf_dir):
     """E7"""
-    return mentions(spark, sf_dir).filter("type = 'process'").select("chunk_id", "entity_id", F.get_json_object("properties", "$.temperature").cast("int").alias("temperature"))
+    of = lambda k: F.get_json_object("properties", f"$.{k}")
+    return mentions(spark, sf_dir).filter("type = 'process'").select("chunk_id", "entity_id", of("alias").alias("alias"), of("temperature").cast("int").alias("temperature"), of("temperature_unit").alias("temperature_unit"))
+
+
+def _told(rows: DataFrame, *keys: str) -> DataFrame:
+    """Mentions with the one of some properties that they have."""
+    return rows.select("chunk_id", "entity_id", "type", "name", F.coalesce(*[F.get_json_object("properties", f"$.{k}") for k in keys]).alias("told"))
 
 
-@query(chain("SELECT chunk_id, entity_id, type, name FROM mentions WHERE doc_id <> 'query' AND e BETWEEN 3 AND 8"))
+@query(chain("SELECT chunk_id, entity_id, type, name, told FROM mentions WHERE doc_id <> 'query' AND (e BETWEEN 3 AND 7 OR e = 10)"))
 def reference_mentions(spark, sf_dir):
-    """E8-E12"""
-    return mentions(spark, sf_dir).filter("extractor between 3 and 8").select("chunk_id", "entity_id", "type", "name")
+    """E8-E12 with their properties"""
+    return _told(mentions(spark, sf_dir).filter("extractor between 3 and 7 or extractor = 10"), "table_number", "formula_number", "figure_number", "sample_id", "normalized", "doc_number")
 
 
-@query(chain("SELECT chunk_id, entity_id, type, name FROM mentions WHERE doc_id <> 'query' AND e >= 9"))
+@query(chain("SELECT chunk_id, entity_id, type, name, told FROM mentions WHERE doc_id <> 'query' AND e IN (8, 9, 11, 12)"))
 def vocabulary_mentions(spark, sf_dir):
-    """E13-E15"""
-    return mentions(spark, sf_dir).filter("extractor >= 9").select("chunk_id", "entity_id", "type", "name")
+    """E13-E15 with their properties"""
+    return _told(mentions(spark, sf_dir).filter("extractor in (8, 9, 11, 12)"), "matched_alias", "trigger_phrase")
+
+
+# A model's answers: one with all lists, one with two of them, one that isn't JSON.
+_MODEL = """CASE p_partkey % 3 WHEN 0 THEN concat('{"compositions":[{"element":"Si","min_val":1,"max_val":', cast(1 + p_size as string), ',"unit":"%"}],"properties":[{"name":"hardness","value":', cast(p_size as string), ',"unit":"HV"}],"processes":[{"name":"annealing","temperature":800,"parameters":{"gas":"N2"}}],"patent_meta":{"inventors":[" Ada Rossi "],"assignees":["', p_brand, ' Co"],"cited_patents":["US 7 1"],"applications":["Motor Core"],"materials":["', p_type, '"],"problems":["cost"],"solutions":["less"]}}')
+ WHEN 1 THEN '{"properties":[{"name":"hardness"},{"name":"loss"}],"patent_meta":{"problems":["cost","noise"]}}' ELSE 'no json' END"""
+_model_rows = lambda n, rows: " UNION ALL ".join(f"SELECT concat('d', p_partkey) AS doc_id, {k} AS k, concat('d', p_partkey, '_', {e}) AS entity_id, '{t}' AS type, {x} AS name FROM part WHERE p_partkey % 3 = {n}" for k, (t, e, x) in enumerate(rows))
+
+
+@query(
+    _model_rows(0, [
+        ("chemical_element", "'Si_llm_0'", "'Si'"), ("property", "'hardness_llm_1'", "'hardness'"), ("process", "'annealing_llm_2'", "'annealing'"), ("inventor", "'inventor_ada_rossi'", "'Ada Rossi'"), ("assignee", "concat('assignee_', replace(lower(p_brand), ' ', '_'), '_co')", "concat(p_brand, ' Co')"),
+        ("patent_reference", "'cited_US71'", "'US 7 1'"), ("application", "'app_motor_core'", "'motor core'"), ("material", "concat('material_', replace(lower(p_type), ' ', '_'))", "lower(p_type)"), ("problem", "'problem_8'", "'cost'"), ("solution", "'solution_9'", "'less'"),
+    ]) + " UNION ALL " + _model_rows(1, [("property", "'hardness_llm_0'", "'hardness'"), ("property", "'loss_llm_1'", "'loss'"), ("problem", "'problem_2'", "'cost'"), ("problem", "'problem_3'", "'noise'")])
+)
+def model_mentions(spark, sf_dir):
+    """The ten lists of a model's answers; answers that don't parse give nothing."""
+    doc = F.concat(F.lit("d"), F.col("p_partkey").cast("string"))
+    rows = table(spark, sf_dir, "part").select(doc.alias("chunk_id"), doc.alias("doc_id"), F.lit(0).alias("seq"), F.expr(_MODEL).alias("answer"))
+    return entities.from_model(rows).select("doc_id", "k", "entity_id", "type", "name")
 
 
 # --- F: the graph ---------------------------------------------------------------------
@@ -389,6 +461,13 @@ def relation_counts(spark, sf_dir):
     return graph.relations(c.chunks, c.entities).groupBy("type").agg(F.count("*").alias("n_rows"), F.countDistinct("rel_id").alias("n_ids"))
 
 
+@query(chain("SELECT concat('requires_', entity_id, '_temp') AS rel_id, 'temperature' AS parameter_type, min(temperature) AS value, '°C' AS unit FROM of_ WHERE type = 'process' AND temperature <> 0 GROUP BY entity_id"))
+def required_parameters(spark, sf_dir):
+    """F5's properties"""
+    of = lambda k: F.get_json_object("properties", f"$.{k}")
+    return corpus(spark, sf_dir).relations.filter("type = 'requires'").select("rel_id", of("parameter_type").alias("parameter_type"), of("value").cast("int").alias("value"), of("unit").alias("unit"))
+
+
 @query(chain("SELECT chunk_id, table_chunk FROM (SELECT DISTINCT c.chunk_id, l.chunk_id AS table_chunk FROM (SELECT *, unnest(regexp_extract_all(content, '(?i)Table\\s*(\\d+)', 1)) AS label FROM chunks WHERE chunk_type <> 'table') c JOIN (SELECT doc_id, label, arg_min(chunk_id, seq) AS chunk_id FROM (SELECT *, unnest(regexp_extract_all(content, '(?i)Table\\s*(\\d+)', 1)) AS label FROM chunks WHERE chunk_type = 'table') GROUP BY doc_id, label) l ON c.doc_id = l.doc_id AND c.label = l.label)"))
 def mentions_within_documents(spark, sf_dir):
     """F7, F8 with labels per document."""
@@ -448,25 +527,28 @@ def entities_semantic(spark, sf_dir):
     return store.find_semantic(rows.select(F.col("vec_id").alias("entity_id"), "embedding"), asked).withColumn("score", F.round("score", 6))
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END) IS NULL THEN c_name ELSE concat('order ', max(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END)::VARCHAR) END AS name
-FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""")
-def upserted(spark, sf_dir):
-    """The last change of a key replaces its row."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    changes = table(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), "o_orderkey")
-    changes = changes.join(rows.select("id"), "id", "left_semi")
-    return store.upsert(rows, changes, "id", "o_orderkey")
-
-
 @query("""SELECT c_custkey AS id, CASE WHEN max(o_orderkey) IS NULL THEN c_name ELSE concat('order ', max(o_orderkey)::VARCHAR) END AS name
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name""")
-def upserted_all(spark, sf_dir):
-    """B2-B4 with all orders as changes."""
+def upserted(spark, sf_dir):
+    """The last change of a key replaces its row; all orders are changes of their customer."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     changes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), "o_orderkey")
     return store.upsert(rows, changes.join(rows.select("id"), "id", "left_semi"), "id", "o_orderkey")
 
 
+@query(chain("SELECT entity_id, type, name FROM entities WHERE entity_id = 'EP1000001_annealing_1'"))
+def entity_by_id(spark, sf_dir):
+    """One entity."""
+    return store.by_id(corpus(spark, sf_dir).entities, "EP1000001_annealing_1").select("entity_id", "type", "name")
+
+
+@query(chain("SELECT entity_id, alias, temperature FROM (SELECT entity_id, arg_min(told, o) AS alias, arg_min(temperature, o) AS temperature FROM (SELECT *, (doc_id, seq, e, k) AS o FROM mentions WHERE doc_id <> 'query' AND type = 'process') GROUP BY entity_id)"))
+def decoded_processes(spark, sf_dir):
+    """The JSON properties of processes by a schema."""
+    rows = store.by_type(corpus(spark, sf_dir).entities, "process")
+    return store.decoded(rows, "alias string, temperature int, temperature_unit string").select("entity_id", "properties.alias", "properties.temperature")
+
+
 STEPS["bfs_"] = "SELECT entity_id AS seed, entity_id AS node, 0 AS dist FROM entities WHERE type IN ('material', 'inventor') UNION SELECT b.seed, e.dst, b.dist + 1 FROM bfs_ b JOIN edges e ON b.node = e.src WHERE b.dist < 2"
 
 
@@ -477,21 +559,10 @@ def graph_bfs(spark, sf_dir):
     return traverse.bfs(c.edges, c.entities.filter("type in ('material', 'inventor')").select(F.col("entity_id").alias("seed")))
 
 
-@query("""WITH RECURSIVE edges AS (SELECT DISTINCT concat('c', o_custkey) AS src, concat('o', o_orderkey) AS dst FROM orders UNION SELECT DISTINCT concat('o', l_orderkey), concat('p', l_partkey) FROM lineitem UNION SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer UNION SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation),
-b AS (SELECT concat('c', c_custkey) AS seed, concat('c', c_custkey) AS node, 0 AS dist FROM customer WHERE c_custkey % 10 = 0 UNION SELECT b.seed, e.dst, b.dist + 1 FROM b JOIN edges e ON b.node = e.src WHERE b.dist < 3)
-SELECT seed, node, min(dist)::INT AS dist FROM b GROUP BY seed, node HAVING min(dist) > 0""")
-def bfs_orders(spark, sf_dir):
-    """H1, three hops from every tenth customer through orders, parts, nations and regions."""
-    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    pair = lambda t, a, b: table(spark, sf_dir, t).select(name(a[0], a[1]).alias("src"), name(b[0], b[1]).alias("dst")).distinct()
-    edges = pair("orders", ("c", "o_custkey"), ("o", "o_orderkey")).unionByName(pair("lineitem", ("o", "l_orderkey"), ("p", "l_partkey"))).unionByName(pair("customer", ("c", "c_custkey"), ("n", "c_nationkey"))).unionByName(pair("nation", ("n", "n_nationkey"), ("r", "n_regionkey")))
-    return traverse.bfs(edges, table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(name("c", "c_custkey").alias("seed")), 3)
-
-
 @query("""WITH RECURSIVE edges AS (SELECT DISTINCT concat('c', o_custkey) AS src, concat('o', o_orderkey) AS dst FROM orders UNION SELECT DISTINCT concat('o', l_orderkey), concat('p', l_partkey) FROM lineitem UNION SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer UNION SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation),
 b AS (SELECT concat('c', c_custkey) AS seed, concat('c', c_custkey) AS node, 0 AS dist FROM customer UNION SELECT b.seed, e.dst, b.dist + 1 FROM b JOIN edges e ON b.node = e.src WHERE b.dist < 3)
 SELECT seed, node, min(dist)::INT AS dist FROM b GROUP BY seed, node HAVING min(dist) > 0""")
-def bfs_orders_all(spark, sf_dir):
+def bfs_orders(spark, sf_dir):
     """H1, three hops from every customer through orders, parts, nations and regions."""
     name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     pair = lambda t, a, b: table(spark, sf_dir, t).select(name(a[0], a[1]).alias("src"), name(b[0], b[1]).alias("dst")).distinct()
@@ -513,7 +584,7 @@ STEPS["seeds_"] = "SELECT query_id, entity_id, count(*) AS times FROM (SELECT n.
 STEPS["far_"] = "SELECT DISTINCT entity_id AS seed, entity_id AS node, 0 AS dist FROM seeds_ UNION SELECT b.seed, e.dst, b.dist + 1 FROM far_ b JOIN edges e ON b.node = e.src WHERE b.dist < 2"
 STEPS["reached_"] = "SELECT seed, node, min(dist) AS dist FROM far_ GROUP BY seed, node HAVING min(dist) > 0"
 STEPS["worth_"] = "SELECT seed, chunk_id, sum(pow(0.5, dist)) AS w, sum(1.0 / (dist + 1)) AS v FROM reached_ JOIN ce ON node = ce.entity_id GROUP BY seed, chunk_id"
-STEPS["graph_hits"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT query_id, chunk_id, round(sum(s), 6) AS score FROM (SELECT query_id, chunk_id, times::DOUBLE AS s FROM seeds_ JOIN ce USING (entity_id) UNION ALL SELECT query_id, chunk_id, times * w FROM seeds_ JOIN worth_ ON entity_id = seed) GROUP BY query_id, chunk_id)) WHERE rank <= 50 AND chunk_id IN (SELECT chunk_id FROM chunks)"
+STEPS["graph_hits"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT query_id, chunk_id, round(sum(s), 6) AS score FROM (SELECT query_id, chunk_id, times::DOUBLE AS s FROM seeds_ JOIN ce USING (entity_id) UNION ALL SELECT query_id, chunk_id, w FROM seeds_ JOIN worth_ ON entity_id = seed) GROUP BY query_id, chunk_id)) WHERE rank <= 50 AND chunk_id IN (SELECT chunk_id FROM chunks)"
 STEPS["related_"] = "SELECT query_id, chunk_id, round(sum(s), 6) AS score FROM (SELECT query_id, chunk_id, 2.0 * times AS s FROM seeds_ JOIN ce USING (entity_id) UNION ALL SELECT query_id, chunk_id, times * v FROM seeds_ JOIN worth_ ON entity_id = seed) GROUP BY query_id, chunk_id"
 
 
@@ -543,14 +614,24 @@ def _bm25_steps(p: str, docs: str, asked: str) -> None:
     STEPS[f"{p}_q"] = f"SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM ({asked})) GROUP BY query_id, term"
     STEPS[f"{p}_scores"] = f"SELECT query_id, chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM {p}_q JOIN {p}_terms USING (term) JOIN {p}_post USING (term) JOIN {p}_len USING (chunk_id), {p}_corpus GROUP BY query_id, chunk_id"
     STEPS[f"{p}_ranked"] = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM {p}_scores"
+    # with as many chunks of score 0 as a ranking of fifty can hold
+    STEPS[f"{p}_zeros"] = f"SELECT q.query_id, d.chunk_id, 0.0::DOUBLE AS score FROM (SELECT DISTINCT query_id FROM ({asked})) q, (SELECT chunk_id FROM {p}_len ORDER BY chunk_id LIMIT 50) d WHERE NOT EXISTS (SELECT 1 FROM {p}_scores z WHERE z.query_id = q.query_id AND z.chunk_id = d.chunk_id)"
+    STEPS[f"{p}_filled"] = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT * FROM {p}_scores UNION ALL SELECT * FROM {p}_zeros)"
 
 
 _bm25_steps("bd", "SELECT doc_id AS chunk_id, text AS content FROM documents", "SELECT item_id AS query_id, text FROM benchmark")
 _bm25_steps("bp", "SELECT chunk_id, content FROM chunks", "SELECT * FROM questions")
 
 
+_INDICES: dict[tuple, bm25.Index] = {}
+
+
 def _documents_index(spark, sf_dir) -> bm25.Index:
-    return bm25.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+    """The keyword index of the documents: built once in a session and read by every query on it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDICES:
+        _INDICES[key] = bm25.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), scratch.table)
+    return _INDICES[key]
 
 
 @query(chain("SELECT term, df, round(idf, 6) AS idf FROM bd_terms"))
@@ -566,17 +647,44 @@ def bm25_topk_batch(spark, sf_dir):
     return bm25.search(_documents_index(spark, sf_dir), asked)
 
 
-_bm25_steps("bz", "SELECT doc_id AS chunk_id, text AS content FROM documents", "SELECT conv_id AS query_id, text FROM conversations WHERE turn = 0")
-STEPS["zeros_"] = "SELECT q.query_id, d.chunk_id, 0.0::DOUBLE AS score FROM (SELECT DISTINCT conv_id AS query_id FROM conversations WHERE turn = 0) q, (SELECT doc_id AS chunk_id FROM documents ORDER BY doc_id LIMIT 10) d WHERE NOT EXISTS (SELECT 1 FROM bz_scores z WHERE z.query_id = q.query_id AND z.chunk_id = d.chunk_id)"
+_TURN = "concat(cast(conv_id as string), '-', cast(turn as string))"
+_bm25_steps("bz", "SELECT doc_id AS chunk_id, text AS content FROM documents", f"SELECT {_TURN.replace(' string', ' varchar')} AS query_id, text FROM conversations")
 
 
-@query(chain("SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT * FROM bz_scores UNION ALL SELECT * FROM zeros_)) WHERE rank <= 10"))
+@query(chain("SELECT query_id, chunk_id, score, rank FROM bz_filled WHERE rank <= 10"))
 def bm25_with_zero_scores(spark, sf_dir):
-    """Every question gets its ten chunks, if need be with score 0."""
-    asked = table(spark, sf_dir, "conversations").filter("turn = 0").select(F.col("conv_id").alias("query_id"), "text")
+    """Every turn of a conversation gets its ten chunks, if need be with score 0."""
+    asked = table(spark, sf_dir, "conversations").select(F.expr(_TURN).alias("query_id"), "text")
     return bm25.search(_documents_index(spark, sf_dir), asked, include_zero=True)
 
 
+@query(chain("SELECT query_id, chunk_id, score, rank FROM bp_ranked WHERE rank <= 10"))
+def stored_index_search(spark, sf_dir):
+    """A search over the keyword index of the patents, written and read back."""
+    path = scratch.folder(spark, "index")
+    writers.index(corpus(spark, sf_dir).index, path)
+    return bm25.search(writers.read_index(spark, path), questions(spark, sf_dir))
+
+
+@query(chain("SELECT 'entity' AS what, type, count(*) AS n FROM entities GROUP BY type UNION ALL SELECT 'relation', type, count(*) FROM stored GROUP BY type UNION ALL SELECT 'chunk', chunk_type, count(*) FROM chunks GROUP BY chunk_type UNION ALL SELECT 'posting', NULL, count(*) FROM bp_post"))
+def stored_corpus(spark, sf_dir):
+    """What a corpus holds that was saved and loaded."""
+    path = scratch.folder(spark, "corpus")
+    ingest.saved(corpus(spark, sf_dir), path)
+    c = ingest.loaded(spark, path)
+    count = lambda df, what, kind: df.groupBy(F.lit(what).alias("what"), kind.alias("type")).agg(F.count("*").alias("n"))
+    return count(c.entities, "entity", F.col("type")).unionByName(count(c.relations, "relation", F.col("type"))).unionByName(count(c.chunks, "chunk", F.col("chunk_type"))).unionByName(count(c.index.postings, "posting", F.lit(None).cast("string")))
+
+
+@query("SELECT vec_id AS chunk_id, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def stored_vectors(spark, sf_dir):
+    """Vectors written and read back."""
+    path = scratch.folder(spark, "vectors")
+    writers.vectors(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding")), path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return readers.vectors(spark, path, "long").select("chunk_id", F.round(total, 4).alias("total"))
+
+
 @query(f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {_COS.format(e='', r=9)} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10")
 def cosine_topk_batch(spark, sf_dir):
     """I4, I5; the queries are the rows whose id is divisible by 100."""
@@ -598,8 +706,8 @@ def graph_search_topk(spark, sf_dir):
     return graph_search.search(graph_search.question_names(questions(spark, sf_dir)), c.entities, c.edges, c.chunk_entities, c.chunks, fusion.POOL)
 
 
-STEPS["semantic_hits"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, concat('EP', (1000001 + v.vec_id)::VARCHAR, '_0001') AS chunk_id, {_COS.format(e='', r=9)} AS score FROM embeddings v, embeddings q WHERE q.vec_id < (SELECT count(*) FROM region))) WHERE rank <= 50"
-STEPS["all_hits_"] = "SELECT query_id, chunk_id, 'bm25' AS r, rank FROM bp_ranked WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, 'semantic', rank FROM semantic_hits UNION ALL SELECT query_id, chunk_id, 'graph', rank FROM graph_hits"
+STEPS["semantic_hits"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, concat('EP', (1000001 + v.vec_id)::VARCHAR, '_0001') AS chunk_id, {_COS.format(e='', r=9)} AS score FROM embeddings v, embeddings q WHERE q.vec_id < (SELECT count(*) FROM questions))) WHERE rank <= 50"
+STEPS["all_hits_"] = "SELECT query_id, chunk_id, 'bm25' AS r, rank FROM bp_filled WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, 'semantic', rank FROM semantic_hits UNION ALL SELECT query_id, chunk_id, 'graph', rank FROM graph_hits"
 STEPS["merged_"] = "SELECT query_id, chunk_id, max(CASE WHEN r = 'bm25' THEN rank END) AS bm25_rank, max(CASE WHEN r = 'semantic' THEN rank END) AS semantic_rank, max(CASE WHEN r = 'graph' THEN rank END) AS graph_rank FROM all_hits_ GROUP BY query_id, chunk_id"
 STEPS["scored_"] = "SELECT *, round(coalesce(1.0::DOUBLE / (60 + bm25_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0) + coalesce(1.2::DOUBLE / (60 + graph_rank), 0), 9) AS rrf_score, concat_ws(' + ', CASE WHEN bm25_rank IS NOT NULL THEN printf('BM25: %.4f', 1.0::DOUBLE / (60 + bm25_rank)) END, CASE WHEN semantic_rank IS NOT NULL THEN printf('Sem: %.4f', 1.0::DOUBLE / (60 + semantic_rank)) END, CASE WHEN graph_rank IS NOT NULL THEN printf('Graph: %.4f', 1.0::DOUBLE / (60 + graph_rank)) END) AS score_breakdown FROM merged_"
 STEPS["fused"] = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, bm25_rank ASC NULLS LAST, semantic_rank ASC NULLS LAST, graph_rank ASC NULLS LAST, chunk_id)::INT AS rrf_rank FROM scored_"
@@ -677,29 +785,40 @@ def source_labels(spark, sf_dir):
 _ANSWER = "concat('See [Source ', cast(1 + p_size % 5 as string), ', Source 2] and Source ', cast(1 + p_partkey % 3 as string), ' (Page: 7).')"
 
 
-@query(f"SELECT p_partkey, array_to_string(regexp_extract_all({_ANSWER}, 'Source\\s*(\\d+)', 1), ',') AS numbers, concat('See ', concat('[', (1 + p_size % 5)::VARCHAR, '][', CASE 1 + p_size % 5 WHEN 1 THEN p_brand WHEN 2 THEN p_type WHEN 3 THEN 'z' END, ']'), ' [2][', p_type, '] and [', (1 + p_partkey % 3)::VARCHAR, '][', CASE 1 + p_partkey % 3 WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE 'z' END, '].') AS badges FROM part WHERE p_size % 5 < 3")
-def citations(spark, sf_dir):
-    """K4: numbers and badges of answers that cite three sources."""
-    rows = table(spark, sf_dir, "part").filter("p_size % 5 < 3").withColumn("answer", F.expr(_ANSWER))
-    labels = F.array("p_brand", "p_type", F.lit("z"))
-    return rows.select("p_partkey", F.array_join(context.cited_numbers(F.col("answer")).cast("array<string>"), ",").alias("numbers"), context.with_badges(F.col("answer"), labels).alias("badges"))
-
-
 @query(f"SELECT p_partkey, array_to_string(regexp_extract_all({_ANSWER}, 'Source\\s*(\\d+)', 1), ',') AS numbers, concat('See ', CASE 1 + p_size % 5 WHEN 1 THEN concat('[1][', p_brand, ']') WHEN 2 THEN concat('[2][', p_type, ']') WHEN 3 THEN '[3][z]' ELSE concat('[Source ', (1 + p_size % 5)::VARCHAR, ']') END, ' [2][', p_type, '] and [', (1 + p_partkey % 3)::VARCHAR, '][', CASE 1 + p_partkey % 3 WHEN 1 THEN p_brand WHEN 2 THEN p_type ELSE 'z' END, '].') AS badges FROM part")
-def citations_all(spark, sf_dir):
+def citations(spark, sf_dir):
     """K4 over every part: citations of sources beyond the labels stay."""
     rows = table(spark, sf_dir, "part").withColumn("answer", F.expr(_ANSWER))
     labels = F.array("p_brand", "p_type", F.lit("z"))
     return rows.select("p_partkey", F.array_join(context.cited_numbers(F.col("answer")).cast("array<string>"), ",").alias("numbers"), context.with_badges(F.col("answer"), labels).alias("badges"))
 
 
-@query(chain("SELECT doc_id, CASE WHEN n % 2 = 0 THEN concat('Title ', n::VARCHAR) ELSE concat('Sheet of ', p_name) END AS title FROM patents JOIN part ON p_partkey = n"))
+@query(chain("SELECT t.doc_id, CASE WHEN t.title = 'Unknown Title' THEN coalesce(c.named, t.title) ELSE t.title END AS title FROM titles_ t LEFT JOIN (SELECT doc_id, arg_min(trim(split_part(trim(substr(trim(content), 5)), chr(10), 1)), seq) AS named FROM chunks WHERE starts_with(trim(content), '(54)') GROUP BY doc_id) c ON t.doc_id = c.doc_id"))
 def title_fallback(spark, sf_dir):
-    """K2: patents of odd parts have no title of their own but a chunk with one."""
-    p = patents(spark, sf_dir)
-    docs = p.select("doc_id", F.when(F.col("n") % 2 == 0, F.concat(F.lit("Title "), F.col("n").cast("string"))).otherwise(metadata.UNKNOWN).alias("title"))
-    heads = F.regexp_replace(F.element_at(F.split("text", "\n"), 1), "^## ", "")
-    return metadata.title_fallback(docs, p.select("doc_id", F.lit(0).alias("seq"), F.concat(F.lit(" "), heads, F.lit("\nmore")).alias("content")))
+    """K2: documents without a title take that of their first chunk that starts with the title's number."""
+    return metadata.title_fallback(metadata.titles(patents(spark, sf_dir)), corpus(spark, sf_dir).chunks)
+
+
+@query(chain("SELECT query_id, chunk_id, concat_ws(',', CASE WHEN bm25_rank IS NOT NULL THEN 'bm25' END, CASE WHEN semantic_rank IS NOT NULL THEN 'semantic' END, CASE WHEN graph_rank IS NOT NULL THEN 'graph' END) AS tags FROM top_"))
+def retriever_tags(spark, sf_dir):
+    """K6"""
+    return fusion.final(retrieved(spark, sf_dir)).select("query_id", "chunk_id", F.array_join(context.retriever_tags(), ",").alias("tags"))
+
+
+@query(chain(f"SELECT query_id, concat('Excerpts:', chr(10), chr(10), context, chr(10), chr(10), 'Question: ', text, chr(10), chr(10), 'Answer in three or four sentences, each with its [Source n]. Give numbers as the excerpts give them.', chr(10)) AS prompt, concat('See [Source 1]. (', length(context) + length(text) + {len(context.ASKED)}, ' characters)') AS answer, total AS total_retrieved, least(total, 5) AS n_sources FROM (SELECT query_id, min(text) AS text, string_agg({_BLOCK}, chr(10) ORDER BY final_rank) FILTER (final_rank <= 5) AS context, count(*) AS total FROM top_ GROUP BY query_id)"))
+def prompts(spark, sf_dir):
+    """Prompts, a stand-in's answers and what they were made of."""
+    top = fusion.final(retrieved(spark, sf_dir))
+    rows = context.contexts(top).join(questions(spark, sf_dir).select("query_id", "text"), "query_id").withColumn("prompt", context.prompt(F.col("text"), F.col("context")))
+    out = context.answers(rows, Echo(), hits=top)
+    return out.select("query_id", "prompt", "answer", F.col("metadata.total_retrieved").alias("total_retrieved"), F.size("sources").cast("long").alias("n_sources"))
+
+
+@query("SELECT p_partkey, concat('Excerpts of ', p_brand, ':', chr(10), chr(10), p_name, chr(10), chr(10), 'Excerpts of ', p_type, ':', chr(10), chr(10), p_type, chr(10), chr(10), 'Compare the two: ', p_name, '?', chr(10)) AS comparison, concat('Excerpts:', chr(10), chr(10), p_name, chr(10), chr(10), 'Summarise them in a paragraph with citations.', chr(10)) AS summary FROM part")
+def comparison_prompts(spark, sf_dir):
+    """J6 over every part"""
+    name, kind = F.col("p_name"), F.col("p_type")
+    return table(spark, sf_dir, "part").select("p_partkey", context.comparison(F.concat(name, F.lit("?")), name, kind, F.col("p_brand"), kind).alias("comparison"), context.summary(name).alias("summary"))
 
 
 @query("SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(text, '.'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 10), lambda x: left(x, 80)), '|') AS snippets FROM documents")
@@ -712,12 +831,25 @@ def snippets(spark, sf_dir):
 STEPS["stats_"] = "SELECT query_id, count(*) AS total, count(bm25_rank) AS b, count(semantic_rank) AS s, count(graph_rank) AS g FROM top_ GROUP BY query_id"
 
 
-@query(chain("SELECT r_name AS category, 1::BIGINT AS count, coalesce(total, 0)::DOUBLE AS avg_contexts, coalesce(b, 0)::DOUBLE AS avg_bm25_hits, coalesce(s, 0)::DOUBLE AS avg_semantic_hits, coalesce(g, 0)::DOUBLE AS avg_graph_hits FROM region LEFT JOIN stats_ ON query_id = r_regionkey"))
+@query(chain("SELECT category, count(*) AS count, round(avg(coalesce(total, 0)), 6) AS avg_contexts, round(avg(coalesce(b, 0)), 6) AS avg_bm25_hits, round(avg(coalesce(s, 0)), 6) AS avg_semantic_hits, round(avg(coalesce(g, 0)), 6) AS avg_graph_hits FROM questions LEFT JOIN stats_ USING (query_id) GROUP BY category"))
 def category_stats(spark, sf_dir):
     """L1, L2"""
+    return evaluate.by_category(_details(spark, sf_dir))
+
+
+def _details(spark, sf_dir) -> DataFrame:
     top = fusion.final(retrieved(spark, sf_dir))
-    cases = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), F.col("r_name").alias("category"))
-    return evaluate.by_category(evaluate.details(cases, top, fusion.stats(top)))
+    cases = questions(spark, sf_dir).select("query_id", F.col("query_id").cast("string").alias("id"), "category", F.col("text").alias("question"))
+    return evaluate.details(cases, top, fusion.stats(top))
+
+
+@query(chain("SELECT query_id::VARCHAR AS id, category, text AS question, coalesce(total, 0) AS n_contexts, coalesce(b, 0) AS bm25_hits, CASE WHEN total IS NULL THEN 'no hits' END AS error FROM questions LEFT JOIN stats_ USING (query_id)"))
+def evaluation_results(spark, sf_dir):
+    """The cases of an evaluation, written as its result and read back."""
+    details, path = scratch.table(_details(spark, sf_dir), "details"), scratch.folder(spark, "results")
+    none = spark.createDataFrame([], "metric string, mean double")
+    writers.results(details, evaluate.by_category(details), none, path)
+    return readers.results(spark, path).select("id", "category", "question", F.size("contexts").cast("long").alias("n_contexts"), F.coalesce("bm25_hits", F.lit(0)).alias("bm25_hits"), "error")
 
 
 @query(chain("SELECT r AS retriever, h::BIGINT AS hits, round(100.0 * h / sum(h) OVER (), 6) AS percent FROM (SELECT unnest(['bm25', 'semantic', 'graph']) AS r, unnest([sum(b), sum(s), sum(g)]) AS h FROM stats_)"))
@@ -753,26 +885,69 @@ def question_quota(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_docs")).withColumn("quota", evaluate.quota(2500, F.col("n_docs")))
 
 
-@query("SELECT concat('G', row_number() OVER (ORDER BY conv_id)::VARCHAR) AS id, text AS question, NULL::VARCHAR AS ground_truth, 'generated' AS category, 'hybrid' AS retrieval_type FROM conversations WHERE turn = (SELECT min(turn) FROM conversations)")
+@query("SELECT concat('G', row_number() OVER (ORDER BY conv_id, turn, text)::VARCHAR) AS id, text AS question, '' AS ground_truth, role AS category, 'hybrid' AS retrieval_type FROM conversations")
 def dataset_cases(spark, sf_dir):
-    """A10: the first turns of conversations as generated cases."""
+    """A10: the turns of conversations as generated cases."""
     rows = table(spark, sf_dir, "conversations")
-    first = rows.join(F.broadcast(rows.agg(F.min("turn").alias("first")))).filter("turn = first")  # one row
-    return readers.cases(first.select(F.col("conv_id").alias("nth"), F.col("text").alias("user_input"), F.lit(None).cast("string").alias("reference")))
+    return readers.cases(rows.select(F.struct("conv_id", "turn", "text").alias("nth"), F.col("text").alias("user_input"), F.lit(None).cast("string").alias("reference"), F.col("role").alias("synthesizer_name")))
+
+
+_ASKED = "concat('PAGE', cast(s_suppkey * 3 as string), '.PDF')"
 
 
-_ASKED = "SELECT concat('PAGE', cast(s_suppkey * 3 as string), '.PDF') AS name FROM supplier"
+def _named(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Names that are asked for, and files."""
+    return table(spark, sf_dir, "supplier").selectExpr(f"{_ASKED} AS name"), table(spark, sf_dir, "pages").selectExpr("concat('Page', cast(page_id as string), '.pdf') AS name")
 
 
-@query(f"WITH a AS ({_ASKED}) SELECT name FROM a WHERE lower(name) NOT IN (SELECT concat('page', page_id::VARCHAR, '.pdf') FROM pages)")
+@query(f"WITH a AS (SELECT {_ASKED} AS name FROM supplier) SELECT name FROM a WHERE lower(name) NOT IN (SELECT concat('page', page_id::VARCHAR, '.pdf') FROM pages)")
 def requested_missing(spark, sf_dir):
     """A1: names that no file has."""
-    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
-    return readers.missing(spark.sql(_ASKED), table(spark, sf_dir, "pages").select(F.concat(F.lit("Page"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("name")))
+    return readers.missing(*_named(spark, sf_dir))
 
 
-@query(f"WITH a AS ({_ASKED}) SELECT name FROM (SELECT concat('Page', page_id::VARCHAR, '.pdf') AS name FROM pages) WHERE lower(name) IN (SELECT lower(name) FROM a)")
+@query(f"WITH a AS (SELECT {_ASKED} AS name FROM supplier) SELECT name FROM (SELECT concat('Page', page_id::VARCHAR, '.pdf') AS name FROM pages) WHERE lower(name) IN (SELECT lower(name) FROM a)")
 def requested_present(spark, sf_dir):
     """A1: files that were asked for."""
-    table(spark, sf_dir, "supplier").createOrReplaceTempView("supplier")
-    return readers.requested(spark.sql(_ASKED), table(spark, sf_dir, "pages").select(F.concat(F.lit("Page"), F.col("page_id").cast("string"), F.lit(".pdf")).alias("name")))
+    return readers.requested(*_named(spark, sf_dir))
+
+
+# --- documents and chunks as they are stored -------------------------------------------
+@query(chain("SELECT p.doc_id, p.filename, t.title, coalesce(s.sections, '') AS sections, coalesce(s.n_chars, 0) AS n_chars, 4 - 1 AS n_tables, '4,5,6,7' AS table_pages, 1 + len(regexp_extract_all(p.text, '<!-- PB -->')) AS total_pages, nullif(upper(regexp_extract(p.filename, '(?i)_([A-Z]\\d)\\.pdf$', 1)), '') AS kind_code, b.applicant, b.inventors FROM patents p JOIN titles_ t USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(section, ',' ORDER BY ord) AS sections, sum(length(text))::BIGINT AS n_chars FROM numbered GROUP BY doc_id) s USING (doc_id) LEFT JOIN bibliography b USING (doc_id)").replace("4 - 1 AS n_tables", "3::BIGINT AS n_tables"))
+def assembled_documents(spark, sf_dir):
+    """C14"""
+    out, of = metadata.assembled(patents(spark, sf_dir), raw_tables(spark, sf_dir)), lambda c: F.col(f"metadata.{c}")
+    n_chars = F.aggregate("sections", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+    return out.select(
+        "doc_id", of("filename").alias("filename"), "title", F.array_join(F.transform("sections", lambda x: x["section"]), ",").alias("sections"), n_chars.alias("n_chars"), F.size("tables").cast("long").alias("n_tables"),
+        F.array_join(of("table_pages").cast("array<string>"), ",").alias("table_pages"), of("total_pages").alias("total_pages"), of("kind_code").alias("kind_code"), of("applicant").alias("applicant"), F.array_join(of("inventors"), ";").alias("inventors"),
+    )
+
+
+@query("SELECT p_partkey AS doc_id, unnest([0, 1, 2])::INT AS blk, unnest([p_name, concat('[0001] ', p_type, chr(10), 'more'), concat('[0012] ', p_brand)]) AS block FROM part")
+def tagged_paragraphs(spark, sf_dir):
+    """D3: text cut at paragraph tags, and what stands before the first."""
+    text = F.expr("concat(p_name, chr(10), '[0001] ', p_type, chr(10), 'more', chr(10), '[0012] ', p_brand)")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(1).alias("ord"), F.lit("text").alias("section"), text.alias("text"))
+    return chunking.tagged(rows).select("doc_id", "blk", "block")
+
+
+STEPS["ref_counts_"] = "SELECT chunk_id, count(*) AS n_references FROM (SELECT DISTINCT chunk_id, ref_type, ref_id FROM ref_ids_) GROUP BY chunk_id"
+STEPS["entity_counts_"] = "SELECT chunk_id, count(*) AS n_entities, min(entity_id) AS first_entity FROM mentions GROUP BY chunk_id"
+
+
+@query(chain("SELECT c.chunk_id, c.section, c.page, c.chunk_type AS type, coalesce(n_references, 0) AS n_references, coalesce(n_entities, 0) AS n_entities, first_entity FROM chunks c LEFT JOIN ref_counts_ USING (chunk_id) LEFT JOIN entity_counts_ USING (chunk_id)"))
+def wire_chunks(spark, sf_dir):
+    """Chunks in wire format, exported as JSON and read back."""
+    c, path = corpus(spark, sf_dir), scratch.folder(spark, "export")
+    writers.export(metadata.assembled(patents(spark, sf_dir)), chunking.wire_format(c.chunks, c.mentions), path)
+    rows = readers.wire(spark, f"{path}/chunks")
+    return rows.select("chunk_id", "metadata.section", "metadata.page", "metadata.type", F.size("references").cast("long").alias("n_references"), F.coalesce(F.size("entities"), F.lit(0)).cast("long").alias("n_entities"), F.array_min(F.transform("entities", lambda x: x["entity_id"])).alias("first_entity"))
+
+
+@query(chain("SELECT doc_id, coalesce(n, 0) AS num_chunks FROM patents LEFT JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) USING (doc_id)").replace("coalesce(n, 0) AS num_chunks", "coalesce(c.n, 0) AS num_chunks").replace("GROUP BY doc_id) USING", "GROUP BY doc_id) c USING"))
+def stored_documents(spark, sf_dir):
+    """B1: documents with the numbers of their chunks, as they are stored."""
+    path = scratch.folder(spark, "corpus")
+    writers.corpus(patents(spark, sf_dir), corpus(spark, sf_dir).chunks, path)
+    return spark.read.parquet(f"{path}/documents").select("doc_id", "num_chunks")

@@ -1,14 +1,14 @@
-"""From document texts to chunks, mentions and a graph; from questions to ranked chunks."""
+"""From document texts to chunks, mentions, a graph and indices; from questions to ranked chunks."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, chunking, entities, fusion, graph, graph_search, lines, tables, vectors
-from ..sources import scratch
+from ..operators import bm25, chunking, entities, fusion, graph, graph_search, interfaces, lines, metadata, tables, vectors
+from ..sources import config, readers, scratch, writers
 from ..sources.vocabulary import DEFAULT
 
 
@@ -18,6 +18,8 @@ class Corpus:
     mentions: DataFrame
     entities: DataFrame
     relations: DataFrame
+    index: bm25.Index
+    entity_vectors: DataFrame | None = None
 
     @property
     def chunk_entities(self) -> DataFrame:
@@ -28,29 +30,101 @@ class Corpus:
         return graph.edges(self.relations)
 
 
-def ingested(documents: DataFrame, raw_tables: DataFrame | None = None, vocabulary: dict = DEFAULT, scope: str = "global", keep=scratch.table) -> Corpus:
-    """Stages 4-8: narrow per document up to the mentions; merging and relations shuffle by id and chunk.
+def ingested(documents: DataFrame, raw_tables: DataFrame | None = None, vocabulary: dict = DEFAULT, scope: str = "global", keep=scratch.table, encoder=None, answers=None) -> Corpus:
+    """Stages 4-10: narrow per document up to the mentions; merging, relations and the keyword index shuffle by id, chunk and term.
 
-    ``keep(df)`` holds what later stages read several times: a table by default.
+    ``keep(df)`` holds what later stages read several times: a table by default. With an
+    ``encoder`` the names of entities get vectors (F15); ``answers(chunks)`` are a model's (E2).
     """
     chunks = keep(chunking.chunks(lines.sections(documents), None if raw_tables is None else tables.stitched(raw_tables)))
-    mentions = keep(entities.extracted(chunks, vocabulary))
+    mentions = keep(entities.extracted(chunks, vocabulary, None if answers is None else entities.from_model(answers(chunks))))
     merged = keep(graph.merged(mentions))
-    return Corpus(chunks, mentions, merged, keep(graph.stored(graph.relations(chunks, merged, scope))))
+    named = None
+    if encoder is not None:  # a name is encoded once, however many entities have it
+        names = merged.select("name").distinct().withColumn("embedding", interfaces.encoded(F.col("name"), encoder))
+        named = keep(merged.select("entity_id", "name").join(names, "name").select("entity_id", "embedding"))
+    return Corpus(chunks, mentions, merged, keep(graph.stored(graph.relations(chunks, merged, scope))), bm25.build(chunks, keep), named)
 
 
-def hits(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, question_vectors: DataFrame, pool: int = fusion.POOL) -> dict[str, DataFrame]:
-    """Three rankings of ``pool`` chunks per question; they are branches of one plan and run side by side."""
-    index = bm25.build(corpus.chunks)
-    names = graph_search.question_names(questions)
-    return {
-        "bm25": bm25.search(index, questions, pool),
+def saved(corpus: Corpus, path: str, chunk_vectors: DataFrame | None = None) -> None:
+    """Everything that questions are answered from."""
+    corpus.chunks.write.parquet(f"{path}/chunks")
+    corpus.mentions.write.parquet(f"{path}/mentions")
+    writers.graph(corpus.entities, corpus.relations, f"{path}/graph", corpus.entity_vectors)
+    writers.index(corpus.index, f"{path}/bm25")
+    if chunk_vectors is not None:
+        writers.vectors(chunk_vectors, f"{path}/vectors")
+
+
+def loaded(spark: SparkSession, path: str, entity_vectors: bool = False) -> Corpus:
+    """A corpus as ``saved`` left it; nothing is built again."""
+    merged, relations = readers.graph(spark, f"{path}/graph")
+    named = readers.entity_vectors(spark, f"{path}/graph") if entity_vectors else None
+    return Corpus(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/mentions"), merged, relations, writers.read_index(spark, f"{path}/bm25"), named)
+
+
+def hits(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, question_vectors: DataFrame, pool: int = fusion.POOL, settings: config.Settings | None = None, encoder=None) -> dict[str, DataFrame]:
+    """Three rankings of ``pool`` chunks per question, kept as tables; keyword ranking fills its pool with chunks of score 0.
+
+    Where the settings say so, and an ``encoder`` and vectors of names are there, a name's entities are its nearest by meaning.
+    """
+    names = scratch.table(graph_search.question_names(questions), "names")
+    matches = None
+    if settings is not None and settings.semantic_entities and encoder is not None and corpus.entity_vectors is not None:
+        matches = graph_search.semantic(names, corpus.entity_vectors, encoder)
+    hops, decay = (settings.max_hops, settings.decay) if settings else (2, 0.5)
+    found = {
+        "bm25": bm25.search(corpus.index, questions, pool, include_zero=True),
         "semantic": vectors.search(chunk_vectors, question_vectors, pool),
-        "graph": graph_search.search(names, corpus.entities, corpus.edges, corpus.chunk_entities, corpus.chunks, pool),
+        "graph": graph_search.search(names, corpus.entities, corpus.edges, corpus.chunk_entities, corpus.chunks, pool, hops, decay, matches),
     }
+    return {name: scratch.table(df, f"hits-{name}") for name, df in found.items()}
 
 
-def retrieved(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, question_vectors: DataFrame, pool: int = fusion.POOL) -> DataFrame:
+def retrieved(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, question_vectors: DataFrame, pool: int = fusion.POOL, settings: config.Settings | None = None, encoder=None) -> DataFrame:
     """All fused candidates with the chunks' columns, unranked beyond ``rrf_rank``."""
-    fused = fusion.fused(fusion.merged(hits(corpus, questions, chunk_vectors, question_vectors, pool)))
-    return fused.join(corpus.chunks.select("chunk_id", "doc_id", "seq", "content", "section", "page"), "chunk_id").join(questions.select("query_id", F.col("text")), "query_id")
+    weights, k = (settings.weights, settings.rrf_k) if settings else (fusion.WEIGHTS, fusion.RRF_K)
+    fused = fusion.fused(fusion.merged(hits(corpus, questions, chunk_vectors, question_vectors, pool, settings, encoder)), weights, k)
+    asked = scratch.small(fused, "fused")
+    return corpus.chunks.select("chunk_id", "doc_id", "seq", "content", "section", "page").join(asked, "chunk_id").join(questions.select("query_id", F.col("text")), "query_id")
+
+
+def ingest_folder(spark: SparkSession, folder: str, output: str, converter, names: list[str] = (), pattern: str = "*.pdf", encoder=None, answers=None) -> dict:
+    """From a folder of files to stored tables (``saved``, and the documents as B1): returns what was found, missing, failed and made.
+
+    ``converter(bytes) -> (markdown, [(table, page), ...])``; a file that it fails on is a
+    row of ``errors`` and makes no chunk. Names are compared without their letter case.
+    """
+    there = readers.files(spark, folder, pattern)
+    told = {"found": there.count(), "missing": []}
+    if names:
+        asked = spark.createDataFrame([(n,) for n in names], "name string")
+        told["missing"] = sorted(r.name for r in readers.missing(asked, there).collect())  # as many as were asked for
+        there = readers.requested(asked, there)
+    read = readers.converted(spark, folder, converter, pattern).join(there.select("path"), "path", "left_semi")
+    read = scratch.table(read.withColumn("filename", F.substring_index("path", "/", -1)), "converted")
+    read.filter("error is not null").select("filename", "error").write.parquet(f"{output}/errors")
+    docs = read.filter("error is null").withColumn("doc_id", metadata.document_id(F.col("path"), F.col("text")))
+    raw = docs.select("doc_id", F.posexplode("tables").alias("ord", "t")).select("doc_id", "ord", "t.page", "t.md")
+    corpus = ingested(docs.select("doc_id", "text"), raw, encoder=encoder, answers=answers)
+    vecs = None if encoder is None else corpus.chunks.select("chunk_id", interfaces.encoded(F.col("content"), encoder).alias("embedding"))
+    saved(corpus, output, vecs)
+    whole = metadata.assembled(docs.select("doc_id", "filename", "text"), raw)
+    writers.corpus(whole, corpus.chunks, f"{output}/corpus")
+    return told | {"errors": read.filter("error is not null").count(), "documents": docs.count(), "chunks": corpus.chunks.count(), "entities": corpus.entities.count(), "relations": corpus.relations.count()}
+
+
+def main(argv: list[str] | None = None, converter=None, spark: SparkSession | None = None) -> dict:
+    """Ingestion from the command line, of Markdown files unless an outside converter is given."""
+    args = config.arguments(argv)
+    spark = spark or SparkSession.builder.appName("ingest").getOrCreate()
+    plain = converter is None
+    told = ingest_folder(spark, args.folder, args.output, (lambda content: (content.decode("utf-8", "replace"), [])) if plain else converter, args.names, "*.md" if plain else "*.pdf")
+    for name in told["missing"]:
+        print(f"not found: {name}")
+    print(", ".join(f"{k} {v}" for k, v in told.items() if k != "missing"))
+    return told
+
+
+if __name__ == "__main__":
+    main()

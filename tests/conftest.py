@@ -3,6 +3,8 @@ import os
 import pytest
 from pyspark.sql import SparkSession
 
+from folioscope.sources import scratch
+
 
 @pytest.fixture(scope="session")
 def spark():
@@ -16,4 +18,5 @@ def spark():
     )
     out.sparkContext.setLogLevel("ERROR")
     yield out
+    scratch.release(out)
     out.stop()

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .text import trim
 
 CHUNK = 64 << 10
 PIECE = 1 << 20
@@ -195,6 +196,7 @@ def chunks(archives: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 store, at = shared.filesystem(path)
                 with store.open_input_stream(at) as source:
                     yield from _batches(records(source, chunk))
+        trim()
 
     return archives.select("path").repartition(max(1, archives.count())).mapInArrow(run, ROWS)
 
@@ -249,6 +251,7 @@ def write(pages: DataFrame, folder: str, limit: int = ARCHIVE, piece: int = PIEC
             shared.put(path, body)
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
             no += 1
+        trim()
 
     ordered = rows.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", "kind", "url", "copy", "no").drop("copy")
     return shared.table(ordered.mapInArrow(run, "path string, records long"), "archives")

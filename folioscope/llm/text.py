@@ -207,8 +207,23 @@ class Memo:
         self.__init__(self.limit)
 
     def add(self, hashes: np.ndarray) -> None:
-        """Gives new distinct hashes the next places."""
-        keys = np.concatenate([self.keys, hashes])
-        places = np.concatenate([self.places, np.arange(self.n, self.n + len(hashes))])
-        order = np.argsort(keys)
-        self.keys, self.places, self.n = keys[order], places[order], self.n + len(hashes)
+        """Gives new distinct hashes, in order, the next places."""
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.places = np.insert(self.places, at, np.arange(self.n, self.n + len(hashes)))
+        self.n += len(hashes)
+
+
+class Stack:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.held, self.n = np.empty(1 << 12, dtype), 0
+
+    def push(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.held):
+            more = np.empty(max(2 * len(self.held), self.n + len(values)), self.held.dtype)
+            more[: self.n] = self.held[: self.n]
+            self.held = more
+        self.held[self.n : self.n + len(values)] = values
+        self.n += len(values)

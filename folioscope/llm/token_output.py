@@ -36,15 +36,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .text import Lexer, Memo, once, slices
+from .text import Lexer, Memo, Stack, once, slices
 
 LENGTH = 2048
 BATCH = 256
 END = 1
-MEMO = 1 << 19
-SPAN = 1 << 16
+MEMO = 1 << 20
+SPAN = 1 << 18
 MARK = "\x01"
-GROUP = 64
+GROUP = 128
 CALL = 16
 FILES = "part int, path string, docs long, tokens long, sequences long"
 
@@ -59,11 +59,16 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), END + 1)
         self.kind = np.uint16 if size <= 1 << 16 else np.uint32
-        self.lexer, self.memo = Lexer(lower=False), Memo(MEMO)
-        self.ids, self.places = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.lexer = Lexer(lower=False)
+        self.forget()
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None  # one id that no other text has
 
+    def forget(self) -> None:
+        """Starts without known words: their ids one after another, and where those of each end."""
+        self.memo, self.ids, self.ends = Memo(MEMO), Stack(np.uint32), Stack(np.int64)
+        self.ends.push(np.zeros(1, np.int64))
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Many words in one call, parted by the mark; words that hold the mark go alone."""
         out: list = [None] * len(words)
@@ -87,18 +92,20 @@ class WordEncoder:
         """(ids of some words in a row, how many each has)"""
         distinct, first, back = np.unique(words.hashes[some], return_index=True, return_inverse=True)
         if self.memo.full(len(distinct)):
-            self.memo.clear()
-            self.ids, self.places = np.empty(0, np.uint32), np.zeros(1, np.int64)
-        new = np.flatnonzero(self.memo.find(distinct) < 0)
+            self.forget()
+        place = self.memo.find(distinct)
+        new = np.flatnonzero(place < 0)
         if len(new):
-            coded = self.encode_words([words.bytes_of(some.start + k).decode() for k in first[new]])
+            coded = self.encode_words([words.bytes_of(some.start + k).decode() for k in first[new].tolist()])
+            place[new] = self.memo.n + np.arange(len(new))
             self.memo.add(distinct[new])
-            self.ids = np.concatenate([self.ids, *coded])
-            self.places = np.concatenate([self.places, self.places[-1] + np.cumsum([len(x) for x in coded], dtype=np.int64)])
-        place = self.memo.find(distinct)
-        start, size = self.places[place][back], (self.places[place + 1] - self.places[place])[back]
+            self.ids.push(np.concatenate(coded))
+            self.ends.push(self.ends.held[self.ends.n - 1] + np.cumsum([len(x) for x in coded], dtype=np.int64))
+        start = self.ends.held[place]
+        size = (self.ends.held[place + 1] - start)[back]
+        start = start[back]
         stop = np.cumsum(size)
-        return self.ids[np.repeat(start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)], size
+        return self.ids.held[np.repeat(start - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)], size
 
     def __call__(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each has), each closed with ``end``."""

@@ -150,7 +150,7 @@ def settled(blocks: DataFrame, parts: int, owner, gather: int, fan: int) -> Data
 
         spread = blocks.repartition(parts, F.col("part"), F.pmod("salt", F.lit(step))).sortWithinPartitions("part")
         blocks, step = spread.mapInArrow(refined, BLOCKS), finer
-    return blocks.repartition(parts, "part").sortWithinPartitions("part")
+    return blocks.repartitionById(parts, F.col("part")).sortWithinPartitions("part")  # a part a task; by hash some would get several
 
 
 def _gathered(arrays, limit: int = GATHER):

@@ -4,6 +4,13 @@ Language ID drops what is in no learned language, near-duplicates leave one docu
 each group, decontamination drops documents that hold benchmark passages, mixing repeats
 documents towards the sources' targets, and the last stage writes token ids and returns
 what it reads back: ``doc_id, start, n_tokens, ids_crc32`` of every document written.
+
+Edge cases: null, empty, blank and letterless texts are in no language and go at the first
+stage, as does everything where no row has a label; a null source is a source of the mix;
+null and repeated ids are rows like others, and of rows equal in id and text one stays at
+the second stage; ties are decided by id and then by a hash of the text; a very long text
+goes through whole, in blocks and spans; an empty table gives no rows at any stage; extra
+columns, whatever their names, stay as they are up to the last stage.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ def _met(links: DataFrame, least: DataFrame) -> DataFrame:
     """``links (u, v)`` with the ``m`` of ``least (u, m)``; the links of a node meet it in several tasks."""
     salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
     every = least.select(F.col("u").alias("w"), "m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("t"))
-    return links.withColumn("s", salt).join(every, (F.col("u") == F.col("w")) & (F.col("s") == F.col("t")))
+    # merged, as estimates of small files would have it broadcast
+    return links.withColumn("s", salt).join(every.hint("merge"), (F.col("u") == F.col("w")) & (F.col("s") == F.col("t")))
 
 
 def _large(e: DataFrame) -> DataFrame:

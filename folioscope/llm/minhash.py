@@ -52,6 +52,7 @@ BLOCK_BYTES = 8 << 20
 CELLS = 4 << 20
 STAR_ROUNDS = 2
 HOT = 1000
+PAIRS = 250
 
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.uint32(1)
 
@@ -199,7 +200,7 @@ def pruned(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Each ``v`` is sent once per pair and each ``u`` once per about ``HOT`` of its pairs."""
+    """The pairs whose full sets reach the threshold. Each ``v`` is sent once per pair and each ``u`` once per about ``PAIRS`` of its pairs."""
 
     def run(batches):
         key, head = None, None
@@ -215,7 +216,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         found.append((u, v))
             yield pa.RecordBatch.from_pydict({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
 
-    many = shared.small(pairs.groupBy("u").agg(F.ceil(F.count("*") / HOT).alias("parts")).filter("parts > 1"), "near-heads")
+    many = shared.small(pairs.groupBy("u").agg(F.ceil(F.count("*") / PAIRS).alias("parts")).filter("parts > 1"), "near-heads")
     salt = F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int")
     pairs = pairs.join(many, "u", "left").select("u", salt.alias("salt"), "v")
     pairs = shared.table(pairs, "near-pairs")

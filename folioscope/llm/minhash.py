@@ -52,7 +52,7 @@ BLOCK_BYTES = 8 << 20
 CELLS = 4 << 20
 STAR_ROUNDS = 2
 HOT = 1000
-PAIRS = 64
+PAIRS = 250
 
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 32, (2, BANDS * ROWS), np.uint32) | np.uint32(1)
 

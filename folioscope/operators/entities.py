@@ -7,7 +7,9 @@ matches to drop repeated ones and is an Arrow-batched UDF, skipped for text with
 
 from __future__ import annotations
 
+import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -182,17 +184,24 @@ def triggered(which: str, phrases: list[str]) -> Column:
     return _mentions(which, F.filter(F.array(hit), lambda x: x["sentence"] != ""), lambda x, k: _id(f"_{kind}_0_", label(x["phrase"])), kind, lambda x, k: x["sentence"], lambda x, k: F.to_json(F.struct(x["phrase"].alias("trigger_phrase"))))
 
 
+@lru_cache(maxsize=8)
+def _expressions(application: str, vocabulary: str) -> tuple[Column, Column]:
+    """The measurements of a text and all its mentions, for a vocabulary as JSON: thousands of calls to the JVM, so made once a session."""
+    v = json.loads(vocabulary)
+    every = F.concat(
+        elements(F.col("composition")), properties(v["properties"]), processes(v["processes"]), references(), samples(), cited(), people("inventors"), people("assignees"),
+        worded("applications", v["applications"]), worded("materials", v["materials"]), patdocs(), triggered("problems", v["problems"]), triggered("solutions", v["solutions"]),
+    )
+    return composition(F.col("content"), v["elements"]), every
+
+
 def extracted(chunks: DataFrame, vocabulary: dict = DEFAULT, external: DataFrame | None = None) -> DataFrame:
     """``chunk_id, doc_id, seq, extractor, k, entity_id, type, name, properties`` of every mention.
 
     ``external`` (E2) holds mentions of an outside model in the same columns; they come first.
     """
-    v = vocabulary
-    rows = chunks.withColumn("composition", composition(F.col("content"), v["elements"]))
-    every = F.concat(
-        elements(F.col("composition")), properties(v["properties"]), processes(v["processes"]), references(), samples(), cited(), people("inventors"), people("assignees"),
-        worded("applications", v["applications"]), worded("materials", v["materials"]), patdocs(), triggered("problems", v["problems"]), triggered("solutions", v["solutions"]),
-    )
+    measured, every = _expressions(chunks.sparkSession.sparkContext.applicationId, json.dumps(vocabulary))
+    rows = chunks.withColumn("composition", measured)
     out = rows.select("chunk_id", "doc_id", "seq", F.inline(every))
     return out if external is None else external.select(*out.columns).unionByName(out)
 

@@ -25,6 +25,16 @@ def bfs(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, keep=scratch.tabl
     return met.filter("dist > 0")
 
 
+def reached_chunks(edges: DataFrame, seeds: DataFrame, chunk_entities: DataFrame, max_hops: int, worth) -> DataFrame:
+    """``seed, chunk_id, w``: what an ``entity_id`` of ``seeds`` gives to the chunks of all that it reaches, ``worth(dist)`` for each.
+
+    That is the same for every question, so it is summed before questions join.
+    """
+    reached = bfs(edges, seeds.select(F.col("entity_id").alias("seed")), max_hops)
+    at = chunk_entities.select(F.col("entity_id").alias("at"), "chunk_id")
+    return reached.join(at, F.col("node") == F.col("at")).groupBy("seed", "chunk_id").agg(F.sum(worth(F.col("dist"))).alias("w"))
+
+
 def semantic_starts(found: DataFrame) -> DataFrame:
     """H2: ``query_id, entity_id, score`` with the best score of each entity over the names of a query."""
     return found.groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
@@ -40,13 +50,16 @@ def related_chunks(names: DataFrame, entities: DataFrame, edges: DataFrame, chun
 
     from .graph_search import lexical as matched
 
-    lexical = names.join(matched(names, entities), "name").select("query_id", "entity_id")
+    asked = names.groupBy("query_id", "name").agg(F.count("*").alias("times"))
+    seeds = asked.join(matched(names, entities), "name").select("query_id", "entity_id", "times")
     if semantic is not None:
-        lexical = lexical.join(semantic.select("query_id").distinct(), "query_id", "left_anti").unionByName(semantic.select("query_id", "entity_id"))
+        own = semantic.select("query_id", "entity_id", F.lit(1).cast("long").alias("times"))
+        seeds = seeds.join(semantic.select("query_id").distinct(), "query_id", "left_anti").unionByName(own)
+    seeds = scratch.table(seeds.groupBy("query_id", "entity_id").agg(F.sum("times").alias("times")), "related-seeds")
     at = chunk_entities.select(F.col("entity_id").alias("at"), "chunk_id")
-    direct = lexical.join(at, F.col("entity_id") == F.col("at")).select("query_id", "chunk_id", F.lit(2.0).alias("s"))
-    reached = bfs(edges, lexical.select(F.col("entity_id").alias("seed")), max_hops)
-    far = lexical.join(reached, F.col("entity_id") == F.col("seed")).join(at, F.col("node") == F.col("at")).select("query_id", "chunk_id", (1.0 / (F.col("dist") + 1)).alias("s"))
+    direct = seeds.join(at, F.col("entity_id") == F.col("at")).select("query_id", "chunk_id", (2.0 * F.col("times")).alias("s"))
+    worth = reached_chunks(edges, seeds, chunk_entities, max_hops, lambda dist: 1.0 / (dist + 1))
+    far = seeds.join(worth, F.col("entity_id") == F.col("seed")).select("query_id", "chunk_id", (F.col("times") * F.col("w")).alias("s"))
     scores = direct.unionByName(far).groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= max_chunks)

@@ -747,10 +747,10 @@ def retriever_stats(spark, sf_dir):
     return fusion.stats(fusion.final(retrieved(spark, sf_dir)))
 
 
-@query(chain("SELECT query_id, chunk_id, doc_id, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS n FROM ranked_ JOIN patents p USING (doc_id) WHERE final_rank <= 30 AND p.n % 2 = 0) WHERE n_1 <= 10").replace("AS n FROM ranked_", "AS n_1 FROM ranked_"))
+@query(chain("SELECT query_id, chunk_id, doc_id, final_rank FROM (SELECT r.*, row_number() OVER (PARTITION BY query_id ORDER BY final_rank) AS place FROM ranked_ r JOIN patents p USING (doc_id) WHERE final_rank <= 30 AND p.filename LIKE '%B1.pdf') WHERE place <= 10"))
 def filtered_hybrid(spark, sf_dir):
-    """K1: documents of even parts only, chosen after ranking."""
-    chosen = patents(spark, sf_dir).filter("n % 2 = 0").select("doc_id")
+    """K1: documents of kind B1 only, chosen after ranking."""
+    chosen = patents(spark, sf_dir).filter(metadata.kind_code(F.col("filename")) == "B1").select("doc_id")
     return fusion.filtered(retrieved(spark, sf_dir), chosen).select("query_id", "chunk_id", "doc_id", "final_rank")
 
 
@@ -913,7 +913,7 @@ def requested_present(spark, sf_dir):
 
 
 # --- documents and chunks as they are stored -------------------------------------------
-@query(chain("SELECT p.doc_id, p.filename, t.title, coalesce(s.sections, '') AS sections, coalesce(s.n_chars, 0) AS n_chars, 4 - 1 AS n_tables, '4,5,6,7' AS table_pages, 1 + len(regexp_extract_all(p.text, '<!-- PB -->')) AS total_pages, nullif(upper(regexp_extract(p.filename, '(?i)_([A-Z]\\d)\\.pdf$', 1)), '') AS kind_code, b.applicant, b.inventors FROM patents p JOIN titles_ t USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(section, ',' ORDER BY ord) AS sections, sum(length(text))::BIGINT AS n_chars FROM numbered GROUP BY doc_id) s USING (doc_id) LEFT JOIN bibliography b USING (doc_id)").replace("4 - 1 AS n_tables", "3::BIGINT AS n_tables"))
+@query(chain("SELECT p.doc_id, p.filename, t.title, coalesce(s.sections, '') AS sections, coalesce(s.n_chars, 0) AS n_chars, 3::BIGINT AS n_tables, '4,5,6,7' AS table_pages, 1 + len(regexp_extract_all(p.text, '<!-- PB -->')) AS total_pages, nullif(upper(regexp_extract(p.filename, '(?i)_([A-Z]\\d)\\.pdf$', 1)), '') AS kind_code, b.applicant, b.inventors FROM patents p JOIN titles_ t USING (doc_id) LEFT JOIN (SELECT doc_id, string_agg(section, ',' ORDER BY ord) AS sections, sum(length(text))::BIGINT AS n_chars FROM numbered GROUP BY doc_id) s USING (doc_id) LEFT JOIN bibliography b USING (doc_id)"))
 def assembled_documents(spark, sf_dir):
     """C14"""
     out, of = metadata.assembled(patents(spark, sf_dir), raw_tables(spark, sf_dir)), lambda c: F.col(f"metadata.{c}")

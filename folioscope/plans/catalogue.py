@@ -157,7 +157,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> ingest.Corpus:
     """The ingested patents: built once in a session, as an index is, and read by every query on them."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _CORPORA:
-        _CORPORA[key] = ingest.ingested(patents(spark, sf_dir), raw_tables(spark, sf_dir))
+        _CORPORA[key] = ingest.ingested(scratch.spread(patents(spark, sf_dir), "doc_id"), raw_tables(spark, sf_dir))
     return _CORPORA[key]
 
 

@@ -37,13 +37,14 @@ def ingested(documents: DataFrame, raw_tables: DataFrame | None = None, vocabula
     ``encoder`` the names of entities get vectors (F15); ``answers(chunks)`` are a model's (E2).
     """
     chunks = keep(chunking.chunks(lines.sections(documents), None if raw_tables is None else tables.stitched(raw_tables)))
-    mentions = keep(entities.extracted(chunks, vocabulary, None if answers is None else entities.from_model(answers(chunks))))
+    dealt = scratch.spread(chunks, "chunk_id")
+    mentions = keep(entities.extracted(dealt, vocabulary, None if answers is None else entities.from_model(answers(chunks))))
     merged = keep(graph.merged(mentions))
     named = None
     if encoder is not None:  # a name is encoded once, however many entities have it
         names = merged.select("name").distinct().withColumn("embedding", interfaces.encoded(F.col("name"), encoder))
         named = keep(merged.select("entity_id", "name").join(names, "name").select("entity_id", "embedding"))
-    return Corpus(chunks, mentions, merged, keep(graph.stored(graph.relations(chunks, merged, scope))), bm25.build(chunks, keep), named)
+    return Corpus(chunks, mentions, merged, keep(graph.stored(graph.relations(chunks, merged, scope))), bm25.build(dealt, keep), named)
 
 
 def saved(corpus: Corpus, path: str, chunk_vectors: DataFrame | None = None) -> None:
@@ -106,7 +107,7 @@ def ingest_folder(spark: SparkSession, folder: str, output: str, converter, name
     read.filter("error is not null").select("filename", "error").write.parquet(f"{output}/errors")
     docs = read.filter("error is null").withColumn("doc_id", metadata.document_id(F.col("path"), F.col("text")))
     raw = docs.select("doc_id", F.posexplode("tables").alias("ord", "t")).select("doc_id", "ord", "t.page", "t.md")
-    corpus = ingested(docs.select("doc_id", "text"), raw, encoder=encoder, answers=answers)
+    corpus = ingested(scratch.spread(docs.select("doc_id", "text"), "doc_id"), raw, encoder=encoder, answers=answers)
     vecs = None if encoder is None else corpus.chunks.select("chunk_id", interfaces.encoded(F.col("content"), encoder).alias("embedding"))
     saved(corpus, output, vecs)
     whole = metadata.assembled(docs.select("doc_id", "filename", "text"), raw)

@@ -82,3 +82,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A scanned table, dealt over the session's cores where it is read in fewer tasks than these; larger ones are left as they are.
+
+    For stages whose work by far outweighs their rows. What is given should be a scan: other plans are run to be counted.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)

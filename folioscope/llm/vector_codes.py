@@ -208,7 +208,7 @@ def coded(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
         search = Codebooks(held.value)
         for matrix, (ids, labels) in _matrices(batches, "vec_id", "label"):
             at, squares = search(matrix)
-            error = [min(int(sum(own)), MOST) for own in zip(*squares, strict=True)]
+            error = [min(sum(int(x) for x in own), MOST) for own in zip(*squares, strict=True)]
             flat = pa.array(at.astype(np.int32).ravel())
             code = pa.ListArray.from_arrays(pa.array(np.arange(0, at.size + 1, at.shape[1]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([ids, labels, code, pa.array(error, pa.int64())], names=["vec_id", "label", "code", "error"])

@@ -1,42 +1,30 @@
 """Typed entity mentions of chunks.
 
-All extractors but one are column expressions over the chunk text, each an array of
-mentions, so a chunk is read once and nothing is joined. Composition needs the spans of
-matches to drop repeated ones and is an Arrow-batched UDF, skipped for text without "%".
+What a vocabulary decides comes from one automaton in Arrow batches (``automaton``); all
+other extractors are column expressions over the chunk text. Each gives an array of
+mentions, so a chunk is read once and nothing is joined.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import matches, strip
 from ..sources.vocabulary import DEFAULT
+from .automaton import COMPOSITION, DEGREES, MEASURE, hits
 
 MENTION = "array<struct<extractor:int,k:int,entity_id:string,type:string,name:string,properties:string>>"
 EXTRACTORS = ("elements", "properties", "processes", "references", "samples", "cited", "inventors", "assignees", "applications", "materials", "patdocs", "problems", "solutions")
-#: What a composition may look like, and which groups hold its values; {symbol} is an element's.
-COMPOSITION = (
-    (r"\b{symbol}\s*[:=]?\s*(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)", 1, None, 2),
-    (r"\b{symbol}\s*[:=]?\s*(\d+\.?\d*)\s*(?:to|-)\s*(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)", 1, 2, 3),
-    (r"(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)\s*(?:to|-)\s*(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)(?:\s+by\s+mass)?\s+(?:of\s+)?\b{symbol}\b", 1, 3, 4),
-    (r"(\d+\.?\d*)\s*(%|mass\s*%|wt\s*%)(?:\s+by\s+mass)?\s+(?:or\s+less\s+)?(?:of\s+)?\b{symbol}\b", 1, None, 2),
-)
-#: The measure after a property's alias, and the temperature after a process's.
-MEASURE = r"\s*(?:of|:)?\s*(\d+)\s*(MPa|%|T|W/kg)"
-DEGREES = r".*?(\d+)\s*°?C"
 #: The patterns of references, samples, citations and people.
 REFERENCES = (("table", r"(?i)Table\s*(\d+)", "Table "), ("formula", r"(?i)Formula\s*\((\d+)\)", "Formula "), ("figure", r"(?i)(?:FIG\.?|Figure)\s*(\d+)", "Figure "))
 CITED = r"(?iU)(?:US|EP|WO|JP|CN|KR|DE|GB|FR)\s*[\d,./\-]{4,}(?:\s*[AB]\d)?\b"
 PATDOC = r"(?i)Patent\s+(?:Document|Literature|Lit\.?)\s+(\d+)"
 PEOPLE = {"inventors": r"[Ii]nventor(?:s)?\s*[:;]\s*(.+?)(?:\n|$)", "assignees": r"(?:[Aa]ssignee|[Aa]pplicant)(?:s)?\s*[:;]\s*(.+?)(?:\n|$)"}
 SAMPLE = r"(?:Sample|Symbol|Material)\s+([a-zA-Z]\d+)"
-SENTENCE = 300
 
 
 def _mentions(extractor: str, items: Column, entity_id, kind: str, name, properties) -> Column:
@@ -48,41 +36,10 @@ def _mentions(extractor: str, items: Column, entity_id, kind: str, name, propert
     return F.coalesce(F.transform(items, one), F.array().cast(MENTION)).cast(MENTION)
 
 
-def _quoted(text: str) -> str:
-    return r"\Q" + text + r"\E"
-
-
 def _id(*parts) -> Column:
     return F.concat(F.col("doc_id"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def composition(text: Column, elements: dict) -> Column:
-    """Structs (symbol, full, low, high, unit) in order of element, form and place; high is set for ranges."""
-    forms = [(symbol, symbol.casefold(), full, [(re.compile(p.format(symbol=symbol), re.IGNORECASE), *groups) for p, *groups in COMPOSITION]) for symbol, full in elements.items()]
-    longest = {len(low) for _, low, _, _ in forms}
-
-    def found(x: str | None) -> list[dict]:
-        out, spans = [], set()
-        if x and "%" in x:
-            words = re.findall(r"\w+", x.casefold())  # a symbol is never matched but at the start of a word
-            starts = {w[:n] for w in words for n in longest}
-            for symbol, low, full, patterns in forms:
-                if low not in starts:
-                    continue
-                for pattern, low_at, high_at, unit_at in patterns:
-                    for m in pattern.finditer(x):
-                        if m.span() not in spans:
-                            spans.add(m.span())
-                            out.append({"symbol": symbol, "full": full, "low": float(m[low_at]), "high": float(m[high_at]) if high_at else None, "unit": m[unit_at]})
-        return out
-
-    @F.pandas_udf("array<struct<symbol:string,full:string,low:double,high:double,unit:string>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(found)
-
-    return run(text)
-
-
 def elements(items: Column) -> Column:
     ranged = lambda x: x["high"].isNotNull()
     number = EXTRACTORS.index("elements")
@@ -92,33 +49,21 @@ def elements(items: Column) -> Column:
         F.when(ranged(x), "composition_range").otherwise("chemical_element").alias("type"), F.when(ranged(x), F.concat(x["symbol"], F.lit("_range"))).otherwise(x["symbol"]).alias("name"),
         F.when(ranged(x), F.to_json(F.struct(x["symbol"].alias("element"), x["low"].alias("min_val"), x["high"].alias("max_val"), F.lit("%").alias("unit")))).otherwise(F.to_json(F.struct(x["full"].alias("full_name"), x["low"].alias("value"), x["unit"].alias("unit")))).alias("properties"),
     )
-    return F.transform(items, one).cast(MENTION)
-
-
-def _vocabulary(extractor: str, words: dict, kind: str, make) -> Column:
-    """Per canonical id the first alias that the text holds; ``make(alias)`` gives its struct."""
-    low = F.lower("content")
-    hits = [F.coalesce(*[F.when(low.contains(a.lower()), make(canon, a)) for a in aliases]) for canon, aliases in words.items()]
-    items = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return _mentions(extractor, items, lambda x, k: _id("_", x["canon"], "_", k.cast("string")), kind, lambda x, k: x["canon"], lambda x, k: x["properties"])
+    return F.coalesce(F.transform(items, one), F.array().cast(MENTION)).cast(MENTION)
 
 
-def properties(words: dict) -> Column:
-    def make(canon, alias):
-        pattern = rf"(?iu){_quoted(alias)}{MEASURE}"
-        value = F.nullif(F.regexp_extract("content", pattern, 1), F.lit(""))
-        unit = F.nullif(F.regexp_extract("content", pattern, 2), F.lit(""))
-        return F.struct(F.lit(canon).alias("canon"), F.to_json(F.struct(F.lit(alias).alias("alias"), value.cast("double").alias("value"), unit.alias("unit"))).alias("properties"))
+def _vocabulary(extractor: str, items: Column, kind: str, told) -> Column:
+    """Per canonical id the first alias that the text holds; ``told(item)`` are its properties."""
+    return _mentions(extractor, items, lambda x, k: _id("_", x["canon"], "_", k.cast("string")), kind, lambda x, k: x["canon"], lambda x, k: F.to_json(told(x)))
 
-    return _vocabulary("properties", words, "property", make)
 
+def properties(items: Column) -> Column:
+    return _vocabulary("properties", items, "property", lambda x: F.struct(x["alias"].alias("alias"), x["value"].try_cast("double").alias("value"), x["unit"].alias("unit")))
 
-def processes(words: dict) -> Column:
-    def make(canon, alias):
-        degrees = F.nullif(F.regexp_extract("content", rf"(?iu){_quoted(alias)}{DEGREES}", 1), F.lit(""))
-        return F.struct(F.lit(canon).alias("canon"), F.to_json(F.struct(F.lit(alias).alias("alias"), degrees.cast("int").alias("temperature"), F.when(degrees.isNotNull(), "°C").alias("temperature_unit"))).alias("properties"))
 
-    return _vocabulary("processes", words, "process", make)
+def processes(items: Column) -> Column:
+    unit = lambda x: F.when(x["degrees"].isNotNull(), "°C")
+    return _vocabulary("processes", items, "process", lambda x: F.struct(x["alias"].alias("alias"), x["degrees"].try_cast("int").alias("temperature"), unit(x).alias("temperature_unit")))
 
 
 def references() -> Column:
@@ -160,39 +105,28 @@ def people(which: str) -> Column:
     return _mentions(which, names, lambda x, k: _id(f"_{one}_", F.replace(F.lower(x), F.lit(" "), F.lit("_"))), one, lambda x, k: x, lambda x, k: F.lit("{}"))
 
 
-def worded(which: str, words: dict) -> Column:
+def worded(which: str, items: Column) -> Column:
     """Canonical ids with an alias in the text as whole words; the first alias counts."""
     kind, label = {"applications": ("application", "_app_"), "materials": ("material", "_material_")}[which]
-    low = F.lower("content")
-    hits = [F.coalesce(*[F.when(low.rlike(rf"(?U)\b{_quoted(a.lower())}\b"), F.struct(F.lit(canon).alias("canon"), F.lit(a).alias("alias"))) for a in aliases]) for canon, aliases in words.items()]
-    return _mentions(which, F.filter(F.array(*hits), lambda x: x.isNotNull()), lambda x, k: _id(label, x["canon"]), kind, lambda x, k: x["canon"], lambda x, k: F.to_json(F.struct(x["alias"].alias("matched_alias"))))
-
-
-def sentence(text: Column, phrase: str) -> Column:
-    """From after the full stop before the phrase's first occurrence through the next one."""
-    at = F.locate(phrase, F.lower(text))
-    before, after = F.substring_index(F.substring(text, F.lit(1), at - 1), ".", -1), F.substring(text, at, F.length(text))
-    stop = F.locate(".", after)
-    return F.left(strip(F.concat(before, F.when(stop > 0, F.substring(after, F.lit(1), stop)).otherwise(after))), F.lit(SENTENCE))
+    return _mentions(which, items, lambda x, k: _id(label, x["canon"]), kind, lambda x, k: x["canon"], lambda x, k: F.to_json(F.struct(x["alias"].alias("matched_alias"))))
 
 
-def triggered(which: str, phrases: list[str]) -> Column:
-    """The sentence of the first phrase in the list that the text holds; one a chunk."""
-    kind, low = which[:-1], F.lower("content")
-    hit = F.coalesce(*[F.when(low.contains(p), F.struct(F.lit(p).alias("phrase"), sentence(F.col("content"), p).alias("sentence"))) for p in phrases])
+def triggered(which: str, items: Column) -> Column:
+    """The sentence of the first phrase in the list that the text holds; one a chunk."""
+    kind = which[:-1]
     label = (lambda x: F.left(F.replace(x, F.lit(" "), F.lit("_")), F.lit(20))) if which == "solutions" else (lambda x: x)
-    return _mentions(which, F.filter(F.array(hit), lambda x: x["sentence"] != ""), lambda x, k: _id(f"_{kind}_0_", label(x["phrase"])), kind, lambda x, k: x["sentence"], lambda x, k: F.to_json(F.struct(x["phrase"].alias("trigger_phrase"))))
+    return _mentions(which, F.filter(items, lambda x: x["sentence"] != ""), lambda x, k: _id(f"_{kind}_0_", label(x["phrase"])), kind, lambda x, k: x["sentence"], lambda x, k: F.to_json(F.struct(x["phrase"].alias("trigger_phrase"))))
 
 
 @lru_cache(maxsize=8)
 def _expressions(application: str, vocabulary: str) -> tuple[Column, Column]:
-    """The measurements of a text and all its mentions, for a vocabulary as JSON: thousands of calls to the JVM, so made once a session."""
-    v = json.loads(vocabulary)
+    """What the automaton finds in a text, and all mentions, for a vocabulary as JSON: many calls to the JVM, so made once a session."""
+    of = lambda name: F.col("hits")[name]
     every = F.concat(
-        elements(F.col("composition")), properties(v["properties"]), processes(v["processes"]), references(), samples(), cited(), people("inventors"), people("assignees"),
-        worded("applications", v["applications"]), worded("materials", v["materials"]), patdocs(), triggered("problems", v["problems"]), triggered("solutions", v["solutions"]),
+        elements(of("composition")), properties(of("properties")), processes(of("processes")), references(), samples(), cited(), people("inventors"), people("assignees"),
+        worded("applications", of("applications")), worded("materials", of("materials")), patdocs(), triggered("problems", of("problems")), triggered("solutions", of("solutions")),
     )
-    return composition(F.col("content"), v["elements"]), every
+    return hits(SparkSession.active(), json.loads(vocabulary), F.col("content")), every
 
 
 def extracted(chunks: DataFrame, vocabulary: dict = DEFAULT, external: DataFrame | None = None) -> DataFrame:
@@ -200,8 +134,8 @@ def extracted(chunks: DataFrame, vocabulary: dict = DEFAULT, external: DataFrame
 
     ``external`` (E2) holds mentions of an outside model in the same columns; they come first.
     """
-    measured, every = _expressions(chunks.sparkSession.sparkContext.applicationId, json.dumps(vocabulary))
-    rows = chunks.withColumn("composition", measured)
+    found, every = _expressions(chunks.sparkSession.sparkContext.applicationId, json.dumps(vocabulary))
+    rows = chunks.select("chunk_id", "doc_id", "seq", "content", found.alias("hits"))
     out = rows.select("chunk_id", "doc_id", "seq", F.inline(every))
     return out if external is None else external.select(*out.columns).unionByName(out)
 

@@ -150,15 +150,9 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark, sf_dir, "region", QUESTIONS)
 
 
-_CORPORA: dict[tuple, ingest.Corpus] = {}
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> ingest.Corpus:
     """The ingested patents: built once in a session, as an index is, and read by every query on them."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _CORPORA:
-        _CORPORA[key] = ingest.ingested(scratch.spread(patents(spark, sf_dir), "doc_id"), raw_tables(spark, sf_dir))
-    return _CORPORA[key]
+    return scratch.once(spark, ("corpus", sf_dir), lambda: ingest.ingested(scratch.spread(patents(spark, sf_dir), "doc_id"), raw_tables(spark, sf_dir)))
 
 
 _trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
@@ -317,14 +311,24 @@ STEPS["phrases_"] = "SELECT * FROM (VALUES " + ", ".join(f"('{kind[:-1]}', {i},
 STEPS["texts_"] = "SELECT chunk_id, doc_id, seq, content FROM chunks UNION ALL SELECT query_id::VARCHAR, 'query', 0, text FROM questions"
 
 
-def _elements_sql(form: int, pattern: str, low: int, high: int | None, unit: int) -> str:
+def _elements_sql(place: int, form: int) -> str:
+    """The matches of one element in one form; patterns are constants, which are compiled once."""
+    symbol, full = list(DEFAULT["elements"].items())[place]
+    pattern, low, high, unit = entities.COMPOSITION[form]
+    pattern = _q("(?i)" + pattern.format(symbol=symbol))
     every = lambda g: f"unnest(regexp_extract_all(content, {pattern}, {g}))"
-    return f"SELECT chunk_id, doc_id, seq, ord, {form} AS form, symbol, full_name, {every(unit)} AS unit, unnest(range(len(regexp_extract_all(content, {pattern})))) AS nth, {every(low)}::DOUBLE AS low, {every(high) + '::DOUBLE' if high else 'NULL::DOUBLE'} AS high FROM texts_, symbols_ WHERE contains(content, chr(37)) AND list_contains(regexp_extract_all(lower(content), '[a-z]+'), lower(symbol))"
+    return f"""SELECT chunk_id, doc_id, seq, {place} AS ord, {form} AS form, '{symbol}' AS symbol, '{full}' AS full_name, {every(unit)} AS unit,
+  unnest(range(len(regexp_extract_all(content, {pattern})))) AS nth, {every(low)}::DOUBLE AS low, {every(high) + "::DOUBLE" if high else "NULL::DOUBLE"} AS high
+  FROM measured_ WHERE regexp_matches(content, {pattern})"""
 
 
-STEPS["elements_"] = " UNION ALL ".join(_elements_sql(k, "'(?i)" + p.replace("{symbol}", "' || symbol || '") + "'", *groups) for k, (p, *groups) in enumerate(entities.COMPOSITION))
+STEPS["measured_"] = "SELECT * FROM texts_ WHERE contains(content, chr(37))"
+STEPS["elements_"] = "\nUNION ALL ".join(_elements_sql(place, form) for place in range(len(DEFAULT["elements"])) for form in range(len(entities.COMPOSITION)))
 STEPS["composition_"] = "SELECT *, (row_number() OVER (PARTITION BY chunk_id ORDER BY ord, form, nth) - 1)::INT AS k FROM elements_"
-STEPS["worded_"] = "SELECT chunk_id, doc_id, seq, kind, canon_ord, canon, arg_min(alias, alias_ord) AS alias FROM texts_ JOIN vocab_ ON CASE WHEN kind IN ('properties', 'processes') THEN contains(lower(content), lower(alias)) ELSE regexp_matches(lower(content), '\\b' || lower(alias) || '\\b') END GROUP BY chunk_id, doc_id, seq, kind, canon_ord, canon"
+STEPS["lowered_"] = "SELECT chunk_id, doc_id, seq, lower(content) AS low FROM texts_"
+STEPS["worded_"] = """SELECT chunk_id, doc_id, seq, kind, canon_ord, canon, arg_min(alias, alias_ord) AS alias FROM lowered_ JOIN vocab_
+  ON CASE WHEN NOT contains(low, lower(alias)) THEN false WHEN kind IN ('properties', 'processes') THEN true ELSE regexp_matches(low, '\\b' || lower(alias) || '\\b') END
+  GROUP BY chunk_id, doc_id, seq, kind, canon_ord, canon"""
 STEPS["hits_"] = "SELECT w.*, c.content, (row_number() OVER (PARTITION BY w.chunk_id, kind ORDER BY canon_ord) - 1)::INT AS k FROM worded_ w JOIN texts_ c USING (chunk_id)"
 STEPS["degrees_"] = f"SELECT *, try_cast(nullif(regexp_extract(content, '(?i)' || alias || '{entities.DEGREES}', 1), '') AS INT) AS temperature FROM hits_ WHERE kind = 'processes'"
 STEPS["problem_"] = "SELECT *, strpos(lower(content), phrase) AS loc FROM (SELECT t.chunk_id, t.doc_id, t.seq, t.content, kind, arg_min(phrase, ord) AS phrase FROM texts_ t JOIN phrases_ ON contains(lower(content), phrase) GROUP BY t.chunk_id, t.doc_id, t.seq, t.content, kind)"
@@ -476,11 +480,11 @@ def mentions_within_documents(spark, sf_dir):
 
 
 # --- G, H: store and traversal --------------------------------------------------------
-@query(chain("SELECT c.chunk_id, e.entity_id, e.type, e.name FROM chunks c JOIN ce USING (chunk_id) JOIN entities e USING (entity_id) WHERE c.chunk_type = 'claim'"))
+@query(chain("SELECT c.chunk_id, e.entity_id, e.type, e.name FROM chunks c JOIN ce USING (chunk_id) JOIN entities e USING (entity_id)"))
 def entities_by_chunk(spark, sf_dir):
     """G1"""
     c = corpus(spark, sf_dir)
-    return store.by_chunk(c.entities, c.chunk_entities, c.chunks.filter("chunk_type = 'claim'")).select("chunk_id", "entity_id", "type", "name")
+    return store.by_chunk(c.entities, c.chunk_entities, c.chunks).select("chunk_id", "entity_id", "type", "name")
 
 
 @query(chain("SELECT entity_id, name FROM entities WHERE type = 'material'"))
@@ -489,11 +493,11 @@ def entities_by_type(spark, sf_dir):
     return store.by_type(corpus(spark, sf_dir).entities, "material").select("entity_id", "name")
 
 
-@query(chain("SELECT s.source_id AS start_id, s.type AS rel_type, e.entity_id, e.name FROM stored s JOIN entities e ON s.target_id = e.entity_id JOIN entities m ON s.source_id = m.entity_id WHERE m.type = 'material'"))
+@query(chain("SELECT s.source_id AS start_id, s.type AS rel_type, e.entity_id, e.name FROM stored s JOIN entities e ON s.target_id = e.entity_id JOIN entities m ON s.source_id = m.entity_id"))
 def related_entities(spark, sf_dir):
     """G3"""
     c = corpus(spark, sf_dir)
-    return store.related(c.entities, c.relations, store.by_type(c.entities, "material")).select("start_id", "rel_type", "entity_id", "name")
+    return store.related(c.entities, c.relations, c.entities).select("start_id", "rel_type", "entity_id", "name")
 
 
 @query(chain("SELECT entity_id, name FROM entities WHERE name ILIKE '%core_loss%'"))
@@ -509,11 +513,11 @@ def parts_like(spark, sf_dir):
     return store.find(rows, "a_e").select("p_partkey", "p_name")
 
 
-@query(chain("SELECT entity_id, unnest(chunk_ids) AS chunk_id FROM entities WHERE type = 'inventor'"))
+@query(chain("SELECT entity_id, unnest(chunk_ids) AS chunk_id FROM entities"))
 def chunks_for_entities(spark, sf_dir):
     """G5"""
     c = corpus(spark, sf_dir)
-    return store.chunks_for(c.entities, store.by_type(c.entities, "inventor"))
+    return store.chunks_for(c.entities, c.entities)
 
 
 _COS = "round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / ((sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) {e}) * (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) {e})), {r})"
@@ -549,14 +553,14 @@ def decoded_processes(spark, sf_dir):
     return store.decoded(rows, "alias string, temperature int, temperature_unit string").select("entity_id", "properties.alias", "properties.temperature")
 
 
-STEPS["bfs_"] = "SELECT entity_id AS seed, entity_id AS node, 0 AS dist FROM entities WHERE type IN ('material', 'inventor') UNION SELECT b.seed, e.dst, b.dist + 1 FROM bfs_ b JOIN edges e ON b.node = e.src WHERE b.dist < 2"
+STEPS["bfs_"] = "SELECT entity_id AS seed, entity_id AS node, 0 AS dist FROM entities UNION SELECT b.seed, e.dst, b.dist + 1 FROM bfs_ b JOIN edges e ON b.node = e.src WHERE b.dist < 2"
 
 
 @query(chain("SELECT seed, node, min(dist)::INT AS dist FROM bfs_ GROUP BY seed, node HAVING min(dist) > 0"))
 def graph_bfs(spark, sf_dir):
     """H1 on the graph of patents."""
     c = corpus(spark, sf_dir)
-    return traverse.bfs(c.edges, c.entities.filter("type in ('material', 'inventor')").select(F.col("entity_id").alias("seed")))
+    return traverse.bfs(c.edges, c.entities.select(F.col("entity_id").alias("seed")))
 
 
 @query("""WITH RECURSIVE edges AS (SELECT DISTINCT concat('c', o_custkey) AS src, concat('o', o_orderkey) AS dst FROM orders UNION SELECT DISTINCT concat('o', l_orderkey), concat('p', l_partkey) FROM lineitem UNION SELECT concat('c', c_custkey), concat('n', c_nationkey) FROM customer UNION SELECT concat('n', n_nationkey), concat('r', n_regionkey) FROM nation),
@@ -596,11 +600,11 @@ def related_chunks(spark, sf_dir):
     return out.withColumn("score", F.round("score", 6))
 
 
-@query(chain("SELECT w.entity_id, d.direction, d.rel_type, d.other_id, o.name AS other_name, o.type AS other_type FROM entities w JOIN (SELECT source_id AS entity_id, 'outgoing' AS direction, type AS rel_type, target_id AS other_id FROM stored UNION ALL SELECT target_id, 'incoming', type, source_id FROM stored) d USING (entity_id) JOIN entities o ON d.other_id = o.entity_id WHERE w.type = 'application'"))
+@query(chain("SELECT w.entity_id, d.direction, d.rel_type, d.other_id, o.name AS other_name, o.type AS other_type FROM entities w JOIN (SELECT source_id AS entity_id, 'outgoing' AS direction, type AS rel_type, target_id AS other_id FROM stored UNION ALL SELECT target_id, 'incoming', type, source_id FROM stored) d USING (entity_id) JOIN entities o ON d.other_id = o.entity_id"))
 def entity_contexts(spark, sf_dir):
     """H4"""
     c = corpus(spark, sf_dir)
-    return traverse.entity_context(c.entities, c.relations, store.by_type(c.entities, "application"))
+    return traverse.entity_context(c.entities, c.relations, c.entities)
 
 
 # --- I: retrieval ---------------------------------------------------------------------
@@ -623,15 +627,10 @@ _bm25_steps("bd", "SELECT doc_id AS chunk_id, text AS content FROM documents", "
 _bm25_steps("bp", "SELECT chunk_id, content FROM chunks", "SELECT * FROM questions")
 
 
-_INDICES: dict[tuple, bm25.Index] = {}
-
-
 def _documents_index(spark, sf_dir) -> bm25.Index:
     """The keyword index of the documents: built once in a session and read by every query on it."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _INDICES:
-        _INDICES[key] = bm25.build(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), scratch.table)
-    return _INDICES[key]
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    return scratch.once(spark, ("documents index", sf_dir), lambda: bm25.build(rows, scratch.table))
 
 
 @query(chain("SELECT term, df, round(idf, 6) AS idf FROM bd_terms"))
@@ -717,7 +716,11 @@ STEPS["top_"] = "SELECT * FROM ranked_ WHERE final_rank <= 10"
 
 
 def retrieved(spark, sf_dir) -> DataFrame:
-    """The fused rankings of the questions; vector i stands for chunk 1 of the patent of part i + 1."""
+    """The fused rankings of the questions, kept like the corpus; vector i stands for chunk 1 of the patent of part i + 1."""
+    return scratch.once(spark, ("retrieved", sf_dir), lambda: scratch.table(_retrieved(spark, sf_dir), "retrieved"))
+
+
+def _retrieved(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     named = F.concat(F.lit("EP"), (F.col("vec_id") + 1000001).cast("string"), F.lit("_0001"))
     asked = questions(spark, sf_dir)

@@ -19,9 +19,13 @@ from pyspark.sql import functions as F
 
 _OWN: list[str] = []
 _MADE: weakref.WeakKeyDictionary[SparkSession, list[str]] = weakref.WeakKeyDictionary()
+_HELD: weakref.WeakKeyDictionary[SparkSession, dict] = weakref.WeakKeyDictionary()
 _AT: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+_FIXED = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
+
+
 def root(spark: SparkSession) -> str:
     """The shared folder of this session, as a URI."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,10 +56,23 @@ def table(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
-def small(df: DataFrame, name: str, rows: int = 100_000) -> DataFrame:
-    """``df`` as a table, marked for broadcast only if it turns out to have few rows; joins work either way."""
+def small(df: DataFrame, name: str, rows: int = 100_000, size: int = 16 << 20) -> DataFrame:
+    """``df`` as a table, marked for broadcast only if it turns out to have few rows of few bytes; joins work either way."""
     out = table(df, name)
-    return F.broadcast(out) if out.limit(rows + 1).count() <= rows else out
+    held = F.lit(0)
+    for column, kind in out.dtypes:
+        own = F.lit(16) if kind in _FIXED else F.octet_length(F.col(f"`{column}`").cast("string")) + 16
+        held = held + F.coalesce(own, F.lit(16))
+    told = out.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(held).alias("bytes")).first()
+    return F.broadcast(out) if told["n"] <= rows and (told["bytes"] or 0) <= size else out
+
+
+def once(spark: SparkSession, key, make):
+    """What ``make`` returns, made once for a key; made anew after ``release``, which deletes the tables that it may read."""
+    held = _HELD.setdefault(spark, {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -71,7 +88,8 @@ def drop(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes all that this session wrote; call it when results made of it are no longer read."""
+    """Deletes all that this session wrote; call it when results made of it are no longer read. What ``once`` holds is forgotten."""
+    _HELD.pop(spark, None)
     for path in _MADE.pop(spark, []):
         remove(spark, path)
 

@@ -188,7 +188,7 @@ def lists(segments: DataFrame) -> DataFrame:
 
 
 def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """``doc_id, at, anchor, hash, place, offset``: the windows of the segments to be compared; equal rows of texts make them once each."""
+    """``doc_id, at, anchor, hash``: the distinct windows of the segments to be compared, however often a text repeats one."""
 
     def run(batches):
         for part, _, each in _texts(batches):
@@ -198,29 +198,29 @@ def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     continue
                 own = Segments(h, window, gram)
                 hashes = [own.windows(s) for s in compare]
-                n = np.array([len(x) for x in hashes])
-                take = pa.array(np.full(n.sum(), k))
-                columns = [ids.take(take), at.take(take), pa.array(np.repeat(own.anchor[compare], n).view(np.int64)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.repeat(np.array(compare, np.int32), n)), pa.array(np.concatenate([np.arange(x) for x in n]).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "anchor", "hash", "place", "offset"])
+                anchor = np.repeat(own.anchor[compare], [len(x) for x in hashes])
+                hashes, first = np.unique(np.concatenate(hashes), return_index=True)
+                take = pa.array(np.full(len(first), k))
+                yield pa.RecordBatch.from_arrays([ids.take(take), at.take(take), pa.array(anchor[first].view(np.int64)), pa.array(hashes.view(np.int64))], names=["doc_id", "at", "anchor", "hash"])
 
-    return texts.filter(F.size("compare") > 0).select(*_KEY, "text", "compare").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, at long, anchor long, hash long, place int, offset int")
+    return texts.filter(F.size("compare") > 0).select(*_KEY, "text", "compare").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, at long, anchor long, hash long")
 
 
 def cut(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """``doc_id, at, n_removed, kept_sha256`` of texts with the places ``whole`` and the windows ``found``."""
+    """``doc_id, at, n_removed, kept_sha256`` of texts with the places ``whole``, and ``found``: hashes of windows that go from those in ``compare``."""
 
     def run(batches):
         for part, words, each in _texts(batches):
             rows = []
-            for k, (h, whole, found) in enumerate(zip(each, part.column("whole").to_pylist(), part.column("found").to_pylist(), strict=True)):
-                by: dict[int, list[int]] = {}
-                for x in found or []:
-                    by.setdefault(x["place"], []).append(x["offset"])
-                gone = Segments(h, window, gram).removed(whole, {p: np.array(sorted(set(o))) for p, o in by.items()})
+            lists = (part.column(c).to_pylist() for c in ("whole", "compare", "found"))
+            for k, (h, whole, compare, found) in enumerate(zip(each, *lists, strict=True)):
+                own, known = Segments(h, window, gram), np.array(found or [], np.int64).view(np.uint64)
+                some = {s: np.flatnonzero(np.isin(own.windows(s), known)) for s in compare} if found else {}
+                gone = own.removed(whole, some)
                 rows.append((int(gone.sum()), _joined(words, k, ~gone)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("at"), pa.array([n for n, _ in rows], pa.int64()), pa.array([s for _, s in rows])], names=["doc_id", "at", "n_removed", "kept_sha256"])
 
-    return texts.select(*_KEY, "text", "whole", "found").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, at long, n_removed long, kept_sha256 string")
+    return texts.select(*_KEY, "text", "whole", "compare", "found").mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, at long, n_removed long, kept_sha256 string")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -231,7 +231,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     texts = shared.table(_keyed(docs.filter("doc_id is not null")).join(places, _KEY).dropDuplicates(_KEY), "substrings-texts")
     made = shared.table(windows(texts, window, gram), "substrings-windows")
     least = made.groupBy("anchor", "hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor", "hash", "low")
-    found = made.join(least, ["anchor", "hash"]).filter("doc_id > low").groupBy(*_KEY).agg(F.collect_list(F.struct("place", "offset")).alias("found"))
+    found = made.join(least, ["anchor", "hash"]).filter("doc_id > low").groupBy(*_KEY).agg(F.collect_list("hash").alias("found"))
     gone = cut(texts.join(found, _KEY, "left").filter(F.col("found").isNotNull() | (F.size("whole") > 0)), window, gram)
     every = seen.filter("anchor is null").select(*_KEY, "n_words", "sha")
     return every.join(gone, _KEY, "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))

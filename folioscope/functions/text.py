@@ -1,14 +1,16 @@
-"""Text expressions shared by the operators; all run inside the JVM."""
+"""Text expressions shared by the operators; all but the decoding of HTML run inside the JVM."""
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 TOKEN = "[a-z0-9]+"
-#: Named entities that are decoded natively, `&amp;` last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
 def strip(c: Column) -> Column:
@@ -22,22 +24,32 @@ def split_lines(c: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def _decoded(values: pa.Array) -> pa.Array:
+    """Every HTML character reference of the values that hold an ampersand; all others are passed on as they are."""
+    held = pc.fill_null(pc.match_substring(values, "&"), False)
+    if not pc.any(held).as_py():
+        return values
+    return pc.replace_with_mask(values, held, pa.array([html.unescape(x) for x in values.filter(held).to_pylist()], values.type))
+
+
 def unescape(c: Column) -> Column:
-    """The common HTML entities decoded; ``unescape_all`` does every one."""
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Named references, the longest known name first and with or without semicolon, and numbers, with those that are replaced or left out."""
 
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return _decoded(values)
 
-def unescape_all(c: Column) -> Column:
-    """Every HTML entity, as an Arrow-batched UDF; for text that the native chain cannot decode."""
-    import html
+    return run(c)
 
-    import pandas as pd
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(html.unescape, na_action="ignore")
+def unescape_each(c: Column) -> Column:
+    """``unescape`` for arrays of strings."""
+
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0)
+        offsets = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(sizes).cast(pa.int32())])
+        return pa.ListArray.from_arrays(offsets, _decoded(lists.flatten()), mask=lists.is_null())
 
     return run(c)
 
@@ -58,9 +70,5 @@ def iso_date(c: Column) -> Column:
     return F.when(found != "", F.concat_ws("-", part(3), F.lpad(part(2), 2, "0"), F.lpad(part(1), 2, "0")))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

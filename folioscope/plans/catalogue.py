@@ -7,6 +7,8 @@ restates an operator on the step before.
 
 from __future__ import annotations
 
+import html
+import html.entities
 from collections.abc import Callable
 from functools import reduce
 
@@ -65,10 +67,10 @@ _LINES = [
     "CASE WHEN p_partkey % 3 = 0 THEN concat('(30) Priority: ', cast(1 + p_partkey % 28 as string), '.5.2008 JP 2008', cast(100000 + p_partkey as string)) END",
     "CASE WHEN p_partkey % 6 = 0 THEN '(71)' WHEN p_partkey % 6 = 1 THEN concat('(71) Applicant: ', p_brand, ' AG') ELSE '(71) Applicant:' END",
     "CASE WHEN p_partkey % 6 = 0 THEN '' END",
-    "concat('- ', p_brand, ' &amp; Co')",
+    "concat('- ', p_brand, CASE WHEN p_partkey % 3 = 0 THEN ' M&uuml;ller &amp Co' WHEN p_partkey % 3 = 1 THEN ' &amp; &#86;&#x153;u&notit;' ELSE ' &amp; Co' END)",
     "CASE WHEN p_partkey % 5 = 2 THEN '(72) Inventors:' ELSE '(72) Inventors: Rossi, Ada' END",
     "'- Tanaka, Jun, c/o Works'",
-    "CASE WHEN p_partkey % 5 = 3 THEN 'Weber, Max, DE' END",
+    "CASE WHEN p_partkey % 5 = 3 THEN 'Weber, M&auml;x, DE' END",
     "CASE WHEN p_partkey % 5 = 4 THEN 'Berlin (DE)' END",
     "'10115 Berlin (DE)'",
     "CASE WHEN p_partkey % 8 <> 0 THEN concat('(51) H01F 1/', cast(p_size as string), '; C22C 38/02') END",
@@ -155,6 +157,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> ingest.Corpus:
     return scratch.once(spark, ("corpus", sf_dir), lambda: ingest.ingested(scratch.spread(patents(spark, sf_dir), "doc_id"), raw_tables(spark, sf_dir)))
 
 
+_quote = lambda x: "'" + x.replace("'", "''") + "'"
 _trim = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 STEPS["patents"] = selected("part", [PATENTS])
 STEPS["raw_tables"] = selected("part", TABLES)
@@ -232,10 +235,29 @@ STEPS["told_"] = rf"""SELECT doc_id, nth, code, value, CASE WHEN regexp_matches(
   regexp_extract_all(whole, '[A-H]\d{{2}}[A-Z]\s*\d+/\d+') AS classes,
   list_filter(list_transform(list_filter(list_transform(list_prepend(coalesce(inline, ''), more), lambda x: regexp_replace(x, '^[- ]+', '')), lambda x: NOT regexp_matches(x, '^[\d(]')),
     lambda x: regexp_replace(trim(regexp_split_to_array(regexp_split_to_array(x, '(?i),\s*c/o\b')[1], ',\s*(\d|[A-Z]{{2}}\b)')[1]), ',+$', '')), lambda x: x <> '' AND NOT regexp_matches(x, '\([A-Z]{{2}}\)\s*$')) AS people FROM fields_"""
-_decoded = lambda c: "replace(" * 7 + c + "".join(f", '{e}', {v})" for e, v in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&apos;", "chr(39)"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")))
-STEPS["bibliography"] = f"""SELECT doc_id, arg_max(day, nth) FILTER (code = '43' AND day IS NOT NULL) AS publication_date, {_decoded("arg_max(value, nth) FILTER (code = '21' AND value IS NOT NULL)")} AS application_number,
+STEPS["html_"] = "SELECT * FROM (VALUES " + ", ".join(f"({_quote(n)}, {_quote(c)})" for n, c in html.entities.html5.items()) + ") AS v(name, chars)"
+STEPS["numbers_"] = "SELECT * FROM (VALUES " + ", ".join(f"({n}, {_quote(html.unescape(f'&#{n};'))})" for n in range(160)) + ") AS v(n, chars)"
+
+
+def decoding(source: str) -> str:
+    """SQL of ``txt, decoded`` for the distinct ``txt`` of a select: references are the longest names that follow an ampersand, or numbers."""
+    digit = "strpos('0123456789abcdef', c) - 1"
+    return f"""SELECT txt, string_agg(CASE WHEN i = 1 THEN piece WHEN num <> '' THEN concat(
+    CASE WHEN code < 160 THEN c.chars WHEN code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(code::INT) END, substr(piece, 1 + len(num)))
+  WHEN best.name IS NOT NULL THEN concat(best.chars, substr(piece, 1 + len(best.name))) ELSE concat(chr(38), piece) END, '' ORDER BY i) AS decoded
+  FROM (SELECT *, CASE WHEN num = '' THEN NULL WHEN num[2] IN ('x', 'X') THEN list_reduce(list_transform(regexp_extract_all(lower(num[3:]), '[0-9a-f]'), lambda c: ({digit})::HUGEINT), lambda a, b: a * 16 + b)
+    ELSE regexp_extract(num, '[0-9]+')::HUGEINT END AS code FROM
+    (SELECT txt, i, piece, regexp_extract(piece, '^#([0-9]+|[xX][0-9a-fA-F]+);?') AS num, max(CASE WHEN name IS NOT NULL THEN struct_pack(size := len(name), name := name, chars := chars) END) AS best FROM
+      (SELECT txt, unnest(string_split(txt, chr(38))) AS piece, unnest(range(1, 1 + len(string_split(txt, chr(38))))) AS i FROM (SELECT DISTINCT txt FROM ({source})))
+      LEFT JOIN html_ ON i > 1 AND starts_with(piece, name) GROUP BY txt, i, piece)) LEFT JOIN numbers_ c ON code = c.n GROUP BY txt"""
+
+
+STEPS["values_"] = decoding("SELECT value AS txt FROM told_ WHERE value IS NOT NULL UNION SELECT unnest(people) FROM told_")
+STEPS["read_"] = """SELECT t.doc_id, t.nth, t.code, v.decoded AS value, t.day, t.classes, p.people FROM told_ t LEFT JOIN values_ v ON t.value = v.txt
+  LEFT JOIN (SELECT doc_id, nth, list(decoded ORDER BY k) AS people FROM (SELECT doc_id, nth, unnest(people) AS txt, unnest(range(len(people))) AS k FROM told_) JOIN values_ USING (txt) GROUP BY doc_id, nth) p ON t.doc_id = p.doc_id AND t.nth = p.nth"""
+STEPS["bibliography"] = """SELECT doc_id, arg_max(day, nth) FILTER (code = '43' AND day IS NOT NULL) AS publication_date, arg_max(value, nth) FILTER (code = '21' AND value IS NOT NULL) AS application_number,
   arg_max(day, nth) FILTER (code = '22' AND day IS NOT NULL) AS filing_date, array_to_string(arg_max(classes, nth) FILTER (code = '51' AND len(classes) > 0), ';') AS ipc_classes, arg_max(day, nth) FILTER (code = '30' AND day IS NOT NULL) AS priority_date,
-  {_decoded("arg_max(value, nth) FILTER (code = '71' AND value IS NOT NULL)")} AS applicant, array_to_string(arg_max(people, nth) FILTER (code = '72' AND len(people) > 0), ';') AS inventors FROM told_ GROUP BY doc_id"""
+  arg_max(value, nth) FILTER (code = '71' AND value IS NOT NULL) AS applicant, array_to_string(arg_max(people, nth) FILTER (code = '72' AND len(people) > 0), ';') AS inventors FROM read_ GROUP BY doc_id"""
 
 
 @query(chain("SELECT * FROM bibliography"))
@@ -245,9 +267,24 @@ def bibliographic_fields(spark, sf_dir):
     return out.withColumns({c: F.array_join(c, ";") for c in ("ipc_classes", "inventors")})
 
 
-@query("SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS title FROM pages")
+# A page's title, nine named references one after another and two numbers.
+_NAMES = "'" + "|".join(html.entities.html5) + "'"
+_REFERENCES = "concat(regexp_extract({html}, '<title>([^<]*)', 1), " + ", ".join(f"' &', split_part({_NAMES}, '|', cast(1 + (9 * page_id + {k}) % {len(html.entities.html5)} as int)), '{rest}'" for k, rest in enumerate((" ", "b", ";", "=", "", "&", "#1;", "9", "x"))) + ", '&#', cast(page_id as string), ';&#x', hex(7 * page_id), 'z &unknown; &#; &#x')"
+STEPS["page_texts_"] = "SELECT page_id, " + _REFERENCES.format(html="html") + " AS txt FROM pages"
+
+
+@query(chain("SELECT page_id, decoded AS text FROM page_texts_ JOIN (" + decoding("SELECT txt FROM page_texts_") + ") USING (txt)"))
+def page_texts_unescaped(spark, sf_dir):
+    """Names with and without semicolon, decimal and hexadecimal numbers, what is replaced, left out or no reference."""
+    return table(spark, sf_dir, "pages").select("page_id", unescape(F.expr(_REFERENCES.format(html="html"))).alias("text"))
+
+
+STEPS["page_titles_"] = "SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS txt FROM pages"
+
+
+@query(chain("SELECT page_id, decoded AS title FROM page_titles_ JOIN (" + decoding("SELECT txt FROM page_titles_") + ") USING (txt)"))
 def page_titles_unescaped(spark, sf_dir):
-    """C10"""
+    """C10 on titles"""
     return table(spark, sf_dir, "pages").select("page_id", unescape(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"))
 
 
@@ -303,11 +340,10 @@ def chunk_references(spark, sf_dir):
 
 
 # --- E: mentions ----------------------------------------------------------------------
-_q = lambda s: "'" + s.replace("'", "''") + "'"
 _alias_rows = [(kind, i, canon, j, alias) for kind in ("properties", "processes", "applications", "materials") for i, (canon, aliases) in enumerate(DEFAULT[kind].items()) for j, alias in enumerate(aliases)]
-STEPS["vocab_"] = "SELECT * FROM (VALUES " + ", ".join(f"({_q(k)}, {i}, {_q(c)}, {j}, {_q(a)})" for k, i, c, j, a in _alias_rows) + ") AS v(kind, canon_ord, canon, alias_ord, alias)"
-STEPS["symbols_"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_q(s)}, {_q(x)})" for i, (s, x) in enumerate(DEFAULT["elements"].items())) + ") AS v(ord, symbol, full_name)"
-STEPS["phrases_"] = "SELECT * FROM (VALUES " + ", ".join(f"('{kind[:-1]}', {i}, {_q(s)})" for kind in ("problems", "solutions") for i, s in enumerate(DEFAULT[kind])) + ") AS v(kind, ord, phrase)"
+STEPS["vocab_"] = "SELECT * FROM (VALUES " + ", ".join(f"({_quote(k)}, {i}, {_quote(c)}, {j}, {_quote(a)})" for k, i, c, j, a in _alias_rows) + ") AS v(kind, canon_ord, canon, alias_ord, alias)"
+STEPS["symbols_"] = "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quote(s)}, {_quote(x)})" for i, (s, x) in enumerate(DEFAULT["elements"].items())) + ") AS v(ord, symbol, full_name)"
+STEPS["phrases_"] = "SELECT * FROM (VALUES " + ", ".join(f"('{kind[:-1]}', {i}, {_quote(s)})" for kind in ("problems", "solutions") for i, s in enumerate(DEFAULT[kind])) + ") AS v(kind, ord, phrase)"
 STEPS["texts_"] = "SELECT chunk_id, doc_id, seq, content FROM chunks UNION ALL SELECT query_id::VARCHAR, 'query', 0, text FROM questions"
 
 
@@ -315,7 +351,7 @@ def _elements_sql(place: int, form: int) -> str:
     """The matches of one element in one form; patterns are constants, which are compiled once."""
     symbol, full = list(DEFAULT["elements"].items())[place]
     pattern, low, high, unit = entities.COMPOSITION[form]
-    pattern = _q("(?i)" + pattern.format(symbol=symbol))
+    pattern = _quote("(?i)" + pattern.format(symbol=symbol))
     every = lambda g: f"unnest(regexp_extract_all(content, {pattern}, {g}))"
     return f"""SELECT chunk_id, doc_id, seq, {place} AS ord, {form} AS form, '{symbol}' AS symbol, '{full}' AS full_name, {every(unit)} AS unit,
   unnest(range(len(regexp_extract_all(content, {pattern})))) AS nth, {every(low)}::DOUBLE AS low, {every(high) + "::DOUBLE" if high else "NULL::DOUBLE"} AS high
@@ -441,7 +477,7 @@ UNION ALL SELECT concat('addresses_', a, '_', b), 'addresses_problem', a, b, chu
 UNION ALL SELECT concat('addresses_', doc_id, '_', entity_id), 'addresses_problem', doc_id, entity_id, chunk_id, doc_id, seq FROM of_ p WHERE type = 'problem' AND NOT EXISTS (SELECT 1 FROM of_ m WHERE m.chunk_id = p.chunk_id AND m.type = 'material')
 UNION ALL SELECT concat('invented_by_', doc_id, '_', entity_id), 'invented_by', doc_id, entity_id, chunk_id, doc_id, seq FROM of_ WHERE type = 'inventor'
 UNION ALL SELECT concat('assignee_of_', entity_id, '_', doc_id), 'assignee_of', entity_id, doc_id, chunk_id, doc_id, seq FROM of_ WHERE type = 'assignee'"""
-_first = "(" + ", ".join(_q(k) for k in graph.FIRST_WINS) + ")"
+_first = "(" + ", ".join(_quote(k) for k in graph.FIRST_WINS) + ")"
 STEPS["stored"] = f"SELECT rel_id, min(type) AS type, CASE WHEN min(type) IN {_first} THEN arg_min(source_id, (doc_id, seq)) ELSE arg_max(source_id, (doc_id, seq)) END AS source_id, CASE WHEN min(type) IN {_first} THEN arg_min(target_id, (doc_id, seq)) ELSE arg_max(target_id, (doc_id, seq)) END AS target_id, CASE WHEN min(type) IN {_first} THEN arg_min(chunk_id, (doc_id, seq)) ELSE arg_max(chunk_id, (doc_id, seq)) END AS chunk_id FROM rels GROUP BY rel_id"
 STEPS["edges"] = "SELECT DISTINCT source_id AS src, target_id AS dst FROM stored"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .name_index import NameIndex, lookup
 from .vectors import search
 
 
@@ -30,10 +31,14 @@ def related(entities: DataFrame, relations: DataFrame, start: DataFrame, kind: s
     return start.select(F.col("entity_id").alias("start_id")).join(out, "start_id").join(entities, "entity_id")
 
 
-def find(entities: DataFrame, pattern: str, kind: str | None = None) -> DataFrame:
-    """Names that hold the pattern, letter case aside; ``_`` and ``%`` in it are wildcards."""
-    out = entities.filter(F.col("name").ilike(f"%{pattern}%"))
-    return out if kind is None else by_type(out, kind)
+def find(entities: DataFrame, pattern: str, kind: str | None = None, index: NameIndex | None = None) -> DataFrame:
+    """Names that hold the pattern, letter case aside; ``_`` and ``%`` in it are wildcards. With the ``index`` of the names few of them are read."""
+    out = entities if kind is None else by_type(entities, kind)
+    if index is None:
+        escaped = pattern.replace("\\", "\\\\")
+        return out.filter(F.col("name").ilike(f"%{escaped}%"))
+    asked = entities.sparkSession.range(1).select(F.lit(pattern).alias("pattern"))
+    return out.join(lookup(index, asked).select("name"), "name", "left_semi").select(*entities.columns)
 
 
 def chunks_for(entities: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -40,18 +40,19 @@ def semantic_starts(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
 
 
-def related_chunks(names: DataFrame, entities: DataFrame, edges: DataFrame, chunk_entities: DataFrame, max_hops: int = 2, max_chunks: int = 10, semantic: DataFrame | None = None) -> DataFrame:
+def related_chunks(names: DataFrame, entities: DataFrame, edges: DataFrame, chunk_entities: DataFrame, max_hops: int = 2, max_chunks: int = 10, semantic: DataFrame | None = None, index=None) -> DataFrame:
     """H3: ``query_id, chunk_id, score, rank``: 2 per seed's chunk and 1 / (d + 1) per chunk of what it reaches.
 
     Seeds are entities whose name holds a name of the query, once for each (a bag), or
-    those of ``semantic (query_id, entity_id)`` for the queries that it has.
+    those of ``semantic (query_id, entity_id)`` for the queries that it has; ``index`` is that of
+    the entities' names.
     """
     from pyspark.sql import Window
 
     from .graph_search import lexical as matched
 
     asked = names.groupBy("query_id", "name").agg(F.count("*").alias("times"))
-    seeds = asked.join(matched(names, entities), "name").select("query_id", "entity_id", "times")
+    seeds = asked.join(matched(names, entities, index), "name").select("query_id", "entity_id", "times")
     if semantic is not None:
         own = semantic.select("query_id", "entity_id", F.lit(1).cast("long").alias("times"))
         seeds = seeds.join(semantic.select("query_id").distinct(), "query_id", "left_anti").unionByName(own)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_date, split_lines, strip, tokens, unescape
-from ..operators import bm25, chunking, context, entities, evaluate, fusion, graph, graph_search, lines, metadata, store, tables, traverse, vectors
+from ..operators import bm25, chunking, context, entities, evaluate, fusion, graph, graph_search, lines, metadata, name_index, store, tables, traverse, vectors
 from ..operators.interfaces import Echo, overlap
 from ..sources import readers, scratch, writers
 from ..sources.vocabulary import DEFAULT
@@ -539,7 +539,8 @@ def related_entities(spark, sf_dir):
 @query(chain("SELECT entity_id, name FROM entities WHERE name ILIKE '%core_loss%'"))
 def entities_like(spark, sf_dir):
     """G4"""
-    return store.find(corpus(spark, sf_dir).entities, "core_loss").select("entity_id", "name")
+    c = corpus(spark, sf_dir)
+    return store.find(c.entities, "core_loss", index=c.names).select("entity_id", "name")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a_e%'")
@@ -549,6 +550,20 @@ def parts_like(spark, sf_dir):
     return store.find(rows, "a_e").select("p_partkey", "p_name")
 
 
+_PATTERNS = {"n_name": "n_name", "letters": "substr(n_name, 2, 2)", "wild": "concat(substr(n_name, 1, 1), '_', substr(n_name, 3, 2), '%', substr(n_name, 5, 1))", "brand": "concat('nd#', cast(n_regionkey as string), '_')", "any": "'%'"}
+_PATTERN_ROWS = " UNION ".join(f"SELECT {x} AS pattern FROM nation" for x in _PATTERNS.values())
+_NAME_ROWS = "SELECT p_name AS name FROM part UNION SELECT p_brand FROM part UNION SELECT p_type FROM part UNION SELECT c_name FROM customer UNION SELECT c_mktsegment FROM customer UNION SELECT s_name FROM supplier UNION SELECT n_name FROM nation UNION SELECT r_name FROM region"
+
+
+@query(f"SELECT pattern, name FROM ({_PATTERN_ROWS}) JOIN ({_NAME_ROWS}) ON name ILIKE concat('%', pattern, '%')")
+def names_like(spark, sf_dir):
+    """Patterns from the names of nations, whole, short, with wildcards or nothing else, over all names of the star schema, by q-grams."""
+    columns = (("part", "p_name"), ("part", "p_brand"), ("part", "p_type"), ("customer", "c_name"), ("customer", "c_mktsegment"), ("supplier", "s_name"), ("nation", "n_name"), ("region", "r_name"))
+    named = reduce(DataFrame.unionByName, [table(spark, sf_dir, t).select(F.col(c).alias("name")) for t, c in columns])
+    asked = reduce(DataFrame.unionByName, [table(spark, sf_dir, "nation").select(F.expr(x).alias("pattern")) for x in _PATTERNS.values()])
+    return name_index.lookup(name_index.build(named, scratch.table), asked)
+
+
 @query(chain("SELECT entity_id, unnest(chunk_ids) AS chunk_id FROM entities"))
 def chunks_for_entities(spark, sf_dir):
     """G5"""
@@ -632,7 +647,7 @@ STEPS["related_"] = "SELECT query_id, chunk_id, round(sum(s), 6) AS score FROM (
 def related_chunks(spark, sf_dir):
     """H3"""
     c = corpus(spark, sf_dir)
-    out = traverse.related_chunks(graph_search.question_names(questions(spark, sf_dir)), c.entities, c.edges, c.chunk_entities)
+    out = traverse.related_chunks(graph_search.question_names(questions(spark, sf_dir)), c.entities, c.edges, c.chunk_entities, index=c.names)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -738,7 +753,7 @@ def question_names(spark, sf_dir):
 def graph_search_topk(spark, sf_dir):
     """I6, I7"""
     c = corpus(spark, sf_dir)
-    return graph_search.search(graph_search.question_names(questions(spark, sf_dir)), c.entities, c.edges, c.chunk_entities, c.chunks, fusion.POOL)
+    return graph_search.search(graph_search.question_names(questions(spark, sf_dir)), c.entities, c.edges, c.chunk_entities, c.chunks, fusion.POOL, index=c.names)
 
 
 STEPS["semantic_hits"] = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, concat('EP', (1000001 + v.vec_id)::VARCHAR, '_0001') AS chunk_id, {_COS.format(e='', r=9)} AS score FROM embeddings v, embeddings q WHERE q.vec_id < (SELECT count(*) FROM questions))) WHERE rank <= 50"

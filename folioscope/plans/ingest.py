@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, chunking, entities, fusion, graph, graph_search, interfaces, lines, metadata, tables, vectors
+from ..operators import bm25, chunking, entities, fusion, graph, graph_search, interfaces, lines, metadata, name_index, tables, vectors
 from ..sources import config, readers, scratch, writers
 from ..sources.vocabulary import DEFAULT
 
@@ -20,6 +20,7 @@ class Corpus:
     relations: DataFrame
     index: bm25.Index
     entity_vectors: DataFrame | None = None
+    names: name_index.NameIndex | None = None
 
     @property
     def chunk_entities(self) -> DataFrame:
@@ -44,7 +45,7 @@ def ingested(documents: DataFrame, raw_tables: DataFrame | None = None, vocabula
     if encoder is not None:  # a name is encoded once, however many entities have it
         names = merged.select("name").distinct().withColumn("embedding", interfaces.encoded(F.col("name"), encoder))
         named = keep(merged.select("entity_id", "name").join(names, "name").select("entity_id", "embedding"))
-    return Corpus(chunks, mentions, merged, keep(graph.stored(graph.relations(chunks, merged, scope))), bm25.build(dealt, keep), named)
+    return Corpus(chunks, mentions, merged, keep(graph.stored(graph.relations(chunks, merged, scope))), bm25.build(dealt, keep), named, name_index.build(merged, keep))
 
 
 def saved(corpus: Corpus, path: str, chunk_vectors: DataFrame | None = None) -> None:
@@ -53,6 +54,8 @@ def saved(corpus: Corpus, path: str, chunk_vectors: DataFrame | None = None) ->
     corpus.mentions.write.parquet(f"{path}/mentions")
     writers.graph(corpus.entities, corpus.relations, f"{path}/graph", corpus.entity_vectors)
     writers.index(corpus.index, f"{path}/bm25")
+    if corpus.names is not None:
+        writers.names(corpus.names, f"{path}/names")
     if chunk_vectors is not None:
         writers.vectors(chunk_vectors, f"{path}/vectors")
 
@@ -61,7 +64,7 @@ def loaded(spark: SparkSession, path: str, entity_vectors: bool = False) -> Corp
     """A corpus as ``saved`` left it; nothing is built again."""
     merged, relations = readers.graph(spark, f"{path}/graph")
     named = readers.entity_vectors(spark, f"{path}/graph") if entity_vectors else None
-    return Corpus(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/mentions"), merged, relations, writers.read_index(spark, f"{path}/bm25"), named)
+    return Corpus(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/mentions"), merged, relations, writers.read_index(spark, f"{path}/bm25"), named, writers.read_names(spark, f"{path}/names"))
 
 
 def hits(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, question_vectors: DataFrame, pool: int = fusion.POOL, settings: config.Settings | None = None, encoder=None) -> dict[str, DataFrame]:
@@ -77,7 +80,7 @@ def hits(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, questio
     found = {
         "bm25": bm25.search(corpus.index, questions, pool, include_zero=True),
         "semantic": vectors.search(chunk_vectors, question_vectors, pool),
-        "graph": graph_search.search(names, corpus.entities, corpus.edges, corpus.chunk_entities, corpus.chunks, pool, hops, decay, matches),
+        "graph": graph_search.search(names, corpus.entities, corpus.edges, corpus.chunk_entities, corpus.chunks, pool, hops, decay, matches, corpus.names),
     }
     return {name: scratch.table(df, f"hits-{name}") for name, df in found.items()}
 

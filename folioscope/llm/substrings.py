@@ -176,12 +176,10 @@ def scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 def lists(segments: DataFrame) -> DataFrame:
     """``doc_id, at, whole, compare``: the places of a document's segments that go whole, and of those to be compared by windows."""
-    docs_of = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    common = shared.table(segments.join(docs_of, "anchor"), "substrings-common")
+    facts = segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), (F.min("whole") < F.max("whole")).alias("several"))
+    common = shared.table(segments.join(facts.filter("low < high").select("anchor", "several"), "anchor"), "substrings-common")
     kinds = common.groupBy("anchor", "whole").agg(F.min("doc_id").alias("low"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = shared.table(kinds.join(several.filter("kinds > 1"), "anchor", "left"), "substrings-kinds")
-    state = F.when(F.col("doc_id") > F.col("low"), WHOLE).when(F.col("kinds") > 1, COMPARE)
+    state = F.when(F.col("doc_id") > F.col("low"), WHOLE).when(F.col("several"), COMPARE)
     found = common.join(kinds, ["anchor", "whole"]).select(*_KEY, "place", state.alias("state")).filter("state is not null").distinct()
     places = lambda s: F.collect_list(F.when(F.col("state") == s, F.col("place")))
     return found.groupBy(*_KEY).agg(places(WHOLE).alias("whole"), places(COMPARE).alias("compare"))

@@ -24,27 +24,38 @@ class Index:
 
     def kept(self, keep=scratch.table) -> Index:
         """The index as tables: postings sorted by term, so that a search reads the files of its terms."""
-        postings = self.postings.repartitionByRange("term").sortWithinPartitions("term")
+        postings = self.postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term")
         return Index(keep(postings), keep(self.lengths), keep(self.terms), keep(self.corpus))
 
 
-def build(chunks: DataFrame, keep=None) -> Index:
-    """I2 from ``chunks (chunk_id, content)``; with ``keep`` what is counted once is held by it and read again.
+def words(chunks: DataFrame, *beside: str) -> DataFrame:
+    """``chunk_id, words, dl`` of ``chunks (chunk_id, content)``."""
+    return chunks.select("chunk_id", *beside, tokens(F.col("content")).alias("words")).withColumn("dl", F.size("words").cast("long"))
 
-    idf = ln(N - df + 0.5) - ln(df + 0.5); where negative, a quarter of the mean over all terms.
-    """
-    words = chunks.select("chunk_id", tokens(F.col("content")).alias("words")).withColumn("dl", F.size("words").cast("long"))
-    lengths = words.select("chunk_id", "dl")
+
+def postings(words: DataFrame, *beside: str) -> DataFrame:
+    rows = words.select("chunk_id", *beside, "dl", F.explode("words").alias("term"))
+    return rows.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), *(F.first(c).alias(c) for c in beside))
+
+
+def weighted(df: DataFrame, corpus: DataFrame) -> DataFrame:
+    """``term, df, idf``: idf = ln(N - df + 0.5) - ln(df + 0.5); where negative, a quarter of the mean over all terms."""
+    raw = df.join(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
+    mean = raw.agg(F.avg("raw").alias("mean"))
+    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+
+
+def build(chunks: DataFrame, keep=None) -> Index:
+    """I2 from ``chunks (chunk_id, content)``; with ``keep`` what is counted once is held by it and read again."""
+    rows = words(chunks)
+    lengths = rows.select("chunk_id", "dl")
     lengths = lengths if keep is None else keep(lengths)
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = words.select("chunk_id", "dl", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    found = postings(rows)
     if keep is not None:
-        postings = keep(postings.repartitionByRange("term").sortWithinPartitions("term"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(corpus.select("n"))).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))  # one row
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
-    return Index(postings, lengths, terms, corpus)
+        # postings of a frequent word are in several ranges
+        found = keep(found.repartitionByRange("term", "chunk_id").sortWithinPartitions("term"))
+    return Index(found, lengths, weighted(found.groupBy("term").agg(F.count("*").alias("df")), corpus), corpus)
 
 
 def search(index: Index, queries: DataFrame, top_k: int = 10, include_zero: bool = False) -> DataFrame:

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import matches
+from ..sources import scratch
 
 CONTEXT = 200
+#: Fixed value: how a text names a table.
+LABEL = r"(?i)Table\s*(\d+)"
 FIRST_WINS = ("mentions", "used_for", "cites", "addresses_problem", "invented_by", "assignee_of")
 
 
@@ -28,9 +31,13 @@ def chunk_entities(entities: DataFrame) -> DataFrame:
     return entities.select(F.explode("chunk_ids").alias("chunk_id"), "entity_id", "type", "name", "doc_id", "properties")
 
 
-def table_labels(chunks: DataFrame, scope: str = "global") -> DataFrame:
-    """``label, doc_id, table_chunk``: the first table chunk that names a label, of all documents or of each."""
-    rows = chunks.filter("chunk_type = 'table'").select("chunk_id", "doc_id", "seq", F.explode(matches(F.col("content"), r"(?i)Table\s*(\d+)", 1)).alias("label"))
+def labels(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, doc_id, seq, label``: a row for each label in a table chunk."""
+    return chunks.filter("chunk_type = 'table'").select("chunk_id", "doc_id", "seq", F.explode(matches(F.col("content"), LABEL, 1)).alias("label"))
+
+
+def table_labels(rows: DataFrame, scope: str = "global") -> DataFrame:
+    """``label, doc_id, table_chunk``: the first of ``labels`` that names a label, of all documents or of each."""
     keys = ["label"] if scope == "global" else ["label", "doc_id"]
     first = rows.groupBy(*keys).agg(F.min_by("chunk_id", F.struct("doc_id", "seq")).alias("table_chunk"))
     return first if scope == "document" else first.withColumn("doc_id", F.lit(None).cast("string"))
@@ -42,8 +49,16 @@ RELATION = "array<struct<rel_id:string,type:string,source_id:string,target_id:st
 def relations(chunks: DataFrame, entities: DataFrame, scope: str = "global") -> DataFrame:
     """``rel_id, type, source_id, target_id, properties, doc_id, chunk_id, seq`` with repeated ids.
 
+    Only labels of tables are joined across chunks; the rest is ``within``.
+    """
+    return within(chunks, entities).unionByName(mentioned(label_uses(chunks), table_labels(labels(chunks), scope), scope))
+
+
+def within(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """The relations that one chunk gives.
+
     A chunk's entities are gathered once (they are as many as its text names), and all
-    relations within it are expressions over that array; only labels of tables are joined.
+    relations within it are expressions over that array.
     """
     degrees = F.get_json_object("properties", "$.temperature").cast("int")
     gathered = chunk_entities(entities).groupBy("chunk_id").agg(F.collect_list(F.struct("entity_id", "type", F.col("doc_id").alias("own"), degrees.alias("degrees"))).alias("all"))
@@ -81,13 +96,21 @@ def relations(chunks: DataFrame, entities: DataFrame, scope: str = "global") ->
         each(only(named, typed("inventor")), lambda x: rel("invented_by", join("invented_by_", doc, x["entity_id"]), doc, x["entity_id"], none, doc)),
         each(only(named, typed("assignee")), lambda x: rel("assignee_of", join("assignee_of_", x["entity_id"], doc), x["entity_id"], doc, none, doc)),
     ]
-    within = rows.select("chunk_id", "seq", F.inline(F.concat(*parts)))
-    labels = chunks.filter("chunk_type <> 'table'").select("chunk_id", "doc_id", "seq", F.explode(matches(F.col("content"), r"(?i)Table\s*(\d+)", 1)).alias("label"))
-    known = table_labels(chunks, scope).withColumnRenamed("doc_id", "label_doc").withColumnRenamed("label", "label_named")
+    return rows.select("chunk_id", "seq", F.inline(F.concat(*parts)))
+
+
+def label_uses(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, doc_id, seq, label``: a row for each label that a chunk of text names."""
+    return chunks.filter("chunk_type <> 'table'").select("chunk_id", "doc_id", "seq", F.explode(matches(F.col("content"), LABEL, 1)).alias("label"))
+
+
+def mentioned(uses: DataFrame, labels: DataFrame, scope: str = "global") -> DataFrame:
+    """F8: from chunks to the tables that they name; the labels are broadcast only if they are counted to be few."""
+    known = scratch.small(labels.withColumnRenamed("doc_id", "label_doc").withColumnRenamed("label", "label_named"), "labels")
     on = F.col("label") == F.col("label_named")
-    mentioned = labels.join(known, on if scope == "global" else on & (F.col("doc_id") == F.col("label_doc")))
-    mentioned = mentioned.select("chunk_id", "seq", join("mentions_", chunk, F.col("table_chunk")).alias("rel_id"), F.lit("mentions").alias("type"), chunk.alias("source_id"), F.col("table_chunk").alias("target_id"), none.alias("properties"), "doc_id")
-    return within.unionByName(mentioned)
+    out = uses.join(known, on if scope == "global" else on & (F.col("doc_id") == F.col("label_doc")))
+    rel_id = F.concat(F.lit("mentions_"), F.concat_ws("_", "chunk_id", "table_chunk"))
+    return out.select("chunk_id", "seq", rel_id.alias("rel_id"), F.lit("mentions").alias("type"), F.col("chunk_id").alias("source_id"), F.col("table_chunk").alias("target_id"), F.lit("{}").alias("properties"), "doc_id")
 
 
 def stored(relations: DataFrame) -> DataFrame:

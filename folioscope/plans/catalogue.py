@@ -19,8 +19,9 @@ from ..functions.text import iso_date, split_lines, strip, tokens, unescape
 from ..operators import bm25, chunking, context, entities, evaluate, fusion, graph, graph_search, lines, metadata, name_index, store, tables, traverse, vectors
 from ..operators.interfaces import Echo, overlap
 from ..sources import readers, scratch, writers
+from ..sources.versioned import Store
 from ..sources.vocabulary import DEFAULT
-from . import ingest
+from . import incremental, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1005,3 +1006,37 @@ def stored_documents(spark, sf_dir):
     path = scratch.folder(spark, "corpus")
     writers.corpus(patents(spark, sf_dir), corpus(spark, sf_dir).chunks, path)
     return spark.read.parquet(f"{path}/documents").select("doc_id", "num_chunks")
+
+
+# --- B2-B5: the corpus in versions ----------------------------------------------------
+def _versions(spark, sf_dir) -> Store:
+    """The patents in two versions: first without every third one and with another third in an older form, then all as they are."""
+
+    def make():
+        store, rows, found = Store(spark, scratch.folder(spark, "versions"), 16), patents(spark, sf_dir), raw_tables(spark, sf_dir)
+        older = F.when(F.col("n") % 3 == 1, F.concat("text", F.lit("\nIt was annealed at 20 °C with Mn: 3% and is a problem."))).otherwise(F.col("text"))
+        incremental.update(store, rows.filter("n % 3 <> 0").withColumn("text", older), found)
+        incremental.update(store, rows, found)
+        return store
+
+    return scratch.once(spark, ("versions", sf_dir), make)
+
+
+@query(chain("SELECT entity_id, type, name, doc_id, array_to_string(chunk_ids, ',') AS chunk_ids FROM entities"))
+def versioned_entities(spark, sf_dir):
+    """A1, B2, F1: entities merged from versions when read."""
+    return incremental.corpus(_versions(spark, sf_dir)).entities.select("entity_id", "type", "name", "doc_id", F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+@query(chain("SELECT query_id, chunk_id, score, rank FROM bp_ranked WHERE rank <= 10"))
+def versioned_index_search(spark, sf_dir):
+    """Frequencies and lengths summed over versions, postings of replaced documents left out."""
+    return bm25.search(incremental.corpus(_versions(spark, sf_dir)).index, questions(spark, sf_dir))
+
+
+@query(chain("SELECT rel_id, type, source_id, target_id, chunk_id FROM stored"))
+def versioned_relations(spark, sf_dir):
+    """After the buckets of replaced documents were written anew."""
+    store = _versions(spark, sf_dir)
+    incremental.compacted(store)
+    return incremental.corpus(store).relations.select("rel_id", "type", "source_id", "target_id", "chunk_id")

@@ -3,10 +3,11 @@
 A test item gives its windows of 13 consecutive words (an item of fewer words is one
 window). Windows of one length m are searched together: the block of two words that ends
 at a position of the text looks up how far from it a test window can end at the nearest,
-and positions with a shift are skipped (unknown words skip the most); where the shift is
-0, the hash of that block, narrowed by the window's first words, selects a bucket of test
-windows, and each is compared with the text word by word. An occurrence marks its words.
-Tables are read for all positions of a span of ``SPAN`` words at once.
+and that many positions are skipped (unknown words skip the most); where the shift is 0,
+the hash of that block, narrowed by the window's first words, selects a bucket of test
+windows, and each is compared with the text word by word. The lanes of a span of ``SPAN``
+words advance together, each by its own shifts. Occurrences mark their words in an array of
+differences, and pairs of row and item are numbers, so many of them cost no objects.
 
 What a worker holds of the items are sorted arrays: the words' numbers, and for a window
 its place among them, its bucket and its item, about ``HELD`` bytes a byte of text. The
@@ -28,7 +29,8 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -38,12 +40,15 @@ WINDOW = 13
 ITEM_BYTES = 8 << 20
 HELD = 20
 SPAN = 1 << 16
+#: Words of a text that are searched one after another, beside other such lanes.
+LANE = 128
 SCHEMA = "row long, doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def blocks_of(words: np.ndarray, size: int, m: int) -> np.ndarray:
-    """The number of the block of words that ends at each place but the first: of two words, or for windows of one word of that alone."""
-    return words[1:].astype(np.int64) if m == 1 else words[:-1].astype(np.int64) * size + words[1:]
+def blocks_of(words: np.ndarray, size: int, m: int, at: np.ndarray) -> np.ndarray:
+    """The number of the block of words that ends at each place ``at``: of two words, or for windows of one word of that alone."""
+    last = words[at].astype(np.int64)
+    return last if m == 1 else words[at - 1].astype(np.int64) * size + last
 
 
 class WuManber:
@@ -51,9 +56,10 @@ class WuManber:
 
     def __init__(self, m: int, words: np.ndarray, places: np.ndarray, items: np.ndarray, size: int):
         self.m, self.words, self.size, self.block = m, words, size, min(2, m)
-        blocks = blocks_of(words, size, m)
+        #: Places of texts that were looked up.
+        self.read = 0
         # the shift of a block: how far before the end of some window it stands, at the least
-        codes = [blocks[places + end - 2] for end in range(self.block, m + 1)]
+        codes = [blocks_of(words, size, m, places + end - 1) for end in range(self.block, m + 1)]
         self.blocks = np.unique(np.concatenate(codes))
         self.shift = np.full(len(self.blocks), m, np.int32)
         for end, own in zip(range(self.block, m + 1), codes, strict=True):
@@ -77,20 +83,28 @@ class WuManber:
         m = self.m
         if len(text) <= m or not len(self.blocks):
             return np.empty(0, np.int64), np.empty(0, np.int32)
-        blocks = blocks_of(text, self.size, m)
-        known = (text[1:] >= 0) if m == 1 else (text[1:] >= 0) & (text[:-1] >= 0)
-        # places that are m words from the start and whose block is the last of a window
-        last = np.flatnonzero(known[m - 1 :]) + m - 1
-        at = np.minimum(np.searchsorted(self.blocks, blocks[last]), len(self.blocks) - 1)
-        last = last[(self.blocks[at] == blocks[last]) & (self.shift[at] == 0)]
+        at = np.arange(m, len(text), LANE)
+        stop, last = np.minimum(at + LANE, len(text)), []
+        while len(at):
+            self.read += len(at)
+            block = blocks_of(text, self.size, m, at)
+            place = np.minimum(np.searchsorted(self.blocks, block), len(self.blocks) - 1)
+            unknown = (text[at] < 0) | (text[at - self.block + 1] < 0)
+            # no window holds an unknown word, and none the block unless it is in the table
+            shift = np.where(text[at] < 0, m, np.where(unknown | (self.blocks[place] != block), m - self.block + 1, self.shift[place]))
+            last.append(at[shift == 0])
+            at = at + np.maximum(shift, 1)
+            at, stop = at[at < stop], stop[at < stop]
+        last = np.sort(np.concatenate(last))
         first = last - (m - self.block)
-        last = last[known[first]]
-        bucket = self.bucket(blocks[last], blocks[last - (m - self.block)])
+        known = (text[first] >= 0) & (text[first - self.block + 1] >= 0)
+        last, first = last[known], first[known]
+        bucket = self.bucket(blocks_of(text, self.size, m, last), blocks_of(text, self.size, m, first))
         low = np.searchsorted(self.buckets, bucket)
         n = np.searchsorted(self.buckets, bucket, "right") - low
         # each candidate with each window of its bucket, compared word by word
         which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        begin = np.repeat(last, n) + 2 - m
+        begin = np.repeat(last, n) + 1 - m
         same = np.ones(len(which), bool)
         for k in range(m):
             same &= text[begin + k] == self.words[self.places[which] + k]
@@ -99,7 +113,8 @@ class WuManber:
 
 class Matcher:
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
-        self.lexer, self.ids = Lexer(NOT_ALNUM), [i for i, _ in items]
+        self.lexer = Lexer(NOT_ALNUM)
+        self.ids, self.number = np.unique(np.array([i for i, _ in items], dtype=object), return_inverse=True) if items else (np.empty(0, object), np.empty(0, np.int64))
         words = self.lexer(pa.array([t for _, t in items], pa.string()))
         self.known, numbers = np.unique(words.hashes, return_inverse=True)
         counts = words.counts
@@ -124,32 +139,64 @@ class Matcher:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, at, -1).astype(np.int32)
 
-    def __call__(self, texts: pa.Array):
-        """(words, spans, items) of each text; spans are united and in order."""
+    def find(self, texts: pa.Array):
+        """(words of each text, row and place of the first word of each span, its end, row and item of each item found).
+
+        Spans are united and in order, items are numbers into ``ids``, in order and once a row.
+        """
         words = self.lexer(texts)
         # all texts in a row, each after a -1, so that no window goes from one to the next
         every = np.insert(self.numbers(words.hashes), words.docs[:-1], -1)
         starts = words.docs[:-1] + np.arange(len(texts))
-        found = [[[], set()] for _ in range(len(texts))]
+        step, pairs = np.zeros(len(every) + 1, np.int32), []
         for engine in self.engines:
             for a in range(0, len(every), SPAN):
                 begin, item = engine.search(every[a : a + SPAN + engine.m])
                 row = np.searchsorted(starts, begin + a, "right") - 1
-                for r, x, i in zip(row.tolist(), (begin + a - starts[row] - 1).tolist(), item.tolist(), strict=True):
-                    found[r][0].append((x, x + engine.m))
-                    found[r][1].add(self.ids[i])
-        for n, (spans, items) in zip(words.counts.tolist(), found, strict=True):
-            yield n, united(spans), sorted(items)
+                pairs.append(np.unique(row << 32 | self.number[item]))
+                begin = np.unique(begin) + a
+                step[begin] += 1
+                step[begin + engine.m] -= 1
+        hit = np.diff(np.cumsum(step[:-1], dtype=np.int32) > 0, prepend=False, append=False)
+        edges = np.flatnonzero(hit)
+        begin, end = edges[::2], edges[1::2]
+        row = np.searchsorted(starts, begin, "right") - 1
+        pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        return words.counts, row, begin - starts[row] - 1, end - starts[row] - 1, pairs >> 32, pairs & 0xFFFFFFFF
+
+    def __call__(self, texts: pa.Array):
+        """(words, spans, items) of each text."""
+        counts, row, begin, end, of, item = self.find(texts)
+        for k, n in enumerate(counts.tolist()):
+            own, some = slice(*np.searchsorted(row, [k, k + 1])), slice(*np.searchsorted(of, [k, k + 1]))
+            yield n, list(zip(begin[own].tolist(), end[own].tolist(), strict=True)), self.ids[item[some]].tolist()
+
+
+def _lists(rows: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """The values of ``n`` rows as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32()), values)
+
+
+def _spans(begin: np.ndarray, end: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(begin, pa.int32()), pa.array(end, pa.int32())], ["start", "end"])
+
+
+def united_lists(lists: pa.Array) -> pa.Array:
+    """The spans of several passes over each text, united and in order."""
+    n = len(lists)
+    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    flat = lists.flatten()
+    begin, end = (pc.struct_field(flat, k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order] | row[order] << 32, end[order] | row[order] << 32
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.r_[True, begin[1:] > reach[:-1]])[: len(row)]
+    last = np.r_[first[1:], len(row)] - 1 if len(first) else first
+    return _lists(row[first], n, _spans(begin[first] & 0xFFFFFFFF, reach[last] & 0xFFFFFFFF))
 
 
-def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
-        else:
-            out.append((a, b))
-    return out
+def united(spans: Column) -> Column:
+    return F.arrow_udf(united_lists, "array<struct<start:int,end:int>>")(spans)
 
 
 def _pass(docs: DataFrame, items: list, window: int) -> DataFrame:
@@ -158,9 +205,10 @@ def _pass(docs: DataFrame, items: list, window: int) -> DataFrame:
     def run(batches):
         matcher = once(key, lambda: Matcher(held.value, window))
         for part in slices(batches):
-            found = list(matcher(part.column("text")))
-            spans = [[{"start": a, "end": b} for a, b in s] for _, s, _ in found]
-            columns = [part.column("row"), part.column("doc_id"), pa.array([n for n, _, _ in found], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([i for _, _, i in found], pa.list_(pa.string()))]
+            counts, row, begin, end, of, item = matcher.find(part.column("text"))
+            spans = _lists(row, len(counts), _spans(begin, end))
+            items = _lists(of, len(counts), pa.array(matcher.ids[item].tolist(), pa.string()))
+            columns = [part.column("row"), part.column("doc_id"), pa.array(counts, pa.int64()), spans, items]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_words", "spans", "items"])
 
     return docs.mapInArrow(run, SCHEMA)
@@ -183,13 +231,9 @@ def _united(rows: DataFrame, blocks: list, window: int) -> DataFrame:
     for load in blocks:
         own = shared.table(_pass(rows, load(), window), "decontaminate-pass")
         out = own if out is None else out.unionByName(own)
-    spans, items = F.array_sort(F.flatten(F.collect_list("spans"))), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    spans, items = F.flatten(F.collect_list("spans")), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
     merged = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), spans.alias("spans"), items.alias("items"))
-    unite = """aggregate(spans, cast(array() as array<struct<start:int,end:int>>), (out, x) ->
-        if(size(out) > 0 and x.start <= element_at(out, -1).end,
-           concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(x.end, element_at(out, -1).end)))),
-           concat(out, array(x))))"""
-    return merged.withColumn("spans", F.expr(unite))
+    return merged.withColumn("spans", united(F.col("spans")))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> DataFrame:
@@ -222,8 +266,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, item_byte
     def run(batches):
         matcher = once(key, lambda: Matcher(held.value, window))
         for part in slices(batches):
-            hit = ((n, sum(b - a for a, b in spans)) for n, spans, _ in matcher(part.column("text")))
-            yield part.filter(pa.array([not (h > 0 and 20 * h >= n) for n, h in hit], pa.bool_()))
+            counts, row, begin, end, _, _ = matcher.find(part.column("text"))
+            hit = np.bincount(row, end - begin, len(counts)).astype(np.int64)
+            yield part.filter(pa.array(~((hit > 0) & (20 * hit >= counts)), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

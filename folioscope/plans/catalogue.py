@@ -679,7 +679,7 @@ _bm25_steps("bd", "SELECT doc_id AS chunk_id, text AS content FROM documents", "
 _bm25_steps("bp", "SELECT chunk_id, content FROM chunks", "SELECT * FROM questions")
 
 
-def _documents_index(spark, sf_dir) -> bm25.Index:
+def documents_index(spark, sf_dir) -> bm25.Index:
     """The keyword index of the documents: built once in a session and read by every query on it."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
     return scratch.once(spark, ("documents index", sf_dir), lambda: bm25.build(rows, scratch.table))
@@ -688,14 +688,14 @@ def _documents_index(spark, sf_dir) -> bm25.Index:
 @query(chain("SELECT term, df, round(idf, 6) AS idf FROM bd_terms"))
 def term_idf(spark, sf_dir):
     """I2"""
-    return _documents_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return documents_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(chain("SELECT query_id, chunk_id, score, rank FROM bd_ranked WHERE rank <= 10"))
 def bm25_topk_batch(spark, sf_dir):
     """The benchmark's passages over all documents."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return bm25.search(_documents_index(spark, sf_dir), asked)
+    return bm25.search(documents_index(spark, sf_dir), asked)
 
 
 _TURN = "concat(cast(conv_id as string), '-', cast(turn as string))"
@@ -706,7 +706,7 @@ _bm25_steps("bz", "SELECT doc_id AS chunk_id, text AS content FROM documents", f
 def bm25_with_zero_scores(spark, sf_dir):
     """Every turn of a conversation gets its ten chunks, if need be with score 0."""
     asked = table(spark, sf_dir, "conversations").select(F.expr(_TURN).alias("query_id"), "text")
-    return bm25.search(_documents_index(spark, sf_dir), asked, include_zero=True)
+    return bm25.search(documents_index(spark, sf_dir), asked, include_zero=True)
 
 
 @query(chain("SELECT query_id, chunk_id, score, rank FROM bp_ranked WHERE rank <= 10"))

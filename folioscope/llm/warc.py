@@ -10,8 +10,10 @@ ended at ``ARCHIVE`` bytes. A task reads an archive.
 
 Of pages with equal payloads the one with the smallest id is written as a response, the
 others as revisits that name it, with digest and length of the payload they stand for.
-Which is which is found on rows without payloads; only responses carry theirs through a
-shuffle, by page id, so a payload that a third of all pages share meets nowhere.
+Which is which is found on rows without payloads, which are sent ahead of a page's own. All
+payloads go through one shuffle, by page id and digest, so one that a third of all pages
+share meets nowhere; a revisit's is dropped where it arrives. Rows equal in id and payload
+meet in one task, which streams their pieces.
 
 Edge cases: a null html is an empty payload; equal rows (id and payload) are one response
 and revisits of it; a null id comes after all others and is the response only among

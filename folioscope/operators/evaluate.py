@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .models import called
+
 
 def details(cases: DataFrame, hits: DataFrame, stats: DataFrame, answers: DataFrame | None = None) -> DataFrame:
     """L1: a row per case with its contexts in order and its hit counts; cases without hits stay, with an error."""
@@ -49,6 +51,63 @@ def retrieval_metrics(hits: DataFrame, relevant: DataFrame, k: int = 5) -> DataF
     return rows.select("query_id", share("shown").alias("precision"), share("wanted").alias("recall"))
 
 
+def _by_rank(rows: DataFrame, k: int) -> DataFrame:
+    """``query_id, found, context_precision, mrr, dcg`` of ``query_id, final_rank, good`` (0, 1); a query has ``k`` rows at most."""
+    upto = Window.partitionBy("query_id").orderBy("final_rank").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.filter(F.col("final_rank") <= k).withColumn("so_far", F.sum("good").over(upto))
+    found, gain = F.sum("good"), F.sum(F.col("good") / F.log2(F.col("final_rank") + 1))
+    precision = F.sum(F.col("good") * F.col("so_far") / F.col("final_rank")) / F.nullif(found, F.lit(0))
+    first = F.min(F.when(F.col("good") == 1, F.col("final_rank")))
+    return rows.groupBy("query_id").agg(found.alias("found"), F.coalesce(precision, F.lit(0.0)).alias("context_precision"), F.coalesce(1 / first, F.lit(0.0)).alias("mrr"), F.coalesce(gain, F.lit(0.0)).alias("dcg"))
+
+
+def ranked_metrics(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+    """``query_id, context_precision, recall, mrr, ndcg`` at k: precision is the mean of those at the relevant ranks.
+
+    ``relevant`` is by ``query_id, chunk_id``, or by ``chunk_id`` alone for all queries.
+    """
+    on = [c for c in ("query_id", "chunk_id") if c in relevant.columns]
+    rows = hits.join(relevant.select(*on).distinct().withColumn("good", F.lit(1)), on, "left").withColumn("good", F.coalesce("good", F.lit(0)))
+    out = _by_rank(rows, k)
+    if "query_id" in on:
+        out = relevant.distinct().groupBy("query_id").agg(F.count("*").alias("wanted")).join(out, "query_id", "full")
+    else:
+        out = out.join(F.broadcast(relevant.distinct().agg(F.count("*").alias("wanted"))))  # one row
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("wanted"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1)))
+    share = lambda x: F.round(F.coalesce(x, F.lit(0.0)), 6)
+    wanted = F.nullif("wanted", F.lit(0))
+    return out.select("query_id", share(F.col("context_precision")).alias("context_precision"), share(F.col("found") / wanted).alias("recall"), share(F.col("mrr")).alias("mrr"), share(F.when(wanted.isNotNull(), F.col("dcg") / ideal)).alias("ndcg"))
+
+
+#: Where one claim of an answer ends and the next begins.
+CLAIMS = r"(?<=[.!?])\s+"
+
+
+def judged(details: DataFrame, judge, k: int = 10, **options) -> DataFrame:
+    """L4: ``query_id, context_precision, context_recall`` of ``query_id, question, ground_truth, contexts`` by a judge.
+
+    ``judge([(claim or question, context), ...])`` gives a number for each, one half and more
+    meaning that the context helps, or holds the claim. Precision is by rank; recall is the
+    share of the ground truth's claims that some context holds. A case with a pair that the
+    judge fails on is null in that metric, as is one without contexts or claims.
+    """
+    ranks = details.select("query_id", "question", F.posexplode("contexts").alias("place", "context")).filter(F.col("place") < k)
+    marked = called(ranks, ["question", "context"], judge, "double", **options)
+    failed = marked.groupBy("query_id").agg(F.max(F.col("result").isNull()).alias("failed"))
+    rows = marked.select("query_id", (F.col("place") + 1).alias("final_rank"), (F.col("result") >= 0.5).cast("int").alias("good"))
+    precision = _by_rank(rows, k).join(failed, "query_id").select("query_id", F.when(~F.col("failed"), F.round("context_precision", 6)).alias("context_precision"))
+    claims = details.select("query_id", "contexts", F.posexplode(F.filter(F.split(F.coalesce("ground_truth", F.lit("")), CLAIMS), lambda x: F.trim(x) != "")).alias("nth", "claim"))
+    pairs = claims.select("query_id", "nth", "claim", F.explode("contexts").alias("context"))
+    held = called(pairs, ["claim", "context"], judge, "double", **options).groupBy("query_id", "nth").agg(F.max(F.col("result") >= 0.5).alias("held"), F.max(F.col("result").isNull()).alias("failed"))
+    recall = held.groupBy("query_id").agg(F.when(~F.max("failed"), F.round(F.avg(F.coalesce(F.col("held"), F.lit(False)).cast("int")), 6)).alias("context_recall"))
+    return details.select("query_id").join(precision, "query_id", "left").join(recall, "query_id", "left")
+
+
+def scores(judged: DataFrame) -> DataFrame:
+    """L4: ``metric, value`` of judged cases, for ``metric_means``."""
+    return judged.selectExpr("stack(2, 'context_precision', cast(context_precision as string), 'context_recall', cast(context_recall as string)) as (metric, value)")
+
+
 def merged_sections(chunks: DataFrame) -> DataFrame:
     """``doc_id, section, content, chunk_count``: a section's chunks in order, joined by blank lines."""
     rows = chunks.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("c"))

@@ -928,6 +928,19 @@ def retrieval_metrics(spark, sf_dir):
     return evaluate.retrieval_metrics(found, good)
 
 
+STEPS["marked_hits_"] = "SELECT query_id, rank, good, sum(good) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM (SELECT query_id, rank, (chunk_id IN (SELECT doc_id FROM labels WHERE quality = 1))::INT AS good FROM bd_ranked WHERE rank <= 10)"
+
+
+@query(chain("""SELECT query_id, round(coalesce(sum(good * so_far / rank::DOUBLE) / nullif(sum(good), 0), 0), 6) AS context_precision, round(sum(good) / w::DOUBLE, 6) AS recall,
+  round(coalesce(1 / min(CASE WHEN good = 1 THEN rank END)::DOUBLE, 0), 6) AS mrr, round(sum(good / log2(rank + 1)) / list_sum(list_transform(range(1, 1 + least(10, w)), lambda i: 1 / log2(i + 1))), 6) AS ndcg
+  FROM marked_hits_, (SELECT count(DISTINCT doc_id) AS w FROM labels WHERE quality = 1) GROUP BY query_id, w"""))
+def ranked_metrics(spark, sf_dir):
+    """Metrics by rank of the benchmark's passages over the documents."""
+    found = bm25_topk_batch(spark, sf_dir).withColumnRenamed("rank", "final_rank")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("chunk_id"))
+    return evaluate.ranked_metrics(found, good)
+
+
 @query(chain("SELECT doc_id, section, string_agg(content, chr(10) || chr(10) ORDER BY seq) AS content, count(*) AS chunk_count FROM chunks GROUP BY doc_id, section"))
 def merged_sections(spark, sf_dir):
     """L6"""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, chunking, entities, fusion, graph, graph_search, interfaces, lines, metadata, name_index, tables, vectors
+from ..operators import bm25, chunking, entities, fusion, graph, graph_search, interfaces, lines, metadata, models, name_index, tables, vectors
 from ..sources import config, readers, scratch, writers
 from ..sources.vocabulary import DEFAULT
 
@@ -93,6 +93,16 @@ def retrieved(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, qu
     return corpus.chunks.select("chunk_id", "doc_id", "seq", "content", "section", "page").join(asked, "chunk_id").join(questions.select("query_id", F.col("text")), "query_id")
 
 
+def ranked(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, question_vectors: DataFrame, settings: config.Settings, top_k: int = 10, encoder=None, scorer=None) -> DataFrame:
+    """The final ranking; where the settings ask for a reranker, ``scorer`` is a model of (question, chunk) pairs, or the stand-in scores."""
+    rows = retrieved(corpus, questions, chunk_vectors, question_vectors, settings.pool, settings, encoder)
+    if not settings.reranker:
+        return fusion.final(rows, top_k)
+    if scorer is None:
+        return fusion.final(fusion.reranked(rows, interfaces.reranker(settings), settings.rerank_top), top_k, "rerank_score")
+    return fusion.final(models.pair_scored(rows, scorer, settings.rerank_top), top_k, "rerank_score")
+
+
 def ingest_folder(spark: SparkSession, folder: str, output: str, converter, names: list[str] = (), pattern: str = "*.pdf", encoder=None, answers=None) -> dict:
     """From a folder of files to stored tables (``saved``, and the documents as B1): returns what was found, missing, failed and made.
 
@@ -118,12 +128,14 @@ def ingest_folder(spark: SparkSession, folder: str, output: str, converter, name
     return told | {"errors": read.filter("error is not null").count(), "documents": docs.count(), "chunks": corpus.chunks.count(), "entities": corpus.entities.count(), "relations": corpus.relations.count()}
 
 
-def main(argv: list[str] | None = None, converter=None, spark: SparkSession | None = None) -> dict:
-    """Ingestion from the command line, of Markdown files unless an outside converter is given."""
+def main(argv: list[str] | None = None, converter=None, spark: SparkSession | None = None, model=None) -> dict:
+    """Ingestion from the command line, of Markdown files unless an outside converter is given; ``model`` extracts mentions where that is asked for."""
     args = config.arguments(argv)
+    if args.use_llm_extraction and model is None:
+        raise SystemExit("--use-llm-extraction needs a model, which a program that calls ingest.main passes")
     spark = spark or SparkSession.builder.appName("ingest").getOrCreate()
     plain = converter is None
-    told = ingest_folder(spark, args.folder, args.output, (lambda content: (content.decode("utf-8", "replace"), [])) if plain else converter, args.names, "*.md" if plain else "*.pdf")
+    told = ingest_folder(spark, args.folder, args.output, (lambda content: (content.decode("utf-8", "replace"), [])) if plain else converter, args.names, "*.md" if plain else "*.pdf", answers=models.extracting(model) if args.use_llm_extraction else None)
     for name in told["missing"]:
         print(f"not found: {name}")
     print(", ".join(f"{k} {v}" for k, v in told.items() if k != "missing"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -64,12 +64,23 @@ def search(index: Index, queries: DataFrame, top_k: int = 10, include_zero: bool
     The chunks without any query word score 0 and fill up to ``top_k`` only with
     ``include_zero``. Ties go by chunk id.
     """
+    hit = index.postings.join(asked_terms(index, queries), "term").join(F.broadcast(index.corpus.select("avgdl")))  # one row
+    part = F.col("times") * F.col("idf") * weight(F.col("tf"), F.col("dl"))
+    return ranked(index, hit.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")), queries, top_k, include_zero)
+
+
+def asked_terms(index: Index, queries: DataFrame) -> DataFrame:
+    """``term, query_id, times, idf``; the terms are counted, and where they are few, postings of frequent words aren't dealt by term."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    # the terms of the questions are counted; where they are few, postings of frequent words aren't dealt by term
-    asked = scratch.small(asked.join(index.terms.select("term", "idf"), "term"), "asked-terms")
-    hit = index.postings.join(asked, "term").join(F.broadcast(index.corpus.select("avgdl")))  # one row
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hit.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return scratch.small(asked.join(index.terms.select("term", "idf"), "term"), "asked-terms")
+
+
+def weight(tf: Column, dl: Column) -> Column:
+    """What an occurrence count weighs in a chunk of ``dl`` words, beside ``avgdl``."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
+
+
+def ranked(index: Index, scores: DataFrame, queries: DataFrame, top_k: int, include_zero: bool) -> DataFrame:
     if include_zero:
         # enough chunks by id stand for those without a word: at most top_k of them can be returned
         spare = index.lengths.select("chunk_id").orderBy("chunk_id").limit(top_k)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_date, split_lines, strip, tokens, unescape
-from ..operators import bm25, chunking, context, entities, evaluate, fusion, graph, graph_search, lines, metadata, name_index, store, tables, traverse, vectors
+from ..operators import bm25, chunking, context, entities, evaluate, fusion, graph, graph_search, impacts, lines, metadata, name_index, store, tables, traverse, vector_index, vectors
 from ..operators.interfaces import Echo, overlap
 from ..sources import readers, scratch, writers
 from ..sources.versioned import Store
@@ -698,6 +698,14 @@ def bm25_topk_batch(spark, sf_dir):
     return bm25.search(documents_index(spark, sf_dir), asked)
 
 
+@query(chain("SELECT query_id, chunk_id, score, rank FROM bd_ranked WHERE rank <= 10"))
+def bm25_topk_blocks(spark, sf_dir):
+    """I2, I3 over postings in blocks with their largest weights."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    held = scratch.once(spark, ("documents impacts", sf_dir), lambda: impacts.build(documents_index(spark, sf_dir)))
+    return held.search(asked)
+
+
 _TURN = "concat(cast(conv_id as string), '-', cast(turn as string))"
 _bm25_steps("bz", "SELECT doc_id AS chunk_id, text AS content FROM documents", f"SELECT {_TURN.replace(' string', ' varchar')} AS query_id, text FROM conversations")
 
@@ -744,6 +752,15 @@ def cosine_topk_batch(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, {_COS.format(e='', r=9)} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 10")
+def cosine_topk_indexed(spark, sf_dir):
+    """I4, I5 over vectors stored by their nearest centre."""
+    rows = table(spark, sf_dir, "embeddings")
+    held = scratch.once(spark, ("vector index", sf_dir), lambda: vector_index.build(rows.select(F.col("vec_id").alias("chunk_id"), "embedding")))
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return held.search(asked).withColumn("score", F.round("score", 6))
+
+
 @query(chain("SELECT query_id, name, count(*) AS times FROM names GROUP BY query_id, name"))
 def question_names(spark, sf_dir):
     """The entities that a question names."""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bm25, chunking, entities, fusion, graph, graph_search, interfaces, lines, metadata, models, name_index, tables, vectors
+from ..operators import bm25, chunking, entities, fusion, graph, graph_search, interfaces, lines, metadata, models, name_index, tables, vector_index, vectors
 from ..sources import config, readers, scratch, writers
 from ..sources.vocabulary import DEFAULT
 
@@ -67,10 +67,10 @@ def loaded(spark: SparkSession, path: str, entity_vectors: bool = False) -> Corp
     return Corpus(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/mentions"), merged, relations, writers.read_index(spark, f"{path}/bm25"), named, writers.read_names(spark, f"{path}/names"))
 
 
-def hits(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, question_vectors: DataFrame, pool: int = fusion.POOL, settings: config.Settings | None = None, encoder=None) -> dict[str, DataFrame]:
+def hits(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame | vector_index.VectorIndex, question_vectors: DataFrame, pool: int = fusion.POOL, settings: config.Settings | None = None, encoder=None) -> dict[str, DataFrame]:
     """Three rankings of ``pool`` chunks per question, kept as tables; keyword ranking fills its pool with chunks of score 0.
 
-    Where the settings say so, and an ``encoder`` and vectors of names are there, a name's entities are its nearest by meaning.
+    The chunks' vectors are a table or an index of them. Where the settings say so, and an ``encoder`` and vectors of names are there, a name's entities are its nearest by meaning.
     """
     names = scratch.table(graph_search.question_names(questions), "names")
     matches = None
@@ -79,7 +79,7 @@ def hits(corpus: Corpus, questions: DataFrame, chunk_vectors: DataFrame, questio
     hops, decay = (settings.max_hops, settings.decay) if settings else (2, 0.5)
     found = {
         "bm25": bm25.search(corpus.index, questions, pool, include_zero=True),
-        "semantic": vectors.search(chunk_vectors, question_vectors, pool),
+        "semantic": chunk_vectors.search(question_vectors, pool) if isinstance(chunk_vectors, vector_index.VectorIndex) else vectors.search(chunk_vectors, question_vectors, pool),
         "graph": graph_search.search(names, corpus.entities, corpus.edges, corpus.chunk_entities, corpus.chunks, pool, hops, decay, matches, corpus.names),
     }
     return {name: scratch.table(df, f"hits-{name}") for name, df in found.items()}

@@ -7,8 +7,9 @@ the training text, the closer the language; the least such entropy wins, ties go
 the smaller name. The score is the winner's margin, 1 - least / second least entropy.
 
 Texts are lower-cased and runs of ASCII characters that aren't letters become one space.
-They are parsed whole, in segments of ``SEGMENT`` bytes, ``LOCKSTEP`` of which advance
-together. A state holds a bit for each symbol it has an edge for and the place of its
+They are parsed whole: in segments of ``SEGMENT`` bytes, ``LOCKSTEP`` of which advance
+together, and then on from the state in which the segment before ends until both parses
+are in one state, which makes the phrases those of one parse of the whole text. A state holds a bit for each symbol it has an edge for and the place of its
 first edge, so an edge is found by counting bits, and the tables are as large as the
 automaton is: a few times the training text.
 
@@ -153,16 +154,18 @@ class CrossParser:
         start = offsets[:-1][row] + nth * self.segment
         length = np.minimum(self.segment, offsets[1:][row] - start)
         order = np.argsort(-length, kind="stable")
-        out = np.zeros((len(sizes), len(self.langs)))
+        total, last = np.zeros((len(self.langs), len(row)), np.int64), np.zeros((len(self.langs), len(row)), np.int32)
         for a in range(0, len(order), LOCKSTEP):
             some = order[a : a + LOCKSTEP]
-            counts = self.lockstep(data, start[some], length[some])
-            for k in range(len(self.langs)):
-                out[:, k] += np.bincount(row[some], counts[k], minlength=len(sizes))
+            total[:, some], last[:, some] = self.lockstep(data, start[some], length[some])
+        out = np.zeros((len(sizes), len(self.langs)))
+        for k, own in enumerate(self.automata):
+            more = self.joined(own, data, start, length, row, last[k])
+            out[:, k] = np.bincount(row, total[k] + more, minlength=len(sizes))
         return out
 
-    def lockstep(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Phrases of segments, the longest first, by language."""
+    def lockstep(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of segments, the longest first, and the states in which they end, by language."""
         width = int(length[0]) if len(length) else 0
         places = np.minimum(start[None, :] + np.arange(width, dtype=np.int32)[:, None], max(0, len(data) - 1))
         grid = self.symbol[data[places]] if width else np.zeros((0, 0), np.uint16)
@@ -178,7 +181,52 @@ class CrossParser:
                 # a phrase begins at the start, and where the one before has no edge; a byte that the text hasn't is one alone
                 total[:n] += ends | (now == 0)
                 states[:n] = np.where(ends, own.begin[symbols], to)
-        return out
+        return out, at
+
+    def joined(self, own: Automaton, data: np.ndarray, start: np.ndarray, length: np.ndarray, row: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """What each segment has more phrases (or fewer) when it goes on from where the one before it in its row ends."""
+        more, after = np.zeros(len(row), np.int64), np.full(len(row), -1, np.int64)
+        follows = np.zeros(len(row) + 1, bool)
+        follows[1 : len(row)] = row[1:] == row[:-1]
+        lanes = np.flatnonzero(follows)
+        more[lanes], after[lanes] = self.carried(own, data, start[lanes], length[lanes], last[lanes - 1])
+        # segments in which the parses don't meet end in another state than was thought; each row is walked on from these
+        apart = np.flatnonzero(after >= 0)
+        walk = apart[np.unique(row[apart], return_index=True)[1]]
+        known: dict[tuple[int, bytes], tuple[int, int]] = {}  # text that repeats itself is parsed once
+        while len(walk):
+            nxt = (walk + 1)[follows[walk + 1]]
+            keys = [(int(after[x - 1]), data[start[x] : start[x] + length[x]].tobytes()) for x in nxt]
+            new = list({key: x for key, x in zip(keys, nxt, strict=True) if key not in known}.items())
+            if new:
+                at = np.array([x for _, x in new])
+                known.update(zip((key for key, _ in new), zip(*map(np.ndarray.tolist, self.carried(own, data, start[at], length[at], after[at - 1])), strict=True), strict=True))
+            for key, x in zip(keys, nxt, strict=True):
+                more[x], after[x] = known[key]
+            # those that met go on at the next segment of their row that was apart
+            later = np.append(apart, -1)[np.searchsorted(apart, nxt, "right")]
+            jump = np.where(after[nxt] >= 0, nxt, later)
+            walk = jump[(jump >= 0) & (row[jump] == row[nxt])]
+        return more
+
+    def carried(self, own: Automaton, data: np.ndarray, start: np.ndarray, length: np.ndarray, came: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases of segments from the states ``came`` less those from the start, and the state at the end, -1 where both parses have met."""
+        differ, end = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
+        lane, old, new, step = np.arange(len(start)), np.zeros(len(start), np.int32), came.astype(np.int32), 0
+        while len(lane):
+            symbols = self.symbol[data[start[lane] + step]]
+            bit, begins = self.bit[symbols], []
+            for states in (old, new):
+                to, ends = own.step(states, symbols, bit)
+                begins.append(ends | (states == 0))
+                states[:] = np.where(ends, own.begin[symbols], to)
+            differ[lane] += begins[1].astype(np.int64) - begins[0]
+            step += 1
+            apart, over = old != new, length[lane] == step
+            end[lane[apart & over]] = new[apart & over]
+            keep = apart & ~over
+            lane, old, new = lane[keep], old[keep], new[keep]
+        return differ, end
 
     def __call__(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
         """(language, score, entropy) of each text"""

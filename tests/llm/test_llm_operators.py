@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -145,40 +146,48 @@ def test_languages_of_held_out_rows(spark, docs, rows):
     assert np.mean([r.lang_pred == rows[r.doc_id].lang for r in out]) > 0.97
 
 
+def plain_phrases(sample, text):
+    n = at = 0
+    while at < len(text):
+        k = 1
+        while at + k < len(text) and text[at : at + k + 1] in sample:
+            k += 1
+        at, n = at + k, n + 1
+    return n
+
+
 def test_cross_parsing_is_greedy_longest_match():
     samples = {"a": b"abracadabra ", "b": b"banana bandana "}
     parser = langid.CrossParser(samples, segment=7)
     data = np.frombuffer(b"abraban bandana zzab", np.uint8)
 
-    def count(sample, x):
-        n = 0
-        while x:
-            k = max([k for k in range(1, len(x) + 1) if x[:k] in sample], default=1)
-            x, n = x[k:], n + 1
-        return n
+    assert parser.phrases(data, np.array([0, len(data)]))[0].tolist() == [plain_phrases(samples[s], data.tobytes()) for s in "ab"]
+
 
-    cuts = [data.tobytes()[a : a + 7] for a in range(0, len(data), 7)]
-    assert parser.phrases(data, np.array([0, len(data)]))[0].tolist() == [sum(count(samples[s], c) for c in cuts) for s in "ab"]
+@pytest.mark.parametrize("segment", [4, 16, 64])
+def test_segments_make_no_phrases_of_their_own(segment):
+    draw = random.Random(segment)
+    some = lambda letters, n: bytes(draw.choice(letters) for _ in range(n))
+    for _ in range(10):
+        samples = {"a": some(b"abc ", 200) + b"aaa", "b": some(b"abcd ", 100)}
+        texts = [some(draw.choice([b"ab", b"abc ", b"abcdx "]), draw.randrange(400)) for _ in range(8)]
+        texts += [b"a" * draw.randrange(1, 2000), b"ab" * 500, b"", b"xx" * 50, b"a" * 333 + b"bcab " * 40 + b"a" * 100]
+        found = langid.CrossParser(samples, segment).phrases(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        assert found.tolist() == [[plain_phrases(samples[x], t) for x in "ab"] for t in texts]
+
+
+def test_repeated_text_whose_segments_never_meet_is_parsed_as_one():
+    data = np.full(3 << 20, ord("a"), np.uint8)
+    assert langid.CrossParser({"a": b"the quick brown aaa"}).phrases(data, np.array([0, len(data)])).tolist() == [[1 << 20]]
 
 
 def test_predictions_are_those_of_plain_cross_parsing(docs, rows):
     trained = langid.samples(docs.filter(~langid.held_out(5)), size=3000)
     found = {r.doc_id: r for r in langid.predict(docs, trained).collect()}
 
-    def phrases(sample, x):
-        n = 0
-        for a in range(0, len(x), langid.SEGMENT):
-            s = x[a : a + langid.SEGMENT]
-            while s:
-                k = 1
-                while k < len(s) and s[: k + 1] in sample:
-                    k += 1
-                s, n = s[k:], n + 1
-        return n
-
-    for i in sorted(rows)[::4]:  # plain parsing is slow
+    for i in sorted(rows):
         x = re.sub(rb"[^a-z\x80-\xff]+", b" ", rows[i].text.lower().encode()).lstrip(b" ")
-        cost = sorted((phrases(s, x) * math.log2(len(s)) / max(1, len(x)), lang) for lang, s in trained.items())
+        cost = sorted((plain_phrases(s, x) * math.log2(len(s)) / max(1, len(x)), lang) for lang, s in trained.items())
         assert found[i].lang_pred == cost[0][1] and found[i].entropy == pytest.approx(cost[0][0]) and found[i].score == pytest.approx(1 - cost[0][0] / cost[1][0])
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from folioscope.operators import chunking
+from folioscope.operators import bm25, chunking
 from folioscope.plans import ingest
+from folioscope.sources import scratch
 
 
 def plan(df) -> str:
@@ -26,3 +27,27 @@ def test_sections_are_read_once_for_all_kinds_of_blocks(spark, tmp_path):
     assert plan(out).count("Relation [") == 1
     assert [r.content for r in out.orderBy("seq").collect()] == ["of", "1. A\nb\n2.\n3.", "4. C", "a", "b", "[0001] x\ny", "[0002]z\n[12] w"]
     assert [tuple(r) for r in chunking.claims(sections.filter("ord = 1")).select("blk", "block").collect()] == [(0, "of"), (1, "1. A\nb\n2.\n3."), (2, "4. C")]
+
+
+def test_blocks_of_chunks_and_queries_give_the_ranks_of_a_plain_scan(spark, monkeypatch):
+    words = lambda i: " ".join(["the"] * (i % 3) + [f"w{i % 5}", f"v{i % 7}"])
+    chunks = spark.createDataFrame([(f"c{i:03d}", words(i)) for i in range(60)] + [("c900", "")], "chunk_id string, content string")
+    asked = spark.createDataFrame([(q, f"w{q} the the v{q} unknown") for q in range(5)] + [(9, "nothing here")], "query_id int, text string")
+    index = bm25.build(chunks)
+    assert "RepartitionByExpression" not in plan(index.postings) and "Aggregate" not in plan(index.postings)
+    monkeypatch.setattr(bm25, "CHUNKS", 4)
+    monkeypatch.setattr(bm25, "QUERIES", 2)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 6)) for r in bm25.search(index, asked, 7, include_zero=True).collect()}
+    idf, avgdl = {r.term: r.idf for r in index.terms.collect()}, index.corpus.first().avgdl
+    texts = {f"c{i:03d}": words(i).split() for i in range(60)} | {"c900": []}
+    want = {}
+    for q, text in [(q, f"w{q} the the v{q} unknown".split()) for q in range(5)] + [(9, ["nothing", "here"])]:
+        score = {c: sum(idf.get(t, 0) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / avgdl)) for t in text) for c, w in texts.items()}
+        for rank, c in enumerate(sorted(texts, key=lambda c: (-round(score[c], 6), c))[:7], 1):
+            want[q, rank] = (c, round(score[c], 6))
+    assert got == want
+
+
+def test_tables_of_many_rows_are_dealt_over_more_tasks_than_cores(spark, tmp_path):
+    spark.range(1000).write.parquet(str(tmp_path / "t"))
+    assert scratch.spread(spark.read.parquet(str(tmp_path / "t")), rows=10).rdd.getNumPartitions() == 100

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from folioscope.operators import bm25, chunking
+from folioscope.functions import text
+from folioscope.operators import bm25, chunking, metadata
 from folioscope.plans import ingest
 from folioscope.sources import scratch
 
@@ -51,3 +52,30 @@ def test_blocks_of_chunks_and_queries_give_the_ranks_of_a_plain_scan(spark, monk
 def test_tables_of_many_rows_are_dealt_over_more_tasks_than_cores(spark, tmp_path):
     spark.range(1000).write.parquet(str(tmp_path / "t"))
     assert scratch.spread(spark.read.parquet(str(tmp_path / "t")), rows=10).rdd.getNumPartitions() == 100
+
+
+def test_assembled_documents_send_no_texts_to_the_driver(spark, tmp_path):
+    spark.createDataFrame([("a", "a.pdf", "## (54) \n# Short\n## (54) The sheet\n<!-- PB -->\n# Another long heading"), ("b", "b.pdf", "## A heading of more\nx"), ("c", "c_B1.pdf", ""), ("a", "a2.pdf", "x\n<!-- PB -->")], "doc_id string, filename string, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    raw = spark.createDataFrame([("a", 1, 2, "| a |\n|---|\n| b |")], "doc_id string, ord int, page int, md string")
+    out = metadata.assembled(docs, raw)
+    # a file of few bytes may hold texts of many: none of the sides is sent whole, whatever it is estimated at
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.metadata.filename: (r.title, r.metadata.total_pages, len(r.tables)) for r in out.collect()}
+    assert got == {"a.pdf": ("The sheet", 3, 1), "a2.pdf": ("The sheet", 3, 1), "b.pdf": ("A heading of more", 1, 0), "c_B1.pdf": (metadata.UNKNOWN, 0, 0)}
+
+
+def test_titles_are_told_in_a_documents_own_row(spark):
+    docs = spark.createDataFrame([("a", "## (54) \n# Short\n \t## (54) The sheet\r\n# Another long heading"), ("b", "x\n#Ten letters\n# Eleven chars"), ("c", "x"), ("d", ""), ("e", None)], "doc_id string, text string")
+    out = metadata.titles(docs)
+    assert "Generate" not in plan(out) and "Window" not in plan(out)
+    assert {r.doc_id: r.title for r in out.collect()} == {"a": "The sheet", "b": "Ten letters", "c": metadata.UNKNOWN}
+
+
+def test_the_places_of_blocks_and_lines_are_those_of_all_line_breaks(spark):
+    rows = [(1, "a\n"), (2, ""), (3, "a\r\n\n"), (4, "\r1. A\x0b2. B"), (5, "1. A\n2. B\n"), (6, "\u2028")]
+    texts = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("doc_id", "1 as ord", "'claims' as section", "text")
+    split = {r.doc_id: r.l for r in texts.select("doc_id", text.split_lines(texts.text).alias("l")).collect()}
+    assert split == {1: ["a"], 2: [], 3: ["a", ""], 4: ["", "1. A", "2. B"], 5: ["1. A", "2. B"], 6: [""]}
+    cut = [(r.doc_id, r.blk, r.block) for r in chunking.claims(texts.filter("doc_id in (4, 5)")).orderBy("doc_id", "blk").collect()]
+    assert cut == [(4, 0, ""), (4, 1, "1. A"), (4, 2, "2. B"), (5, 1, "1. A"), (5, 2, "2. B")]

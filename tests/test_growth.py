@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from folioscope.functions import text
-from folioscope.operators import bm25, chunking, metadata
+from folioscope.operators import bm25, chunking, graph, graph_search, metadata, name_index, store, traverse
 from folioscope.plans import ingest
 from folioscope.sources import scratch
 
@@ -79,3 +79,31 @@ def test_the_places_of_blocks_and_lines_are_those_of_all_line_breaks(spark):
     assert split == {1: ["a"], 2: [], 3: ["a", ""], 4: ["", "1. A", "2. B"], 5: ["1. A", "2. B"], 6: [""]}
     cut = [(r.doc_id, r.blk, r.block) for r in chunking.claims(texts.filter("doc_id in (4, 5)")).orderBy("doc_id", "blk").collect()]
     assert cut == [(4, 0, ""), (4, 1, "1. A"), (4, 2, "2. B"), (5, 1, "1. A"), (5, 2, "2. B")]
+
+
+def test_a_traversal_for_some_ends_takes_no_other_edge_in_its_last_round(spark):
+    edges = spark.createDataFrame([("a", "x"), ("a", "b"), ("x", "y"), ("x", "c"), ("b", "z"), ("b", "c"), ("c", "d"), ("b", "a")], "src string, dst string")
+    seeds, ends = spark.createDataFrame([("a",), ("b",)], "seed string"), spark.createDataFrame([(n,) for n in "abcd"], "node string")
+    plain = {tuple(r) for r in traverse.bfs(edges, seeds, keep=lambda df: df).collect()}
+    held = []
+    some = {tuple(r) for r in traverse.bfs(edges, seeds, keep=lambda df: held.append(df) or df, ends=ends).collect()}
+    assert {r for r in some if r[1] in "abcd"} == {r for r in plain if r[1] in "abcd"} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("b", "a", 1), ("b", "d", 2)}
+    assert {r.node for r in held[2].collect()} <= set("abcd") and ("a", "y", 2) in plain
+
+
+def test_edges_are_kept_and_a_stored_row_is_held_once(spark):
+    made = []
+    c = ingest.ingested(spark.createDataFrame([("d", "## ABSTRACT\nStainless steel with 2 % of Si for a motor.")], "doc_id string, text string"), keep=lambda df: made.append(df) or df)
+    assert c.edges is c.edges and len(made) == 5  # chunks, mentions, entities, relations, edges
+    schema = "rel_id string, type string, source_id string, target_id string, properties string, doc_id string, chunk_id string, seq int"
+    rows = [(i, kind, "s", "t", f"{i}{seq}", "d", f"c{seq}", seq) for i, kind in (("cites_1", "cites"), ("affects_1", "affects")) for seq in (2, 1, 3)]
+    assert {r.rel_id: r.properties for r in graph.stored(spark.createDataFrame(rows, schema)).collect()} == {"cites_1": "cites_11", "affects_1": "affects_13"}
+
+
+def test_entities_are_not_dealt_by_a_name_that_many_have(spark):
+    entities = spark.createDataFrame([(f"e{i}", "Si" if i % 2 else f"Si range {i}") for i in range(20)] + [("x", "Mn")], "entity_id string, name string")
+    index, names = name_index.build(entities), spark.createDataFrame([(1, "si"), (2, "RANGE 1")], "query_id int, name string")
+    matched, like = graph_search.lexical(names, entities, index), store.find(entities, "si", index=index)
+    for out in (matched, like):
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert like.count() == 20 and sorted((r["count"], r.name) for r in matched.groupBy("name").count().collect()) == [(5, "RANGE 1"), (20, "si")]

@@ -73,3 +73,19 @@ def test_equal_texts_of_a_batch_are_read_once():
     told = automaton.read(pa.array(texts), lambda x: read.append(x) or find(x))
     assert sorted(x for x in read if x) == ["Si: 2.5%", "annealed at 800 °C"]
     assert told.to_pylist() == pa.array([find(x) for x in texts], automaton._TYPE).to_pylist()
+
+
+def test_some_extractors_give_what_they_give_among_all(spark, monkeypatch):
+    chunks = spark.createDataFrame(TEXTS, SCHEMA)
+    whole = rows(entities.extracted(chunks))
+    for only in (("processes",), ("elements", "materials"), ("references", "samples", "cited", "inventors", "assignees", "patdocs")):
+        numbers = {entities.EXTRACTORS.index(x) for x in only}
+        assert rows(entities.extracted(chunks, only=only)) == [r for r in whole if r[3] in numbers] != []
+    entities._expressions.cache_clear()
+
+    def never(*_):
+        raise AssertionError("asked the vocabulary for what patterns tell")
+
+    monkeypatch.setattr(entities, "hits", never)
+    assert entities.extracted(chunks, only=("references", "patdocs")).count() == 4
+    entities._expressions.cache_clear()

@@ -46,7 +46,8 @@ def build(index: Index, keep=scratch.table, block: int = BLOCK) -> Impacts:
     out = rows.groupBy("term", at.alias("block")).agg(
         F.count("*").alias("n"), F.max(weight(F.col("tf"), F.col("dl"))).alias("impact"), F.collect_list(F.struct("chunk_id", "tf", "dl")).alias("postings")
     )
-    return Impacts(index, keep(out.repartitionByRange("term", "block").sortWithinPartitions("term", "block")))
+    # a group is where it was dealt to: a second deal by ranges would shuffle all postings again
+    return Impacts(index, keep(out.sortWithinPartitions("term", "block")))
 
 
 def saved(impacts: Impacts, path: str) -> None:

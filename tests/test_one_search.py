@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from folioscope.operators import automaton, bm25, entities, graph, graph_search, name_index, traverse
+from folioscope.operators import automaton, bm25, entities, graph, graph_search, impacts, name_index, traverse
 from folioscope.sources.vocabulary import DEFAULT
 
 TEXTS = [
@@ -89,3 +89,10 @@ def test_some_extractors_give_what_they_give_among_all(spark, monkeypatch):
     monkeypatch.setattr(entities, "hits", never)
     assert entities.extracted(chunks, only=("references", "patdocs")).count() == 4
     entities._expressions.cache_clear()
+
+
+def test_postings_in_blocks_are_dealt_once(spark):
+    kept = []
+    index = bm25.build(spark.createDataFrame(TEXTS, SCHEMA))
+    impacts.build(index, lambda df: kept.append(df) or df)
+    assert "rangepartitioning" not in kept[0]._jdf.queryExecution().toString()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.operators import lines
+from folioscope.operators import lines, metadata
 
 TEXT = "(21) Application number: 7\n(71) Applicant: Works AG\n## ABSTRACT\na\n<!-- PB -->\nb\n## CLAIMS\n1. A sheet.\n2. Another."
 
@@ -24,3 +24,9 @@ def test_sections_ask_nothing_of_an_outline(spark):
     out = lines.sections(documents(spark))
     assert not reads_text(out)
     assert [tuple(r) for r in out.orderBy("ord").collect()] == [("d", 1, "preamble", "<!-- PB:1 -->\n(21) Application number: 7\n(71) Applicant: Works AG"), ("d", 2, "abstract", "<!-- PB:1 -->\na\n<!-- PB:2 -->\nb"), ("d", 3, "claims", "<!-- PB:2 -->\n1. A sheet.\n2. Another.")]
+
+
+def test_bibliographic_fields_ask_nothing_of_an_outline(spark):
+    out = metadata.fields(documents(spark))
+    assert not reads_text(out)
+    assert [(r.doc_id, r.application_number, r.applicant) for r in out.collect()] == [("d", "7", "Works AG")]

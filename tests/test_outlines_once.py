@@ -30,3 +30,9 @@ def test_bibliographic_fields_ask_nothing_of_an_outline(spark):
     out = metadata.fields(documents(spark))
     assert not reads_text(out)
     assert [(r.doc_id, r.application_number, r.applicant) for r in out.collect()] == [("d", "7", "Works AG")]
+
+
+def test_assembled_documents_ask_nothing_of_an_outline(spark):
+    out = metadata.assembled(documents(spark))
+    assert not reads_text(out)
+    assert {r.doc_id: (len(r.sections), r.metadata.applicant) for r in out.collect()} == {"d": (3, "Works AG"), "e": (0, None), "f": (0, None)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioscope.operators import lines, metadata
+from folioscope.operators import chunking, lines, metadata
 
 TEXT = "(21) Application number: 7\n(71) Applicant: Works AG\n## ABSTRACT\na\n<!-- PB -->\nb\n## CLAIMS\n1. A sheet.\n2. Another."
 
@@ -26,6 +26,12 @@ def test_sections_ask_nothing_of_an_outline(spark):
     assert [tuple(r) for r in out.orderBy("ord").collect()] == [("d", 1, "preamble", "<!-- PB:1 -->\n(21) Application number: 7\n(71) Applicant: Works AG"), ("d", 2, "abstract", "<!-- PB:1 -->\na\n<!-- PB:2 -->\nb"), ("d", 3, "claims", "<!-- PB:2 -->\n1. A sheet.\n2. Another.")]
 
 
+def test_chunks_without_tables_ask_nothing_of_their_pieces(spark):
+    out = chunking.outlined_chunks(lines.outlined(documents(spark)))
+    assert not reads_text(out)
+    assert [(r.seq, r.page, r.content) for r in out.orderBy("seq").collect()] == [(0, 1, "(21) Application number: 7\n(71) Applicant: Works AG"), (1, 1, "a\n\nb"), (2, 2, "1. A sheet."), (3, 2, "2. Another.")]
+
+
 def test_bibliographic_fields_ask_nothing_of_an_outline(spark):
     out = metadata.fields(documents(spark))
     assert not reads_text(out)
